@@ -17,6 +17,24 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), keep_columns=False)
 
 
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens, with_limit
+
+    return with_limit(count_tokens(_table(spark, sf_dir, "documents"), _vocabulary()))
+
+
+def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digests, encode_decode
+
+    return digests(encode_decode(_table(spark, sf_dir, "documents"), _vocabulary()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
