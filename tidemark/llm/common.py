@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: str =
     """Cut record batches so that each has about ``most`` bytes of text, or one row."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
