@@ -55,6 +55,12 @@ def op7_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op1_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup, digests
+
+    return digests(dedup(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
