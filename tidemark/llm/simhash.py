@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def planes_of(values: np.ndarray) -> np.ndarray:
     """64 rows of bits, packed: bit j of word w in row b is bit b of value 64 w + j."""
     bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    return np.packbits(np.pad(bits, ((0, 0), (0, -len(values) % 64))), axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(np.pad(bits, ((0, 0), (0, -len(values) % 64))), axis=1, bitorder="little")).view(np.uint64)
 
 
 def within(queries: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
