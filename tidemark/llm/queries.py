@@ -67,6 +67,12 @@ def op4_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(dedup(_table(spark, sf_dir, "documents")))
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
