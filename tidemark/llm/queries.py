@@ -18,7 +18,7 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "documents"), keep_columns=False)
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -27,13 +27,13 @@ def _vocabulary() -> str:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens, with_limit
 
-    return with_limit(count_tokens(_table(spark, sf_dir, "documents"), _vocabulary()))
+    return with_limit(count_tokens(_table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests, encode_decode
 
-    return digests(encode_decode(_table(spark, sf_dir, "documents"), _vocabulary()))
+    return digests(encode_decode(_table(spark, sf_dir, "documents"), vocabulary()))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,12 @@ def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op2_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
