@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ["wal"]
+FAMILIES = ["wal", "chains"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -124,7 +124,7 @@ def g18_conflict_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SPANS = f"""spans AS (SELECT * FROM (VALUES (0, 0, {T.FIRST + 200}), (1, {T.FIRST + 200}, {T.FIRST + 449}), (2, {T.FIRST + 450}, NULL)) AS t(tli, a, b))"""
-_KINDS = f"""c AS (SELECT CAST(user_id % 3 AS INTEGER) AS tli, epoch_us(ts) // {T.HOUR} AS segno, 's' || CAST(event_id % 50 AS VARCHAR) AS name, event_id % 4 AS sha, epoch_us(ts) // 1000000 AS "at" FROM events),
+_KINDS = f"""c AS (SELECT CAST(user_id % 3 AS INTEGER) AS tli, epoch_us(ts) // {T.HOUR} AS segno, 's' || CAST(event_id % 50 AS VARCHAR) AS name, event_id % 4 AS sha, epoch_us(ts) // 1000000 AS c_at FROM events),
  k AS (SELECT c.*, CASE WHEN segno < {FLOOR} THEN 'expired' WHEN NOT (segno >= a AND (b IS NULL OR segno <= b)) THEN 'off_history' ELSE 'divergent' END AS kind FROM c JOIN spans USING (tli))"""
 SQL = {
     "w1_wal_gaps": f"WITH {T.SEGMENTS}, n AS (SELECT tli, segno, lead(segno) OVER (PARTITION BY tli ORDER BY segno) AS f FROM segments WHERE segno >= {FLOOR}) SELECT tli, segno + 1 AS missing_from, f - 1 AS missing_to, f - segno - 1 AS missing FROM n WHERE f > segno + 1",
@@ -158,6 +158,6 @@ SQL = {
  SELECT xid, rel, coalesce(name, '1/' || CAST(rel AS VARCHAR)) AS name, del, upd FROM counts LEFT JOIN n USING (rel)""",
     "l1_last_ascending": f"WITH {T.CHANGES} SELECT lsn, xid, rel, del FROM counts ORDER BY lsn DESC, xid DESC, rel DESC LIMIT 25",
     "r11_conflict_kinds": f"WITH {_SPANS}, {_KINDS} SELECT kind, tli, count(*) AS n, min(segno) AS first, max(segno) AS last FROM k GROUP BY 1, 2",
-    "g18_conflict_counts": f"WITH {_SPANS}, {_KINDS} SELECT count(DISTINCT (name, sha)) FILTER (kind = 'divergent') AS conflicts, max("at") FILTER (kind = 'divergent') AS conflicts_newest, count(DISTINCT (name, sha)) FILTER (kind = 'off_history') AS off_history, count(DISTINCT (name, sha)) FILTER (kind = 'expired') AS expired FROM k",
+    "g18_conflict_counts": f"WITH {_SPANS}, {_KINDS} SELECT count(DISTINCT (name, sha)) FILTER (kind = 'divergent') AS conflicts, max(c_at) FILTER (kind = 'divergent') AS conflicts_newest, count(DISTINCT (name, sha)) FILTER (kind = 'off_history') AS off_history, count(DISTINCT (name, sha)) FILTER (kind = 'expired') AS expired FROM k",
 }
 QUERIES = {name: globals()[name] for name in SQL}
