@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ["wal", "chains", "diff", "catalog"]
+FAMILIES = ["wal", "chains", "diff", "catalog", "operations"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
