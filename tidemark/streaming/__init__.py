@@ -1,0 +1 @@
+"""Stateful operators over streams of heartbeats, findings, reports and logs."""
