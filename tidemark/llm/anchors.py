@@ -156,49 +156,87 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(body).alias("th"), body.cast("binary").alias("text"))
 
 
+def _all_runs(col: pa.Array, width: int, gram: int, units) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    hashed, bounds = units(col)
+    parts = list(pieces(hashed, bounds, width, gram)) or [runs(hashed[:0], bounds * 0, width, gram)]
+    return hashed, bounds, tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _name(row: np.ndarray, key: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    return mix(key ^ mix(ctx ^ mix(row.astype(np.uint64) + np.uint64(1))))
+
+
 def anchors(source: DataFrame, width: int, gram: int, units) -> DataFrame:
     """``doc``, ``th``, ``key``, ``ctx``, ``lo``, ``hi`` of all runs of the texts of ``identified`` rows.
 
-    ``units`` gives the unit hashes and row bounds of bytes and offsets.
+    ``units`` gives the unit hashes and row bounds of a column of bytes. ``again``: whether the same run
+    stands earlier in the same text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2 << 20):
-            for row, key, ctx, lo, hi in pieces(*units(part.column(2)), width, gram):
-                which = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(which), part.column(1).take(which), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-                    names=["doc", "th", "key", "ctx", "lo", "hi"],
-                )
+            _, _, (row, key, ctx, lo, hi) = _all_runs(part.column(2), width, gram, units)
+            again = np.ones(len(row), bool)
+            again[np.unique(_name(row, key, ctx), return_index=True)[1]] = False
+            which = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(which), part.column(1).take(which), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(again)],
+                names=["doc", "th", "key", "ctx", "lo", "hi", "again"],
+            )
+
+    return source.select("doc", "th", "text").mapInArrow(run, f"{IDENTITY}, key long, ctx long, lo int, hi int, again boolean")
 
-    return source.select("doc", "th", "text").mapInArrow(run, f"{IDENTITY}, key long, ctx long, lo int, hi int")
 
+class Chosen:
+    """Of the texts of a batch (``doc``, ``th``, ``text``, ``ask``: array of structs that begin with ``key`` and ``ctx``) the runs that are asked for."""
 
-def windows(asked: DataFrame, width: int, units) -> DataFrame:
-    """Two hashes of every window in the asked runs (``ask``: array of ``lo``, ``hi``) with its place."""
+    def __init__(self, part: pa.RecordBatch, width: int, gram: int, units):
+        self.hashed, self.bounds, found = _all_runs(part.column(2), width, gram, units)
+        asks = pa.concat_arrays([part.column(3)])
+        self.asked = asks.flatten()
+        row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(asks.offsets)))
+        key, ctx = (np.asarray(self.asked.field(k), dtype=np.int64).view(np.uint64) for k in (0, 1))
+        wanted, have = _name(row, key, ctx), _name(*found[:3])
+        order = np.argsort(wanted)
+        near = order[np.minimum(np.searchsorted(wanted[order], have), len(wanted) - 1)] if len(wanted) else np.zeros(len(have), np.int64)
+        hit = np.flatnonzero(wanted[near] == have) if len(wanted) else np.zeros(0, np.int64)
+        self.row, self.lo, self.hi = (found[k][hit] for k in (0, 3, 4))
+        self.ask = near[hit]
+
+    def first(self) -> np.ndarray:
+        """The place of the first run of each ask."""
+        return np.unique(self.ask, return_index=True)[1]
+
+
+def windows(asked: DataFrame, width: int, gram: int, units) -> DataFrame:
+    """Two hashes of every window in the asked runs with its place; ``again``: whether it stands earlier among those of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2 << 20):
-            hashed, bounds = units(part.column(2))
-            asks = pa.concat_arrays([part.column(3)])
-            row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(asks.offsets)))
-            spans = asks.flatten()
-            lo, hi = (np.asarray(spans.field(k), dtype=np.int64) for k in (0, 1))
-            many = hi - lo + 1
-            start = np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            row = np.repeat(row, many)
-            at = bounds[row] + start
-            w1, w2 = (Prefix(hashed, b).of(at, at + width) for b in (BASES[1], BASES[2]))
+            runs_ = Chosen(part, width, gram, units)
+            many = runs_.hi - runs_.lo + 1
+            start = np.repeat(runs_.lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.zeros(0, np.int64)
+            row = np.repeat(runs_.row, many)
+            order = np.lexsort((start, row))
+            row, start = row[order], start[order]
+            at = runs_.bounds[row] + start
+            w1, w2 = (Prefix(runs_.hashed, b).of(at, at + width) for b in (BASES[1], BASES[2]))
+            again = np.ones(len(row), bool)
+            again[np.unique(_name(row, w1, w2), return_index=True)[1]] = False
             which = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(1).take(which), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(start.astype(np.int32))], names=["doc", "th", "w1", "w2", "start"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(which), part.column(1).take(which), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(again)], names=["doc", "th", "w1", "w2", "start", "again"])
 
-    return asked.select("doc", "th", "text", "ask").mapInArrow(run, f"{IDENTITY}, w1 long, w2 long, start int")
+    return asked.select("doc", "th", "text", "ask").mapInArrow(run, f"{IDENTITY}, w1 long, w2 long, start int, again boolean")
 
 
 def with_lists(source: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:
-    """``source`` with all structs of ``found`` of the same document as one list; a list is as long as its text at most."""
-    lists = found.groupBy("doc", "th").agg(F.collect_list(F.struct(*[c for c in found.columns if c not in ("doc", "th")])).alias(name))
-    return source.join(lists, ["doc", "th"], how)
+    """``source`` with all structs of ``found`` of the same document as one list; a list is as long as its text at most.
+
+    Documents are matched by ``doc`` and, where ``found`` has it, by ``th``.
+    """
+    keys = [c for c in ("doc", "th") if c in found.columns]
+    lists = found.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in found.columns if c not in keys])).alias(name))
+    return source.join(lists, keys, how)
 
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +36,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage.
 
-    The shuffle files of the write are dropped as soon as it has ended.
+    The shuffle files of the write are dropped as soon as it has ended; what is in a ``scratch`` goes
+    when that is cleared.
     """
     spark = df.sparkSession
-    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = new_path(spark, name)
+    if scratch is not None:
+        scratch.paths.append(path)
+    with shuffles_dropped(spark):
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that run here drop their shuffle files when they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written intermediates that nothing reads any more once this is left."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

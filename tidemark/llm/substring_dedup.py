@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import IDENTITY, anchors, covered, identified, windows, with_lists, word_bounds, word_hashes
-from .common import flat, materialise, slices
+from .common import Scratch, flat, materialise, shuffles_dropped, slices, text_of
 
 #: Words of a window, and words of the strings that anchors are chosen from.
 WIDTH, GRAM = 20, 8
 #: Batches that a whole table is taken in, and runs that are kept before they are compacted.
 BATCHES, MOST_RUNS = 3, 2
-RUN = "key long, ctx long, doc long, th long, lo int, hi int"
 
 
 def _units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +33,7 @@ def _units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """The runs of one corpus; rows are ``key``, ``ctx`` and where they stood first."""
+    """The runs of one corpus; rows are ``key``, ``ctx`` and the first document that had them."""
 
     def __init__(self, spark: SparkSession, most_runs: int = MOST_RUNS):
         self.spark, self.most_runs, self.runs = spark, most_runs, []
@@ -47,27 +47,23 @@ class Index:
 
     def _write(self, rows: DataFrame) -> None:
         name = f"tidemark_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "key").write.option("compression", "zstd").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+        with shuffles_dropped(self.spark):
+            rows.select("key", "ctx", "doc").repartition(self.buckets, "key").write.option("compression", "zstd").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         self.runs.append(name)
 
     def compact(self) -> None:
-        """Merge all runs; of equal fingerprints the earliest place stays."""
+        """Merge all runs; of equal fingerprints the earliest document stays."""
         old, self.runs = self.runs, []
-        merged = None
-        for name in old:
-            run = self.spark.table(name)
-            merged = run if merged is None else merged.unionByName(run)
-        self._write(earliest(merged))
+        self._write(self._all(old).groupBy("key", "ctx").agg(F.min("doc").alias("doc")))
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
 
+    def _all(self, names: list[str]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.spark.table(x) for x in names])
+
     def matching(self, keys: DataFrame) -> DataFrame:
         """The rows of all runs that have one of the (distinct) ``keys``: a merge join with each run."""
-        found = None
-        for name in self.runs:
-            met = self.spark.table(name).hint("merge").join(keys, "key", "left_semi")
-            found = met if found is None else found.unionByName(met)
-        return found if found is not None else self.spark.createDataFrame([], RUN)
+        return reduce(DataFrame.unionByName, [self.spark.table(x).hint("merge").join(keys, "key", "left_semi") for x in self.runs])
 
     def drop(self) -> None:
         for name in self.runs:
@@ -75,41 +71,39 @@ class Index:
         self.runs = []
 
 
-def earliest(rows: DataFrame) -> DataFrame:
-    """One row for each fingerprint and digest: where it stood first."""
-    first = F.min(F.struct("doc", "th", "lo", "hi")).alias("first")
-    return rows.groupBy("key", "ctx").agg(first).select("key", "ctx", "first.*")
+def repeated(seen: DataFrame, batch: DataFrame, index: Index, grow: bool = True) -> DataFrame:
+    """Runs of windows (``doc``, ``th``, ``lo``, ``hi``) of ``batch`` that also start earlier.
 
-
-def repeated(seen: DataFrame, batch: DataFrame, index: Index) -> DataFrame:
-    """Runs of windows (``doc``, ``th``, ``lo``, ``hi``) of ``batch`` that also start earlier, and the index grown by it.
-
-    ``batch`` and ``seen`` (it and all that the index has) are ``identified`` rows.
+    ``batch`` and ``seen`` (it and all that the index has) are ``identified`` rows; with ``grow`` the
+    batch's fingerprints become a run of the index.
     """
-    own = materialise(anchors(batch, WIDTH, GRAM, _units), "anchors")
-    first = F.min(F.struct("doc", "th", "lo", "hi")).alias("first")
-    mine = materialise(own.groupBy("key", "ctx").agg(first, F.count("*").alias("n")).select("key", "ctx", "first.*", "n"), "earliest")
-    if index.runs:
-        known = index.matching(mine.select("key").distinct())
-        both = mine.withColumn("old", F.lit(False)).unionByName(known.withColumns({"n": F.lit(1).cast("long"), "old": F.lit(True)}))
-        both = both.groupBy("key", "ctx").agg(first, F.sum("n").alias("n"), F.max("old").alias("old")).select("key", "ctx", "first.*", "n", "old")
-        both = materialise(both, "merged")
-    else:
-        both = mine.withColumn("old", F.lit(False))
-    # The same run with the same surroundings: all but the first go.
-    often = both.filter("n > 1").select("key", "ctx", F.struct("doc", "th", "lo").alias("first"))
-    gone = own.join(often, ["key", "ctx"]).filter(F.struct("doc", "th", "lo") > F.col("first")).select("doc", "th", "lo", "hi")
-    # The same anchor with other surroundings: the windows of the first of each are compared one by one.
-    mixed = both.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("key")
-    asked = both.join(mixed, "key", "left_semi").select("doc", "th", "lo", "hi")
-    held = materialise(windows(with_lists(seen, asked, "ask", "inner"), WIDTH, _units), "windows")
-    place = F.struct("doc", "th", "start")
-    twice = held.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("w1", "w2", "first")
-    later = held.join(twice, ["w1", "w2"]).filter(place > F.col("first")).select("doc", "th", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    found = materialise(gone.unionByName(later), "repeated")
-    # Of what the index has already only places in later documents would be news, and there are none.
-    index.add(both.filter(~F.col("old")).select("key", "ctx", "doc", "th", "lo", "hi"))
-    return found
+    with Scratch(batch.sparkSession) as scratch:
+        own = materialise(anchors(batch, WIDTH, GRAM, _units), "anchors", scratch=scratch)
+        place = ["doc", "th", "lo", "hi"]
+        mine = own.filter("NOT again").groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
+        if index.runs:
+            mine = materialise(mine, "fingerprints", scratch=scratch)
+            known = index.matching(mine.select("key").distinct())
+            both = mine.withColumn("old", F.lit(False)).unionByName(known.withColumns({"n": F.lit(1).cast("long"), "old": F.lit(True)}))
+            both = both.groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.sum("n").alias("n"), F.max("old").alias("old"))
+        else:
+            both = mine.withColumn("old", F.lit(False))
+        both = materialise(both, "merged", scratch=scratch)
+        # The same run with the same surroundings: all but the first go.
+        often = both.filter("n > 1").select("key", "ctx", F.col("doc").alias("first"))
+        gone = own.join(often, ["key", "ctx"]).filter("doc > first").select(*place)
+        # The same anchor with other surroundings: the windows of the first of each are compared one by one.
+        mixed = both.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("key")
+        asked = both.join(mixed, "key", "left_semi").select("doc", "key", "ctx")
+        held = materialise(windows(with_lists(seen, asked, "ask", "inner"), WIDTH, GRAM, _units), "windows", scratch=scratch)
+        span = [F.col("start").alias("lo"), F.col("start").alias("hi")]
+        twice = held.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first")
+        later = held.join(twice, ["w1", "w2"]).filter("doc > first").select("doc", "th", *span)
+        found = gone.unionByName(own.filter("again").select(*place)).unionByName(later).unionByName(held.filter("again").select("doc", "th", *span))
+        found = materialise(found, "repeated")
+        if grow:  # what the index has already would only be news in an earlier document
+            index.add(both.filter("NOT old"))
+        return found
 
 
 def _kept(with_spans: DataFrame) -> DataFrame:
@@ -150,7 +144,7 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batche
         for k in range(len(edges) + 1):
             seen = source.filter(F.col("doc") <= edges[k]) if k < len(edges) else source
             batch = seen.filter(F.col("doc") > edges[k - 1]) if k else seen
-            one = repeated(seen, batch, index)
+            one = repeated(seen, batch, index, grow=k < len(edges))
             found = one if found is None else found.unionByName(one)
     finally:
         index.drop()
@@ -161,9 +155,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept`` (bytes: the words left, joined by one space) of every row.
 
     A word goes if a window of ``WIDTH`` words that covers it also starts earlier: in a document with a
-    smaller id (a null id is the largest, and of texts that share an id the order is fixed by their
-    hash) or earlier in the same one. Rows with equal id and text are the same document and lose
-    nothing to each other. A null or empty text and one of fewer words loses nothing.
+    smaller id (a null id is the largest; rows that share an id lose nothing to each other) or earlier
+    in the same one. A null or empty text and one of fewer words loses nothing.
     """
     source = identified(docs, doc_id, text)
     spans = removals(docs, doc_id, text, batches)
@@ -194,5 +187,5 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 def text_of_row(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Each row as the struct ``__row`` with what it is known by and its text."""
-    body = F.coalesce(docs[text].cast("string"), F.lit(""))
+    body = text_of(docs, text)
     return docs.select(F.struct("*").alias("__row"), F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(body).alias("th"), body.alias("__text"))

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import IDENTITY, anchors, byte_hashes, covered, identified, windows, with_lists
-from .common import flat, materialise, slices
+from .anchors import Chosen, anchors, byte_hashes, covered, identified, windows, with_lists
+from .common import Scratch, flat, materialise, slices
 
 #: Bytes of a window, and of the strings that anchors are chosen from.
 WIDTH, GRAM = 200, 32
@@ -158,11 +158,11 @@ def _regions(asked: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2 << 20):
-            asks = pa.concat_arrays([part.column(3)])
+            runs = Chosen(part, WIDTH, GRAM, _units)
             texts = part.column(2).to_pylist()
-            row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(asks.offsets))).tolist()
-            key, ctx, n, lo, hi = (asks.flatten().field(k) for k in range(5))
-            cut = [texts[r][a : b + WIDTH] for r, a, b in zip(row, lo.to_pylist(), hi.to_pylist(), strict=True)]
+            first = runs.first()
+            cut = [texts[r][a : b + WIDTH] for r, a, b in zip(*(x[first].tolist() for x in (runs.row, runs.lo, runs.hi)), strict=True)]
+            key, ctx, n = (runs.asked.field(k).take(pa.array(runs.ask[first])) for k in range(3))
             for at in range(0, len(cut), 4096):
                 yield pa.RecordBatch.from_arrays([key.slice(at, 4096), ctx.slice(at, 4096), n.slice(at, 4096), pa.array(cut[at : at + 4096], pa.binary())], names=["key", "ctx", "n", "region"])
 
@@ -172,22 +172,23 @@ def _regions(asked: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The ``identified`` rows of ``docs``, and the runs (``doc``, ``th``, ``lo``, ``hi``) of windows that start elsewhere too."""
     source = identified(docs, doc_id, text)
-    own = materialise(anchors(source, WIDTH, GRAM, _units), "anchors")
-    each = materialise(own.groupBy("key", "ctx").agg(F.min(F.struct("doc", "th", "lo", "hi")).alias("first"), F.count("*").alias("n")).select("key", "ctx", "first.*", "n"), "regions")
-    by_key = each.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter("all > 1").select("key", (F.col("kinds") > MOST_REGIONS).alias("hot"))
-    shared = materialise(each.join(by_key, "key"), "shared")
-    in_blocks = _regions(with_lists(source, shared.filter("NOT hot").select("doc", "th", "key", "ctx", "n", "lo", "hi"), "ask", "inner"))
-    marks = in_blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_marks, "key long, ctx long, a int, b int")
-    whole = shared.filter("hot AND n > 1").select("key", "ctx", F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
-    marks = materialise(marks.unionByName(whole), "marks")
-    found = own.join(marks, ["key", "ctx"]).select("doc", "th", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
-    # Anchors with very many different regions: their windows meet by two hashes.
-    hot = shared.filter("hot")
-    if not hot.isEmpty():
-        held = materialise(windows(with_lists(source, hot.select("doc", "th", "lo", "hi"), "ask", "inner"), WIDTH, _units), "windows")
-        twice = held.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-        found = found.unionByName(held.join(twice, ["w1", "w2"]).select("doc", "th", F.col("start").alias("lo"), F.col("start").alias("hi")))
-    return source, materialise(found, "repeated")
+    with Scratch(docs.sparkSession) as scratch:
+        own = materialise(anchors(source, WIDTH, GRAM, _units), "anchors", scratch=scratch)
+        each = materialise(own.groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.count("*").alias("n")), "regions", scratch=scratch)
+        by_key = each.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter("all > 1").select("key", (F.col("kinds") > MOST_REGIONS).alias("hot"))
+        shared = materialise(each.join(by_key, "key"), "shared", scratch=scratch)
+        asked = with_lists(source, shared.filter("NOT hot").select("doc", "key", "ctx", "n"), "ask", "inner")
+        marks = _regions(asked).repartition("key").sortWithinPartitions("key").mapInArrow(_marks, "key long, ctx long, a int, b int")
+        whole = shared.filter("hot AND n > 1").select("key", "ctx", F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))
+        marks = materialise(marks.unionByName(whole), "marks", scratch=scratch)
+        found = own.join(marks, ["key", "ctx"]).select("doc", "th", (F.col("lo") + F.col("a")).alias("lo"), F.coalesce(F.col("lo") + F.col("b"), "hi").alias("hi"))
+        # Anchors with very many different regions: their windows meet by two hashes.
+        hot = shared.filter("hot").select("doc", "key", "ctx")
+        if not hot.isEmpty():
+            held = materialise(windows(with_lists(source, hot, "ask", "inner"), WIDTH, GRAM, _units), "windows", scratch=scratch)
+            twice = held.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+            found = found.unionByName(held.join(twice, ["w1", "w2"]).select("doc", "th", F.col("start").alias("lo"), F.col("start").alias("hi")))
+        return source, materialise(found, "repeated")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
