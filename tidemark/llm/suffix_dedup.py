@@ -22,7 +22,7 @@ from .common import Scratch, flat, materialise, slices
 #: Bytes of a window, and of the strings that anchors are chosen from.
 WIDTH, GRAM = 200, 32
 #: Bytes of regions in one transform.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Different regions of one anchor that a block takes; an anchor with more is settled window by window.
 MOST_REGIONS = 2048
 #: Symbols in one packed number: nine bits each, 0 stands for the end of a region.
@@ -56,24 +56,32 @@ class RunLengthIndex:
         self.order = order
 
     def _order(self, longest: int) -> np.ndarray:
-        """Suffixes in order, each up to the end of its region; equal ones by their place."""
-        order = np.argsort(self.packed, kind="stable")
-        key, reach = self.packed, PACK
-        place = np.arange(self.n)
-        count = 0
+        """Suffixes in order, each up to the end of its region; equal ones by their place.
+
+        Ranks by ever longer prefixes: only suffixes that share theirs with another are sorted again.
+        """
+        order = np.argsort(self.packed)
+        at = np.arange(self.n)  # the slots of ``order`` whose suffixes are not told apart yet
+        key, reach = self.packed[order], PACK
+        rank = np.empty(self.n, np.int64)  # the first slot of the suffix's group
         while True:
-            sorted_key = key[order]
-            rank = np.empty(self.n, np.uint64)
-            rank[order] = np.cumsum(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])).astype(np.uint64)
-            distinct = int(rank[order[-1]]) if self.n else 0
-            if distinct in (self.n, count) or reach >= longest:
-                return order
-            count = distinct
-            follow = place + reach
-            second = np.where(follow < self.end, rank[np.minimum(follow, self.n - 1)], np.uint64(0))
-            key = rank << np.uint64(32) | second
-            order = np.argsort(key, kind="stable")
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            rank[order[at]] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+            apart = new & np.concatenate([new[1:], [True]])
+            if apart.all() or reach >= longest:
+                break
+            at = at[~apart]
+            suffix = order[at]
+            follow = suffix + reach
+            second = np.where(follow < self.end[suffix], rank[np.minimum(follow, self.n - 1)] + 1, 0)
+            key = (rank[suffix].astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+            by = np.argsort(key)
+            order[at], key = suffix[by], key[by]
             reach *= 2
+        tied = at[~apart]
+        suffix = order[tied]
+        order[tied] = suffix[np.argsort((rank[suffix].astype(np.uint64) << np.uint64(32)) | suffix.astype(np.uint64))]
+        return order
 
     def common(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at ``p`` and ``q``, each up to its region's end."""
