@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .steps import cut
+
 CLASSES = ["missing_now", "added_since", "changed"]
 
 
@@ -71,6 +73,7 @@ def delete_effects(tables: dict[str, DataFrame], keys: list[tuple[str, str, str,
             for child, column, of, key, action in keys:
                 if of == parent:
                     hit = tables[child].join(rows.select(F.col(key).alias(column)).distinct(), column, "left_semi")
+                    hit = cut(hit) if action == "cascade" else hit
                     out.append(hit.agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), F.lit(child).alias("child"), F.lit(action).alias("action"), "n"))
                     if action == "cascade":
                         following.append((child, hit))

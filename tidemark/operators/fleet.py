@@ -220,6 +220,40 @@ def cluster_findings(clusters: DataFrame, now: int) -> DataFrame:
     ])
 
 
+def worker_findings(workers: DataFrame, now: int) -> DataFrame:
+    """Findings of machines that restores run on: silent, full, or without a major that clusters need.
+
+    ``worker_id``, ``last_seen``, ``free_bytes``, ``total_bytes``, ``installed`` and ``required`` (arrays of majors).
+    """
+    on = online(F.col("last_seen"), now)
+    free = F.col("free_bytes") / F.when(F.col("total_bytes") > 0, F.col("total_bytes"))
+    lacking = F.array_except("required", F.coalesce("installed", F.array().cast("array<int>")))
+    rows = workers.withColumn("cluster_id", F.concat(F.lit("worker:"), F.col("worker_id").cast("string")))
+    return _explode(rows, [
+        _finding("critical", "worker_offline", ~on & (F.size("required") > 0)),
+        _finding(_worse(free < 0.07), "worker_disk", on & (free < 0.15)),
+        _finding("warning", "worker_pg_missing", on & (F.size(lacking) > 0), F.array_join(F.sort_array(lacking), ",")),
+    ])
+
+
+def site_findings(sites: DataFrame, now: int, confirm_seconds: int = 120) -> DataFrame:
+    """Findings of pairs of sites: a lost primary, a failover done or open, and replication between them.
+
+    ``cluster_id``, ``primary_seen`` and ``standby_seen`` (times), ``witnesses`` and ``witnesses_lost``,
+    ``failed_over``, ``auto``, ``armed``, ``lag_bytes``, ``checks_bad`` and ``checks_warn`` (counts).
+    """
+    silent = F.coalesce((F.lit(now) - F.col("primary_seen")) / 1_000_000 >= confirm_seconds, F.lit(True))
+    lost = silent & (F.col("witnesses") > 0) & (F.col("witnesses_lost") == F.col("witnesses"))
+    lag = F.col("lag_bytes")
+    return _explode(sites, [
+        _finding("critical", "geo_primary_lost", lost & ~F.col("failed_over")),
+        _finding("warning", "geo_auto_inactive", F.col("auto") & ~F.col("armed")),
+        _finding("warning", "geo_failed_over", F.col("failed_over")),
+        _finding(_worse(F.col("checks_bad") > 0), "geo_dr_readiness", (F.col("checks_bad") > 0) | (F.col("checks_warn") > 0), F.col("checks_bad") + F.col("checks_warn")),
+        _finding(_worse(lag.isNull() | (lag > GIB)), "geo_replication", ~F.col("failed_over") & ~lost & (lag.isNull() | (lag > 64 * MIB))),
+    ])
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     """Findings per cluster and severity, 0 where there are none."""
     return findings.groupBy("cluster_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in RANKS])

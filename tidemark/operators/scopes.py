@@ -34,6 +34,7 @@ def resolve(clusters: DataFrame, assignments: DataFrame, templates: DataFrame) -
 def overlay(clusters: DataFrame, values: DataFrame, defaults: DataFrame) -> DataFrame:
     """Per cluster and field the value of the most specific scope that sets it, and where it came from (O2)."""
     set_ = candidates(clusters).join(values, ["scope", "key"]).groupBy("cluster_id", "field").agg(F.min_by(F.struct("value", "scope"), "rank").alias("x"))
-    every = clusters.select("cluster_id").join(F.broadcast(defaults.limit(1000)))
+    fields = defaults.agg(F.collect_list(F.struct("field", "default")).alias("d"))  # one row: the kind's fields
+    every = clusters.select("cluster_id").join(F.broadcast(fields)).select("cluster_id", F.explode("d").alias("d")).select("cluster_id", "d.*")
     own = set_.select("cluster_id", "field", "x.value", "x.scope")
     return every.join(own, ["cluster_id", "field"], "full_outer").select("cluster_id", "field", F.coalesce("value", "default").alias("value"), F.coalesce("scope", F.lit("default")).alias("source"))

@@ -127,6 +127,17 @@ def disk_findings(spark: SparkSession, d: str) -> DataFrame:
     return fleet.disk_findings(T.table(spark, d, "orders").select((F.col("o_custkey") % 400).alias("cluster_id"), F.col("o_custkey").alias("node_id"), F.concat(F.lit("d"), (k % 3).cast("string")).alias("label"), (k % 101 * 1000).alias("free_bytes"), F.when(k % 7 == 0, 0).otherwise(100_000).alias("total_bytes")))
 
 
+def worker_findings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    majors = F.array(*[F.lit(x) for x in (13, 14, 15, 16)])
+    return fleet.worker_findings(T.table(spark, d, "supplier").select(k.alias("worker_id"), F.when(k % 9 != 0, F.lit(NOW) - k % 60 * 1_000_000).alias("last_seen"), (k % 50).alias("free_bytes"), F.when(k % 7 != 0, 100).alias("total_bytes"), F.when(k % 5 != 0, F.slice(majors, 1, (k % 4 + 1).cast("int"))).alias("installed"), F.slice(majors, F.lit(2), (k % 3).cast("int")).alias("required")), NOW)
+
+
+def site_findings(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return fleet.site_findings(T.table(spark, d, "customer").select(k.alias("cluster_id"), F.when(k % 11 != 0, F.lit(NOW) - k % 300 * 1_000_000).alias("primary_seen"), (k % 3).alias("witnesses"), (k % 2).alias("witnesses_lost"), (k % 13 == 0).alias("failed_over"), (k % 4 == 0).alias("auto"), (k % 8 == 0).alias("armed"), F.when(k % 6 != 0, k * 1_000_000).alias("lag_bytes"), (k % 10 - 8).alias("checks_bad"), (k % 12 - 9).alias("checks_warn")), NOW)
+
+
 #: Each column of the clusters fixture, as an expression that both engines read.
 _CLUSTER = {
     "cluster_id": "k", "name": "concat('c', k)", "environment": "CASE WHEN k % 3 = 0 THEN 'prod' ELSE 'dev' END", "sets": "CASE WHEN k % 8 = 0 THEN 0 ELSE k % 20 END", "nodes": "k % 4 + 1", "up": "k % 5", "has_primary": "k % 6 <> 0", "standby_site": "k % 10 = 7",
@@ -231,6 +242,12 @@ SQL = {
     "replica_findings": f"WITH {_SLOTS}, r AS (SELECT cluster_id, name, retained_bytes // 8 AS lag FROM slots) SELECT cluster_id, CASE WHEN lag > 1073741824 THEN 'critical' ELSE 'warning' END AS severity, 'repl_lag' AS code, name AS detail FROM r WHERE lag > 67108864",
     "disk_findings": "WITH d AS (SELECT o_custkey % 400 AS cluster_id, CAST(o_custkey AS VARCHAR) || ':d' || CAST(o_orderkey % 3 AS VARCHAR) AS detail, o_orderkey % 101 / 100 AS f FROM orders WHERE o_orderkey % 7 <> 0) SELECT cluster_id, CASE WHEN f < 0.07 THEN 'critical' ELSE 'warning' END AS severity, 'disk' AS code, detail FROM d WHERE f < 0.15",
     "cluster_findings": f"WITH {_CLUSTERS}, {_EFF}, {_CF} SELECT * FROM cf",
+    "worker_findings": f"""WITH w AS (SELECT s_suppkey AS k, coalesce({_N} - CASE WHEN s_suppkey % 9 <> 0 THEN {_N} - s_suppkey % 60 * 1000000 END < 45000000, FALSE) AS up, CASE WHEN s_suppkey % 7 <> 0 THEN s_suppkey % 50 / 100 END AS f, [14, 15, 16][1:s_suppkey % 3] AS req, CASE WHEN s_suppkey % 5 <> 0 THEN [13, 14, 15, 16][1:s_suppkey % 4 + 1] ELSE [] END AS inst FROM supplier),
+ l AS (SELECT *, 'worker:' || CAST(k AS VARCHAR) AS cluster_id, list_sort(list_filter(req, lambda x: NOT list_contains(inst, x))) AS miss FROM w) SELECT cluster_id, 'critical' AS severity, 'worker_offline' AS code, '' AS detail FROM l WHERE NOT up AND len(req) > 0 UNION ALL SELECT cluster_id, CASE WHEN f < 0.07 THEN 'critical' ELSE 'warning' END, 'worker_disk', '' FROM l WHERE up AND f < 0.15
+ UNION ALL SELECT cluster_id, 'warning', 'worker_pg_missing', array_to_string(miss, ',') FROM l WHERE up AND len(miss) > 0""",
+    "site_findings": f"""WITH s AS (SELECT c_custkey AS k, (c_custkey % 11 = 0 OR c_custkey % 300 >= 120) AND c_custkey % 3 > 0 AND c_custkey % 2 = c_custkey % 3 AS lost, c_custkey % 13 = 0 AS fo, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey * 1000000 END AS lag, c_custkey % 10 - 8 AS bad, c_custkey % 12 - 9 AS warn FROM customer)
+ SELECT k AS cluster_id, 'critical' AS severity, 'geo_primary_lost' AS code, '' AS detail FROM s WHERE lost AND NOT fo UNION ALL SELECT k, 'warning', 'geo_auto_inactive', '' FROM s WHERE k % 4 = 0 AND k % 8 <> 0 UNION ALL SELECT k, 'warning', 'geo_failed_over', '' FROM s WHERE fo
+ UNION ALL SELECT k, CASE WHEN bad > 0 THEN 'critical' ELSE 'warning' END, 'geo_dr_readiness', CAST(bad + warn AS VARCHAR) FROM s WHERE bad > 0 OR warn > 0 UNION ALL SELECT k, CASE WHEN lag IS NULL OR lag > 1073741824 THEN 'critical' ELSE 'warning' END, 'geo_replication', '' FROM s WHERE NOT fo AND NOT lost AND (lag IS NULL OR lag > 67108864)""",
     "g6_severity_counts": f"WITH {_SLOTS}, {_SLOT_FINDINGS} SELECT cluster_id, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'critical') AS critical FROM sf GROUP BY 1",
     "g9_worst_status": f"WITH {_CLUSTERS}, {_SLOTS}, {_SLOT_FINDINGS}, w AS (SELECT cluster_id, max({_RANK}) AS r FROM sf GROUP BY 1) SELECT c.cluster_id, CASE WHEN up = 0 THEN 3 ELSE coalesce(r, 1) - 1 END AS status FROM clusters c LEFT JOIN w ON w.cluster_id = c.cluster_id",
     "protection": f"""WITH {_CLUSTERS}, {_EFF}, {_CF}, w AS (SELECT cluster_id, max({_RANK}) AS r FROM cf WHERE regexp_matches(code, '^(no_backup|backup_|verify_|drill_|wal_|archive|no_schedule)') GROUP BY 1)
