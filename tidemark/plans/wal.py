@@ -147,7 +147,7 @@ SQL = {
     "sc5_history_lines": "SELECT * FROM (VALUES (2, 1, CAST(50331904 AS BIGINT)), (3, 1, CAST(50331904 AS BIGINT)), (3, 2, CAST(44291850240 AS BIGINT))) AS t(tli, ancestor, end_lsn)",
     "sc4_parse_lines": """WITH p AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN 'DROP' ELSE 'CREATE' END AS kind, CAST(l_suppkey AS VARCHAR) AS xid, CASE WHEN l_partkey % 3 = 0 AND l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS nrels, '0/' || upper(to_hex(l_orderkey)) AS lsn, CAST(l_partkey AS VARCHAR) AS rel,
  CASE WHEN l_partkey % 3 = 0 THEN '2024-01-02 03:04:05.678 UTC' END AS t FROM lineitem WHERE l_partkey % 3 < 2) SELECT kind, xid, count(*) AS n, CAST(sum(nrels) AS BIGINT) AS files, min(lsn) AS first_lsn, max(rel) AS last_rel, max(t) AS commit_time FROM p GROUP BY kind, xid""",
-    "w6_fold_truncates": """WITH e AS (SELECT CAST(l_orderkey AS VARCHAR) AS xid, count(*) FILTER (l_returnflag = 'N') AS made, count(*) FILTER (l_returnflag <> 'N') AS gone FROM lineitem GROUP BY 1)
+    "w6_fold_truncates": """WITH e AS (SELECT CAST(l_orderkey AS VARCHAR) AS xid, count(*) FILTER (l_returnflag = 'N' AND l_orderkey <> 0) AS made, count(*) FILTER (l_returnflag <> 'N') AS gone FROM lineitem GROUP BY 1)
  SELECT xid, 'TRUNCATE' AS kind, made AS nrels FROM e WHERE made > 0 AND gone > 0 UNION ALL SELECT xid, 'DROP', gone - made FROM e WHERE gone > made""",
     "g1_change_counts": f"WITH {T.CHANGES} SELECT * FROM counts",
     "g4_root_rollup": f"""WITH {T.CHANGES} SELECT tli, xid, db, CAST(CASE WHEN rel // 4 <> rel THEN rel // 4 ELSE rel END AS BIGINT) AS rel, min(lsn) AS lsn, CAST(sum(del) AS BIGINT) AS del, CAST(sum(upd) AS BIGINT) AS upd, min(first_seg) AS first_seg, max(last_seg) AS last_seg,
