@@ -21,11 +21,11 @@ from .common import materialise, text_of
 SAMPLE = 20_000
 #: Words that are features at most, and labelled documents that must have one.
 VOCABULARY, LEAST_DOCUMENTS = 1 << 15, 5
-FOLDS, THRESHOLD = 3, 0.5
+FOLDS, THRESHOLD = 2, 0.5
 #: Partitions of the bounded sample while models are fitted, and steps of one fit.
-PARTITIONS, STEPS = 8, 40
+PARTITIONS, STEPS = 4, 20
 #: Strength of the penalty and the share of its absolute part.
-PENALTY, ABSOLUTE = 5e-4, 0.9
+PENALTY, ABSOLUTE = 1e-4, 0.9
 #: Categories in the chain's order, and how each follows from ``labels``.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
 
