@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Chosen, anchors, byte_hashes, covered, identified, windows, with_lists
@@ -181,15 +181,18 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
     """The ``identified`` rows of ``docs``, and the runs (``doc``, ``th``, ``lo``, ``hi``) of windows that start elsewhere too."""
     source = identified(docs, doc_id, text)
     with Scratch(docs.sparkSession) as scratch:
-        own = materialise(anchors(source, WIDTH, GRAM, _units), "anchors", scratch=scratch)
-        each = materialise(own.groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.count("*").alias("n")), "regions", scratch=scratch)
-        by_key = each.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).filter("all > 1").select("key", (F.col("kinds") > MOST_REGIONS).alias("hot"))
-        shared = materialise(each.join(by_key, "key"), "shared", scratch=scratch)
+        own = anchors(source, WIDTH, GRAM, _units).select("doc", "th", "key", "ctx", "lo", (F.col("hi") - F.col("lo")).cast("short").alias("more"))
+        own = materialise(own, "anchors", scratch=scratch)
+        each = own.groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.max("more").alias("more"))
+        same_key = Window.partitionBy("key")
+        shared = each.withColumns({"all": F.sum("n").over(same_key), "kinds": F.count("*").over(same_key)}).filter("all > 1")
+        shared = materialise(shared.select("key", "ctx", "doc", "n", "more", (F.col("kinds") > MOST_REGIONS).alias("hot")), "shared", scratch=scratch)
         asked = with_lists(source, shared.filter("NOT hot").select("doc", "key", "ctx", "n"), "ask", "inner")
-        marks = _regions(asked).repartition("key").sortWithinPartitions("key").mapInArrow(_marks, "key long, ctx long, a int, b int")
-        whole = shared.filter("hot AND n > 1").select("key", "ctx", F.lit(0).alias("a"), F.lit(None).cast("int").alias("b"))
+        regions = materialise(_regions(asked), "regions", scratch=scratch)  # so that the texts' shuffle is gone before theirs
+        marks = regions.repartition("key").sortWithinPartitions("key").mapInArrow(_marks, "key long, ctx long, a int, b int")
+        whole = shared.filter("hot AND n > 1").select("key", "ctx", F.lit(0).alias("a"), F.col("more").cast("int").alias("b"))
         marks = materialise(marks.unionByName(whole), "marks", scratch=scratch)
-        found = own.join(marks, ["key", "ctx"]).select("doc", "th", (F.col("lo") + F.col("a")).alias("lo"), F.coalesce(F.col("lo") + F.col("b"), "hi").alias("hi"))
+        found = own.join(marks, ["key", "ctx"]).select("doc", "th", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
         # Anchors with very many different regions: their windows meet by two hashes.
         hot = shared.filter("hot").select("doc", "key", "ctx")
         if not hot.isEmpty():
