@@ -22,7 +22,7 @@ from .common import SPACES, slices, text_of
 PIECE = 1 << 21
 #: Odd multipliers of the polynomial hashes, modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-IDENTITY = "doc long, th long"
+IDENTITY = "doc long, th int"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -150,10 +150,10 @@ def pieces(units: np.ndarray, bounds: np.ndarray, width: int, gram: int) -> Iter
 def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc`` and ``th`` (what a row is known by), and the text's bytes.
 
-    A null id counts as the largest; rows with equal id and text are the same document.
+    A null id counts as the largest; ``th``, a hash of the text, tells rows of equal ids apart.
     """
     body = text_of(docs, text)
-    return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(body).alias("th"), body.cast("binary").alias("text"))
+    return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(body).alias("th"), body.cast("binary").alias("text"))
 
 
 def _all_runs(col: pa.Array, width: int, gram: int, units) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:

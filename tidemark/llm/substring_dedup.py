@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .anchors import IDENTITY, anchors, covered, identified, windows, with_lists, word_bounds, word_hashes
@@ -93,8 +93,8 @@ def repeated(seen: DataFrame, batch: DataFrame, index: Index, grow: bool = True)
         often = both.filter("n > 1").select("key", "ctx", F.col("doc").alias("first"))
         gone = own.join(often, ["key", "ctx"]).filter("doc > first").select(*place)
         # The same anchor with other surroundings: the windows of the first of each are compared one by one.
-        mixed = both.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("key")
-        asked = both.join(mixed, "key", "left_semi").select("doc", "key", "ctx")
+        same_key = Window.partitionBy("key")
+        asked = both.withColumns({"a": F.min("ctx").over(same_key), "b": F.max("ctx").over(same_key)}).filter("a <> b").select("doc", "key", "ctx")
         held = materialise(windows(with_lists(seen, asked, "ask", "inner"), WIDTH, GRAM, _units), "windows", scratch=scratch)
         span = [F.col("start").alias("lo"), F.col("start").alias("hi")]
         twice = held.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first")
@@ -188,4 +188,4 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def text_of_row(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Each row as the struct ``__row`` with what it is known by and its text."""
     body = text_of(docs, text)
-    return docs.select(F.struct("*").alias("__row"), F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(body).alias("th"), body.alias("__text"))
+    return docs.select(F.struct("*").alias("__row"), F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(body).alias("th"), body.alias("__text"))
