@@ -24,6 +24,8 @@ FREQUENT, RARE = 1 << 16, 1 << 10
 STATES, ROUNDS = 4, 3
 #: Longest stretch of tokens that is one sequence in training and one matrix product in scoring.
 SEGMENT = 256
+#: Bytes of text, tokens and segments that a task works on at a time.
+SLICE, TOKENS, LANES = 1 << 20, 1 << 19, 1024
 #: Added to every expected count.
 PRIOR = 0.01
 #: The hash that stands for a text's end.
@@ -54,7 +56,7 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = docs.filter(~held_out(docs[doc_id])).select(text_of(docs, text).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 16 << 20):
+        for part in slices(batches, SLICE):
             word, n = np.unique(_tokens(part.column(0))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
 
@@ -85,7 +87,7 @@ def encoded(docs: DataFrame, classes: Classes, doc_id: str = "doc_id", text: str
     sent = spark.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             hashed, bounds = _tokens(part.column(2))
             at, is_rare = sent.value.of(hashed)
             before = np.concatenate([[0], np.cumsum(is_rare)])[bounds]
@@ -134,8 +136,8 @@ def expected(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tuple[np.
     start, length, _ = _segments(bounds)
     first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states))
     total = 0.0
-    for at in range(0, len(start), 4096):
-        s, n = start[at : at + 4096], length[at : at + 4096]
+    for at in range(0, len(start), LANES):
+        s, n = start[at : at + LANES], length[at : at + LANES]
         longest = int(n[0])
         live = np.searchsorted(-n, -np.arange(longest), side="left")  # segments of over t tokens
         alpha = np.zeros((longest, len(s), states))
@@ -174,8 +176,8 @@ def log_likelihood(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.
     start, length, row = _segments(bounds)
     product = np.empty((len(start), states, states))
     logs = np.zeros(len(start))
-    for at in range(0, len(start), 4096):
-        s, n = start[at : at + 4096], length[at : at + 4096]
+    for at in range(0, len(start), LANES):
+        s, n = start[at : at + LANES], length[at : at + LANES]
         m = np.broadcast_to(np.eye(states), (len(s), states, states)).copy()
         begun = np.isin(s, bounds[:-1])
         for t in range(int(n[0])):
@@ -188,7 +190,7 @@ def log_likelihood(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.
                 size = m[:k].max(axis=(1, 2))
                 m[:k] /= size[:, None, None]
                 logs[at : at + k] += np.log(size)
-        product[at : at + 4096] = m
+        product[at : at + LANES] = m
     order = np.argsort(start, kind="stable")
     product, logs, row = product[order], logs[order], row[order]
     out = np.zeros(rows)
@@ -204,7 +206,7 @@ def log_likelihood(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _rows(batches: Iterator[pa.RecordBatch], column: int, most: int = TOKENS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of about ``most`` tokens with their tokens and bounds."""
     for batch in batches:
         lists = pa.concat_arrays([batch.column(column)])
