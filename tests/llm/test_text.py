@@ -170,6 +170,50 @@ def test_training_never_lowers_the_likelihood():
     assert all(b > a - 0.5 for a, b in zip(seen[:-1], seen[1:], strict=True)) and seen[-1] > seen[0] + 100
 
 
+def test_expected_counts_of_long_texts():
+    """Plain forward and backward passes over whole texts; only real starts count as starts."""
+    rng = np.random.default_rng(4)
+    model = hmm.Model.first(rng.integers(1, 9, 12).astype(float), 3)
+    classes, bounds = rng.integers(0, 12, 2300), np.array([0, 5, 900, 901, 1157, 2300])
+    first, move, emit, total = np.zeros(3), np.zeros((3, 3)), np.zeros((12, 3)), 0.0
+    for i in range(5):
+        x = classes[bounds[i] : bounds[i + 1]]
+        alpha, scale = np.zeros((len(x), 3)), np.zeros(len(x))
+        for t, c in enumerate(x):
+            a = (alpha[t - 1] @ model.move if t else model.start) * model.emit[c]
+            scale[t] = a.sum()
+            alpha[t] = a / scale[t]
+        beta = np.ones(3)
+        for t in range(len(x) - 1, -1, -1):
+            emit[x[t]] += alpha[t] * beta
+            if t:
+                pull = model.emit[x[t]] * beta / scale[t]
+                move += model.move * np.outer(alpha[t - 1], pull)
+                beta = model.move @ pull
+        first += alpha[0] * beta
+        total += np.log(scale).sum()
+    got = hmm.expected(model, classes, bounds)
+    assert abs(got[0].sum() - 5) < 1e-9
+    assert all(np.allclose(a, b, rtol=1e-8, atol=1e-10) for a, b in zip(got, (first, move, emit, total), strict=True))
+
+
+@pytest.mark.parametrize("frequent", [1 << 16, 64])
+def test_rare_words_keep_their_states(spark, frequent, monkeypatch):
+    """Held-out texts whose words are rare but of one topic score above the same words across topics, whatever ``FREQUENT`` is."""
+    monkeypatch.setattr(hmm, "FREQUENT", frequent)
+    rng = random.Random(6)
+    topics = [[f"{t}{k}" for k in range(2500)] for t in "xy"]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    ids = [k for k in range(400) if not held(k)]
+    rows = [(d, " ".join(rng.choice(topics[d % 2]) for _ in range(240))) for d in ids]
+    probes = [k for k in range(1000, 2000) if held(k)][:2]
+    words = [[rng.choice(t) for _ in range(40)] for t in topics]
+    rows += [(probes[0], " ".join(words[0] + words[1])), (probes[1], " ".join(w for pair in zip(*words, strict=True) for w in pair))]
+    got = {r.doc_id: r for r in hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), states=2, rounds=5).collect()}
+    pure, mixed = got[probes[0]], got[probes[1]]
+    assert abs(pure.base_score - mixed.base_score) < 1e-6 and pure.score > mixed.score + 5
+
+
 def test_probabilities_add_up(docs):
     model = hmm.Model.first(np.ones(7), 3)
     every = np.array([[a, b] for a in range(7) for b in range(7)]).ravel()

@@ -1,10 +1,11 @@
 """A hidden Markov language model over whole corpora.
 
-Words are classes of emissions: each of the ``FREQUENT`` most frequent words of the training texts is a
-class of its own, all others fall into ``RARE`` classes by their hash and are told apart inside their
-class by their own counts. Latent states are trained by Baum-Welch: every task runs scaled forward and
-backward passes over its texts and gives expected counts, which are added up by Spark. A text's exact
-log likelihood comes from the scaled forward recursion, with its segments as products of matrices.
+Every word of the training texts has emissions of its own. They stand in a Spark table that grows with the
+vocabulary: its parts are ranges of word hashes. Texts are packed into blocks; a block asks each part once
+for its different words, whatever their number in the block, so that frequent words are no hot keys.
+Latent states are trained by Baum-Welch: blocks run exact forward and backward passes over whole texts
+(their segments are joined by products of matrices) and send expected counts back to the parts. A text's
+exact log likelihood comes from the scaled forward recursion.
 """
 
 from __future__ import annotations
@@ -13,19 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import word_bounds, word_hashes
-from .common import flat, materialise, slices, text_of
+from .anchors import mix, word_bounds, word_hashes
+from .common import Scratch, flat, materialise, slices, text_of
 
-#: Words with a class of their own (this bounds what is broadcast), and classes of all others.
-FREQUENT, RARE = 1 << 16, 1 << 10
+#: A part of the emission table gets about ``ASKED * FREQUENT`` words asked for by blocks; it leaves no word out.
+FREQUENT, ASKED = 1 << 16, 16
 STATES, ROUNDS = 4, 3
-#: Longest stretch of tokens that is one sequence in training and one matrix product in scoring.
+#: Longest stretch of tokens that is one matrix product; texts are joined again from their segments.
 SEGMENT = 256
-#: Bytes of text, tokens and segments that a task works on at a time.
-SLICE, TOKENS, LANES = 1 << 20, 1 << 19, 1024
+#: Bytes of text of a block and of what is split into words at a time, segments that are worked on at a time.
+BLOCK, SLICE, LANES = 1 << 22, 1 << 20, 1024
 #: Added to every expected count.
 PRIOR = 0.01
 #: The hash that stands for a text's end.
@@ -51,63 +52,94 @@ def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(hashed, bounds[1:], END), bounds + np.arange(len(bounds))
 
 
-def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``word`` (hash) and ``n`` over all training texts; each task adds up what it sees before the shuffle."""
-    rows = docs.filter(~held_out(docs[doc_id])).select(text_of(docs, text).cast("binary").alias("text"))
+def _read(value: pa.Scalar, kind: type, *shape: int) -> np.ndarray:
+    """The numbers of a binary value; rows of ``shape`` if given."""
+    flat_values = np.frombuffer(value.as_py(), kind) if len(value.as_py()) else np.zeros(0, kind)
+    return flat_values.reshape(-1, *shape)
+
+
+def _pack(arrays: list[np.ndarray | None]) -> pa.Array:
+    return pa.array([None if x is None else x.tobytes() for x in arrays], pa.binary())
+
+
+def blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for every block of about ``BLOCK`` bytes of text: ids, token bounds and tokens of its texts.
+
+    Tokens are places in ``words``, the block's different hashes in rising order; ``counts`` has how often
+    each occurs in training texts. Every text ends with the end token.
+    """
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), held_out(docs[doc_id]).alias("held_out"), text_of(docs, text).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, SLICE):
-            word, n = np.unique(_tokens(part.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+        for part in slices(batches, BLOCK):
+            hashed, sizes = [], []
+            for piece in slices([part], SLICE):
+                one, bounds = _tokens(piece.column(2))
+                hashed.append(one)
+                sizes.append(np.diff(bounds))
+            size = np.concatenate(sizes)
+            words, at = np.unique(np.concatenate(hashed).view(np.uint64), return_inverse=True)
+            learnt = np.repeat(~np.asarray(part.column(1)), size)
+            counts = np.bincount(at[learnt], minlength=len(words)).astype(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(k)) for k in (0, 1)]
+            packed = [_pack([x]) for x in (np.concatenate([[0], np.cumsum(size)]).astype(np.int64), at.astype(np.int32), words, counts)]
+            yield pa.RecordBatch.from_arrays([*lists, *packed, pa.array([len(words)]), pa.array([int(counts.sum())])], names=["doc_ids", "held_out", "bounds", "tokens", "words", "counts", "n_words", "n_train"])
 
-    return rows.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    schema = "doc_ids array<long>, held_out array<boolean>, bounds binary, tokens binary, words binary, counts binary, n_words long, n_train long"
+    return rows.mapInArrow(run, schema).withColumn("block", F.monotonically_increasing_id())
 
 
-class Classes:
-    """From word hashes to classes; a bounded table that every task gets."""
+def bends(words: np.ndarray, states: int) -> np.ndarray:
+    """A fixed pseudo-random factor between 0.5 and 1.5 for each word and state."""
+    return np.stack([0.5 + (mix(words ^ mix(np.full(1, 7 + z, np.uint64))) >> np.uint64(11)) / float(1 << 53) for z in range(states)], axis=1)
 
-    def __init__(self, words: np.ndarray):
-        self.words = np.sort(words)
-        self.size = len(words) + RARE
 
-    def of(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Classes, and which words are rare (all that have no class of their own)."""
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashed), len(self.words) - 1)
-            rare = self.words[at] != hashed
-        else:
-            at, rare = np.zeros(len(hashed), np.int64), np.ones(len(hashed), bool)
-        return np.where(rare, len(self.words) + (hashed.view(np.uint64) % np.uint64(RARE)).astype(np.int64), at), rare
+INDEX = "part int, block long, at binary, n binary, counts binary, sums array<double>"
 
 
-def encoded(docs: DataFrame, classes: Classes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``held_out``, ``classes`` of all tokens (every text ends with the end token) and the ``rare`` words' hashes."""
-    spark = docs.sparkSession
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), held_out(docs[doc_id]).alias("held_out"), text_of(docs, text).cast("binary").alias("text"))
-    sent = spark.sparkContext.broadcast(classes)
+def index(packed: DataFrame, bits: int, states: int) -> DataFrame:
+    """Rows of two kinds for each of ``2 ** bits`` parts of the hashes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, SLICE):
-            hashed, bounds = _tokens(part.column(2))
-            at, is_rare = sent.value.of(hashed)
-            before = np.concatenate([[0], np.cumsum(is_rare)])[bounds]
-            lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)) for ends, values in ((bounds, at.astype(np.int32)), (before, hashed[is_rare]))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["doc_id", "held_out", "classes", "rare"])
+    One row without a block: how often each training word occurs (``n``), its first expected ``counts`` by
+    state, and their ``sums``. A row for each block: the places of its words among them, -1 for words that
+    training has not seen.
+    """
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, classes array<int>, rare array<long>")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, counts = _read(batch.column(1)[i], np.uint64), _read(batch.column(2)[i], np.int64)
+                part = (words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
+                parts, first = np.unique(part, return_index=True)
+                cut = [slice(a, b) for a, b in zip(first, [*first[1:], len(words)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.repeat(batch.column(0)[i], len(parts)), _pack([words[c] for c in cut]), _pack([counts[c] for c in cut])], names=["part", "block", "words", "counts"])
+
+    def build(rows: pa.Table) -> pa.Table:
+        asked = [_read(x, np.uint64) for x in rows.column("words")]
+        words, at = np.unique(np.concatenate(asked), return_inverse=True)
+        n = np.rint(np.bincount(at, np.concatenate([_read(x, np.int64) for x in rows.column("counts")]), len(words))).astype(np.int64)
+        known = n > 0
+        place = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)[at]
+        counts = n[known, None] * bends(words[known], states)
+        places = np.split(place, np.cumsum([len(x) for x in asked])[:-1])
+        none = [None] * len(asked)
+        columns = [pa.repeat(rows.column("part")[0], 1 + len(asked)), pa.array([None, *rows.column("block").to_pylist()], pa.int64()), _pack([None, *places]), _pack([n[known], *none]), _pack([counts, *none]), pa.array([counts.sum(0).tolist(), *none], pa.list_(pa.float64()))]
+        return pa.Table.from_arrays(columns, names=["part", "block", "at", "n", "counts", "sums"])
+
+    dealt = packed.select("block", "words", "counts").mapInArrow(deal, "part int, block long, words binary, counts binary")
+    return dealt.groupBy("part").applyInArrow(build, INDEX)
 
 
 class Model:
-    """Start, transition and emission probabilities (emission: classes by states)."""
+    """Start, transition and emission probabilities (emission: words by states)."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
     @classmethod
     def first(cls, counts: np.ndarray, states: int = STATES) -> Model:
-        """Class frequencies, bent a little for each state by a fixed pseudo-random factor."""
-        draw = np.random.default_rng(7).uniform(0.5, 1.5, (len(counts), states))
-        emit = (counts[:, None] + PRIOR) * draw
+        """Word frequencies, bent a little for each state by a fixed pseudo-random factor."""
+        emit = (counts[:, None] + PRIOR) * bends(np.arange(len(counts), dtype=np.uint64), states)
         move = np.full((states, states), 0.2 / max(1, states - 1))
         np.fill_diagonal(move, 0.8 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
@@ -130,14 +162,68 @@ def _segments(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start[order], length[order], row[order]
 
 
+def _products(model: Model, classes: np.ndarray, start: np.ndarray, length: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each segment's scaled matrix from the state before it to the state at its end, and the log of the scale.
+
+    Segments are given longest first; the ones that are ``begun`` are a text's first, whose first token is not moved to.
+    """
+    states = len(model.start)
+    product, logs = np.empty((len(start), states, states)), np.zeros(len(start))
+    for at in range(0, len(start), LANES):
+        s, n, new = start[at : at + LANES], length[at : at + LANES], begun[at : at + LANES]
+        m = np.broadcast_to(np.eye(states), (len(s), states, states)).copy()
+        for t in range(int(n[0])):
+            k = int(np.searchsorted(-n, -t, side="left"))
+            moved = (m[:k].reshape(-1, states) @ model.move).reshape(k, states, states)
+            if t == 0:
+                moved[new[:k]] = np.eye(states)
+            m[:k] = moved * model.emit[classes[s[:k] + t]][:, None, :]
+            if t % 8 == 7:
+                size = m[:k].max(axis=(1, 2))
+                m[:k] /= size[:, None, None]
+                logs[at : at + k] += np.log(size)
+        product[at : at + LANES] = m
+    return product, logs
+
+
+def _steps(row: np.ndarray) -> list[np.ndarray]:
+    """Places of the first, second, ... segments of all rows; ``row`` is in rising order."""
+    step = np.arange(len(row)) - np.searchsorted(row, row)
+    order = np.argsort(step, kind="stable")
+    return np.split(order, np.searchsorted(step[order], np.arange(1, int(step.max(initial=0)) + 1)))
+
+
+def _messages(model: Model, classes: np.ndarray, start: np.ndarray, length: np.ndarray, row: np.ndarray, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment the state distribution before it (zero for a text's first) and the weight of what follows it."""
+    states = len(model.start)
+    before, after = np.zeros((len(start), states)), np.ones((len(start), states))
+    some = np.flatnonzero(np.bincount(row)[row] > 1) if len(row) else np.zeros(0, np.int64)
+    if not len(some):
+        return before, after
+    product, _ = _products(model, classes, start[some], length[some], begun[some])
+    order = np.argsort(start[some], kind="stable")
+    place, product = some[order], product[order]
+    steps = _steps(row[place])
+    for following in steps[1:]:
+        at = following - 1
+        v = np.einsum("ns,nst->nt", np.where(begun[place[at], None], model.start, before[place[at]]), product[at])
+        before[place[following]] = v / v.sum(1, keepdims=True)
+    for at in steps[:0:-1]:
+        v = np.einsum("nst,nt->ns", product[at], after[place[at]])
+        after[place[at - 1]] = v / v.sum(1, keepdims=True)
+    return before, after
+
+
 def expected(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected counts of starts, moves and emissions, and the log likelihood of the segments."""
+    """Expected counts of starts, moves and emissions of whole texts, and their log likelihood."""
     states = len(model.start)
-    start, length, _ = _segments(bounds)
+    start, length, row = _segments(bounds)
+    begun = start == bounds[:-1][row]
+    before, after = _messages(model, classes, start, length, row, begun)
     first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((len(model.emit), states))
     total = 0.0
     for at in range(0, len(start), LANES):
-        s, n = start[at : at + LANES], length[at : at + LANES]
+        s, n, new, came = start[at : at + LANES], length[at : at + LANES], begun[at : at + LANES], before[at : at + LANES]
         longest = int(n[0])
         live = np.searchsorted(-n, -np.arange(longest), side="left")  # segments of over t tokens
         alpha = np.zeros((longest, len(s), states))
@@ -147,23 +233,23 @@ def expected(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tuple[np.
             k = live[t]
             c = classes[s[:k] + t]
             b = model.emit[c]
-            a = (alpha[t - 1, :k] @ model.move if t else model.start) * b
+            a = (alpha[t - 1, :k] @ model.move if t else np.where(new[:, None], model.start, came @ model.move)) * b
             scale[t, :k] = a.sum(1)
             alpha[t, :k] = a / scale[t, :k, None]
             seen.append((c, b))
         total += float(np.log(scale).sum())
-        beta = np.ones((len(s), states))
+        beta = after[at : at + LANES]
+        beta = beta / (alpha[n - 1, np.arange(len(s))] * beta).sum(1, keepdims=True)
         gammas, places = [], []
         for t in range(longest - 1, -1, -1):
             k = live[t]
             c, b = seen[t]
             gammas.append(alpha[t, :k] * beta[:k])
             places.append(c)
-            if t:
-                pull = b * beta[:k] / scale[t, :k, None]
-                move += model.move * (alpha[t - 1, :k].T @ pull)
-                beta[:k] = pull @ model.move.T
-        first += gammas[-1].sum(0)
+            pull = b * beta[:k] / scale[t, :k, None]
+            move += model.move * ((alpha[t - 1, :k] if t else came).T @ pull)
+            beta[:k] = pull @ model.move.T
+        first += gammas[-1][new].sum(0)
         gamma, place = np.concatenate(gammas), np.concatenate(places)
         for z in range(states):
             emit[:, z] += np.bincount(place, gamma[:, z], len(emit))
@@ -172,32 +258,14 @@ def expected(model: Model, classes: np.ndarray, bounds: np.ndarray) -> tuple[np.
 
 def log_likelihood(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Exact log likelihood of each row: its segments' matrices, scaled, applied one after the other."""
-    states, rows = len(model.start), len(bounds) - 1
+    rows = len(bounds) - 1
     start, length, row = _segments(bounds)
-    product = np.empty((len(start), states, states))
-    logs = np.zeros(len(start))
-    for at in range(0, len(start), LANES):
-        s, n = start[at : at + LANES], length[at : at + LANES]
-        m = np.broadcast_to(np.eye(states), (len(s), states, states)).copy()
-        begun = np.isin(s, bounds[:-1])
-        for t in range(int(n[0])):
-            k = int(np.searchsorted(-n, -t, side="left"))
-            moved = (m[:k].reshape(-1, states) @ model.move).reshape(k, states, states)
-            if t == 0:
-                moved[begun[:k]] = np.eye(states)  # a text's first token is not moved to
-            m[:k] = moved * model.emit[classes[s[:k] + t]][:, None, :]
-            if t % 8 == 7 or t + 1 == int(n[0]) or k < len(s):
-                size = m[:k].max(axis=(1, 2))
-                m[:k] /= size[:, None, None]
-                logs[at : at + k] += np.log(size)
-        product[at : at + LANES] = m
+    product, logs = _products(model, classes, start, length, start == bounds[:-1][row])
     order = np.argsort(start, kind="stable")
     product, logs, row = product[order], logs[order], row[order]
     out = np.zeros(rows)
     vector = np.tile(model.start, (rows, 1))
-    step = np.arange(len(row)) - np.searchsorted(row, row)
-    for k in range(int(step.max(initial=-1)) + 1):
-        at = np.flatnonzero(step == k)
+    for at in _steps(row):
         r = row[at]
         v = np.einsum("ns,nst->nt", vector[r], product[at])
         size = v.sum(1)
@@ -206,47 +274,68 @@ def log_likelihood(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch], column: int, most: int = TOKENS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of about ``most`` tokens with their tokens and bounds."""
-    for batch in batches:
-        lists = pa.concat_arrays([batch.column(column)])
-        offsets = np.asarray(lists.offsets, dtype=np.int64)
-        values = np.asarray(lists.values)
-        at = 0
-        while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
-            yield batch.slice(at, stop - at), values[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
-            at = stop
-
-
-def train(spark: SparkSession, tokens: DataFrame, counts: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training rows of ``tokens``; the counts of a task are one bounded table."""
-    model = Model.first(counts, states)
-    learn = tokens.filter("NOT held_out").select("classes")
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            now = sent.value
-            first, move, emit = np.zeros(len(now.start)), np.zeros(now.move.shape), np.zeros(now.emit.shape)
-            any_rows = False
-            for _, classes, bounds in _rows(batches, 0):
-                any_rows = True
-                a, b, c, _ = expected(now, classes, bounds)
-                first, move, emit = first + a, move + b, emit + c
-            if any_rows:
-                table = np.concatenate([first[None], move, emit])
-                used = np.flatnonzero(table.any(1))
-                yield pa.RecordBatch.from_arrays([pa.array(used), pa.FixedSizeListArray.from_arrays(pa.array(table[used].ravel()), table.shape[1]).cast(pa.list_(pa.float64()))], names=["at", "value"])
-
-        parts = learn.mapInArrow(run, "at long, value array<double>")
-        added = parts.groupBy("at").agg(*[F.sum(F.col("value")[z]).alias(f"s{z}") for z in range(states)]).toArrow()
-        sent.unpersist()
-        table = np.zeros((1 + states + len(counts), states))
-        if added.num_rows:
-            table[np.asarray(added.column(0))] = np.stack([np.asarray(added.column(1 + z)) for z in range(states)], axis=1)
-        model = Model.of_counts(table[0], table[1 : 1 + states], table[1 + states :])
-    return model
+def _answers(table: DataFrame, asked: DataFrame, sums: np.ndarray, n_words: int, states: int) -> DataFrame:
+    """For each block and part the places, training counts and emissions of the words that the block asks for.
+
+    One count, dealt over the states, is kept for words that training has not seen.
+    """
+    unseen = np.full((1, states), 1 / states)
+    whole = sums + unseen[0] + PRIOR * (n_words + 1)
+
+    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if asked.num_rows:
+            n = np.append(_read(held.column("n")[0], np.int64), 0)
+            emit = (np.concatenate([_read(held.column("counts")[0], np.float64, states), unseen]) + PRIOR) / whole
+            at = [_read(x, np.int32) for x in asked.column("at")]
+            found = [_pack([n[x] for x in at]), _pack([emit[x] for x in at])]
+        else:
+            found = [_pack([]), _pack([])]
+        return pa.Table.from_arrays([asked.column("part"), asked.column("block"), asked.column("at"), *found], names=["part", "block", "at", "n", "emit"])
+
+    return asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(run, "part int, block long, at binary, n binary, emit binary")
+
+
+def _met(answers: pa.Table, column: str, kind: type, *shape: int) -> list[np.ndarray]:
+    """A column of a block's answers, in the order of the block's words."""
+    return [_read(x, kind, *shape) for x in answers.column(column)]
+
+
+def _round(packed: DataFrame, table: DataFrame, asked: DataFrame, model: Model, sums: np.ndarray, n_words: int) -> DataFrame:
+    """The table with the expected counts under the present one; part -1 sums up starts and moves."""
+    start, move, states = model.start, model.move, len(model.start)
+
+    def learn(block: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part")
+        emit = _met(answers, "emit", np.float64, states)
+        bounds, tokens = _read(block.column("bounds")[0], np.int64), _read(block.column("tokens")[0], np.int32)
+        learnt = ~np.asarray(block.column("held_out")[0].values, dtype=bool)
+        size = np.diff(bounds)
+        first, moves, counts, _ = expected(Model(start, move, np.concatenate(emit)), tokens[np.repeat(learnt, size)], np.concatenate([[0], np.cumsum(size[learnt])]).astype(np.int64))
+        pieces = np.split(counts, np.cumsum([len(x) for x in emit])[:-1])
+        summed = np.concatenate([first, moves.ravel()]).tolist()
+        columns = [pa.array([-1, *answers.column("part").to_pylist()], pa.int32()), pa.array([None, *answers.column("at").to_pylist()], pa.binary()), _pack([None, *pieces]), pa.array([summed, *[None] * len(pieces)], pa.list_(pa.float64()))]
+        return pa.Table.from_arrays(columns, names=["part", "at", "counts", "sums"])
+
+    def add(held: pa.Table, sent: pa.Table) -> pa.Table:
+        names = ["part", "n", "counts", "sums"]
+        if not held.num_rows or held.column("part")[0].as_py() < 0:
+            summed = np.sum(sent.column("sums").to_pylist(), axis=0).tolist()
+            return pa.Table.from_arrays([pa.array([-1], pa.int32()), _pack([None]), _pack([None]), pa.array([summed], pa.list_(pa.float64()))], names=names)
+        counts = np.zeros((len(_read(held.column("n")[0], np.int64)), states))
+        for at, value in zip(sent.column("at"), sent.column("counts"), strict=True):
+            at, value = _read(at, np.int32), _read(value, np.float64, states)
+            counts[at[at >= 0]] += value[at >= 0]  # a block names each word once
+        return pa.Table.from_arrays([held.column("part"), held.column("n"), _pack([counts]), pa.array([counts.sum(0).tolist()], pa.list_(pa.float64()))], names=names)
+
+    answers = _answers(table, asked, sums, n_words, states).select("part", "block", "at", "emit")
+    sent = packed.select("block", "held_out", "bounds", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(learn, "part int, at binary, counts binary, sums array<double>")
+    return table.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(add, "part int, n binary, counts binary, sums array<double>")
+
+
+def _sums(table: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+    """Expected counts of each state over all parts, and the sums of starts and moves; a short row for each part."""
+    rows = table.select("part", "sums").collect()
+    return np.sum([r.sums for r in rows if r.part >= 0], axis=0), next((np.array(r.sums) for r in rows if r.part < 0), None)
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -254,64 +343,39 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: i
 
     ``base_score`` is the add-one unigram model's log10 likelihood, ``score`` the hidden Markov model's.
     A null or empty text is its end token alone. Rows that share an id are scored each by its own text.
-    Without training rows every word is unknown and the model is uniform.
+    Without training rows every word is unknown and has probability one.
     """
     spark = docs.sparkSession
-    counts = materialise(word_counts(docs, doc_id, text), "word-counts")
-    whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    n_train, n_words = int(whole.n or 0), int(whole.v)
-    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
-    words, n = np.asarray(top.column(0), dtype=np.int64), np.asarray(top.column(1), dtype=np.int64)
-    order = np.argsort(words)
-    words, n = words[order], n[order]
-    classes = Classes(words)
-    # A rare word's share of its class; the class keeps one count for words that training has not seen.
-    bucket = F.col("word").bitwiseAND(F.lit(RARE - 1))
-    known = spark.createDataFrame(pa.table({"word": words}))
-    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn("class", bucket)
-    sizes = rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()
-    held, kinds = np.zeros(RARE), np.zeros(RARE)
-    held[np.asarray(sizes.column(0))], kinds[np.asarray(sizes.column(0))] = np.asarray(sizes.column(1)), np.asarray(sizes.column(2))
-    class_counts = np.concatenate([n.astype(float), held])
-    tokens = materialise(encoded(docs, classes, doc_id, text), "tokens")
-    model = train(spark, tokens, class_counts, states, rounds)
-    sent = spark.sparkContext.broadcast((model, n, held + kinds + 1))
-    per_token = n_train + n_words + 1
-
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n, shares = sent.value
-        for part, c, bounds in _rows(batches, 2):
-            is_rare = c >= len(n)
-            own = np.where(is_rare, 0, n[np.minimum(c, max(0, len(n) - 1))] if len(n) else 0)
-            value = np.where(is_rare, 0.0, np.log10((own + 1) / per_token))
-            row = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-            parts = part.num_rows
-            value = np.bincount(row, value, parts)
-            seen = np.bincount(row, ~is_rare, parts).astype(np.int64)
-            joint = log_likelihood(now, c, bounds) / np.log(10) - np.bincount(row[is_rare], np.log10(shares[c[is_rare] - len(n)]), parts)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.array(seen), pa.array(value), pa.array(joint), part.column(3)],
-                names=["doc_id", "held_out", "n_tokens", "seen", "value", "joint", "rare"],
-            )
-
-    first = tokens.mapInArrow(base, "doc_id long, held_out boolean, n_tokens long, seen long, value double, joint double, rare array<long>")
-    first = materialise(first.withColumn("row", F.monotonically_increasing_id()), "first-scores")
-    # Rare words find their counts by a shuffle on the word; equal ones of a row go once.
-    often = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("tf"))
-    met = often.join(rare.select("word", "n"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rest = met.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("tf") * F.log10((F.col("n") + 1) / F.lit(float(per_token)))).alias("rare_base"),
-        F.sum(F.col("tf") * F.log10((F.col("n") + 1).cast("double"))).alias("rare_own"),
-    )
-    out = first.drop("rare").join(rest, "row", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("seen") + zero("rare_known")).alias("n_known"),
-        F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("value") + zero("rare_base")).alias("base_score"),
-        (F.col("joint") + zero("rare_own")).alias("score"),
-    )
+    packed = materialise(blocks(docs, doc_id, text), "blocks")
+    whole = packed.agg(F.sum("n_words").alias("asked"), F.sum("n_train").alias("n")).first()
+    n_train, bits = int(whole.n or 0), max(0, (int(whole.asked or 0) - 1) // (ASKED * FREQUENT)).bit_length()
+    both = materialise(index(packed, bits, states), "index")
+    asked, table = both.filter("block IS NOT NULL").select("part", "block", "at"), both.filter("block IS NULL").select("part", "n", "counts", "sums")
+    n_words = int(table.agg(F.sum(F.octet_length("n") / 8)).first()[0] or 0)
+    model = Model.first(np.zeros(1), states)
+    sums = _sums(table)[0] if n_train else np.zeros(states)
+    before = Scratch(spark)
+    for _ in range(rounds if n_train else 0):
+        with before:  # the round's own table replaces it
+            mine = Scratch(spark)
+            table = materialise(_round(packed, table, asked, model, sums, n_words), "emissions", scratch=mine)
+        before = mine
+        sums, moved = _sums(table)
+        model = Model.of_counts(moved[:states], moved[states:].reshape(states, states), np.zeros((1, states)))
+    start, move, per_token = model.start, model.move, n_train + n_words + 1
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part")
+        now = Model(start, move, np.concatenate(_met(answers, "emit", np.float64, states)))
+        n = np.concatenate(_met(answers, "n", np.int64))
+        bounds, tokens = _read(block.column("bounds")[0], np.int64), _read(block.column("tokens")[0], np.int32)
+        size = np.diff(bounds)
+        row = np.repeat(np.arange(len(size)), size)
+        known = np.bincount(row, n[tokens] > 0, len(size)).astype(np.int64)
+        base = np.bincount(row, np.log10((n + 1) / per_token)[tokens], len(size))
+        columns = [block.column("doc_ids")[0].values, block.column("held_out")[0].values, pa.array(size), pa.array(known), pa.repeat(pa.scalar(n_train, pa.int64()), len(size)), pa.array(base), pa.array(log_likelihood(now, tokens, bounds) / np.log(10))]
+        return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    answers = _answers(table, asked, sums, n_words, states).select("part", "block", "n", "emit")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return packed.select("block", "doc_ids", "held_out", "bounds", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
