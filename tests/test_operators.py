@@ -59,6 +59,12 @@ def test_chain_problems(spark):
     assert got == [(1, 1, 1, None), (2, 1, 2, None), (3, 1, 3, None), (4, None, None, "incomplete"), (5, None, None, "missing"), (6, None, None, "cycle"), (7, None, None, "cycle"), (8, None, None, "not_full")]
 
 
+def test_long_parent_chains(spark):
+    sets = [(k, k - 1 if k else None, "incr" if k else "full", "COMPLETE") for k in range(300)] + [(k, 1000 + (k - 999) % 3, "incr", "COMPLETE") for k in range(1000, 1003)]
+    got = {r.id: (r.base, r.length, r.problem) for r in chains.parent_chains(spark.createDataFrame(sets, "id long, parent long, type string, status string")).collect()}
+    assert got == {k: (0, k + 1, None) for k in range(300)} | {k: (None, None, "cycle") for k in range(1000, 1003)}
+
+
 def _sets(spark, sets):
     return spark.createDataFrame(sets, "stanza long, id long, base long, type string, status string, started long, ended long, promoted boolean")
 

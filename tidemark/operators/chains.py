@@ -20,11 +20,11 @@ JUNK = ["FAILED", "UNRECOVERABLE", "RUNNING", "PENDING_WAL", "EXPIRING"]
 SEGMENT_PAGES, CHUNK_PAGES = 131_072, 128
 
 
-def parent_chains(sets: DataFrame, rounds: int = 7) -> DataFrame:
+def parent_chains(sets: DataFrame) -> DataFrame:
     """For each set (``id``, ``parent``, ``type``, ``status``) its chain's base, length and ``problem``.
 
-    Pointers are doubled: after k rounds 2^k parents have been followed. What has not ended by then is a
-    ``cycle``; other problems are a parent that is ``missing`` or ``incomplete`` and a base that is
+    Pointers are doubled: after k rounds 2^k parents have been followed, until all have ended or more were
+    followed than there are sets. What has not ended by then is a ``cycle``; other problems are a parent that is ``missing`` or ``incomplete`` and a base that is
     ``not_full``.
     """
     flat = sets.select("id", "parent", "type", "status")
@@ -38,7 +38,9 @@ def parent_chains(sets: DataFrame, rounds: int = 7) -> DataFrame:
             F.col("parent").isNull().alias("done"),
         )
     )
-    for _ in range(rounds):
+    followed, most = 1, walk.count()
+    while followed <= most and not walk.filter("NOT done AND problem IS NULL").isEmpty():
+        followed *= 2
         step = walk.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("problem").alias("later"), F.col("done").alias("ended"))
         go = ~F.col("done") & F.col("problem").isNull()
         walk = cut(
