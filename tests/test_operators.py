@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lsn
 from tidemark.operators import access, chains, diff, fleet, graphs, operations, scopes, wal
+from tidemark.plans import chains as plans_chains
+from tidemark.plans import testbed as T
 from tidemark.streaming import stateful
 
 
@@ -65,6 +67,14 @@ def test_long_parent_chains(spark):
     assert got == {k: (0, k + 1, None) for k in range(300)} | {k: (None, None, "cycle") for k in range(1000, 1003)}
 
 
+def test_uncovered_at_the_end_of_a_long_chain(spark, tmp_path):
+    """The registered query over one stanza that needs segments 0 to 600, of which timeline 0 has all but 300 and timeline 1 none."""
+    orders = [(1, 6300, "F"), (1, 6900, "F")]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long, o_orderstatus string").selectExpr("*", "timestamp'2001-01-01' AS o_orderdate", "1.0 AS o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(601).filter("id <> 300").selectExpr("3 AS user_id", f"timestamp_seconds(({T.FIRST} + id) * 3600) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(plans_chains.j4_uncovered_all(spark, str(tmp_path))) == [(1, T.FIRST + 300)]
+
+
 def _sets(spark, sets):
     return spark.createDataFrame(sets, "stanza long, id long, base long, type string, status string, started long, ended long, promoted boolean")
 

@@ -62,6 +62,12 @@ def j4_uncovered(spark: SparkSession, d: str) -> DataFrame:
     return chains.uncovered(chain, T.segments(spark, d))
 
 
+def j4_uncovered_all(spark: SparkSession, d: str) -> DataFrame:
+    """J4 over all of each chain's range; ``j4_uncovered`` and its SQL stop 50 segments after the first."""
+    chain = _needs(spark, d).filter("tli < 2").groupBy("stanza").agg(F.collect_set("tli").alias("tlis"), F.min("first").alias("lo"), F.max("last").alias("hi"))
+    return chains.uncovered(chain, T.segments(spark, d))
+
+
 def _based(spark: SparkSession, d: str) -> DataFrame:
     along = Window.partitionBy("stanza").orderBy("started", "id")
     return T.backup_sets(spark, d).withColumn("base", F.last(F.when(F.col("type") == "full", F.col("id")), ignorenulls=True).over(along))
@@ -179,6 +185,8 @@ SQL = {
  SELECT t.stanza, target, arg_max(id, (stop_pos, id)) AS set_id FROM t LEFT JOIN sets s ON s.stanza = t.stanza AND status = 'COMPLETE' AND stop_pos + CASE WHEN type = 'full' THEN 0 ELSE 2 END <= target GROUP BY ALL""",
     "j4_missing_segments": f"WITH {T.SETS}, {T.SEGMENTS}, n AS (SELECT id, CAST(id % 3 AS INTEGER) AS tli, unnest(range(id % 700 + {T.FIRST}, id % 700 + {T.FIRST} + id % 4 + 1)) AS segno FROM sets) SELECT * FROM n ANTI JOIN segments USING (tli, segno)",
     "j4_uncovered": f"""WITH {T.SETS}, {T.SEGMENTS}, n AS (SELECT stanza, CAST(id % 3 AS INTEGER) AS tli, id % 700 + {T.FIRST} AS a, id % 700 + {T.FIRST} + id % 4 AS b FROM sets WHERE id % 3 < 2), c AS (SELECT stanza, list(DISTINCT tli) AS tlis, min(a) AS lo, least(max(b), min(a) + 50) AS hi FROM n GROUP BY 1),
+ e AS (SELECT stanza, tlis, unnest(range(lo, hi + 1)) AS segno FROM c) SELECT stanza, segno FROM e WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.segno = e.segno AND list_contains(e.tlis, s.tli))""",
+    "j4_uncovered_all": f"""WITH {T.SETS}, {T.SEGMENTS}, n AS (SELECT stanza, CAST(id % 3 AS INTEGER) AS tli, id % 700 + {T.FIRST} AS a, id % 700 + {T.FIRST} + id % 4 AS b FROM sets WHERE id % 3 < 2), c AS (SELECT stanza, list(DISTINCT tli) AS tlis, min(a) AS lo, max(b) AS hi FROM n GROUP BY 1),
  e AS (SELECT stanza, tlis, unnest(range(lo, hi + 1)) AS segno FROM c) SELECT stanza, segno FROM e WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.segno = e.segno AND list_contains(e.tlis, s.tli))""",
     "w11_retention": f"WITH {_RETENTION} SELECT stanza, id, verdict FROM verdicts",
     "w11_log_floor": f"WITH {_RETENTION} SELECT stanza, min(started) AS floor FROM verdicts WHERE verdict IN ('keep', 'pinned') AND status = 'COMPLETE' GROUP BY 1",
