@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lsn
 from tidemark.operators import access, chains, diff, fleet, graphs, operations, scopes, wal
+from tidemark.plans import catalog as plans_catalog
 from tidemark.plans import chains as plans_chains
 from tidemark.plans import testbed as T
 from tidemark.streaming import stateful
@@ -118,6 +119,33 @@ def test_components_of_a_long_path(spark):
     assert graphs.components(edges, nodes).groupBy("root").count().orderBy("root").collect() == [(0, 301), (500, 2)]
 
 
+def test_components_of_all_orders(spark, tmp_path):
+    orders = [(k % 37 + 2000, k * 17) for k in range(1, 60)] + [(5001, 7), (5002, 1007), (5003, 13)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    groups = []
+    for a, b in orders:
+        met = [g for g in groups if a in g or b % 1000 in g]
+        groups = [g for g in groups if g not in met] + [{a, b % 1000}.union(*met)]
+    assert rows(plans_catalog.r7_components_all(spark, str(tmp_path)), "node", "root") == sorted((n, min(g)) for g in groups for n in g)
+
+
+def test_closures_of_all_views(spark, tmp_path):
+    parts = range(1, 61)
+    spark.createDataFrame([(k,) for k in parts], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    below = {k: {k // 2, k // 3} for k in parts}
+    below[3] = below[3] | {7}  # part 7 and its half depend on each other
+    want = []
+    for root in parts:
+        depth, front = {root: 0}, [root]
+        for node in front:
+            for following in below.get(node, ()):
+                if following not in depth:
+                    depth[following] = depth[node] + 1
+                    front.append(following)
+        want += [(root, node, n) for node, n in depth.items()]
+    assert rows(plans_catalog.r5_view_closure_all(spark, str(tmp_path)), "root", "node", "depth") == sorted(want)
+
+
 def test_unknown_address_is_not_covered(spark):
     rules = spark.createDataFrame([(1, 1, "host", "all", "all", "db.example", "md5"), (1, 2, "host", "all", "all", "10.0.0.1/32", "md5")], "server int, rule_no int, type string, database string, user string, address string, method string")
     assert rows(access.shadowing(rules)) == []

@@ -67,6 +67,11 @@ def r5_view_closure(spark: SparkSession, d: str) -> DataFrame:
     return graphs.closure(_views(spark, d), T.table(spark, d, "part").filter("p_partkey % 40 = 11").select(F.col("p_partkey").alias("root")))
 
 
+def r5_view_closure_all(spark: SparkSession, d: str) -> DataFrame:
+    """R5 over all parts; ``r5_view_closure`` and its SQL start from one in 40."""
+    return graphs.closure(_views(spark, d), T.table(spark, d, "part").select(F.col("p_partkey").alias("root")))
+
+
 def r6_levels(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     p = T.table(spark, d, "part")
@@ -92,6 +97,12 @@ def r7_components(spark: SparkSession, d: str) -> DataFrame:
     return graphs.components(edges, edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
 
 
+def r7_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """R7 over all orders; ``r7_components`` and its SQL keep one in 12."""
+    edges = T.table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") % 1000).alias("dst"))
+    return graphs.components(edges, edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+
+
 SQL = {
     "g11_footprints": f"""WITH {_RELATIONS}, u AS (SELECT oid, size, coalesce(index_of, (SELECT min(t.oid) FROM rel t WHERE t.toast = rel.oid), parent) AS up FROM rel), u1 AS (SELECT a.oid, a.size, coalesce(b.up, a.up, a.oid) AS r FROM u a LEFT JOIN u b ON b.oid = a.up), u2 AS (SELECT a.oid, a.size, coalesce(b.up, a.r) AS r FROM u1 a LEFT JOIN u b ON b.oid = a.r),
  u3 AS (SELECT a.oid, a.size, coalesce(b.up, a.r) AS r FROM u2 a LEFT JOIN u b ON b.oid = a.r) SELECT r AS oid, any_value(rel.name) AS name, any_value(rel.size) AS own_bytes, CAST(sum(u3.size) AS BIGINT) AS bytes, count(*) AS parts FROM u3 JOIN rel ON rel.oid = r GROUP BY r""",
@@ -109,4 +120,4 @@ SQL = {
     "r7_components": """WITH RECURSIVE g AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 1000 AS dst FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 1000 % 4 = 0), b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
  w AS (SELECT DISTINCT src AS node, src AS root FROM b UNION SELECT b.dst, w.root FROM w JOIN b ON b.src = w.node WHERE w.root < b.dst) SELECT node, min(root) AS root FROM w GROUP BY 1""",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in [*SQL, "r5_view_closure_all", "r7_components_all"]}
