@@ -113,6 +113,11 @@ def test_levels_of_a_cycle_are_zero(spark):
     assert got == [(1, 2), (2, 1), (3, 0), (4, 0), (5, 0), (6, 0)]
 
 
+def test_tops_of_a_long_path_and_of_a_cycle(spark):
+    pointers = spark.createDataFrame([(k, k - 1) for k in range(1, 41)] + [(100, 101), (101, 102), (102, 100), (103, 100)], "node long, up long")
+    assert rows(graphs.tops(pointers), "node", "top") == [(k, 0) for k in range(1, 41)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).selectExpr("id AS src", "id + 1 AS dst").union(spark.createDataFrame([(500, 501)], "src long, dst long"))
     nodes = edges.selectExpr("src AS node").union(edges.selectExpr("dst")).distinct()

@@ -21,13 +21,19 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int = 25) -> DataFrame:
     return seen
 
 
-def tops(pointers: DataFrame, rounds: int = 4) -> DataFrame:
-    """``node``, ``top``: where following ``up`` ends (G4, G11, R4); pointers are doubled, a cycle has no top."""
-    now = pointers.select("node", "up")
-    for _ in range(rounds):
+def tops(pointers: DataFrame) -> DataFrame:
+    """``node``, ``top``: where following ``up`` ends (G4, G11, R4); pointers are doubled, a cycle has no top.
+
+    Rounds end when no pointer has moved on, or when more steps were followed than there are nodes: what
+    still moves then goes round a cycle.
+    """
+    now = cut(pointers.select("node", "up"))
+    still = pointers.select(F.col("node").alias("up"))
+    followed, most = 1, now.count()
+    while followed <= most and not now.join(still, "up", "left_semi").isEmpty():
+        followed *= 2
         step = now.select(F.col("node").alias("up"), F.col("up").alias("further"))
         now = cut(now.join(step, "up", "left").select("node", F.coalesce("further", "up").alias("up")))
-    still = pointers.select(F.col("node").alias("up"))
     return now.join(still, "up", "left_anti").select("node", F.col("up").alias("top"))
 
 
