@@ -125,6 +125,20 @@ def test_license_scan_of_an_empty_table(none):
     assert licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("length", [9, 10, 11, 16, 17, 20, 24, 30, 32, 40, 41, 60])
+def test_short_items_with_all_their_edits(length):
+    """Substitutions spread so that the pieces between them are as short as can be."""
+    rng = random.Random(length)
+    edits = decontaminate.budget(length)
+    places = [(k + 1) * length // (edits + 1) - 1 for k in range(edits)] if length != 30 else [7, 15, 23]
+    for _ in range(20):
+        item = "".join(rng.choice("abcdefghij") for _ in range(length))
+        edited = "".join("z" if k in places else c for k, c in enumerate(item))
+        text = f"one two {edited} three".encode()
+        hits = decontaminate.Items([5], [item.encode()]).hits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert [(r, i, e) for r, i, _, _, e in hits] == [(0, 0, edits)]
+
+
 def model_tokens(text):
     return [*WORD.findall((text or "").translate(LOWER)), None]
 

@@ -4,6 +4,7 @@ Text and items are reduced to lower-case letters and digits with single spaces.
 a text with at most e edits shares with it at least ``m + 1 - q - q*e`` q-grams (m: the item's
 length), all within e diagonals of each other. Shared q-grams are counted in bands of diagonals that
 overlap by half; bands with enough of them are verified by an alignment that is kept to the band.
+Items too short to be sure of two 8-grams take the longest q of which one is sure to be shared.
 """
 
 from __future__ import annotations
@@ -55,13 +56,13 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out[at], np.searchsorted(at, offsets), at
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """One 64-bit number for each place where Q bytes start: the bytes themselves, mixed."""
-    if len(data) < Q:
+def gram_hashes(data: np.ndarray, q: int = Q) -> np.ndarray:
+    """One 64-bit number for each place where ``q`` bytes start: the bytes themselves, mixed."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
-    packed = np.zeros(len(data) - Q + 1, np.uint64)
-    for j in range(Q):
-        packed = packed << np.uint64(8) | data[j : len(data) - Q + 1 + j]
+    packed = np.zeros(len(data) - q + 1, np.uint64)
+    for j in range(q):
+        packed = packed << np.uint64(8) | data[j : len(data) - q + 1 + j]
     return packed * np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,57 +70,66 @@ def budget(length: int) -> int:
     return int(length * EDITS)
 
 
+def gram_size(length: int) -> int:
+    """Q, where an item with all its edits still shares two of them; else as long as its longest sure piece."""
+    e = budget(length)
+    return Q if length + 1 - Q - Q * e >= 2 else min(Q, length // (e + 1))
+
+
 class Items:
     """The q-grams of one pass of benchmark items, for look-up."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
-        self.ids, self.texts, hashed, item, place = [], [], [], [], []
+        self.ids, self.texts, grams = [], [], {}
         for i, raw in zip(ids, texts, strict=True):
             data = np.frombuffer(raw, np.uint8)
             folded = fold(data, np.array([0, len(data)]))[0] if len(data) else data
             folded = folded[: len(folded) - (len(folded) > 0 and folded[-1] == 0x20)]
             if len(folded) < Q + 1:
                 continue
-            h = gram_hashes(folded)
-            hashed.append(h)
-            item.append(np.full(len(h), len(self.ids), np.int64))
-            place.append(np.arange(len(h)))
+            q = gram_size(len(folded))
+            h = gram_hashes(folded, q)
+            grams.setdefault(q, []).append((h, np.full(len(h), len(self.ids), np.int64), np.arange(len(h))))
             self.ids.append(i)
             self.texts.append(folded)
-        self.hashed = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
-        order = np.argsort(self.hashed, kind="stable")
-        self.hashed = self.hashed[order]
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
         self.length = np.array([len(x) for x in self.texts], np.int64)
         self.edits = (self.length * EDITS).astype(np.int64)
-        self.least = np.maximum(2, self.length + 1 - Q - Q * self.edits)
-        self.slots = np.zeros(1 << SLOTS, bool)
-        self.slots[self.hashed >> np.uint64(64 - SLOTS)] = True
-
-    def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """Row, item, first and end byte in the folded row, edits: of each verified region."""
-        h = gram_hashes(data)
-        at = np.flatnonzero(self.slots[h >> np.uint64(64 - SLOTS)]) if len(self.hashed) else np.zeros(0, np.int64)
-        low = np.searchsorted(self.hashed, h[at], "left")
-        many = np.searchsorted(self.hashed, h[at], "right") - low
+        q = np.array([gram_size(len(x)) for x in self.texts], np.int64)
+        self.least = self.length + 1 - q - q * self.edits
+        self.grams = {}
+        for q, parts in grams.items():
+            hashed, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashed, kind="stable")
+            slots = np.zeros(1 << SLOTS, bool)
+            slots[hashed >> np.uint64(64 - SLOTS)] = True
+            self.grams[q] = hashed[order], item[order], place[order], slots
+
+    def _bands(self, data: np.ndarray, offsets: np.ndarray, q: int) -> set[tuple[int, int, int, int]]:
+        """Row, item, first diagonal and width of the bands with enough shared q-grams."""
+        hashed, of_item, of_place, slots = self.grams[q]
+        h = gram_hashes(data, q)
+        at = np.flatnonzero(slots[h >> np.uint64(64 - SLOTS)])
+        low = np.searchsorted(hashed, h[at], "left")
+        many = np.searchsorted(hashed, h[at], "right") - low
         at, low, many = at[many > 0], low[many > 0], many[many > 0]
+        found: set[tuple[int, int, int, int]] = set()
         if not len(at):
-            return []
+            return found
         pick = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         at = np.repeat(at, many)
         row = np.searchsorted(offsets, at, "right") - 1
-        inside = at + Q <= offsets[row + 1]
+        inside = at + q <= offsets[row + 1]
         at, row, pick = at[inside], row[inside], pick[inside]
-        item, local = self.item[pick], at - offsets[row]
-        diagonal = local - self.place[pick]
+        if not len(at):
+            return found
+        item, local = of_item[pick], at - offsets[row]
+        diagonal = local - of_place[pick]
         width = 2 * self.edits[item] + 2
-        found = set()
         items, places = len(self.ids), int(self.length.max())
         bands = int((diagonal.max() + 2 * places) // 2) + places + 2
         for half in (0, 1):  # each band has the one that starts at its middle beside it
             band = (diagonal + half * (width // 2)) // width + places
-            keys = np.sort(((row * items + item) * bands + band) * places + self.place[pick])
+            keys = np.sort(((row * items + item) * bands + band) * places + of_place[pick])
             keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] // places  # a q-gram of the item counts once in a band
             edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
             keys, many = keys[edges[:-1]], np.diff(edges)
@@ -127,6 +137,11 @@ class Items:
                 i = key // bands % items
                 w = 2 * int(self.edits[i]) + 2
                 found.add((key // bands // items, i, (key % bands - places) * w - half * (w // 2), w))
+        return found
+
+    def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Row, item, first and end byte in the folded row, edits: of each verified region."""
+        found = {x for q in self.grams for x in self._bands(data, offsets, q)}
         whole = data.tobytes()
         regions: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         if not found:
