@@ -4,7 +4,8 @@ Text and items are reduced to lower-case letters and digits with single spaces.
 a text with at most e edits shares with it at least ``m + 1 - q - q*e`` q-grams (m: the item's
 length), all within e diagonals of each other. Shared q-grams are counted in bands of diagonals that
 overlap by half; bands with enough of them are verified by an alignment that is kept to the band.
-Items too short to be sure of two 8-grams take the longest q of which one is sure to be shared.
+Items too short to be sure of two 8-grams take the longest q of which one is sure to be shared. Items
+of up to 8 characters have no edits to spare: they are looked up whole, as whole words.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, id_and_bytes, slices
+from .common import flat, id_and_bytes, slices, text_of
 
 Q = 8
 #: Edits allowed as a share of the item's characters; 1 - this is the least similarity.
@@ -80,22 +81,26 @@ class Items:
     """The q-grams of one pass of benchmark items, for look-up."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
-        self.ids, self.texts, grams = [], [], {}
+        self.ids, self.texts, grams, short = [], [], {}, {}
         for i, raw in zip(ids, texts, strict=True):
             data = np.frombuffer(raw, np.uint8)
             folded = fold(data, np.array([0, len(data)]))[0] if len(data) else data
             folded = folded[: len(folded) - (len(folded) > 0 and folded[-1] == 0x20)]
-            if len(folded) < Q + 1:
+            if not len(folded):
                 continue
-            q = gram_size(len(folded))
-            h = gram_hashes(folded, q)
-            grams.setdefault(q, []).append((h, np.full(len(h), len(self.ids), np.int64), np.arange(len(h))))
+            if len(folded) <= Q:
+                short.setdefault(len(folded), []).append((gram_hashes(folded, len(folded))[0], len(self.ids)))
+            else:
+                q = gram_size(len(folded))
+                h = gram_hashes(folded, q)
+                grams.setdefault(q, []).append((h, np.full(len(h), len(self.ids), np.int64), np.arange(len(h))))
             self.ids.append(i)
             self.texts.append(folded)
         self.length = np.array([len(x) for x in self.texts], np.int64)
         self.edits = (self.length * EDITS).astype(np.int64)
         q = np.array([gram_size(len(x)) for x in self.texts], np.int64)
         self.least = self.length + 1 - q - q * self.edits
+        self.short = {m: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)], np.int64)) for m, x in short.items()}
         self.grams = {}
         for q, parts in grams.items():
             hashed, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -139,13 +144,32 @@ class Items:
                 found.add((key // bands // items, i, (key % bands - places) * w - half * (w // 2), w))
         return found
 
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """``hits`` of the items of up to Q characters."""
+        out: list[tuple[int, int, int, int, int]] = []
+        edge = np.zeros(len(data) + 1, bool)  # where a word may begin, and one place after where it may end
+        edge[offsets] = True
+        space = data == 0x20
+        for m, (hashed, of_item) in self.short.items():
+            h = gram_hashes(data, m)
+            low = np.searchsorted(hashed, h, "left")
+            many = np.searchsorted(hashed, h, "right") - low
+            at = np.flatnonzero(many)
+            row = np.searchsorted(offsets, at, "right") - 1
+            alone = (at + m <= offsets[row + 1]) & (edge[at] | space[np.maximum(at - 1, 0)]) & (edge[at + m] | space[np.minimum(at + m, len(data) - 1)])
+            for r, a in zip(row[alone].tolist(), at[alone].tolist(), strict=True):
+                start = a - int(offsets[r])
+                out += [(r, i, start, start + m, 0) for i in of_item[low[a] : low[a] + many[a]].tolist()]
+        return out
+
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """Row, item, first and end byte in the folded row, edits: of each verified region."""
+        out = self._words(data, offsets)
         found = {x for q in self.grams for x in self._bands(data, offsets, q)}
         whole = data.tobytes()
         regions: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         if not found:
-            return []
+            return out
         r, i, d, w = np.array(sorted(found), np.int64).T
         e, m, begin = self.edits[i], self.length[i], offsets[r]
         lo, hi = np.maximum(0, d - e), np.minimum(offsets[r + 1] - begin, d + w + m + e)
@@ -162,7 +186,6 @@ class Items:
                 a = int(begin[c] + lo[c])
                 edits, start, end = align(self.texts[i[c]], data[a : int(begin[c] + hi[c])], int(d[c] - lo[c] - e[c]), int(w[c] + 2 * e[c]))
                 regions.setdefault((int(r[c]), int(i[c])), []).append((edits, int(lo[c]) + start, int(lo[c]) + end))
-        out = []
         for (r, i), all_of in regions.items():  # of overlapping regions the one with the fewest edits
             kept: list[tuple[int, int, int]] = []
             for edits, start, end in sorted(all_of):
@@ -232,32 +255,43 @@ def align(item: np.ndarray, text: np.ndarray, first: int, width: int) -> tuple[i
     return int(cost[best]), int(start[best]), int(np.clip(place[best], 0, n))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id``, ``item_id``, ``first``, ``last`` (bytes of the text), ``edits`` and ``similarity`` of each region.
-
-    A null or empty text, and an item that folds to ``Q`` characters or fewer, has none; repeated rows
-    give a row each. Items are taken in passes of at most ``PASS_BYTES``, each over all documents.
-    """
-    source = id_and_bytes(docs, doc_id, text)
+def _passes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Ids and texts of the items, at most about ``PASS_BYTES`` at a time."""
     items = benchmark.select(benchmark[item_id].cast("long").alias("item_id"), benchmark[item_text].cast("binary").alias("item")).filter(F.col("item").isNotNull())
     passes = 1 + int((items.agg(F.sum(F.octet_length("item")).alias("n")).first().n or 0) // PASS_BYTES)
-    found = None
     for k in range(passes):
         chosen = items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(passes)) == k).toArrow()
-        one = source.mapInArrow(_finder(chosen.column(0).to_pylist(), chosen.column(1).to_pylist()), "doc_id long, item_id long, first long, last long, edits int, similarity double")
+        yield chosen.column(0).to_pylist(), chosen.column(1).to_pylist()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``doc_id``, ``item_id``, ``first``, ``last`` (bytes of the text), ``edits`` and ``similarity`` of each region.
+
+    A null or empty text, and an item without letters or digits, has none; repeated rows give a row each,
+    and rows with a null id give theirs with a null id. Items are taken in passes of at most
+    ``PASS_BYTES``, each over all documents.
+    """
+    source, found = id_and_bytes(docs, doc_id, text), None
+    for ids, texts in _passes(benchmark, item_id, item_text):
+        one = source.mapInArrow(_finder(ids, texts), "doc_id long, item_id long, first long, last long, edits int, similarity double")
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def _searched(items: Items, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Row ends in the folded text, where its bytes came from, row starts in the text, and the hits of a batch's texts (its column 1)."""
+    data, offsets = flat(part.column(1))
+    if not len(data):
+        return offsets, offsets, offsets, []
+    folded, ends, at = fold(data, offsets)
+    return ends, at, offsets, items.hits(folded, ends) if len(folded) else []
+
+
 def _finder(ids: list[int], texts: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(ids, texts)
         for part in slices(batches):
-            data, offsets = flat(part.column(1))
-            if not len(data):
-                continue
-            folded, ends, at = fold(data, offsets)
-            hits = items.hits(folded, ends)
+            ends, at, offsets, hits = _searched(items, part)
             if hits:
                 row, item, first, last, edits = (np.array(x, np.int64) for x in zip(*hits, strict=True))
                 came = lambda k: at[np.minimum(ends[row] + k, len(at) - 1)] - offsets[row]
@@ -270,7 +304,25 @@ def _finder(ids: list[int], texts: list[bytes]):
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item, with the columns they came with."""
-    gone = matches(docs, benchmark, doc_id, text).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item, with the columns they came with.
+
+    Each row is judged by its own text, whatever its id: a clean row that shares its id with a dropped
+    one stays, a contaminated one with a null id goes, and so do all its repeats. Nothing is shuffled.
+    """
+    schema = docs.schema
+    rows = docs.select(F.struct("*").alias("row"), text_of(docs, text).cast("binary").alias("text"))
+    for ids, texts in _passes(benchmark, item_id, item_text):
+        rows = rows.mapInArrow(_sieve(ids, texts), rows.schema)
+    return rows.select(*[F.col("row")[c].alias(c) for c in schema.names])
+
+
+def _sieve(ids: list[int], texts: list[bytes]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(ids, texts)
+        for part in slices(batches):
+            clean = np.ones(part.num_rows, bool)
+            clean[[r for r, *_ in _searched(items, part)[3]]] = False
+            yield part.filter(pa.array(clean))
+
+    return run
