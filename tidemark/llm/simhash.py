@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import id_and_bytes, materialise, slices
+from .common import id_and_bytes, materialise, slices, text_of
 
 BITS, RADIUS, BLOCKS, SHINGLE = 64, 4, 6, 4
 #: Fingerprints that are compared in one go; larger groups are dealt out as pairs of tiles.
@@ -203,6 +204,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
+def _roots(distinct: DataFrame) -> DataFrame:
+    """``fp`` and the ``root`` of its class for each row of ``distinct``."""
+    found = components(links(distinct.select("fp")).filter("a != b"))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs``.
 
@@ -211,15 +218,32 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     equal texts share a fingerprint and are never paired. A null id takes no part in the smallest.
     """
     held = materialise(fingerprints(docs, doc_id, text), "fingerprints")
-    distinct = materialise(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(links(distinct.select("fp")).filter("a != b"))
-    member = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    member = _roots(materialise(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"))
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = materialise(member.join(lowest, "root").select("fp", "component_id"), "classes")
     return held.join(linked, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose class has a smaller id, with the columns they came with."""
-    gone = classes(docs, doc_id, text).filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    """One row of each class of ``docs``, with the columns it came with: the one with the smallest id.
+
+    A null id counts as the largest; of rows that share the smallest id one stays, whatever their other
+    columns are. Rows are told apart by a number they get when they are written, not by their ids.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = np.array([fingerprint(x.lower().split()) for x in part.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], names=["row", "fp"])
+
+    rows = docs.select(F.struct("*").alias("row"), text_of(docs, text).cast("binary").alias("text"))
+    held = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("fp", T.LongType())])).withColumn("n", F.monotonically_increasing_id())
+    held = materialise(held, "printed")
+    place = F.struct(F.col("row")[doc_id].cast("long").isNull().alias("none"), F.col("row")[doc_id].cast("long").alias("id"), "n")
+    each = materialise(held.groupBy("fp").agg(F.min(place).alias("first"), F.count("*").alias("many")), "distinct")
+    member = _roots(each)
+    best = member.groupBy("root").agg(F.min("first").alias("first"), F.sum("many").alias("many")).filter("many > 1").select("root", "first.n")
+    copies = materialise(member.join(best, "root").select("fp", "n"), "classes")  # of classes with more rows than one
+    gone = held.select("fp", F.col("n").alias("own")).join(copies, "fp").filter("own <> n").select("own")
+    stay = held.join(gone, held["n"] == gone["own"], "left_anti")
+    return stay.select(*[F.col("row")[c].alias(c) for c in docs.columns])
