@@ -136,6 +136,15 @@ def test_one_of_each_class_stays(docs):
     assert kept.columns == docs.columns and {6, 7} & {r.doc_id for r in kept.collect()} == {6}
 
 
+def test_one_row_of_each_class_whatever_its_id(spark):
+    base = " ".join(f"w{k}" for k in range(90))
+    rows = [(5, base, "a"), (5, base, "b"), (5, "something else entirely here", "c"), (None, base, "d"), (None, "all alone with no id", "e"), (None, "all alone with no id", "f"), (9, "x " * 100_000, "g"), (8, "x " * 100_000, "h"), (1, None, "i"), (2, "", "j")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, tag string").selectExpr("*", "1 AS fp", "2 AS n", "3 AS row", "4 AS root")
+    got = simhash.keep_one(frame)
+    tags = {r.tag for r in got.collect()}
+    assert got.columns == frame.columns and len(tags & {"a", "b"}) == 1 and len(tags & {"e", "f"}) == 1 and tags - {"a", "b", "e", "f"} == {"c", "h", "i"} and got.count() == 5
+
+
 def test_no_documents_no_classes(none):
     assert simhash.classes(none).count() == 0 and simhash.keep_one(none).count() == 0
 
@@ -144,7 +153,13 @@ def test_no_documents_no_classes(none):
 def test_bit_planes(radius):
     rng = random.Random(radius)
     centres = [rng.getrandbits(64) for _ in range(20)]
-    values = np.array([rng.choice(centres) ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) for _ in range(333)], np.uint64)
+
+    def flipped(value):
+        for _ in range(rng.randrange(5)):
+            value ^= 1 << rng.randrange(64)
+        return value
+
+    values = np.array([flipped(rng.choice(centres)) for _ in range(333)], np.uint64)
     q, v = simhash.within(values[:50], values, radius)
     want = {(i, j) for i in range(50) for j in range(333) if int(values[i] ^ values[j]).bit_count() <= radius}
     assert set(zip(q.tolist(), v.tolist(), strict=True)) == want

@@ -121,6 +121,53 @@ def test_license_spans_with_edits(spark):
     assert got == {1: ("mit", True), 2: ("mit", True), 3: ("", False), 4: ("", False), 5: ("", False)}
 
 
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_licenses_by_row(spark, few, monkeypatch):
+    """Rows that share an id or have none are judged each by its own text, whether templates are few or many."""
+    monkeypatch.setattr(licenses, "FEW_GRAMS", few)
+    mit, gpl = licenses.TEMPLATES[0][1], licenses.TEMPLATES[6][1]
+    half = mit.split()
+    rows = [(1, mit), (1, gpl), (1, "neither"), (None, mit), (None, "none"), (2, " ".join(half[:30])), (2, " ".join(half[30:])), (3, "word " * 50_000 + mit), (4, mit), (4, mit)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n", "2 AS h", "'x' AS w", "3 AS hits")
+    got = Counter((r.doc_id, r.labels) for r in licenses.scan(frame).collect())
+    assert got == Counter([(1, "mit"), (1, "gpl"), (1, ""), (None, "mit"), (None, ""), (2, ""), (2, ""), (3, "mit"), (4, "mit"), (4, "mit")])
+
+
+def test_diagonal_votes_by_brute_force(spark):
+    """Shares of templates with words put in, left out and changed, against counting equal grams by hand."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        body = license_words(licenses.TEMPLATES[k % len(licenses.TEMPLATES)][1])
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(body))
+            body[at : at + rng.randrange(2)] = rng.choice([[], ["other"]])
+        rows.append((k, "before it " + " ".join(body) + " and after"))
+    want = Counter()
+    for d, t in rows:
+        w = license_words(t)
+        for n, (label, template) in enumerate(licenses.TEMPLATES):
+            x = license_words(template)
+            cells = {}
+            for i in range(len(w) - 3):
+                for j in range(len(x) - 3):
+                    if w[i : i + 4] == x[j : j + 4]:
+                        cells.setdefault(i - j, set()).add(j)
+            group, last = [], None
+            for diagonal in [*sorted(cells), None]:
+                if group and (diagonal is None or diagonal - last > licenses.MERGE):
+                    covered = {j + s for g in group for j in cells[g] for s in range(4)}
+                    if len(covered) / len(x) >= licenses.MIN_SHARE and len(covered) >= min(licenses.MIN_WORDS, len(x)):
+                        want[d, n, len(covered)] += 1
+                    group = []
+                if diagonal is not None:
+                    group.append(diagonal)
+                    last = diagonal
+    got = licenses.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = [len(license_words(t)) for _, t in licenses.TEMPLATES]
+    assert Counter((r.doc_id, r.template, round(r.share * sizes[r.template])) for r in got) == want
+
+
 def test_license_scan_of_an_empty_table(none):
     assert licenses.scan(none).count() == 0
 
@@ -255,10 +302,35 @@ def test_chain_of_classifiers(spark):
     test = [k for k in range(450, 600)]
     assert len(got) == 602 and sum(got[k].toxic == bool(labels[k][2]) for k in test) >= 148 and sum(got[k].low_quality == (not labels[k][1]) for k in test) >= 145
     assert not got[9000].toxic and got[9000].p_toxic == got[9001].p_toxic
+    again = docs.unionByName(docs.filter("doc_id < 5")).unionByName(spark.createDataFrame([(None, "nasty vile"), (9002, "word " * 100_000)], docs.schema)).selectExpr("*", "1 AS id", "2 AS body", "'x' AS words", "0 AS toxic", "3 AS fold", "4 AS p")
+    more = toxicity.score(again, table.unionByName(table.limit(7)).filter("doc_id < 450"))
+    assert more.count() == 609 and all(abs(r.p_toxic - got[r.doc_id].p_toxic) < 1e-6 for r in more.collect() if r.doc_id in got) and {r.toxic for r in more.collect() if r.doc_id is None} == {True}
+    assert toxicity.score(docs.limit(0), table).count() == 0
     untaught = toxicity.score(docs, table.limit(0))
     assert untaught.count() == 602 and untaught.filter("p_toxic IS NOT NULL").isEmpty()
 
 
+def test_fits_are_least():
+    """The model of some rows against plain gradient steps on the same penalised loss."""
+    rng = np.random.default_rng(3)
+    label = (rng.random(60) < 0.4).astype(float)
+    has = rng.random((60, 25)) < 0.2 + 0.3 * label[:, None] * (np.arange(25) < 4)
+    before, bounds = rng.random((60, 1)), np.concatenate([[0], np.cumsum(has.sum(1))])
+    hashed = np.nonzero(has)[1].astype(np.uint64)
+    model = toxicity.fit_model(hashed, bounds, before, label)
+    yes, no = has[label > 0].sum(0), has[label == 0].sum(0)
+    x = np.column_stack([has * (np.log((yes + 0.5) / (label.sum() + 1)) - np.log((no + 0.5) / ((1 - label).sum() + 1))), before, np.ones(60)])
+    penalty, w = np.array([toxicity.PENALTY] * 25 + [1e-3] * 2), np.zeros(27)
+    for _ in range(60_000):
+        w -= 0.01 * (x.T @ (1 / (1 + np.exp(-x @ w)) - label) + penalty * w)
+    assert np.allclose(model.probabilities(hashed, bounds, before), 1 / (1 + np.exp(-x @ w)), atol=2e-2)
+
+
+def test_where_a_category_begins():
+    p, y = np.array([0.9, 0.4, 0.3, 0.3, 0.1]), np.array([1, 1, 0, 1, 0], bool)
+    assert toxicity.begins(p, y) == pytest.approx(0.2) and toxicity.begins(p, y & False) == 0.5 and toxicity.begins(p, y | True) == 0.5
+
+
 def folded(text):
     return " ".join(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", text.translate(LOWER)))
 
@@ -276,7 +348,7 @@ def edits(a, b):
 def test_leaks_with_edits(spark):
     rng = random.Random(11)
     words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
-    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(12, 40)))) for k in range(12)] + [(90, None), (91, ""), (92, "short")]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(12, 40)))) for k in range(12)] + [(90, None), (91, ""), (92, "short"), (93, words[7][:1]), (94, words[3][:8]), (95, f"{words[5]}, {words[6]}"[:8]), (96, "a"), (97, "--")]
     docs = []
     for k in range(60):
         body = [rng.choice(words) for _ in range(rng.randrange(0, 300))]
@@ -287,7 +359,7 @@ def test_leaks_with_edits(spark):
                 item[at : at + rng.randrange(2)] = rng.choice(["", "z", "zz"])
             body.insert(rng.randrange(len(body) + 1), "".join(item))
         docs.append((k, " ".join(body)))
-    docs += [(100, None), (101, "")]
+    docs += [(100, None), (101, ""), (102, "A"), (103, f"b-a {words[3][:8]}"), (104, f"{words[3][:8]}x x{words[3][:8]}")]
     table = spark.createDataFrame(items, "item_id long, text string")
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.matches(frame, table).collect()}
@@ -295,13 +367,44 @@ def test_leaks_with_edits(spark):
     for d, t in docs:
         for i, x in items:
             a, b = folded(x or ""), folded(t or "")
-            if len(a) > decontaminate.Q and (e := edits(a, b)) <= decontaminate.budget(len(a)):
+            if a and len(a) <= decontaminate.Q:
+                if f" {a} " in f" {b} ":
+                    want[d, i] = 0
+            elif a and (e := edits(a, b)) <= decontaminate.budget(len(a)):
                 want[d, i] = e
     assert {k: r.edits for k, r in got.items()} == want
     kept = decontaminate.drop_contaminated(frame.withColumn("gone", F.lit(1)), table)
     assert kept.columns == ["doc_id", "text", "gone"] and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("length", [*range(1, 50), 77, 123, 250, 400])
+def test_leaks_of_all_lengths(length):
+    """Items of every length with none to all of their edits, against the plain count of edits."""
+    rng = random.Random(length)
+    item = "".join(rng.choice("abcdef") for _ in range(length))
+    for e in range(decontaminate.budget(length) + 2):
+        changed = list(item)
+        for k in rng.sample(range(length), min(e, length)):
+            changed[k] = rng.choice(["z", "", changed[k] + "z"])
+        text = f"one {rng.choice('xyz')}two {''.join(changed)} three".encode()
+        hits = decontaminate.Items([5], [item.encode()]).hits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        least = edits(item, text.decode())
+        fits = f" {item} " in f" {text.decode()} " if length <= decontaminate.Q else least <= decontaminate.budget(length)
+        assert sorted({x[4] for x in hits})[:1] == ([least] if fits else [])
+
+
+def test_rows_are_judged_alone(spark, docs, rows):
+    """Null, repeated and shared ids, a long text, columns whose names clash: each row goes by its own text."""
+    item = "the quick brown fox jumps over the lazy dog again and again"
+    table = spark.createDataFrame([(1, item)], "item_id long, text string")
+    some = [(1, f"x {item} y"), (1, "clean"), (None, item), (None, "clean too"), (2, item), (2, item), (3, "word " * 200_000 + item), (4, None)]
+    frame = spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS item_id", "3 AS n")
+    assert Counter((r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(frame, table).collect()) == Counter([(1, 1, 0), (None, 1, 0), (2, 1, 0), (2, 1, 0), (3, 1, 0)])
+    kept = decontaminate.drop_contaminated(frame, table)
+    assert kept.columns == frame.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, "clean"), (None, "clean too"), (4, None)])
+    assert decontaminate.drop_contaminated(docs, table).count() == len(rows)
+
+
 def test_leaks_without_rows(docs, none, spark):
     assert decontaminate.matches(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert decontaminate.matches(none, spark.createDataFrame([(1, "some item of a benchmark")], "item_id long, text string")).count() == 0

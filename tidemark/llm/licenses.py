@@ -18,8 +18,8 @@ GRAM = 4
 MERGE = 3
 #: Least share of the template's words, and least number of them, in a verified span.
 MIN_SHARE, MIN_WORDS = 0.6, 6
-#: Templates may be broadcast up to this many k-grams; more are joined by a shuffle.
-BROADCAST_GRAMS = 100_000
+#: Templates with up to this many k-grams are looked up in place; more are joined by a shuffle of hashes.
+FEW_GRAMS = 10_000
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases of the base scan with their labels.
@@ -46,43 +46,70 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower, NO_WORD), "")
 
 
-def grams_of(words: Column, k: int = GRAM) -> Column:
+def grams_of(words: Column, seed: int | None = None, k: int = GRAM) -> Column:
     """Hashes of all k-grams, by their first word's place."""
-    return F.when(F.size(words) >= k, let(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[w[i + j] for j in range(k)])))).otherwise(F.array().cast("array<bigint>"))
+    lead = [] if seed is None else [F.lit(seed)]
+    return F.when(F.size(words) >= k, let(words, lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*lead, *[w[i + j] for j in range(k)])))).otherwise(F.array().cast("array<bigint>"))
 
 
-def template_grams(spark: SparkSession, templates: list[tuple[str, str]] | None = None, k: int = GRAM) -> DataFrame:
+def template_grams(spark: SparkSession, templates: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``template``, ``label``, ``t_words`` and, for each place ``t_pos``, two hashes ``h`` and ``h2`` of the gram there."""
     rows = [(n, label, text) for n, (label, text) in enumerate(templates or TEMPLATES)]
     table = spark.createDataFrame(rows, "template int, label string, body string").select("template", "label", words_of(F.col("body")).alias("w"))
-    placed = table.select("template", "label", F.size("w").alias("t_words"), "w", F.posexplode(grams_of(F.col("w"), k)).alias("t_pos", "h"))
-    return placed.select("template", "label", "t_words", "t_pos", "h", F.array_join(F.slice("w", F.col("t_pos") + 1, k), " ").alias("t_gram"))
+    both = F.arrays_zip(grams_of(F.col("w")).alias("h"), grams_of(F.col("w"), 1).alias("h2"))
+    return table.select("template", "label", F.size("w").alias("t_words"), F.posexplode(both).alias("t_pos", "g")).select("template", "label", "t_words", "t_pos", "g.*")
 
 
-def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Verified spans: ``doc_id``, ``template``, ``label``, ``first``, ``last``, ``votes``, ``share``.
+def worded(docs: DataFrame, grams: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A written row for each row of ``docs``: its number ``n``, ``doc_id``, ``n_words``, phrase places ``found`` and template grams ``hits``.
 
-    A null or empty text and one of under ``GRAM`` words has none; a template that stands twice in a
-    text gives two spans; repeated rows add nothing new.
+    Words are cut once and only grams that stand in some template are kept. While the templates have few
+    grams these are picked out of the row's own; a larger table is joined by both hashes.
     """
-    grams = template_grams(docs.sparkSession, templates)
-    size = grams.limit(BROADCAST_GRAMS + 1).count()
-    worded = docs.select(docs[doc_id].cast("long").alias("doc_id"), words_of(text_of(docs, text)).alias("w"))
-    rolling = worded.select("doc_id", "w", F.posexplode(grams_of(F.col("w"))).alias("pos", "h"))
-    met = rolling.join(F.broadcast(grams) if size <= BROADCAST_GRAMS else grams, "h")
-    met = met.filter(F.array_join(F.slice("w", F.col("pos") + 1, GRAM), " ") == F.col("t_gram"))
-    votes = met.groupBy("doc_id", "template", "label", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("t_pos").alias("places"))
-    along = Window.partitionBy("doc_id", "template").orderBy("diagonal")
+    few = sorted({r.h for r in grams.select("h").limit(FEW_GRAMS + 1).collect()})
+    cut = docs.select(docs[doc_id].cast("long").alias("doc_id"), words_of(text_of(docs, text)).alias("w"))
+    w = F.col("w")
+    base = [F.col("doc_id"), F.size(w).cast("long").alias("n_words"), base_places(w).alias("found")]
+    if len(few) <= FEW_GRAMS:
+        known = F.array(*[F.lit(x).cast("long") for x in few])
+        second = lambda w, i: F.xxhash64(F.lit(1), *[F.get(w, i + j) for j in range(GRAM)])
+
+        def picked(x: Column, some: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(0), F.size(x["h"]) - 1), lambda i: F.array_contains(some, x["h"][i]))
+            return F.when(F.size(some) > 0, F.transform(at, lambda i: F.struct(i.alias("pos"), x["h"][i].alias("h"), second(x["w"], i).alias("h2"))))
+
+        hits = let(F.struct(w.alias("w"), grams_of(w).alias("h")), lambda x: let(F.array_intersect(x["h"], known), lambda some: picked(x, some)))
+    else:
+        hits = F.transform(F.arrays_zip(grams_of(w).alias("h"), grams_of(w, 1).alias("h2")), lambda x, i: F.struct(i.alias("pos"), x["h"].alias("h"), x["h2"].alias("h2")))
+    return materialise(cut.select(*base, hits.alias("hits")).withColumn("n", F.monotonically_increasing_id()), "worded")
+
+
+def spans_of(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """Verified spans of ``worded`` rows, by their number ``n``."""
+    met = rows.select("n", F.explode("hits").alias("x")).select("n", "x.*").join(grams, ["h", "h2"])
+    votes = met.groupBy("n", "template", "label", "t_words", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("t_pos").alias("places"))
+    along = Window.partitionBy("n", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > MERGE, F.lit(True))
     run = votes.withColumn("run", F.sum(apart.cast("int")).over(along))
-    merged = run.groupBy("doc_id", "template", "label", "t_words", "run").agg(F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    merged = run.groupBy("n", "template", "label", "t_words", "run").agg(F.min("first").alias("first"), (F.max("last") + GRAM - 1).alias("last"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + GRAM - 1)))))
-    merged = merged.select("doc_id", "template", "label", "first", "last", F.size("places").alias("votes"), covered.alias("covered"), (covered / F.col("t_words")).alias("share"))
+    merged = merged.select("n", "template", "label", "first", "last", F.size("places").alias("votes"), covered.alias("covered"), (covered / F.col("t_words")).alias("share"))
     return merged.filter((F.col("share") >= MIN_SHARE) & (F.col("covered") >= F.least(F.lit(MIN_WORDS), F.round(F.col("covered") / F.col("share")))))
 
 
-def base_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_words`` and, for each phrase, where it stands (``found``: array of place and label)."""
-    worded = docs.select(docs[doc_id].cast("long").alias("doc_id"), words_of(text_of(docs, text)).alias("w"))
+def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Verified spans: ``doc_id``, ``template``, ``label``, ``first``, ``last``, ``votes``, ``share``.
+
+    A null or empty text and one of under ``GRAM`` words has none; a template that stands twice in a
+    text gives two spans. Each row, whatever its id, has spans of its own: repeated rows have them each.
+    """
+    grams = template_grams(docs.sparkSession, templates)
+    rows = worded(docs, grams, doc_id, text)
+    return spans_of(rows, grams).join(rows.select("n", "doc_id"), "n").drop("n")
+
+
+def base_places(w: Column) -> Column:
+    """Where each phrase stands in the words: an array of place and label."""
 
     def places(w: Column, phrase: str, label: str) -> Column:
         parts = phrase.split(" ")
@@ -92,21 +119,21 @@ def base_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return F.transform(F.filter(at, fits), here)
 
     none = F.array().cast("array<struct<at:bigint,label:string>>")
-    found = F.when(F.array_contains("w", "license"), let(F.col("w"), lambda w: F.concat(*[places(w, *x) for x in PHRASES]))).otherwise(none)
-    return worded.select("doc_id", F.size("w").cast("long").alias("n_words"), found.alias("found"))
+    return F.when(F.array_contains(w, "license"), let(w, lambda x: F.concat(*[places(x, *p) for p in PHRASES]))).otherwise(none)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of ``docs``: words, phrase places, base labels, all labels and the best share.
 
-    A null or empty text has 0 words, no labels (empty strings) and score 0. Rows that share an id
-    share the labels that any of them has by the method.
+    A null or empty text has 0 words, no labels (empty strings) and score 0. Rows that share an id, or
+    have none, are judged each by its own text.
     """
-    base = base_places(docs, doc_id, text)
-    by_doc = materialise(spans(docs, templates, doc_id, text).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")), "license-spans")
+    grams = template_grams(docs.sparkSession, templates)
+    base = worded(docs, grams, doc_id, text)
+    by_row = materialise(spans_of(base, grams).groupBy("n").agg(F.collect_set("label").alias("more"), F.max("share").alias("share")), "license-spans")
     own = F.array_distinct(F.transform("found", lambda x: x["label"]))
     at = F.transform("found", lambda x: x["at"])
-    joined = base.join(by_doc, "doc_id", "left")
+    joined = base.drop("hits").join(by_row, "n", "left")
     return joined.select(
         "doc_id",
         "n_words",
