@@ -26,7 +26,7 @@ STATES, ROUNDS = 4, 3
 #: Longest stretch of tokens that is one matrix product; texts are joined again from their segments.
 SEGMENT = 256
 #: Bytes of text of a block and of what is split into words at a time, segments that are worked on at a time.
-BLOCK, SLICE, LANES = 1 << 22, 1 << 20, 1024
+BLOCK, SLICE, LANES = 12 << 20, 1 << 20, 1024
 #: Added to every expected count.
 PRIOR = 0.01
 #: The hash that stands for a text's end.
@@ -101,7 +101,7 @@ def index(packed: DataFrame, bits: int, states: int) -> DataFrame:
     """Rows of two kinds for each of ``2 ** bits`` parts of the hashes.
 
     One row without a block: how often each training word occurs (``n``), its first expected ``counts`` by
-    state, and their ``sums``. A row for each block: the places of its words among them, -1 for words that
+    state, in single precision as they are sent about, and their ``sums``. A row for each block: the places of its words among them, -1 for words that
     training has not seen.
     """
 
@@ -120,10 +120,10 @@ def index(packed: DataFrame, bits: int, states: int) -> DataFrame:
         n = np.rint(np.bincount(at, np.concatenate([_read(x, np.int64) for x in rows.column("counts")]), len(words))).astype(np.int64)
         known = n > 0
         place = np.where(known, np.cumsum(known) - 1, -1).astype(np.int32)[at]
-        counts = n[known, None] * bends(words[known], states)
+        counts = (n[known, None] * bends(words[known], states)).astype(np.float32)
         places = np.split(place, np.cumsum([len(x) for x in asked])[:-1])
         none = [None] * len(asked)
-        columns = [pa.repeat(rows.column("part")[0], 1 + len(asked)), pa.array([None, *rows.column("block").to_pylist()], pa.int64()), _pack([None, *places]), _pack([n[known], *none]), _pack([counts, *none]), pa.array([counts.sum(0).tolist(), *none], pa.list_(pa.float64()))]
+        columns = [pa.repeat(rows.column("part")[0], 1 + len(asked)), pa.array([None, *rows.column("block").to_pylist()], pa.int64()), _pack([None, *places]), _pack([n[known], *none]), _pack([counts, *none]), pa.array([counts.sum(0, dtype=np.float64).tolist(), *none], pa.list_(pa.float64()))]
         return pa.Table.from_arrays(columns, names=["part", "block", "at", "n", "counts", "sums"])
 
     dealt = packed.select("block", "words", "counts").mapInArrow(deal, "part int, block long, words binary, counts binary")
@@ -274,25 +274,29 @@ def log_likelihood(model: Model, classes: np.ndarray, bounds: np.ndarray) -> np.
     return out
 
 
-def _answers(table: DataFrame, asked: DataFrame, sums: np.ndarray, n_words: int, states: int) -> DataFrame:
-    """For each block and part the places, training counts and emissions of the words that the block asks for.
+def _answers(table: DataFrame, asked: DataFrame, states: int) -> DataFrame:
+    """For each block and part the places, training counts and expected counts of the words that the block asks for.
 
     One count, dealt over the states, is kept for words that training has not seen.
     """
-    unseen = np.full((1, states), 1 / states)
-    whole = sums + unseen[0] + PRIOR * (n_words + 1)
+    unseen = np.full((1, states), 1 / states, np.float32)
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         if asked.num_rows:
             n = np.append(_read(held.column("n")[0], np.int64), 0)
-            emit = (np.concatenate([_read(held.column("counts")[0], np.float64, states), unseen]) + PRIOR) / whole
+            counts = np.concatenate([_read(held.column("counts")[0], np.float32, states), unseen])
             at = [_read(x, np.int32) for x in asked.column("at")]
-            found = [_pack([n[x] for x in at]), _pack([emit[x] for x in at])]
+            found = [_pack([n[x] for x in at]), _pack([counts[x] for x in at])]
         else:
             found = [_pack([]), _pack([])]
-        return pa.Table.from_arrays([asked.column("part"), asked.column("block"), asked.column("at"), *found], names=["part", "block", "at", "n", "emit"])
+        return pa.Table.from_arrays([asked.column("part"), asked.column("block"), asked.column("at"), *found], names=["part", "block", "at", "n", "counts"])
 
-    return asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(run, "part int, block long, at binary, n binary, emit binary")
+    return asked.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(run, "part int, block long, at binary, n binary, counts binary")
+
+
+def _emissions(counts: list[np.ndarray], sums: np.ndarray, n_words: int) -> np.ndarray:
+    """Probabilities of a block's words in each state: over all words and the unseen one they add up to one."""
+    return (np.concatenate(counts).astype(np.float64) + PRIOR) / (sums + 1 / len(sums) + PRIOR * (n_words + 1))
 
 
 def _met(answers: pa.Table, column: str, kind: type, *shape: int) -> list[np.ndarray]:
@@ -306,12 +310,12 @@ def _round(packed: DataFrame, table: DataFrame, asked: DataFrame, model: Model,
 
     def learn(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")
-        emit = _met(answers, "emit", np.float64, states)
+        held = _met(answers, "counts", np.float32, states)
         bounds, tokens = _read(block.column("bounds")[0], np.int64), _read(block.column("tokens")[0], np.int32)
         learnt = ~np.asarray(block.column("held_out")[0].values, dtype=bool)
         size = np.diff(bounds)
-        first, moves, counts, _ = expected(Model(start, move, np.concatenate(emit)), tokens[np.repeat(learnt, size)], np.concatenate([[0], np.cumsum(size[learnt])]).astype(np.int64))
-        pieces = np.split(counts, np.cumsum([len(x) for x in emit])[:-1])
+        first, moves, counts, _ = expected(Model(start, move, _emissions(held, sums, n_words)), tokens[np.repeat(learnt, size)], np.concatenate([[0], np.cumsum(size[learnt])]).astype(np.int64))
+        pieces = np.split(counts.astype(np.float32), np.cumsum([len(x) for x in held])[:-1])
         summed = np.concatenate([first, moves.ravel()]).tolist()
         columns = [pa.array([-1, *answers.column("part").to_pylist()], pa.int32()), pa.array([None, *answers.column("at").to_pylist()], pa.binary()), _pack([None, *pieces]), pa.array([summed, *[None] * len(pieces)], pa.list_(pa.float64()))]
         return pa.Table.from_arrays(columns, names=["part", "at", "counts", "sums"])
@@ -323,11 +327,12 @@ def _round(packed: DataFrame, table: DataFrame, asked: DataFrame, model: Model,
             return pa.Table.from_arrays([pa.array([-1], pa.int32()), _pack([None]), _pack([None]), pa.array([summed], pa.list_(pa.float64()))], names=names)
         counts = np.zeros((len(_read(held.column("n")[0], np.int64)), states))
         for at, value in zip(sent.column("at"), sent.column("counts"), strict=True):
-            at, value = _read(at, np.int32), _read(value, np.float64, states)
+            at, value = _read(at, np.int32), _read(value, np.float32, states)
             counts[at[at >= 0]] += value[at >= 0]  # a block names each word once
-        return pa.Table.from_arrays([held.column("part"), held.column("n"), _pack([counts]), pa.array([counts.sum(0).tolist()], pa.list_(pa.float64()))], names=names)
+        counts = counts.astype(np.float32)
+        return pa.Table.from_arrays([held.column("part"), held.column("n"), _pack([counts]), pa.array([counts.sum(0, dtype=np.float64).tolist()], pa.list_(pa.float64()))], names=names)
 
-    answers = _answers(table, asked, sums, n_words, states).select("part", "block", "at", "emit")
+    answers = _answers(table, asked, states).select("part", "block", "at", "counts")
     sent = packed.select("block", "held_out", "bounds", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(learn, "part int, at binary, counts binary, sums array<double>")
     return table.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(add, "part int, n binary, counts binary, sums array<double>")
 
@@ -366,7 +371,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: i
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")
-        now = Model(start, move, np.concatenate(_met(answers, "emit", np.float64, states)))
+        now = Model(start, move, _emissions(_met(answers, "counts", np.float32, states), sums, n_words))
         n = np.concatenate(_met(answers, "n", np.int64))
         bounds, tokens = _read(block.column("bounds")[0], np.int64), _read(block.column("tokens")[0], np.int32)
         size = np.diff(bounds)
@@ -376,6 +381,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", states: i
         columns = [block.column("doc_ids")[0].values, block.column("held_out")[0].values, pa.array(size), pa.array(known), pa.repeat(pa.scalar(n_train, pa.int64()), len(size)), pa.array(base), pa.array(log_likelihood(now, tokens, bounds) / np.log(10))]
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = _answers(table, asked, sums, n_words, states).select("part", "block", "n", "emit")
+    answers = _answers(table, asked, states).select("part", "block", "n", "counts")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return packed.select("block", "doc_ids", "held_out", "bounds", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
