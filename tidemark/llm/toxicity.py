@@ -77,17 +77,17 @@ def fit_model(hashed: np.ndarray, bounds: np.ndarray, before: np.ndarray, label:
     if not n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(extra), 0.0)
     hashes, word = np.unique(hashed, return_inverse=True)
+    del hashed
     row = np.repeat(np.arange(n), np.diff(bounds))
     size = len(hashes)
     many, yes = np.bincount(word, minlength=size), np.bincount(word, label[row], size)
     ratio = np.log((yes + 0.5) / (label.sum() + 1)) - np.log((many - yes + 0.5) / (n - label.sum() + 1))
-    value = ratio[word]
     penalty = np.concatenate([np.full(size, PENALTY), np.full(extra + 1, 1e-3)])
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, value * w[word], n) + before @ w[size:-1] + w[-1]
+        z = np.bincount(row, (ratio * w[:size])[word], n) + before @ w[size:-1] + w[-1]
         away = _sigmoid(z) - label
-        gradient = np.concatenate([np.bincount(word, value * away[row], size), before.T @ away, [away.sum()]]) + penalty * w
+        gradient = np.concatenate([ratio * np.bincount(word, away[row], size), before.T @ away, [away.sum()]]) + penalty * w
         return float((np.logaddexp(0, z) - label * z).sum() + 0.5 * (penalty * w * w).sum()), gradient
 
     w = _least(loss, np.zeros(size + extra + 1))
