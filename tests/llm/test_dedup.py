@@ -95,13 +95,49 @@ def test_statistics_of_the_transform(letters):
     sizes = rng.integers(1, 60, 40)
     data = rng.integers(0, letters, sizes.sum()).astype(np.uint8)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    got = suffix_dedup.RunLengthIndex(data, offsets).statistics()
+    index = suffix_dedup.RunLengthIndex(data, offsets)
+    got = index.statistics()
+    assert index.lengths.sum() == len(data) and all(int(a) != int(b) or a < 0 for a, b in zip(index.letters[1:], index.letters[:-1], strict=True))
     regions = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
     seen = Counter(r[i:j] for r in regions for i in range(len(r)) for j in range(i + 1, len(r) + 1))
     want = [max((n for n in range(len(r) - i + 1) if n == 0 or seen[r[i : i + n]] > 1)) for r in regions for i in range(len(r))]
     assert got.tolist() == want
 
 
+def test_copies_lengthen_their_runs():
+    rng = np.random.default_rng(9)
+    sizes, copies = rng.integers(1, 40, 25), rng.integers(1, 4, 25)
+    data = rng.integers(0, 2, sizes.sum()).astype(np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    index = suffix_dedup.RunLengthIndex(data, offsets, copies)
+    regions = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    seen = Counter()
+    for r, n in zip(regions, copies, strict=True):
+        for i in range(len(r)):
+            for j in range(i + 1, len(r) + 1):
+                seen[r[i:j]] += int(n)
+    want = [max((n for n in range(len(r) - i + 1) if n == 0 or seen[r[i : i + n]] > 1)) for r in regions for i in range(len(r))]
+    assert index.lengths.sum() == (sizes * copies).sum() and index.statistics().tolist() == want
+    for width in (1, 5, 12):
+        starts, stops = index.repeats(width)
+        marked = np.zeros(len(data), bool)
+        for a, b in zip(starts, stops, strict=True):
+            marked[a : b + 1] = True
+        assert marked.tolist() == [x >= width for x in want] and (starts[1:] > stops[:-1] + 1).all()
+
+
+def test_null_ids_and_shared_ids(spark):
+    """Rows without an id, and different texts under one id, keep their own spans."""
+    rng = random.Random(2)
+    some = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(99)) for _ in range(rng.randrange(30, 90))) for _ in range(12)]
+    rows = [(None if k % 3 else 7, some[k % 12] + (f" tail {k} " + some[(k * 5) % 12] if k % 2 else "")) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.digests(substring_dedup.dedup(frame))
+    assert Counter(tuple(r) for r in got.collect()) == expected_words(rows)
+    got = suffix_dedup.digests(suffix_dedup.dedup(frame))
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == expected_bytes(rows)
+
+
 def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(anchors, "PIECE", 50)
     rng = np.random.default_rng(1)

@@ -22,7 +22,7 @@ from .common import SPACES, slices, text_of
 PIECE = 1 << 21
 #: Odd multipliers of the polynomial hashes, modulo 2^64.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-IDENTITY = "doc long, th int"
+IDENTITY = "doc long, th long"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -153,7 +153,7 @@ def identified(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     A null id counts as the largest; ``th``, a hash of the text, tells rows of equal ids apart.
     """
     body = text_of(docs, text)
-    return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(body).alias("th"), body.cast("binary").alias("text"))
+    return docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(body).alias("th"), body.cast("binary").alias("text"))
 
 
 def _all_runs(col: pa.Array, width: int, gram: int, units) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
@@ -232,9 +232,9 @@ def windows(asked: DataFrame, width: int, gram: int, units) -> DataFrame:
 def with_lists(source: DataFrame, found: DataFrame, name: str, how: str) -> DataFrame:
     """``source`` with all structs of ``found`` of the same document as one list; a list is as long as its text at most.
 
-    Documents are matched by ``doc`` and, where ``found`` has it, by ``th``.
+    Documents are matched by ``doc`` and ``th``, so that the many of a shared or null id do not meet.
     """
-    keys = [c for c in ("doc", "th") if c in found.columns]
+    keys = ["doc", "th"]
     lists = found.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in found.columns if c not in keys])).alias(name))
     return source.join(lists, keys, how)
 

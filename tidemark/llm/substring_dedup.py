@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import IDENTITY, anchors, covered, identified, windows, with_lists, word_bounds, word_hashes
@@ -26,6 +26,12 @@ WIDTH, GRAM = 20, 8
 BATCHES, MOST_RUNS = 3, 2
 
 
+
+def _earliest() -> list[Column]:
+    """The first document of rows that are grouped."""
+    return [F.min("doc").alias("doc"), F.min_by("th", "doc").alias("th")]
+
+
 def _units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat(col)
     starts, ends, bounds = word_bounds(data, offsets)
@@ -33,7 +39,7 @@ def _units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """The runs of one corpus; rows are ``key``, ``ctx`` and the first document that had them."""
+    """The runs of one corpus; rows are ``key``, ``ctx`` and the first document (``doc``, ``th``) that had them."""
 
     def __init__(self, spark: SparkSession, most_runs: int = MOST_RUNS):
         self.spark, self.most_runs, self.runs = spark, most_runs, []
@@ -48,13 +54,13 @@ class Index:
     def _write(self, rows: DataFrame) -> None:
         name = f"tidemark_run_{uuid.uuid4().hex}"
         with shuffles_dropped(self.spark):
-            rows.select("key", "ctx", "doc").repartition(self.buckets, "key").write.option("compression", "zstd").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
+            rows.select("key", "ctx", "doc", "th").repartition(self.buckets, "key").write.option("compression", "zstd").bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
         self.runs.append(name)
 
     def compact(self) -> None:
         """Merge all runs; of equal fingerprints the earliest document stays."""
         old, self.runs = self.runs, []
-        self._write(self._all(old).groupBy("key", "ctx").agg(F.min("doc").alias("doc")))
+        self._write(self._all(old).groupBy("key", "ctx").agg(*_earliest()))
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
 
@@ -80,12 +86,12 @@ def repeated(seen: DataFrame, batch: DataFrame, index: Index, grow: bool = True)
     with Scratch(batch.sparkSession) as scratch:
         own = materialise(anchors(batch, WIDTH, GRAM, _units), "anchors", scratch=scratch)
         place = ["doc", "th", "lo", "hi"]
-        mine = own.filter("NOT again").groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
+        mine = own.filter("NOT again").groupBy("key", "ctx").agg(*_earliest(), F.count("*").alias("n"))
         if index.runs:
             mine = materialise(mine, "fingerprints", scratch=scratch)
             known = index.matching(mine.select("key").distinct())
             both = mine.withColumn("old", F.lit(False)).unionByName(known.withColumns({"n": F.lit(1).cast("long"), "old": F.lit(True)}))
-            both = both.groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.sum("n").alias("n"), F.max("old").alias("old"))
+            both = both.groupBy("key", "ctx").agg(*_earliest(), F.sum("n").alias("n"), F.max("old").alias("old"))
         else:
             both = mine.withColumn("old", F.lit(False))
         both = materialise(both, "merged", scratch=scratch)
@@ -93,8 +99,8 @@ def repeated(seen: DataFrame, batch: DataFrame, index: Index, grow: bool = True)
         often = both.filter("n > 1").select("key", "ctx", F.col("doc").alias("first"))
         gone = own.join(often, ["key", "ctx"]).filter("doc > first").select(*place)
         # The same anchor with other surroundings: the windows of the first of each are compared one by one.
-        same_key = Window.partitionBy("key")
-        asked = both.withColumns({"a": F.min("ctx").over(same_key), "b": F.max("ctx").over(same_key)}).filter("a <> b").select("doc", "key", "ctx")
+        mixed = both.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("key")
+        asked = both.join(mixed, "key", "left_semi").select("doc", "th", "key", "ctx")
         held = materialise(windows(with_lists(seen, asked, "ask", "inner"), WIDTH, GRAM, _units), "windows", scratch=scratch)
         span = [F.col("start").alias("lo"), F.col("start").alias("hi")]
         twice = held.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first")
@@ -188,4 +194,4 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 def text_of_row(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Each row as the struct ``__row`` with what it is known by and its text."""
     body = text_of(docs, text)
-    return docs.select(F.struct("*").alias("__row"), F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.hash(body).alias("th"), body.alias("__text"))
+    return docs.select(F.struct("*").alias("__row"), F.coalesce(docs[doc_id].cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(body).alias("th"), body.alias("__text"))

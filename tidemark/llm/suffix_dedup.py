@@ -1,10 +1,10 @@
 """Long repeated byte strings by run-length compressed Burrows-Wheeler transforms.
 
 Anchors bring together the regions of text that may hold equal strings. The regions that share anchors
-form blocks of bounded size; for each block a Burrows-Wheeler transform is built, cut into runs, and
-the lengths of common prefixes are sampled at the heads and the tails of its runs. Streaming along the
-text, every other position's matching statistic follows from the last sample before it, and windows
-whose statistic reaches the width are marked. Equal regions are one entry with a count.
+form blocks of bounded size; for each block a Burrows-Wheeler transform is built and kept as runs, with
+the lengths of common prefixes sampled at the two ends of each. Streaming along the text, every other
+position's matching statistic follows from the last sample before it, and windows whose statistic
+reaches the width are marked. Equal regions are sorted once and lengthen their runs.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Chosen, anchors, byte_hashes, covered, identified, windows, with_lists
@@ -23,7 +23,7 @@ from .common import Scratch, flat, materialise, slices
 WIDTH, GRAM = 200, 32
 #: Bytes of regions in one transform.
 BLOCK = 1 << 18
-#: Different regions of one anchor that a block takes; an anchor with more is settled window by window.
+#: Different regions of one anchor that a block takes; those of an anchor with more are dealt out again as single windows.
 MOST_REGIONS = 2048
 #: Symbols in one packed number: nine bits each, 0 stands for the end of a region.
 PACK = 7
@@ -34,8 +34,8 @@ def _units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return byte_hashes(data), offsets
 
 
-class RunLengthIndex:
-    """The transform of some regions, as runs with samples at their ends."""
+class Suffixes:
+    """The suffixes of some regions, each up to the end of its region; held only while an index is built."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         n, sizes = len(data), np.diff(offsets)
@@ -47,13 +47,7 @@ class RunLengthIndex:
             symbol[: n - j] = data[j:].astype(np.uint64) + np.uint64(1)
             packed = packed << np.uint64(9) | np.where(inside, symbol, np.uint64(0))
         self.packed = packed
-        order = self._order(int(sizes.max(initial=0)))
-        before = np.concatenate([data[-1:], data[:-1]]).astype(np.int16)
-        before[offsets[:-1][sizes > 0]] = -1  # a region's start has no letter before it and ends every run
-        letter = before[order]
-        self.heads = np.concatenate([[True], (letter[1:] != letter[:-1]) | (letter[1:] < 0)])
-        self.tails = np.concatenate([self.heads[1:], [True]])
-        self.order = order
+        self.order = self._order(int(sizes.max(initial=0)))
 
     def _order(self, longest: int) -> np.ndarray:
         """Suffixes in order, each up to the end of its region; equal ones by their place.
@@ -100,20 +94,64 @@ class RunLengthIndex:
             live = live[same & (length[live] < most[live])]
         return np.minimum(length, most)
 
+
+class RunLengthIndex:
+    """The transform of some regions as runs: their letters, their lengths and samples at their two ends.
+
+    A region that stands ``copies`` times is sorted once; each of its suffixes counts so often in the
+    length of its run. ``place`` and ``common`` are the samples, ordered by place: a suffix at a run's end
+    and the length of its longest prefix that stands next to it in the order, on either side (its own copy
+    stands there too). All that was needed to sort is gone; what is left grows with the runs.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, copies: np.ndarray | None = None):
+        sizes = np.diff(offsets)
+        suffixes = Suffixes(data, offsets)
+        order, n = suffixes.order, len(data)
+        weight = np.repeat(np.ones(len(sizes), np.int64) if copies is None else np.asarray(copies, np.int64), sizes)
+        before = np.concatenate([data[-1:], data[:-1]]).astype(np.int16)
+        before[offsets[:-1][sizes > 0]] = -1  # a region's start has no letter before it and ends every run
+        letter = before[order]
+        heads = np.concatenate([[True], (letter[1:] != letter[:-1]) | (letter[1:] < 0)])[:n]
+        first = np.flatnonzero(heads)
+        self.n, self.letters = n, letter[first]
+        self.lengths = np.add.reduceat(weight[order], first) if n else np.zeros(0, np.int64)
+        last = np.append(first[1:], n) - 1 if n else first
+        self.place, self.common = [], []
+        for ends, step in ((first, -1), (last, 1)):
+            at, near = order[ends], ends + step
+            has = (near >= 0) & (near < n)
+            common = np.zeros(len(ends), np.int64)
+            common[has] = suffixes.common(at[has], order[near[has]])
+            common = np.where(weight[at] > 1, suffixes.end[at] - at, common)
+            by = np.argsort(at)
+            self.place.append(at[by])
+            self.common.append(common[by])
+
+    def repeats(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place of each run of places whose matching statistic reaches ``width``.
+
+        Along the text, a statistic falls by one from place to place until the next sample; a sample so says
+        how far the places after it reach.
+        """
+        starts, stops = [], []
+        for place, common in zip(self.place, self.common, strict=True):
+            until = np.append(place[1:], self.n) - 1
+            long = common >= width
+            starts.append(place[long])
+            stops.append(np.minimum(place[long] + common[long] - width, until[long]))
+        start, stop = np.concatenate(starts), np.concatenate(stops)
+        by = np.argsort(start, kind="stable")
+        start, reach = start[by], np.maximum.accumulate(stop[by])
+        new = np.concatenate([[True], start[1:] > reach[:-1] + 1])[: len(start)]
+        return start[new], reach[np.append(np.flatnonzero(new)[1:], len(start)) - 1] if len(start) else reach
+
     def statistics(self) -> np.ndarray:
-        """For each position the longest prefix of its suffix that starts somewhere else too."""
+        """For each place the longest prefix of its suffix that starts somewhere else too."""
         out = np.zeros(self.n, np.int64)
-        place = np.arange(self.n)
-        for step, ends in ((-1, self.heads), (1, self.tails)):
-            at = np.flatnonzero(ends)
-            near = at + step
-            has = (near >= 0) & (near < self.n)
-            sample = np.zeros(self.n, np.int64)
-            sample[self.order[at[has]]] = self.common(self.order[at[has]], self.order[near[has]])
-            sampled = np.full(self.n, -1)
-            sampled[self.order[at]] = self.order[at]
-            last = np.maximum.accumulate(sampled)
-            out = np.maximum(out, sample[last] - (place - last))
+        for place, common in zip(self.place, self.common, strict=True):
+            last = np.searchsorted(place, np.arange(self.n), "right") - 1
+            out = np.maximum(out, common[last] - (np.arange(self.n) - place[last]))
         return out
 
 
@@ -125,17 +163,10 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         data, offsets = flat(table.column(3))
-        again = np.asarray(table.column(2)) > 1
-        found = RunLengthIndex(data, offsets).statistics() >= WIDTH
-        row = np.repeat(np.arange(len(again)), np.diff(offsets))
-        local = np.arange(len(data)) - offsets[row]
-        window = local + WIDTH <= np.diff(offsets)[row]
-        found = (found | again[row]) & window
-        new = found & ~(np.concatenate([[False], found[:-1]]) & (local > 0))
-        last = found & ~np.concatenate([found[1:], [False]])
-        starts, stops = np.flatnonzero(new), np.flatnonzero(last)
-        which = pa.array(row[starts])
-        return pa.RecordBatch.from_arrays([table.column(0).take(which), table.column(1).take(which), pa.array(local[starts].astype(np.int32)), pa.array(local[stops].astype(np.int32))], names=["key", "ctx", "a", "b"])
+        starts, stops = RunLengthIndex(data, offsets, np.asarray(table.column(2))).repeats(WIDTH)
+        row = np.searchsorted(offsets, starts, "right") - 1
+        which = pa.array(row)
+        return pa.RecordBatch.from_arrays([table.column(0).take(which), table.column(1).take(which), pa.array((starts - offsets[row]).astype(np.int32)), pa.array((stops - offsets[row]).astype(np.int32))], names=["key", "ctx", "a", "b"])
 
     for batch in batches:
         keys = np.asarray(batch.column(0))
@@ -161,6 +192,10 @@ def _by_key(keys: np.ndarray) -> Iterator[tuple[int, int]]:
         at = stop
 
 
+def _marked(regions: DataFrame) -> DataFrame:
+    return regions.repartition("key").sortWithinPartitions("key").mapInArrow(_marks, "key long, ctx long, a int, b int")
+
+
 def _regions(asked: DataFrame) -> DataFrame:
     """The bytes of every asked run of windows."""
 
@@ -177,28 +212,44 @@ def _regions(asked: DataFrame) -> DataFrame:
     return asked.select("doc", "th", "text", "ask").mapInArrow(run, "key long, ctx long, n long, region binary")
 
 
+def _window_regions(asked: DataFrame) -> DataFrame:
+    """The bytes of single windows: ``ask`` has ``key``, ``ctx``, ``n`` and ``start``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2 << 20):
+            asks = pa.concat_arrays([part.column(3)])
+            one = asks.flatten()
+            row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(asks.offsets)))
+            texts = part.column(2).to_pylist()
+            cut = [texts[r][a : a + WIDTH] for r, a in zip(row.tolist(), one.field(3).to_pylist(), strict=True)]
+            for at in range(0, len(cut), 4096):
+                yield pa.RecordBatch.from_arrays([*[one.field(k).slice(at, 4096) for k in range(3)], pa.array(cut[at : at + 4096], pa.binary())], names=["key", "ctx", "n", "region"])
+
+    return asked.select("doc", "th", "text", "ask").mapInArrow(run, "key long, ctx long, n long, region binary")
+
+
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The ``identified`` rows of ``docs``, and the runs (``doc``, ``th``, ``lo``, ``hi``) of windows that start elsewhere too."""
     source = identified(docs, doc_id, text)
     with Scratch(docs.sparkSession) as scratch:
-        own = anchors(source, WIDTH, GRAM, _units).select("doc", "th", "key", "ctx", "lo", (F.col("hi") - F.col("lo")).cast("short").alias("more"))
+        own = anchors(source, WIDTH, GRAM, _units).select("doc", "th", "key", "ctx", "lo")
         own = materialise(own, "anchors", scratch=scratch)
-        each = own.groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), F.max("more").alias("more"))
-        same_key = Window.partitionBy("key")
-        shared = each.withColumns({"all": F.sum("n").over(same_key), "kinds": F.count("*").over(same_key)}).filter("all > 1")
-        shared = materialise(shared.select("key", "ctx", "doc", "n", "more", (F.col("kinds") > MOST_REGIONS).alias("hot")), "shared", scratch=scratch)
-        asked = with_lists(source, shared.filter("NOT hot").select("doc", "key", "ctx", "n"), "ask", "inner")
+        each = own.groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.min_by("th", "doc").alias("th"), F.count("*").alias("n"))
+        of_key = each.groupBy("key").agg(F.sum("n").alias("all"), (F.count("*") > MOST_REGIONS).alias("hot")).filter("all > 1").select("key", "hot")
+        shared = materialise(each.join(of_key, "key"), "shared", scratch=scratch)
+        asked = with_lists(source, shared.filter("NOT hot").select("doc", "th", "key", "ctx", "n"), "ask", "inner")
         regions = materialise(_regions(asked), "regions", scratch=scratch)  # so that the texts' shuffle is gone before theirs
-        marks = regions.repartition("key").sortWithinPartitions("key").mapInArrow(_marks, "key long, ctx long, a int, b int")
-        whole = shared.filter("hot AND n > 1").select("key", "ctx", F.lit(0).alias("a"), F.col("more").cast("int").alias("b"))
-        marks = materialise(marks.unionByName(whole), "marks", scratch=scratch)
+        marks = materialise(_marked(regions), "marks", scratch=scratch)
         found = own.join(marks, ["key", "ctx"]).select("doc", "th", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
-        # Anchors with very many different regions: their windows meet by two hashes.
-        hot = shared.filter("hot").select("doc", "key", "ctx")
+        # Anchors with very many different regions: these are dealt out once more, as windows, so that no block
+        # has more of one anchor than fit; the windows that meet another go through the transform like all regions.
+        hot = shared.filter("hot").select("doc", "th", "key", "ctx")
         if not hot.isEmpty():
             held = materialise(windows(with_lists(source, hot, "ask", "inner"), WIDTH, GRAM, _units), "windows", scratch=scratch)
-            twice = held.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-            found = found.unionByName(held.join(twice, ["w1", "w2"]).select("doc", "th", F.col("start").alias("lo"), F.col("start").alias("hi")))
+            twice = held.groupBy("w1", "w2").agg(F.min(F.struct("doc", "th", "start")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "n", "x.*")
+            asked = with_lists(source, twice.select("doc", "th", F.col("w1").alias("key"), F.col("w2").alias("ctx"), "n", "start"), "ask", "inner")
+            marks = materialise(_marked(_window_regions(asked)), "window-marks", scratch=scratch).select(F.col("key").alias("w1"), F.col("ctx").alias("w2"))
+            found = found.unionByName(held.join(marks, ["w1", "w2"]).select("doc", "th", F.col("start").alias("lo"), F.col("start").alias("hi")))
         return source, materialise(found, "repeated")
 
 
