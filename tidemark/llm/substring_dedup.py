@@ -96,11 +96,14 @@ def repeated(seen: DataFrame, batch: DataFrame, index: Index, grow: bool = True)
             both = mine.withColumn("old", F.lit(False))
         both = materialise(both, "merged", scratch=scratch)
         # The same run with the same surroundings: all but the first go.
-        often = both.filter("n > 1").select("key", "ctx", F.col("doc").alias("first"))
-        gone = own.join(often, ["key", "ctx"]).filter("doc > first").select(*place)
-        # The same anchor with other surroundings: the windows of the first of each are compared one by one.
+        often = both.filter("n > 1").select("key", "ctx", F.col("doc").alias("first"), F.col("th").alias("first_th"))
+        met = own.join(often, ["key", "ctx"]).filter("doc > first OR doc = first AND th <> first_th")
+        met = materialise(met.select(*place, "key", "ctx", "first"), "met", scratch=scratch)
+        gone, tied = met.filter("doc > first").select(*place), met.filter("doc = first").select("doc", "th", "key", "ctx").distinct()
+        # The same anchor with other surroundings: the windows of the first of each (of all texts, where its id has
+        # more than one) are compared one by one.
         mixed = both.groupBy("key").agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a <> b").select("key")
-        asked = both.join(mixed, "key", "left_semi").select("doc", "th", "key", "ctx")
+        asked = both.select("doc", "th", "key", "ctx").unionByName(tied).join(mixed, "key", "left_semi")
         held = materialise(windows(with_lists(seen, asked, "ask", "inner"), WIDTH, GRAM, _units), "windows", scratch=scratch)
         span = [F.col("start").alias("lo"), F.col("start").alias("hi")]
         twice = held.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("w1", "w2", "first")
