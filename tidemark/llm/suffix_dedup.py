@@ -16,20 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Chosen, anchors, byte_hashes, covered, identified, windows, with_lists
+from .anchors import BASES, Chosen, Prefix, anchors, byte_hashes, covered, identified, with_lists
 from .common import Scratch, flat, materialise, slices
 
 #: Bytes of a window, and of the strings that anchors are chosen from.
 WIDTH, GRAM = 200, 32
 #: Bytes of regions in one transform.
 BLOCK = 1 << 18
-#: Different regions of one anchor that a block takes; those of an anchor with more are dealt out again as single windows.
+#: Different regions of one anchor that a block takes; those of an anchor with more are dealt out as single windows.
 MOST_REGIONS = 2048
 #: Symbols in one packed number: nine bits each, 0 stands for the end of a region.
 PACK = 7
-#: Regions with the same ``deal`` go into the same block.
-REGION = "key long, ctx long, n long, deal long, region binary"
-REGION_NAMES = [x.split(" ")[0] for x in REGION.split(", ")]
 
 
 def _units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -159,27 +156,27 @@ class RunLengthIndex:
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``key``, ``ctx``, ``n``, ``deal``, ``region`` sorted by ``deal``: repeated windows ``a`` to ``b`` of each region."""
+    """Rows ``key``, ``ctx``, ``n``, ``region`` sorted by ``key``: repeated windows ``a`` to ``b`` of each region."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def settle(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        data, offsets = flat(table.column(4))
+        data, offsets = flat(table.column(3))
         starts, stops = RunLengthIndex(data, offsets, np.asarray(table.column(2))).repeats(WIDTH)
         row = np.searchsorted(offsets, starts, "right") - 1
         which = pa.array(row)
         return pa.RecordBatch.from_arrays([table.column(0).take(which), table.column(1).take(which), pa.array((starts - offsets[row]).astype(np.int32)), pa.array((stops - offsets[row]).astype(np.int32))], names=["key", "ctx", "a", "b"])
 
     for batch in batches:
-        keys = np.asarray(batch.column(3))
+        keys = np.asarray(batch.column(0))
         for at, stop in _by_key(keys):
             part = batch.slice(at, stop - at)
-            if held and size >= BLOCK and held[-1].column(3)[-1].as_py() != keys[at]:
+            if held and size >= BLOCK and held[-1].column(0)[-1].as_py() != keys[at]:
                 yield settle(held)
                 held, size = [], 0
             held.append(part)
-            data, _ = flat(part.column(4))
+            data, _ = flat(part.column(3))
             size += len(data)
     if held:
         yield settle(held)
@@ -196,7 +193,7 @@ def _by_key(keys: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _marked(regions: DataFrame) -> DataFrame:
-    return regions.repartition("deal").sortWithinPartitions("deal").mapInArrow(_marks, "key long, ctx long, a int, b int")
+    return regions.select("key", "ctx", "n", "region").repartition("key").sortWithinPartitions("key").mapInArrow(_marks, "key long, ctx long, a int, b int")
 
 
 def _regions(asked: DataFrame) -> DataFrame:
@@ -210,25 +207,38 @@ def _regions(asked: DataFrame) -> DataFrame:
             cut = [texts[r][a : b + WIDTH] for r, a, b in zip(*(x[first].tolist() for x in (runs.row, runs.lo, runs.hi)), strict=True)]
             names = [runs.asked.field(k).take(pa.array(runs.ask[first])) for k in range(4)]
             for at in range(0, len(cut), 4096):
-                yield pa.RecordBatch.from_arrays([*[x.slice(at, 4096) for x in names], pa.array(cut[at : at + 4096], pa.binary())], names=REGION_NAMES)
+                yield pa.RecordBatch.from_arrays([*[x.slice(at, 4096) for x in names], pa.array(cut[at : at + 4096], pa.binary())], names=["key", "ctx", "n", "hot", "region"])
 
-    return asked.select("doc", "th", "text", "ask").mapInArrow(run, REGION)
+    return asked.select("doc", "th", "text", "ask").mapInArrow(run, "key long, ctx long, n long, hot boolean, region binary")
 
 
-def _window_regions(asked: DataFrame) -> DataFrame:
-    """The bytes of single windows: ``ask`` has ``key``, ``ctx``, ``n``, ``deal`` and ``start``."""
+def _windows(regions: DataFrame) -> DataFrame:
+    """Two hashes (``w1``, ``w2``) of every window of the regions, with its place ``a`` there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2 << 20):
-            asks = pa.concat_arrays([part.column(3)])
-            one = asks.flatten()
-            row = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(asks.offsets)))
-            texts = part.column(2).to_pylist()
-            cut = [texts[r][a : a + WIDTH] for r, a in zip(row.tolist(), one.field(4).to_pylist(), strict=True)]
-            for at in range(0, len(cut), 4096):
-                yield pa.RecordBatch.from_arrays([*[one.field(k).slice(at, 4096) for k in range(4)], pa.array(cut[at : at + 4096], pa.binary())], names=REGION_NAMES)
+        for part in slices(batches, 1 << 19, "region"):
+            data, offsets = flat(part.column(3))
+            hashed, many = byte_hashes(data), np.maximum(np.diff(offsets) - WIDTH + 1, 0)
+            row = np.repeat(np.arange(len(many)), many)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            at, which = offsets[row] + place, pa.array(row)
+            w1, w2 = (Prefix(hashed, b).of(at, at + WIDTH) for b in (BASES[1], BASES[2]))
+            yield pa.RecordBatch.from_arrays([*[part.column(k).take(which) for k in range(3)], pa.array(place.astype(np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["key", "ctx", "n", "a", "w1", "w2"])
 
-    return asked.select("doc", "th", "text", "ask").mapInArrow(run, REGION)
+    return regions.select("key", "ctx", "n", "region").mapInArrow(run, "key long, ctx long, n long, a int, w1 long, w2 long")
+
+
+def _crowded(regions: DataFrame, scratch: Scratch) -> DataFrame:
+    """``_marked`` of the regions of anchors that have very many.
+
+    They are dealt out as windows, so that no block has more of one anchor than fit; a window that meets
+    another goes through the transform as a region of its own.
+    """
+    held = materialise(_windows(regions), "windows", scratch=scratch)
+    twice = held.groupBy("w1", "w2").agg(F.min(F.struct("key", "ctx", "a")).alias("x"), F.sum("n").alias("n")).filter("n > 1").select("w1", "w2", "n", "x.*")
+    cut = twice.join(regions.select("key", "ctx", "region"), ["key", "ctx"]).select(F.col("w1").alias("key"), F.col("w2").alias("ctx"), "n", F.substr("region", F.col("a") + 1, F.lit(WIDTH)).alias("region"))
+    marks = _marked(cut).select(F.col("key").alias("w1"), F.col("ctx").alias("w2"))
+    return held.join(marks, ["w1", "w2"]).select("key", "ctx", "a", F.col("a").alias("b"))
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -240,20 +250,13 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
         each = own.groupBy("key", "ctx").agg(F.min("doc").alias("doc"), F.min_by("th", "doc").alias("th"), F.count("*").alias("n"))
         of_key = each.groupBy("key").agg(F.sum("n").alias("all"), (F.count("*") > MOST_REGIONS).alias("hot")).filter("all > 1").select("key", "hot")
         shared = materialise(each.join(of_key, "key"), "shared", scratch=scratch)
-        deal = F.when(F.col("hot"), F.col("ctx")).otherwise(F.col("key")).alias("deal")  # copies that are dealt out alone
-        asked = with_lists(source, shared.filter("NOT hot OR n > 1").select("doc", "th", "key", "ctx", "n", deal), "ask", "inner")
+        asked = with_lists(source, shared.select("doc", "th", "key", "ctx", "n", "hot"), "ask", "inner")
         regions = materialise(_regions(asked), "regions", scratch=scratch)  # so that the texts' shuffle is gone before theirs
-        marks = materialise(_marked(regions), "marks", scratch=scratch)
-        found = own.join(marks, ["key", "ctx"]).select("doc", "th", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
-        # Anchors with very many different regions: but for copies, these are dealt out as windows, so that no block
-        # has more of one anchor than fit; the windows that meet another go through the transform like all regions.
-        hot = shared.filter("hot").select("doc", "th", "key", "ctx")
+        marks, hot = _marked(regions.filter("NOT hot")), regions.filter("hot")
         if not hot.isEmpty():
-            held = materialise(windows(with_lists(source, hot, "ask", "inner"), WIDTH, GRAM, _units), "windows", scratch=scratch)
-            twice = held.groupBy("w1", "w2").agg(F.min(F.struct("doc", "th", "start")).alias("x"), F.count("*").alias("n")).filter("n > 1").select("w1", "w2", "n", "x.*")
-            asked = with_lists(source, twice.select("doc", "th", F.col("w1").alias("key"), F.col("w2").alias("ctx"), "n", F.col("w1").alias("deal"), "start"), "ask", "inner")
-            marks = materialise(_marked(_window_regions(asked)), "window-marks", scratch=scratch).select(F.col("key").alias("w1"), F.col("ctx").alias("w2"))
-            found = found.unionByName(held.join(marks, ["w1", "w2"]).select("doc", "th", F.col("start").alias("lo"), F.col("start").alias("hi")))
+            marks = marks.unionByName(_crowded(hot, scratch))
+        marks = materialise(marks, "marks", scratch=scratch)
+        found = own.join(marks, ["key", "ctx"]).select("doc", "th", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
         return source, materialise(found, "repeated")
 
 
