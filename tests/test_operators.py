@@ -1,5 +1,6 @@
 """Small cases by hand, each a rule that is easy to get wrong."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import lsn
@@ -191,3 +192,24 @@ def test_reports_that_conflict(spark, tmp_path):
     said = [(1, 1, "leased"), (1, 2, "running"), (1, 3, "succeeded"), (1, 4, "succeeded"), (1, 5, "failed"), (2, 1, "running"), (3, 1, "leased"), (3, 2, "expired"), (3, 3, "succeeded")]
     got = rows(stateful.drained(stateful.reports(_stream(spark, tmp_path, [said], "op long, at_time long, report string")), "r"), "op", "at_time", "verdict", "status")
     assert got == [(1, 1, "accepted", "leased"), (1, 2, "accepted", "running"), (1, 3, "accepted", "succeeded"), (1, 4, "accepted", "succeeded"), (1, 5, "refused", "succeeded"), (2, 1, "refused", "queued"), (3, 1, "accepted", "leased"), (3, 2, "accepted", "expired"), (3, 3, "accepted", "succeeded")]
+
+
+def test_cascades_that_refer_to_themselves(spark):
+    """A table whose rows point at each other, one loop among them, and two keys that lead to the same child."""
+    people = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 6), (6, 5), (7, None)], "id int, boss int")
+    notes = spark.createDataFrame([(1, 2, 2), (2, 4, 1), (3, 7, 7), (4, 7, 3)], "note int, by int, about int")
+    marks = spark.createDataFrame([(1,), (1,), (3,), (4,)], "note int")
+    keys = [("people", "boss", "people", "id", "cascade"), ("notes", "by", "people", "id", "cascade"), ("notes", "about", "people", "id", "cascade"), ("marks", "note", "notes", "note", "block")]
+    tables = {"people": people, "notes": notes, "marks": marks}
+    got = {(r.level, r.child, r.action, r.n) for r in diff.delete_effects(tables, keys, "people", people.filter("id = 1")).collect()}
+    assert got == {(1, "people", "cascade", 1), (1, "notes", "cascade", 1), (2, "people", "cascade", 1), (2, "notes", "cascade", 1), (3, "people", "cascade", 1), (3, "notes", "cascade", 1), (3, "marks", "block", 2), (4, "marks", "block", 1)}
+    loop = diff.delete_effects({"people": people}, keys[:1], "people", people.filter("id = 5")).collect()
+    assert [(r.level, r.n) for r in loop] == [(1, 1)]
+    with pytest.raises(ValueError):
+        diff.delete_effects({"people": people}, keys[:1], "people", people.filter("id = 1"), depth=2)
+
+
+def test_closures_have_no_limit_of_their_own(spark):
+    edges = spark.range(27).selectExpr("id AS src", "id + 1 AS dst")
+    roots = spark.createDataFrame([(0,)], "root long")
+    assert graphs.closure(edges, roots).agg({"depth": "max"}).first()[0] == 27 and graphs.closure(edges, roots, 25).count() == 26

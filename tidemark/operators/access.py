@@ -112,8 +112,9 @@ def decisions(probes: DataFrame, rules: DataFrame, members: DataFrame) -> DataFr
 
 
 def problems(rules: DataFrame) -> DataFrame:
-    """Errors of single rules and duplicates with the first of their kind."""
-    first = F.min("rule_no").over(Window.partitionBy("server", "type", "database", "user", "address", "method"))
+    """Errors of single rules and duplicates with the first of their kind (X2); rules may have ``options``."""
+    same = ["server", "type", "database", "user", "address", "method", *[c for c in ["options"] if c in rules.columns]]
+    first = F.min("rule_no").over(Window.partitionBy(*same))
     wrong = F.when(~F.col("type").isin("local", "host", "hostssl", "hostnossl", "hostgssenc", "hostnogssenc"), "type").when((F.col("type") != "local") & (F.coalesce("address", F.lit("")) == ""), "address").when(F.col("address").rlike(r"^[\d.]+/\d+$") & network(F.col("address")).isNull(), "network").when(F.col("method") == "trust", "trust")
     return rules.withColumns({"problem": wrong, "first": first}).select("server", "rule_no", "problem", F.when(F.col("first") < F.col("rule_no"), F.col("first")).alias("duplicate_of")).filter("problem IS NOT NULL OR duplicate_of IS NOT NULL")
 

@@ -63,23 +63,32 @@ def delete_effects(tables: dict[str, DataFrame], keys: list[tuple[str, str, str,
     """Rows that deleting ``gone`` rows of ``table`` reaches over foreign keys.
 
     ``keys``: child table, child column, parent table, parent column, action (cascade, set_null or
-    block). Cascades go on from the child's rows; a table's rows count once a level. ``level``, ``child``,
-    ``action``, ``n``.
+    block). Cascades go on from the child's rows that were not reached before, so that a table that
+    refers to itself ends; rows over more than one key are followed once. ``level``, ``child``, ``action``,
+    ``n``. More than ``depth`` levels are refused, never cut short.
     """
-    out, front = [], [(table, gone)]
-    for level in range(1, depth + 1):
-        following = []
-        for parent, rows in front:
-            for child, column, of, key, action in keys:
-                if of == parent:
-                    hit = tables[child].join(rows.select(F.col(key).alias(column)).distinct(), column, "left_semi")
-                    hit = cut(hit) if action == "cascade" else hit
-                    out.append(hit.agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), F.lit(child).alias("child"), F.lit(action).alias("action"), "n"))
-                    if action == "cascade":
-                        following.append((child, hit))
-        front = following
-        if not front:
-            break
+    led = {parent: sorted({k for _, _, p, k, _ in keys if p == parent}) for _, _, parent, _, _ in keys}
+    known = {table: cut(gone.select(*led[table]).distinct())} if table in led else {}
+    out, front, level = [], {table: gone}, 0
+    while front:
+        level += 1
+        if level > depth:
+            raise ValueError(f"deleting from {table} reaches over {depth} levels of keys")
+        reached: dict[str, list[DataFrame]] = {}
+        for child, column, of, key, action in keys:
+            if of in front:
+                hit = tables[child].join(front[of].select(F.col(key).alias(column)).distinct(), column, "left_semi")
+                if action == "cascade" and child in led:
+                    hit = cut(hit.join(known[child], led[child], "left_anti") if child in known else hit)
+                    reached.setdefault(child, []).append(hit)
+                out.append(hit.agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), F.lit(child).alias("child"), F.lit(action).alias("action"), "n"))
+        front = {}
+        for child, hits in reached.items():
+            fresh = cut(reduce(DataFrame.unionByName, hits).dropDuplicates(led[child]))
+            if not fresh.isEmpty():
+                front[child] = fresh
+                ids = fresh.select(*led[child])
+                known[child] = cut(known[child].unionByName(ids)) if child in known else ids
     return reduce(DataFrame.unionByName, out).filter("n > 0")
 
 

@@ -220,6 +220,47 @@ def cluster_findings(clusters: DataFrame, now: int) -> DataFrame:
     ])
 
 
+def setup_findings(clusters: DataFrame) -> DataFrame:
+    """Findings about how a cluster is set up, from one row each.
+
+    Lists of names: ``plain_agents`` and ``unchecked_agents`` (online nodes that talk in clear or without
+    checking), ``members`` and ``known`` (of the cluster manager, of nodes), ``tablespaces`` and
+    ``full_tablespaces`` (null: unknown), ``restoring`` and ``busy`` (databases marked as being restored, and
+    those that a restore works on), ``repo_stores`` (of online nodes), ``off_server`` (nodes whose backups go
+    to another machine than the configured one). Settings: ``archive_library``, ``archive_command``,
+    ``last_failed_wal``, ``archive_error``, ``failing``, ``summarize_wal``, ``wal_log_hints``, ``checksums``.
+    Cluster manager: ``patroni_ok``, ``patroni_members``, ``use_pg_rewind``, ``local_replication_ok``.
+    Objectives: ``rpo_seconds`` with ``rpo_state`` and ``rpo_minutes``, ``rto_seconds`` with ``rto_state`` and
+    ``rto_minutes``. Also ``environment``, ``scheduled``, ``incr_hours``, ``standby_site``.
+    """
+    names = lambda column: F.array_join(F.sort_array(column), ",")
+    some = lambda column: F.size(column) > 0
+    level = F.when(F.col("environment") == "prod", "warning").otherwise("info")
+    orphan, fresh, broken = F.array_except("members", "known"), F.array_except("tablespaces", "full_tablespaces"), F.array_except("restoring", "busy")
+    set_ = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    both = set_("archive_library") & set_("archive_command") & (F.trim("archive_command") != "(disabled)")
+    hints = F.coalesce(F.col("wal_log_hints") == "on", F.lit(False)) | F.coalesce("checksums", F.lit(False))
+    rewind = F.col("patroni_ok") & (F.col("patroni_members") >= 2)
+    unusable = F.coalesce("use_pg_rewind", F.lit(False)) & F.col("wal_log_hints").isNotNull() & ~hints
+    rpo = (F.col("rpo_minutes") > 0) & F.col("rpo_seconds").isNotNull() & (F.col("rpo_state") != "ok")
+    return _explode(clusters, [
+        _finding(level, "agent_insecure_transport", some("plain_agents"), F.concat(F.lit("plain:"), names("plain_agents"))),
+        _finding(level, "agent_insecure_transport", some("unchecked_agents"), F.concat(F.lit("noverify:"), names("unchecked_agents"))),
+        _finding("warning", "node_without_agent", some(orphan), names(orphan)),
+        _finding("warning", "tablespace_after_full", some(fresh), names(fresh)),
+        _finding("warning", "restore_incomplete", some(broken), names(broken)),
+        _finding("critical", "archive_both_set", both),
+        _finding("critical", "archiver_history_conflict", F.col("failing") & F.col("last_failed_wal").endswith(".history") & F.col("archive_error").rlike("PGA-WAL-03[13]"), F.col("last_failed_wal")),
+        _finding(F.when(F.col("rpo_state") == "bad", "critical").otherwise("warning"), "rpo_target", rpo, F.col("rpo_seconds")),
+        _finding("warning", "rto_target", (F.col("rto_minutes") > 0) & (F.col("rto_state") == "bad") & F.col("rto_seconds").isNotNull(), F.col("rto_seconds")),
+        _finding("warning", "repo_not_shared", F.size(F.array_distinct(F.array_compact("repo_stores"))) >= 2),
+        _finding("warning", "backup_server_mismatch", some("off_server"), names("off_server")),
+        _finding("warning", "patroni_rewind", rewind & (~F.coalesce("use_pg_rewind", F.lit(False)) | unusable), F.when(unusable, "hints").otherwise("off")),
+        _finding("warning", "patroni_local_replication", ~F.col("local_replication_ok")),
+        _finding("info", "summarize_wal_off", (F.col("summarize_wal") == "off") & F.col("scheduled") & (F.col("incr_hours") > 0)),
+    ])
+
+
 def worker_findings(workers: DataFrame, now: int) -> DataFrame:
     """Findings of machines that restores run on: silent, full, or without a major that clusters need.
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from .steps import cut
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 25) -> DataFrame:
-    """``root``, ``node``, ``depth`` of all nodes below each root (R3, R4, R5): a node counts once, at its least depth; cycles end."""
+def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """``root``, ``node``, ``depth`` of all nodes below each root (R3, R4, R5), or of those within ``depth``: a node counts once, at its least depth; cycles end."""
     front = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
     seen = cut(front)
-    for level in range(1, depth + 1):
+    level = 0
+    while depth is None or level < depth:
+        level += 1
         following = seen.filter(F.col("depth") == level - 1).join(edges.withColumnsRenamed({"src": "node", "dst": "next"}), "node").select("root", F.col("next").alias("node")).distinct()
         fresh = cut(following.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
         if fresh.isEmpty():

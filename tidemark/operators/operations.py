@@ -17,11 +17,14 @@ EVIDENCE, HARD_CAP = ["restore_drill", "backup_verify"], 5000
 #: Silence after which a node is offline, ring lengths, attempts, page size, severity order.
 ONLINE_MICROS, RING, MAX_ATTEMPTS, PAGE = 45_000_000, 400, 5, 500
 SEVERITIES = ["debug", "info", "warning", "error", "critical"]
-#: Fixed values of the conflict rules.
+#: Fixed values of the conflict rules: work that reads backup sets, work on data, work that interrupts it, work of which a cluster has one at a time, work on one and the same thing.
 READERS = ["restore_instance", "restore_database", "restore_object", "restore_drill", "backup_verify"]
+DATA_WORK = ["backup_run", "backup_expire", "destination_migrate", "destination_drop_old", "restore_instance", "restore_database", "restore_object", "restore_promote", "restore_drill", "restore_apply_rows", "archive_enable", "restore_db_swap", "restore_kept_drop"]
 DISRUPTIVE = ["pg_restart", "patroni_switchover", "patroni_failover", "patroni_restart", "patroni_reinit", "geo_promote", "geo_demote"]
-DATA_WORK = ["backup_run", "backup_expire", "destination_migrate", "restore_instance", "restore_database", "restore_object", "restore_promote", "restore_drill"]
-SINGLE = ["pg_restart", "backup_run", "backup_expire", "destination_migrate", "backup_verify", "restore_instance", "restore_drill", "patroni_switchover"]
+SINGLE = ["pg_restart", "backup_run", "backup_expire", "destination_migrate", "destination_drop_old", "backup_verify", "archive_enable", "restore_instance", "restore_drill", "patroni_switchover", "patroni_failover", "patroni_pause", "patroni_config_patch", "hba_apply", "ephemeral_install", "geo_promote", "geo_demote"]
+GROUPS = [["hba_apply", "hba_restore", "hba_expire", "hba_rollback"], ["geo_archive_fallback", "geo_promote", "geo_demote"]]
+#: Work that needs a second person whatever its parameters are.
+RISKY = ["hba_cluster_apply", "hba_apply", "hba_rollback", "hba_restore", "pg_set_param", "patroni_switchover", "patroni_failover", "patroni_restart", "pg_restart", "patroni_reinit", "archive_enable", "patroni_config_patch", "patroni_pause", "ephemeral_install", "geo_promote", "geo_demote", "geo_switchover", "restore_db_swap", "destination_apply", "destination_drop_old", "restore_kept_drop"]
 
 
 def history(operations: DataFrame, names: DataFrame, now: int, hours: int, status: str = "", text: str = "", offset: int = 0, limit: int = PAGE) -> DataFrame:
@@ -189,21 +192,40 @@ def timeline(history_rows: DataFrame, log_rows: DataFrame) -> DataFrame:
     return a.unionByName(log_rows.select("id", "updated_at", F.lit(1).alias("kind"), "text"))
 
 
+def _with(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """``rows`` with the columns it lacks."""
+    return rows.withColumns({c: v for c, v in defaults.items() if c not in rows.columns})
+
+
 def conflicts(requests: DataFrame, operations: DataFrame) -> DataFrame:
     """For each request the first active operation of its cluster that forbids it, with the rule.
 
-    ``requests(request, cluster_id, type, forced)``. Overridable conflicts can be forced.
+    ``requests(request, cluster_id, type, forced)``; parameters that either side may have are ``dry_run``,
+    ``stage_db`` and ``new_name``, and operations may have ``attempts``. A restart that is only looked at
+    conflicts with nothing. Overridable conflicts can be forced.
     """
+    none = {"dry_run": F.lit(False), "stage_db": F.lit(None).cast("string"), "new_name": F.lit(None).cast("string"), "attempts": F.lit(0)}
     new, old = F.col("type"), F.col("o_type")
-    active = operations.filter(F.col("status").isin(ACTIVE)).select("cluster_id", F.col("type").alias("o_type"), F.col("id").alias("with_id"), F.col("status").alias("o_status"), "updated_at")
-    # Operations of one kind and status forbid the same: the first of each stands for all.
-    active = active.groupBy("cluster_id", "o_type", "o_status").agg(F.min(F.struct("updated_at", "with_id")).alias("x")).select("cluster_id", "o_type", "o_status", "x.*")
+    active = _with(operations.filter(F.col("status").isin(ACTIVE)), none).filter("NOT (type = 'pg_restart' AND dry_run)")
+    waits = (F.col("status") == "queued") & (F.col("attempts") == 0)
+    active = active.select("cluster_id", new.alias("o_type"), waits.alias("waits"), F.col("dry_run").alias("o_dry"), F.col("stage_db").alias("o_stage"), F.col("new_name").alias("o_name"), F.col("id").alias("with_id"), "updated_at")
+    # Operations of one kind, state and target forbid the same: the first of each stands for all.
+    same = ["cluster_id", "o_type", "waits", "o_dry", "o_stage", "o_name"]
+    active = active.groupBy(*same).agg(F.min(F.struct("updated_at", "with_id")).alias("x")).select(*same, "x.*")
+    grouped = F.lit(False)
+    for g in GROUPS:
+        grouped = grouped | (new.isin(g) & old.isin(g))
+    stage = F.col("stage_db") == F.col("o_stage")
     rule = (
-        F.when(new.isin(SINGLE) & (old == new), "singleton").when(((new == "destination_migrate") & (old == "backup_expire")) | ((new == "backup_expire") & (old == "destination_migrate")), "cleanup")
+        F.when(grouped & (old != new), "group").when((new.isin(SINGLE) | grouped) & (old == new), "singleton")
+        .when(((new == "destination_migrate") & (old == "backup_expire")) | ((new == "backup_expire") & (old == "destination_migrate") & ~F.col("o_dry")), "cleanup")
         .when((new == "backup_expire") & old.isin(READERS), "reader").when(new.isin(READERS) & (old == "backup_expire"), "reader")
-        .when(new.isin(DISRUPTIVE) & old.isin(DATA_WORK) & (F.col("o_status") != "queued") & ~F.col("forced"), "interrupts").when(new.isin(DATA_WORK) & old.isin(DISRUPTIVE), "disrupted")
+        .when((new == "restore_promote") & old.isin("restore_promote", "restore_object") & stage, "stage").when((new == "restore_object") & old.isin("restore_object", "restore_promote") & stage, "stage")
+        .when((new == "restore_database") & (old == new) & (F.col("new_name") == F.col("o_name")), "name")
+        .when(new.isin(DISRUPTIVE) & old.isin(DATA_WORK) & ~F.col("waits") & ~F.col("forced"), "interrupts").when(new.isin(DATA_WORK) & old.isin(DISRUPTIVE), "disrupted")
     )
-    met = requests.join(active, "cluster_id").withColumn("rule", rule).filter("rule IS NOT NULL")
+    asked = _with(requests, none).filter("NOT (type = 'pg_restart' AND dry_run)")
+    met = asked.join(active, "cluster_id").withColumn("rule", rule).filter("rule IS NOT NULL")
     return met.groupBy("request", "cluster_id").agg(F.min(F.struct("updated_at", "with_id", "rule")).alias("x")).select("request", "cluster_id", "x.with_id", "x.rule", (F.col("x.rule") == "interrupts").alias("overridable"))
 
 
@@ -219,9 +241,26 @@ def submissions(requests: DataFrame) -> DataFrame:
     return requests.groupBy("key").agg(F.min_by("id", F.struct("submitted_at", "id")).alias("id"), F.count("*").alias("n"), (F.countDistinct("request") > 1).alias("conflict"))
 
 
-def needs_approval(kind: Column, production: Column) -> Column:
-    """Risky work on production needs a second person."""
-    return production & kind.isin(DISRUPTIVE + ["restore_instance", "restore_promote", "pg_set_param"])
+def is_risky(kind: Column, **params: Column) -> Column:
+    """Whether work changes live access, parameters, topology or data.
+
+    ``params``: ``dry_run``, ``replace_original``, ``replace_production``, ``keep_archiving``, ``rows``
+    (whether rows are put back or deleted), ``finish``, ``promote_mode``, ``mode``; what is not given or
+    null is false or nothing.
+    """
+    yes = lambda name: F.coalesce(params.get(name, F.lit(False)), F.lit(False))
+    says = lambda name, *values: F.coalesce(params.get(name, F.lit("")).isin(*values), F.lit(False))
+    dry = yes("dry_run")
+    return (
+        F.when(kind.isin("pg_restart", "restore_db_swap", "wal_retire_branch"), ~dry).when(kind == "restore_database", yes("replace_original"))
+        .when(kind == "restore_instance", (yes("replace_production") & ~dry) | yes("keep_archiving")).when(kind == "restore_object", (says("finish", "promote") & says("promote_mode", "replace")) | says("finish", "rows_all"))
+        .when(kind == "restore_promote", says("mode", "replace")).when(kind == "restore_apply_rows", yes("rows")).otherwise(kind.isin(RISKY))
+    )
+
+
+def needs_approval(kind: Column, protected: Column, **params: Column) -> Column:
+    """Risky work in a protected environment needs a second person."""
+    return protected & is_risky(kind, **params)
 
 
 def lease_states(operations: DataFrame, now: int) -> DataFrame:

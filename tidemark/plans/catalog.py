@@ -64,12 +64,12 @@ _VIEWS = "e AS (SELECT DISTINCT src, dst FROM (SELECT p_partkey AS src, unnest([
 
 
 def r5_view_closure(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.closure(_views(spark, d), T.table(spark, d, "part").filter("p_partkey % 40 = 11").select(F.col("p_partkey").alias("root")))
+    return graphs.closure(_views(spark, d), T.table(spark, d, "part").filter("p_partkey % 40 = 11").select(F.col("p_partkey").alias("root")), depth=25)
 
 
 def r5_view_closure_all(spark: SparkSession, d: str) -> DataFrame:
     """R5 over all parts; ``r5_view_closure`` and its SQL start from one in 40."""
-    return graphs.closure(_views(spark, d), T.table(spark, d, "part").select(F.col("p_partkey").alias("root")))
+    return graphs.closure(_views(spark, d), T.table(spark, d, "part").select(F.col("p_partkey").alias("root")), depth=25)
 
 
 def r6_levels(spark: SparkSession, d: str) -> DataFrame:

@@ -216,7 +216,32 @@ _RULES = [
 _EFF = f"eff AS (SELECT *, CASE WHEN abs(coalesce(clock_skew, 0)) > 600000000 THEN last_backup - clock_skew WHEN coalesce(last_backup > {_N} + 600000000, FALSE) THEN last_run_ok ELSE last_backup END AS eff FROM clusters)"
 _CF = "cf AS (" + " UNION ALL ".join(f"SELECT cluster_id, {sev} AS severity, '{code}' AS code, {detail} AS detail FROM eff WHERE {when}" for code, sev, when, detail in _RULES) + ")"
 _RANK = "CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END"
+def _setups(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    name = lambda n, at: F.when(k % n == at, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array().cast("array<string>"))
+    pick = lambda n, at, yes, no: F.when(k % n == at, yes).otherwise(no)
+    return T.table(spark, d, "customer").select(
+        k.alias("cluster_id"), pick(2, 0, F.lit("prod"), F.lit("dev")).alias("environment"), (k % 3 == 0).alias("scheduled"), (k % 5).alias("incr_hours"), name(11, 1).alias("plain_agents"), name(13, 2).alias("unchecked_agents"), F.array(F.lit("a"), F.lit("b")).alias("members"),
+        pick(7, 3, F.array(F.lit("a")), F.array(F.lit("a"), F.lit("b"))).alias("known"), F.array(F.lit("1"), F.lit("2")).alias("tablespaces"), pick(8, 1, F.array(F.lit("1")), pick(8, 2, F.lit(None), F.array(F.lit("1"), F.lit("2")))).alias("full_tablespaces"), name(9, 4).alias("restoring"), name(18, 4).alias("busy"),
+        pick(10, 0, F.lit("mod"), F.lit(" ")).alias("archive_library"), pick(20, 0, F.lit("(disabled)"), F.lit("cp %p %f")).alias("archive_command"), (k % 4 == 0).alias("failing"), pick(12, 0, F.lit("00000003.history"), F.lit("000000030000000000000001")).alias("last_failed_wal"), pick(24, 0, F.lit("PGA-WAL-031: other"), F.lit("PGA-WAL-030")).alias("archive_error"),
+        pick(3, 1, F.lit("off"), F.lit(None)).alias("summarize_wal"), pick(6, 1, F.lit("off"), pick(6, 2, F.lit("on"), F.lit(None))).alias("wal_log_hints"), (k % 30 == 1).alias("checksums"), (k % 4 < 3).alias("patroni_ok"), (k % 3 + 1).alias("patroni_members"), F.when(k % 5 != 2, k % 5 != 3).alias("use_pg_rewind"), F.when(k % 2 == 0, k % 14 != 0).alias("local_replication_ok"),
+        F.when(k % 6 != 0, k % 1000).alias("rpo_seconds"), pick(3, 0, F.lit("ok"), pick(3, 1, F.lit("warn"), F.lit("bad"))).alias("rpo_state"), (k % 4).alias("rpo_minutes"), F.when(k % 7 != 0, k % 5000).alias("rto_seconds"), pick(4, 1, F.lit("bad"), F.lit("ok")).alias("rto_state"), (k % 3).alias("rto_minutes"),
+        F.array(F.lit("x"), pick(15, 4, F.lit("y"), pick(15, 5, F.lit(None), F.lit("x")))).alias("repo_stores"), name(16, 9).alias("off_server"),
+    )
+
+
+def setup_findings(spark: SparkSession, d: str) -> DataFrame:
+    return fleet.setup_findings(_setups(spark, d))
+
+
+_SETUP = [
+    ("CASE WHEN k % 2 = 0 THEN 'warning' ELSE 'info' END", "agent_insecure_transport", "'plain:a,b'", "k % 11 = 1"), ("CASE WHEN k % 2 = 0 THEN 'warning' ELSE 'info' END", "agent_insecure_transport", "'noverify:a,b'", "k % 13 = 2"), ("'warning'", "node_without_agent", "'b'", "k % 7 = 3"), ("'warning'", "tablespace_after_full", "'2'", "k % 8 = 1"),
+    ("'warning'", "restore_incomplete", "'a,b'", "k % 9 = 4 AND k % 18 <> 4"), ("'critical'", "archive_both_set", "''", "k % 10 = 0 AND k % 20 <> 0"), ("'critical'", "archiver_history_conflict", "'00000003.history'", "k % 24 = 0"),
+    ("CASE WHEN k % 3 = 2 THEN 'critical' ELSE 'warning' END", "rpo_target", "CAST(k % 1000 AS VARCHAR)", "k % 4 > 0 AND k % 6 <> 0 AND k % 3 <> 0"), ("'warning'", "rto_target", "CAST(k % 5000 AS VARCHAR)", "k % 3 > 0 AND k % 4 = 1 AND k % 7 <> 0"), ("'warning'", "repo_not_shared", "''", "k % 15 = 4"), ("'warning'", "backup_server_mismatch", "'a,b'", "k % 16 = 9"),
+    ("'warning'", "patroni_rewind", "CASE WHEN k % 5 IN (2, 3) THEN 'off' ELSE 'hints' END", "k % 4 < 3 AND k % 3 >= 1 AND (k % 5 IN (2, 3) OR k % 6 = 1 AND k % 30 <> 1)"), ("'warning'", "patroni_local_replication", "''", "k % 14 = 0"), ("'info'", "summarize_wal_off", "''", "k % 3 = 1 AND k % 3 = 0"),
+]
 SQL = {
+    "setup_findings": "WITH c AS (SELECT c_custkey AS k FROM customer) " + " UNION ALL ".join(f"SELECT k AS cluster_id, {level} AS severity, '{code}' AS code, {detail} AS detail FROM c WHERE {when}" for level, code, detail, when in _SETUP),
     "w9_counter_rates": """WITH s AS (SELECT user_id AS node_id, epoch_us(ts) AS at_time, CASE WHEN event_id % 20 = 0 THEN 0 ELSE event_id * 100 END AS total FROM events), l AS (SELECT *, (at_time - lag(at_time) OVER w) / 1000000 AS s, total - lag(total) OVER w AS m FROM s WINDOW w AS (PARTITION BY node_id ORDER BY at_time))
  SELECT node_id, at_time, CASE WHEN m >= 0 AND s > 0 THEN floor(m / s * 10 + 0.5) / 10 END AS rate FROM l""",
     "st1_latest_snapshots": "SELECT user_id AS node_id, max(epoch_us(ts)) AS at_time, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",

@@ -117,6 +117,32 @@ def o4_conflicts(spark: SparkSession, d: str) -> DataFrame:
     return operations.conflicts(ops.filter("status = 'failed'").select(F.col("id").alias("request"), "cluster_id", "type", (F.col("id") % 2 == 0).alias("forced")), ops.filter("id % 5 < 2"))
 
 
+#: Request or operation, cluster, type, status, attempts, dry run, quarantine database, new name, forced.
+WORK = [
+    (1, 1, "hba_rollback", None, 0, False, None, None, False), (2, 1, "hba_restore", None, 0, False, None, None, False), (3, 2, "restore_promote", None, 0, False, "q1", None, False), (4, 2, "restore_promote", None, 0, False, "q9", None, False), (5, 2, "restore_object", None, 0, False, "q2", None, False), (6, 3, "restore_database", None, 0, False, None, "copy", False), (7, 3, "restore_database", None, 0, False, None, "other", False),
+    (8, 4, "patroni_failover", None, 0, False, None, None, False), (9, 4, "patroni_failover", None, 0, False, None, None, True), (10, 5, "patroni_restart", None, 0, False, None, None, False), (11, 5, "pg_restart", None, 0, True, None, None, False), (12, 6, "restore_kept_drop", None, 0, False, None, None, False), (13, 7, "backup_expire", None, 0, False, None, None, False), (14, 8, "geo_promote", None, 0, False, None, None, False), (15, 9, "ephemeral_install", None, 0, False, None, None, False), (16, 9, "restore_plan", None, 0, False, None, None, False),
+]
+HELD = [
+    (101, 1, "hba_restore", "queued", 0, False, None, None), (102, 2, "restore_object", "running", 1, False, "q1", None), (103, 2, "restore_promote", "queued", 0, False, "q2", None), (104, 3, "restore_database", "leased", 1, False, None, "copy"), (105, 4, "restore_db_swap", "running", 1, False, None, None), (106, 5, "archive_enable", "queued", 0, False, None, None), (107, 5, "restore_drill", "succeeded", 1, False, None, None),
+    (108, 6, "geo_demote", "queued", 0, False, None, None), (109, 7, "destination_migrate", "running", 1, True, None, None), (110, 8, "geo_archive_fallback", "running", 1, False, None, None), (111, 9, "ephemeral_install", "queued", 0, False, None, None), (112, 9, "backup_expire", "queued", 0, False, None, None), (113, 5, "restore_object", "queued", 2, False, "z", None),
+]
+
+
+def o4_all_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Each rule of the conflicts once or twice on a small table of its own."""
+    made = T.inline(spark, WORK, "request long, cluster_id long, type string, status string, attempts int, dry_run boolean, stage_db string, new_name string, forced boolean").drop("status", "attempts")
+    held = T.inline(spark, HELD, "id long, cluster_id long, type string, status string, attempts int, dry_run boolean, stage_db string, new_name string")
+    return operations.conflicts(made, held.withColumn("updated_at", F.col("id")))
+
+
+def o7_by_parameters(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    kinds = ["restore_database", "restore_instance", "restore_object", "restore_promote", "restore_apply_rows", "wal_retire_branch", "pg_restart", "restore_kept_drop", "checkpoint", "hba_apply"]
+    kind = F.element_at(F.array(*[F.lit(x) for x in kinds]), (k % 10 + 1).cast("int"))
+    params = {"dry_run": k % 4 == 0, "replace_original": k % 3 == 0, "replace_production": F.when(k % 5 != 0, k % 3 == 1), "keep_archiving": k % 7 == 0, "finish": F.when(k % 3 == 0, "promote").when(k % 3 == 1, "rows_all"), "promote_mode": F.when(k % 8 == 2, "replace").otherwise("as_new"), "mode": F.when(k % 4 == 3, "replace"), "rows": k % 8 == 4}
+    return T.table(spark, d, "orders").select("o_orderkey", operations.needs_approval(kind, k % 6 != 5, **params).alias("needed"))
+
+
 def _queue(spark: SparkSession, d: str) -> DataFrame:
     return T.operations(spark, d).withColumns({"lane": F.col("work"), "attempts": F.when(F.col("id") % 50 == 1, 6).otherwise(F.lit(0)), "submitted_at": F.col("updated_at") - 60_000_000, "ttl_seconds": F.col("id") % 100_000, "lease_until": F.col("updated_at") + 120_000_000})
 
@@ -262,6 +288,8 @@ SQL = {
     "o4_conflicts": f"""WITH {T.OPERATIONS}, a AS (SELECT * FROM operations WHERE id % 5 < 2 AND status IN ('queued', 'running')), m AS (SELECT n.id AS request, n.cluster_id, o.id AS with_id, o.updated_at AS t, CASE WHEN n.type IN ({_LIST(operations.SINGLE)}) AND o.type = n.type THEN 'singleton' WHEN n.type = 'backup_expire' AND o.type IN ({_LIST(operations.READERS)}) THEN 'reader' WHEN n.type IN ({_LIST(operations.READERS)}) AND o.type = 'backup_expire' THEN 'reader'
  WHEN n.type = 'pg_restart' AND o.type IN ({_LIST(operations.DATA_WORK)}) AND o.status <> 'queued' AND n.id % 2 <> 0 THEN 'interrupts' WHEN n.type IN ({_LIST(operations.DATA_WORK)}) AND o.type = 'pg_restart' THEN 'disrupted' END AS rule FROM operations n JOIN a o USING (cluster_id) WHERE n.status = 'failed')
  SELECT request, cluster_id, arg_min(with_id, (t, with_id)) AS with_id, arg_min(rule, (t, with_id)) AS rule, arg_min(rule, (t, with_id)) = 'interrupts' AS overridable FROM m WHERE rule IS NOT NULL GROUP BY 1, 2""",
+    "o4_all_rules": f"SELECT * FROM {_sql_rows([(1, 1, 101, 'group', False), (2, 1, 101, 'singleton', False), (3, 2, 102, 'stage', False), (5, 2, 103, 'stage', False), (6, 3, 104, 'name', False), (8, 4, 105, 'interrupts', True), (10, 5, 113, 'interrupts', True), (12, 6, 108, 'disrupted', False), (14, 8, 110, 'group', False), (15, 9, 111, 'singleton', False)], 'request, cluster_id, with_id, rule, overridable')}",
+    "o7_by_parameters": """SELECT o_orderkey, k % 6 <> 5 AND CASE k % 10 WHEN 0 THEN k % 3 = 0 WHEN 1 THEN k % 5 <> 0 AND k % 3 = 1 AND k % 4 <> 0 OR k % 7 = 0 WHEN 2 THEN k % 3 = 0 AND k % 8 = 2 OR k % 3 = 1 WHEN 3 THEN k % 4 = 3 WHEN 4 THEN k % 8 = 4 WHEN 5 THEN k % 4 <> 0 WHEN 6 THEN k % 4 <> 0 WHEN 7 THEN TRUE WHEN 8 THEN FALSE ELSE TRUE END AS needed FROM (SELECT o_orderkey, o_orderkey AS k FROM orders)""",
     "o5_admitted": f"WITH {T.OPERATIONS}, q AS (SELECT *, CASE WHEN id % 50 = 1 THEN 6 ELSE 0 END AS attempts FROM operations WHERE status = 'queued' OR id % 40 = 3), busy AS (SELECT DISTINCT cluster_id, work FROM q WHERE status = 'running' OR status = 'queued' AND attempts > 0) SELECT cluster_id, work AS lane, arg_min(id, (updated_at, id)) AS id FROM q ANTI JOIN busy USING (cluster_id, work) WHERE status = 'queued' AND attempts = 0 GROUP BY 1, 2",
     "o6_submissions": f"WITH {T.OPERATIONS} SELECT id % 3000 AS key, arg_min(id, (updated_at, id)) AS id, count(*) AS n, count(DISTINCT type) > 1 AS conflict FROM operations GROUP BY 1",
     "o7_approvals": f"WITH {T.OPERATIONS} SELECT id, cluster_id < 5 AND type = 'pg_restart' AS needed FROM operations",
