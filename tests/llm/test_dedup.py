@@ -199,6 +199,9 @@ def test_bit_planes(radius):
     q, v = simhash.within(values[:50], values, radius)
     want = {(i, j) for i in range(50) for j in range(333) if int(values[i] ^ values[j]).bit_count() <= radius}
     assert set(zip(q.tolist(), v.tolist(), strict=True)) == want
+    other = np.array([flipped(int(x)) if k % 3 else rng.getrandbits(64) for k, x in enumerate(values)], np.uint64)
+    assert simhash.near(values, other, radius).tolist() == [int(x ^ y).bit_count() <= radius for x, y in zip(values, other, strict=True)]
+    assert simhash.near(values[:1], values[:1] ^ np.uint64(255), radius).tolist() == [False]
 
 
 def test_large_groups_in_tiles(spark, monkeypatch):

@@ -74,11 +74,8 @@ def within(queries: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tup
     c0, c1, c2 = (np.zeros_like(over) for _ in range(3))
     for b in range(BITS):
         flip = np.where((queries[alive] >> np.uint64(b)) & np.uint64(1), high, np.uint64(0))
-        carry = planes[b] ^ flip[:, None]
-        c0, carry = c0 ^ carry, c0 & carry
-        c1, carry = c1 ^ carry, c1 & carry
-        c2, carry = c2 ^ carry, c2 & carry
-        over |= carry | _above(c0, c1, c2, radius)
+        c0, c1, c2, beyond = _counted(c0, c1, c2, planes[b] ^ flip[:, None], radius)
+        over |= beyond
         if b % STRIDE == STRIDE - 1:
             left = (~over).any(axis=1)
             if not left.all():
@@ -87,17 +84,40 @@ def within(queries: np.ndarray, values: np.ndarray, radius: int = RADIUS) -> tup
                 break
     if not len(alive):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
-    q, v = np.nonzero(near)
+    q, v = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
     return alive[q], v
 
 
-def _above(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, radius: int) -> np.ndarray:
-    """Where the three-bit count is above the radius."""
-    out = np.zeros_like(c0)
+def near(x: np.ndarray, y: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """Whether each of ``x`` is at most ``radius`` (up to 6) bits from the one of ``y`` in its place.
+
+    Many short pairs are counted like one long block, by the bit planes of their differences.
+    """
+    planes = planes_of(x ^ y)
+    alive = np.arange(planes.shape[1])
+    over = np.zeros(len(alive), np.uint64)
+    left = over.copy()
+    c0, c1, c2 = (over.copy() for _ in range(3))
+    for b in range(BITS):
+        c0, c1, c2, beyond = _counted(c0, c1, c2, planes[b, alive], radius)
+        left |= beyond
+        if b % STRIDE == STRIDE - 1:
+            over[alive] = left
+            stay = ~left != 0
+            alive, left, c0, c1, c2 = (v[stay] for v in (alive, left, c0, c1, c2))
+            if not len(alive):
+                break
+    return np.unpackbits((~over).view(np.uint8), bitorder="little")[: len(x)].astype(bool)
+
+
+def _counted(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, carry: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The three-bit counts after ``carry`` is added, and where they are above the radius or have overflowed."""
+    c0, carry = c0 ^ carry, c0 & carry
+    c1, carry = c1 ^ carry, c1 & carry
+    c2, carry = c2 ^ carry, c2 & carry
     for n in range(radius + 1, 8):
-        out |= (c0 if n & 1 else ~c0) & (c1 if n & 2 else ~c1) & (c2 if n & 4 else ~c2)
-    return out
+        carry = carry | (c0 if n & 1 else ~c0) & (c1 if n & 2 else ~c1) & (c2 if n & 4 else ~c2)
+    return c0, c1, c2, carry
 
 
 def forest(a: np.ndarray, b: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +187,10 @@ def links(distinct: DataFrame) -> DataFrame:
         sizes = np.diff(edges)
         out = []
         two = edges[:-1][sizes == 2]
-        if len(two):  # most groups are just one pair
+        if len(two):  # most groups are just one pair; all of them are counted at once
             x, y = values[two], values[two + 1]
-            near = np.bitwise_count(x ^ y) <= RADIUS
-            out.append((x[near], y[near]))
+            close = near(x, y)
+            out.append((x[close], y[close]))
         for a, b in zip(edges[:-1][sizes > 2], edges[1:][sizes > 2], strict=True):
             v, f = values[a:b], first[a:b]
             out.append(forest(v, None) if same[a] else forest(v[f], v[~f]))
