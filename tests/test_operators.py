@@ -51,9 +51,11 @@ def test_lines_that_report_nothing(spark):
         "rmgr: Database len: 1, tx: 7, lsn: 0/E, desc: CREATE copy dir 1663/4 to 1663/5",
         "rmgr: Database len: 1, tx: 7, lsn: 0/F, desc: DROP dir 1663/5",
         "rmgr: Heap len: 1, tx: 7, lsn: 0/10, desc: INSERT",
+        "rmgr: Database len: 1, tx: 7, lsn: 0/20, desc: DROP 1663/5 1664/5",
+        "rmgr: Database len: 1, tx: 7, lsn: 0/30, desc: DROP dir 1663/5 of 9/9",
     ]
     got = wal.parse_lines(spark.createDataFrame([(x,) for x in lines], "line string"))
-    assert [(r.lsn, r.xid, r.kind, r.nrels) for r in got.orderBy("lsn").collect()] == [("0/A", "7", "DROP", 2), ("0/D", "?", "CREATE TABLESPACE", 1), ("0/E", "?", "CREATE DATABASE", 1), ("0/F", "7", "DROP DATABASE", 1)]
+    assert [(r.lsn, r.xid, r.kind, r.nrels) for r in got.orderBy(F.length("lsn"), "lsn").collect()] == [("0/A", "7", "DROP", 2), ("0/D", "?", "CREATE TABLESPACE", 1), ("0/E", "?", "CREATE DATABASE", 1), ("0/F", "7", "DROP DATABASE", 1), ("0/20", "7", "DROP DATABASE", 2), ("0/30", "7", "DROP DATABASE", 1)]
     assert got.filter("kind = 'DROP'").first().rels[1].rel == "2"
 
 
@@ -213,3 +215,35 @@ def test_closures_have_no_limit_of_their_own(spark):
     edges = spark.range(27).selectExpr("id AS src", "id + 1 AS dst")
     roots = spark.createDataFrame([(0,)], "root long")
     assert graphs.closure(edges, roots).agg({"depth": "max"}).first()[0] == 27 and graphs.closure(edges, roots, 25).count() == 26
+
+
+def test_networks_of_both_families(spark):
+    import ipaddress
+
+    good = ["10.1.2.3", "10.1.2.3/17", "0.0.0.0/0", "::/0", "::1", "fe80::1:2/10", "2001:db8::/33", "2001:DB8:0:1:2:3:4:5/127", "1:2:3:4:5:6:7::", "2001:db8::ff/126", "::ffff:1/121"]
+    bad = ["host.example", "1::2::3", "1:2:3", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7:8::", "12345::", "::1/129", "10.0.0.256", "::g", "samenet", ":1", "1:"]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "address string")
+    got = {r.address: r.net for r in df.select("address", access.network(F.col("address")).alias("net")).collect()}
+    for x in good:
+        n = ipaddress.ip_network(x, strict=False)
+        digits = lambda a: f"{n.version}{int(a):0{n.max_prefixlen // 4}x}"  # noqa: B023, E731
+        assert tuple(got[x]) == (digits(n[0]), digits(n[-1]), n.prefixlen), x
+    assert [x for x in bad if got[x] is not None] == []
+
+
+def test_decisions_by_pattern_family_and_gss(spark):
+    rules = spark.createDataFrame([(1, 1, "hostgssenc", "all", "all", "all", "gss"), (1, 2, "host", "/^app_", "/^svc[0-9]+$", "2001:db8::/32", "scram"), (1, 3, "hostnogssenc", "all", "all", "10.0.0.0/8", "cert")], "server int, rule_no int, type string, database string, user string, address string, method string")
+    probes = spark.createDataFrame([(1, 1, "app_x", "svc7", "2001:db8::5", True, False), (1, 2, "app_x", "svc", "2001:db8::5", True, False), (1, 3, "y", "z", "10.9.9.9", True, False), (1, 4, "y", "z", "fe80::1", True, True), (1, 5, "y", "z", "fe80::1", True, None)], "server int, probe int, database string, user string, ip string, ssl boolean, gss boolean")
+    members = spark.createDataFrame([], "role string, user string")
+    assert rows(access.decisions(probes, rules, members), "probe", "method") == [(1, "scram"), (2, "refused"), (3, "cert"), (4, "gss"), (5, "refused")]
+
+
+def test_paths_and_times(spark):
+    from tidemark.functions import text
+
+    paths = {"db.s.t": ["db", "s", "t"], 'db."a.b".t': ["db", "a.b", "t"], '"x""y"': ['x"y'], "": [""], ".a": ["", "a"], "a..b": ["a", "", "b"], 'a"b.c': ['a"b', "c"], '"a"b': None, '"a': None, '"a""': None, '""."x"': ["", "x"], "a.": ["a", ""], '"a\n.b".c': ["a\n.b", "c"]}
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.s for r in df.select("p", text.split_path(F.col("p")).alias("s")).collect()} == paths
+    times = {"2026-07-26T16:34:11Z": ("2026-07-26 16:34:11+00", 1785083651000000), "2026-07-26 18:34:11+02": ("2026-07-26 18:34:11+02", 1785083651000000), "2026-07-26 16:34:11": (None, None), "2026-13-01 00:00:00 utc": (None, None), "2026-13-01 00:00:00 UTC": ("2026-13-01 00:00:00+00", None)}
+    df = spark.createDataFrame([(t,) for t in times], "t string")
+    assert {r.t: (r.a, r.b) for r in df.select("t", text.target_time(F.col("t")).alias("a"), text.target_micros(F.col("t")).alias("b")).collect()} == times

@@ -1,7 +1,8 @@
 """Ordered access rules: coverage, shadowing, order and decisions.
 
-``rules(rule_no, type, database, user, address, method)``; earlier rules win. IPv4 networks are numbers
-``lo`` to ``hi``; what an address covers may be unknown (host names), and then is null.
+``rules(rule_no, type, database, user, address, method)``; earlier rules win. Networks are texts ``lo`` to
+``hi``: ``4`` or ``6`` and the address in hexadecimal digits, so that those of one family compare as numbers
+and those of two never meet. What an address covers may be unknown (host names), and then is null.
 """
 
 from __future__ import annotations
@@ -12,8 +13,32 @@ from pyspark.sql import functions as F
 V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?:/(\d{1,2}))?$"
 
 
+GROUPS = r"(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})*)?"
+
+
+def _six(address: Column) -> Column:
+    """Struct of ``lo``, ``hi`` and ``prefix`` of an IPv6 network; null for anything else."""
+    host = F.lower(F.substring_index(address, "/", 1))
+    halves = F.split(host, "::")
+    groups = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+    digits = lambda half: F.array_join(F.transform(groups(half), lambda g: F.lpad(g, 4, "0")), "")
+    short = F.size(halves) == 2
+    behind = F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+    missing = 8 - F.size(groups(halves[0])) - F.size(groups(behind))
+    number = F.concat(digits(halves[0]), F.repeat(F.lit("0"), 4 * missing), digits(behind))
+    after = F.regexp_extract(address, r"/(\d{1,3})$", 1)
+    prefix = F.when(after == "", 128).otherwise(F.nullif(after, F.lit("")).cast("int"))
+    whole = F.floor(prefix / 4).cast("int")  # digits that the prefix fixes; the next one it fixes in part
+    span = F.pow(F.lit(2.0), 4 - prefix % 4).cast("int")
+    digit = F.conv(F.substring(number, whole + 1, F.lit(1)), 16, 10).cast("int")
+    end = lambda last, fill: F.concat(F.lit("6"), F.substring(number, F.lit(1), whole), F.when(whole < 32, F.lower(F.hex(last))).otherwise(""), F.repeat(F.lit(fill), 31 - whole))
+    low = digit - digit % span
+    valid = address.rlike(rf"^{GROUPS}(?:::{GROUPS})?(?:/\d{{1,3}})?$") & address.contains(":") & F.when(short, missing >= 1).otherwise(missing == 0) & (prefix <= 128)
+    return F.when(valid, F.struct(end(low, "0").alias("lo"), end(low + span - 1, "f").alias("hi"), prefix.alias("prefix")))
+
+
 def network(address: Column) -> Column:
-    """Struct of ``lo``, ``hi`` and ``prefix`` of an IPv4 network, of ``all`` as a whole; null for host names."""
+    """Struct of ``lo``, ``hi`` and ``prefix`` of an IPv4 or IPv6 network, of ``all`` as a whole; null for host names."""
     part = lambda i: F.regexp_extract(address, V4, i)
     octets = [F.nullif(part(i), F.lit("")).cast("long") for i in range(1, 5)]
     number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
@@ -21,8 +46,9 @@ def network(address: Column) -> Column:
     size = F.pow(F.lit(2.0), 32 - prefix).cast("long")
     low = number - F.pmod(number, size)
     valid = address.rlike(V4) & (F.greatest(*octets) <= 255) & (prefix <= 32)
-    whole = F.struct(F.lit(0).cast("long").alias("lo"), F.lit((1 << 32) - 1).alias("hi"), F.lit(0).alias("prefix"))
-    return F.when(F.coalesce(address, F.lit("")).isin("", "all"), whole).when(valid, F.struct(low.alias("lo"), (low + size - 1).alias("hi"), prefix.alias("prefix")))
+    digits = lambda n: F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0"))
+    whole = F.struct(F.lit("4").alias("lo"), F.lit("7").alias("hi"), F.lit(0).alias("prefix"))  # of both families
+    return F.when(F.coalesce(address, F.lit("")).isin("", "all"), whole).when(valid, F.struct(digits(low).alias("lo"), digits(low + size - 1).alias("hi"), prefix.alias("prefix"))).otherwise(_six(address))
 
 
 def tokens(text: Column) -> Column:
@@ -93,15 +119,19 @@ def decisions(probes: DataFrame, rules: DataFrame, members: DataFrame) -> DataFr
     """What happens to each probe (``server``, ``probe``, ``database``, ``user``, ``ip``, ``ssl``): the first certain match decides.
 
     An earlier rule that cannot be judged is passed over and makes the answer ``uncertain``. No match
-    is a refusal. ``members(role, user)`` resolves ``+role``.
+    is a refusal. ``members(role, user)`` resolves ``+role``; names that begin with ``/`` are
+    patterns, and one that is no regular expression fails the query.
+    Probes may tell ``gss`` (encrypted by GSSAPI), else they are not.
     """
     p = prepared(rules).withColumnRenamed("server", "r_server")
     known = members.groupBy("user").agg(F.collect_set(F.concat(F.lit("+"), F.col("role"))).alias("roles"))
     asked = probes.join(known, "user", "left").withColumns({"at": network(F.col("ip"))["lo"], "roles": F.coalesce("roles", F.array().cast("array<string>"))})
     db, user = F.col("p.database"), F.col("p.user")
-    kind = F.when(F.col("r.type") == "hostssl", F.col("p.ssl")).when(F.col("r.type") == "hostnossl", ~F.col("p.ssl")).otherwise(F.col("r.type") == "host")
-    on_db = F.when(db == "replication", F.array_contains("r.dbs", "replication")).otherwise(F.array_contains("r.dbs", "all") | F.array_contains("r.dbs", db) | (F.array_contains("r.dbs", "sameuser") & (db == user)))
-    on_user = F.array_contains("r.users", "all") | F.array_contains("r.users", user) | F.arrays_overlap("r.users", "p.roles")
+    gss = F.coalesce(F.col("p.gss"), F.lit(False)) if "gss" in probes.columns else F.lit(False)
+    kind = F.when(F.col("r.type") == "hostssl", F.col("p.ssl")).when(F.col("r.type") == "hostnossl", ~F.col("p.ssl")).when(F.col("r.type") == "hostgssenc", gss).when(F.col("r.type") == "hostnogssenc", ~gss).otherwise(F.col("r.type") == "host")
+    like = lambda names, value: F.exists(names, lambda t: F.when(t.startswith("/"), F.regexp_like(value, F.substring(t, F.lit(2), F.length(t)))).otherwise(False))
+    on_db = F.when(db == "replication", F.array_contains("r.dbs", "replication")).otherwise(F.array_contains("r.dbs", "all") | F.array_contains("r.dbs", db) | like(F.col("r.dbs"), db) | (F.array_contains("r.dbs", "sameuser") & (db == user)))
+    on_user = F.array_contains("r.users", "all") | F.array_contains("r.users", user) | like(F.col("r.users"), user) | F.arrays_overlap("r.users", "p.roles")
     on_net = F.when(F.col("r.net").isNull(), None).otherwise((F.col("p.at") >= F.col("r.net.lo")) & (F.col("p.at") <= F.col("r.net.hi")))
     match = kind & on_db & on_user & on_net
     met = asked.alias("p").join(p.alias("r"), (F.col("p.server") == F.col("r.r_server")) & F.coalesce(kind & on_db & on_user, F.lit(False)))
@@ -115,7 +145,7 @@ def problems(rules: DataFrame) -> DataFrame:
     """Errors of single rules and duplicates with the first of their kind (X2); rules may have ``options``."""
     same = ["server", "type", "database", "user", "address", "method", *[c for c in ["options"] if c in rules.columns]]
     first = F.min("rule_no").over(Window.partitionBy(*same))
-    wrong = F.when(~F.col("type").isin("local", "host", "hostssl", "hostnossl", "hostgssenc", "hostnogssenc"), "type").when((F.col("type") != "local") & (F.coalesce("address", F.lit("")) == ""), "address").when(F.col("address").rlike(r"^[\d.]+/\d+$") & network(F.col("address")).isNull(), "network").when(F.col("method") == "trust", "trust")
+    wrong = F.when(~F.col("type").isin("local", "host", "hostssl", "hostnossl", "hostgssenc", "hostnogssenc"), "type").when((F.col("type") != "local") & (F.coalesce("address", F.lit("")) == ""), "address").when(F.col("address").rlike(r"^[\d.]+/\d+$|^[0-9a-fA-F:]*:[0-9a-fA-F:]*(/\d+)?$") & network(F.col("address")).isNull(), "network").when(F.col("method") == "trust", "trust")
     return rules.withColumns({"problem": wrong, "first": first}).select("server", "rule_no", "problem", F.when(F.col("first") < F.col("rule_no"), F.col("first")).alias("duplicate_of")).filter("problem IS NOT NULL OR duplicate_of IS NOT NULL")
 
 

@@ -12,6 +12,26 @@ from .steps import cut
 CLASSES = ["missing_now", "added_since", "changed"]
 
 
+def row_keys(attributes: DataFrame, indexes: DataFrame) -> DataFrame:
+    """How the rows of each table are told apart (D2): its columns, and the key and where that comes from.
+
+    ``attributes(table, attnum, name, not_null, generated, identity, dropped)``; ``indexes(table, index,
+    is_primary, is_unique, valid, partial, keys)`` with ``keys`` the numbers of the attributes, 0 for an
+    expression. The primary key, else the narrowest whole unique index over columns that are never null;
+    else the key is null. Lists are those of one table's columns.
+    """
+    live = attributes.filter(~F.col("dropped"))
+    names = lambda shown: F.transform(F.array_sort(F.collect_list(F.when(shown, F.struct("attnum", "name")))), lambda x: x["name"])
+    columns = live.groupBy("table").agg(names(F.lit(True)).alias("columns"), names(F.col("generated")).alias("generated"), F.max(F.coalesce(F.col("identity") == "a", F.lit(False))).alias("identity_always"))
+    places = indexes.filter("is_primary OR (is_unique AND valid AND NOT partial AND NOT array_contains(keys, 0))").select("table", "index", "is_primary", F.posexplode("keys").alias("place", "attnum"))
+    met = places.join(live.select("table", "attnum", "name", "not_null"), ["table", "attnum"], "left").groupBy("table", "index", "is_primary")
+    held = met.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]).alias("key"), F.min(F.coalesce("not_null", F.lit(False))).alias("sure"))
+    rank = F.struct((~F.col("is_primary")).alias("second"), F.size("key").alias("width"), "index", "key")
+    best = held.filter("is_primary OR sure").groupBy("table").agg(F.min(rank).alias("best"))
+    source = F.when(F.col("best.second"), F.concat(F.lit("unique index "), F.col("best.index"))).when(~F.col("best.second"), "primary key")
+    return columns.join(best, "table", "left").select("table", "columns", "generated", "identity_always", F.col("best.key").alias("key"), source.alias("key_from"))
+
+
 def row_diff(restored: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
     """Each key with its ``class`` and the ``columns`` that differ.
 

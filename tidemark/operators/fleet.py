@@ -17,6 +17,27 @@ MIB, GIB = 1 << 20, 1 << 30
 RANKS = ["info", "warning", "critical"]
 
 
+def clock_skews(reports: DataFrame) -> DataFrame:
+    """How far the clock of each node is ahead of the console's, in milliseconds (ST5).
+
+    ``reports(node_id, agent_now, at_time)``: seconds as the node tells them, and microseconds here. The
+    newest report of a node that tells a time counts, on a tie the one further ahead.
+    """
+    skew = F.floor(F.col("agent_now") * 1000 - F.col("at_time") / 1000 + 0.5)
+    newest = reports.filter("agent_now IS NOT NULL AND NOT isnan(agent_now)").groupBy("node_id").agg(F.max(F.struct("at_time", skew.alias("skew"))).alias("x"))
+    return newest.select("node_id", F.col("x.skew").alias("skew_ms"))
+
+
+def host_digests(hosts: DataFrame, names: int = 12, warnings: int = 4) -> DataFrame:
+    """What a console keeps of each host's discovery (X19): the first distinct process names and the first warnings.
+
+    Names are cut at 20 characters before they are compared and warnings at 200; the limits are the feature.
+    """
+    short = lambda texts, size: F.transform(texts, lambda t: F.substring(F.trim(t), 1, size))
+    seen = F.array_distinct(F.filter(short(F.col("processes"), 20), lambda t: t != ""))
+    return hosts.select("host", F.slice(seen, 1, names).alias("processes"), F.slice(short(F.col("warnings"), 200), 1, warnings).alias("warnings"))
+
+
 def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in RANKS]), severity).cast("int")
 

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where a local session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that the session names; one of our own only where it names none."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

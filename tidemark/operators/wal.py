@@ -131,7 +131,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     after = F.when(is_commit, F.substring_index(line, "rels:", -1)).otherwise(F.substring_index(line, "desc:", -1))
     paths = F.arrays_zip(F.regexp_extract_all(after, F.lit(PATH), F.lit(1)).alias("db"), F.regexp_extract_all(after, F.lit(PATH), F.lit(2)).alias("rel"))
     copied = F.array(F.struct(F.regexp_extract(after, r"copy dir (\d+)/(\d+) to (\d+)/(\d+)", 2).alias("db"), F.regexp_extract(after, r"copy dir (\d+)/(\d+) to (\d+)/(\d+)", 4).alias("rel")))
-    dropped = F.transform(F.regexp_extract_all(after, F.lit(r"(\d+)/(\d+)"), F.lit(2)), lambda d: F.struct(d.alias("db"), F.lit("").alias("rel")))
+    told = F.regexp_extract(after, r"dir\s+(\d+)/(\d+)", 2)
+    dropped = F.transform(F.when(told != "", F.array(told)).otherwise(F.regexp_extract_all(after, F.lit(r"(\d+)/(\d+)"), F.lit(2))), lambda d: F.struct(d.alias("db"), F.lit("").alias("rel")))
     spaced = F.array(F.struct(F.regexp_extract(line, r'desc: CREATE (\d+) "', 1).alias("db"), F.lit("").alias("rel")))
     kind = F.when(is_commit, "DROP").when(is_file, "CREATE").when(is_space, "CREATE TABLESPACE").when(is_copy, "CREATE DATABASE").when(is_drop, "DROP DATABASE")
     rels = F.when(is_commit | is_file, paths).when(is_space, spaced).when(is_copy, copied).when(is_drop, dropped)

@@ -9,6 +9,20 @@ from ..operators import diff
 from . import testbed as T
 
 
+def d2_row_keys(spark: SparkSession, d: str) -> DataFrame:
+    part = T.table(spark, d, "part").select(F.col("p_partkey").alias("table"))
+    kind = F.col("table") % 4
+    sure = F.col("table") % 8 < 4
+    no, yes = F.lit(False), F.lit(True)
+    attribute = lambda k, name, not_null, generated, identity, dropped: F.struct(F.lit(k).alias("attnum"), F.lit(name).alias("name"), not_null.alias("not_null"), generated.alias("generated"), identity.alias("identity"), dropped.alias("dropped"))
+    index = lambda name, primary, partial, *keys: F.struct(F.lit(name).alias("index"), primary.alias("is_primary"), yes.alias("is_unique"), yes.alias("valid"), partial.alias("partial"), F.array(*[F.lit(k) for k in keys]).alias("keys"))
+    found = F.array(attribute(1, "id", yes, no, F.when(F.col("table") % 3 == 0, "a"), no), attribute(2, "code", sure, no, F.lit(None).cast("string"), no), attribute(3, "total", no, yes, F.lit(None).cast("string"), F.col("table") % 5 == 0))
+    wide, by_code, by_id = index("by_all", no, no, 1, 2), index("by_code", no, no, 2), index("by_id", no, no, 1)
+    held = F.when(kind == 0, F.array(index("pk", yes, no, 2, 1), by_id)).when((kind == 1) & sure, F.array(wide, by_code)).when(kind == 1, F.array(wide, by_code, by_id)).when(kind == 2, F.array(index("some", no, yes, 1))).otherwise(F.array(index("lower", no, no, 0)))
+    keys = diff.row_keys(part.select("table", F.inline(found)), part.select("table", F.inline(held)))
+    return keys.select("table", F.array_join("columns", ",").alias("columns"), F.array_join("generated", ",").alias("generated"), "identity_always", F.array_join("key", ",").alias("key"), "key_from")
+
+
 def _restored(spark: SparkSession, d: str) -> DataFrame:
     return T.table(spark, d, "orders").filter("o_orderkey % 17 <> 0").select("o_orderkey", "o_custkey", T.cents("o_totalprice").alias("price"), "o_orderstatus")
 
@@ -122,5 +136,7 @@ SQL = {
     "d13_merge_duplicates": f"WITH {_DUPLICATES} SELECT * FROM m WHERE id <> keeper",
     "d13_repointed": f"WITH {_DUPLICATES} SELECT o_orderkey, keeper AS cluster_id FROM orders JOIN m ON m.id = o_custkey",
     "d6_promotion_plan": "SELECT p_partkey AS name, CASE WHEN p_partkey % 3 <> 0 THEN 'create' WHEN p_size % 5 = 0 THEN 'skip' ELSE 'swap' END AS action, p_partkey % 3 = 0 AND p_size % 5 = 0 AS warning FROM part",
+    "d2_row_keys": """SELECT p_partkey AS "table", CASE WHEN p_partkey % 5 = 0 THEN 'id,code' ELSE 'id,code,total' END AS columns, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'total' END AS generated, p_partkey % 3 = 0 AS identity_always,
+ CASE WHEN p_partkey % 4 = 0 THEN 'code,id' WHEN p_partkey % 4 = 1 THEN CASE WHEN p_partkey % 8 < 4 THEN 'code' ELSE 'id' END END AS key, CASE WHEN p_partkey % 4 = 0 THEN 'primary key' WHEN p_partkey % 4 = 1 THEN CASE WHEN p_partkey % 8 < 4 THEN 'unique index by_code' ELSE 'unique index by_id' END END AS key_from FROM part""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -170,6 +170,20 @@ def protection(spark: SparkSession, d: str) -> DataFrame:
     return fleet.protection(_clusters(spark), fleet.cluster_findings(_clusters(spark), NOW))
 
 
+def st5_clock_skews(spark: SparkSession, d: str) -> DataFrame:
+    at = T.micros("ts")
+    told = F.when(F.col("event_id") % 4 > 0, at / 1e6 + (F.col("event_id") % 100) / 8.0)
+    return fleet.clock_skews(T.table(spark, d, "events").select(F.col("user_id").alias("node_id"), at.alias("at_time"), told.alias("agent_now")))
+
+
+def x19_host_digests(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    names = F.transform(F.sequence(F.lit(0), (key % 30).cast("int")), lambda k: F.when(k % 5 == 4, "").otherwise(F.concat(F.lit("process-"), (k % 17).cast("string"))))
+    told = F.transform(F.sequence(F.lit(1), (key % 6 + 1).cast("int")), lambda k: F.concat(F.lit("w"), k.cast("string")))
+    hosts = T.table(spark, d, "customer").select(key.alias("host"), names.alias("processes"), told.alias("warnings"))
+    return fleet.host_digests(hosts).select("host", F.array_join("processes", ",").alias("processes"), F.array_join("warnings", ",").alias("warnings"))
+
+
 def w16_recovery_points(spark: SparkSession, d: str) -> DataFrame:
     return fleet.recovery_points(_clusters(spark), NOW)
 
@@ -291,5 +305,8 @@ SQL = {
     "sk1_exposition": "SELECT 'fleet_size{brand=\"' || p_brand || '\",name=\"' || p_name || '\\\"\\\\' || CAST(p_partkey AS VARCHAR) || '\"} ' || CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) || '.5' ELSE CAST(p_size AS VARCHAR) END AS line FROM part WHERE p_partkey % 10 > 1",
     "cluster_status": f"""WITH {_NODES}, l AS (SELECT cluster_id, arg_min(lsn, node_id) AS lead FROM nodes WHERE up AND NOT in_recovery GROUP BY 1), r AS (SELECT n.cluster_id, up, coalesce(dcs_role, CASE WHEN sync_state = 'sync' THEN 's' END, CASE WHEN NOT in_recovery THEN 'primary' END, '') = 'primary' AS p, coalesce(reported_lag, CASE WHEN in_recovery AND lead IS NOT NULL THEN greatest(0, lead - lsn) END) AS lag FROM nodes n LEFT JOIN l ON l.cluster_id = n.cluster_id),
  e AS (SELECT cluster_id, count(*) AS nodes, count(*) FILTER (up) AS up, count(*) FILTER (p AND up) AS leads, max(lag) AS worst_lag FROM r GROUP BY 1) SELECT *, CASE WHEN up = 0 THEN 'down' WHEN leads = 0 OR up < nodes OR coalesce(worst_lag > 67108864, FALSE) THEN 'degraded' ELSE 'healthy' END AS status FROM e""",
+    "st5_clock_skews": "SELECT user_id AS node_id, arg_max(CAST((event_id % 100) * 125 AS BIGINT), ts) AS skew_ms FROM events WHERE event_id % 4 > 0 GROUP BY 1",
+    "x19_host_digests": """WITH p AS (SELECT DISTINCT c_custkey AS host, unnest(range(0, c_custkey % 30 + 1)) AS k FROM customer), f AS (SELECT host, k % 17 AS m, min(k) AS k FROM p WHERE k % 5 <> 4 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY k) AS n FROM f)
+ SELECT host, string_agg('process-' || CAST(m AS VARCHAR), ',' ORDER BY k) AS processes, array_to_string(['w1', 'w2', 'w3', 'w4'][1:least(4, host % 6 + 1)], ',') AS warnings FROM r WHERE n <= 12 GROUP BY host""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -49,7 +49,46 @@ def st11_sustained(spark: SparkSession, d: str) -> DataFrame:
     return stateful.drained(stateful.sustained(_events(spark, d).select((F.col("user_id") % 30).alias("pair"), T.micros("ts").alias("at_time"), F.when(F.col("event_type") != "view", F.col("event_id") % 6 != 0).alias("lost")), 4 * T.HOUR), "sustained")
 
 
+def st2_presence(spark: SparkSession, d: str) -> DataFrame:
+    return stateful.drained(stateful.presence(_events(spark, d).select(F.col("user_id").alias("node_id"), T.micros("ts").alias("at_time")), 12 * T.HOUR), "presence")
+
+
+def st11_confirmed(spark: SparkSession, d: str) -> DataFrame:
+    lost = F.when(F.col("event_type") != "view", F.col("event_id") % 6 != 0)
+    return stateful.drained(stateful.confirmed(_events(spark, d).select((F.col("user_id") % 30).alias("pair"), T.micros("ts").alias("at_time"), lost.alias("lost")), 4 * T.HOUR), "confirmed")
+
+
+def _numbered(key: str, more: str) -> str:
+    """Rows of the events table by key, numbered in the order of their times."""
+    return f"e AS (SELECT {key}, epoch_us(ts) AS tm, {more}, row_number() OVER (PARTITION BY {key.split(' AS ')[0]} ORDER BY ts) AS n FROM events)"
+
+
+#: A timer rings if it falls due before the watermark, ten seconds behind the newest event, in whole milliseconds.
+CLOCK = "(SELECT max(epoch_us(ts)) // 1000 - 10000 FROM events)"
 SQL = {
+    "st2_presence": f"""WITH s AS (SELECT user_id AS node_id, epoch_us(ts) AS tm, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM events), g AS (SELECT *, tm + {12 * T.HOUR} AS due FROM s)
+ SELECT node_id, due AS at_time, 'offline' AS event FROM g WHERE due < after OR (after IS NULL AND due // 1000 + 1 <= {CLOCK}) UNION ALL SELECT node_id, after, 'online' FROM g WHERE due < after""",
+    "st11_confirmed": f"""WITH e AS (SELECT user_id % 30 AS pair, epoch_us(ts) AS t, coalesce(event_type <> 'view' AND event_id % 6 <> 0, FALSE) AS l FROM events), g AS (SELECT *, sum(CASE WHEN l THEN 0 ELSE 1 END) OVER (PARTITION BY pair ORDER BY t) AS run FROM e),
+ s AS (SELECT pair, run, min(t) FILTER (l) + {4 * T.HOUR} AS due FROM g GROUP BY pair, run), n AS (SELECT *, (SELECT min(t) FROM g WHERE g.pair = s.pair AND g.run = s.run + 1) AS broken FROM s)
+ SELECT pair, due AS at_time FROM n WHERE due < broken OR (broken IS NULL AND due // 1000 + 1 <= {CLOCK})""",
+    "st4_restarts": f"""WITH RECURSIVE {_numbered("user_id % 50 AS node_id", "event_id % 40 AS own")}, f AS (SELECT node_id, n, own AS started, tm AS seen, tm, CAST(NULL AS VARCHAR) AS event FROM e WHERE n = 1
+ UNION ALL SELECT node_id, n, CASE WHEN event = 'duplicate' THEN started ELSE own END, CASE WHEN event = 'duplicate' THEN seen ELSE tm END, tm, event FROM (
+  SELECT e.node_id, e.n, e.own, e.tm, f.started, f.seen, CASE WHEN e.own = f.started THEN NULL WHEN e.own > f.started OR e.tm - f.seen > 90000000 THEN 'restart' ELSE 'duplicate' END AS event FROM f JOIN e ON e.node_id = f.node_id AND e.n = f.n + 1))
+ SELECT node_id, tm AS at_time, event FROM f WHERE event IS NOT NULL""",
+    "st8_notifications": f"""WITH RECURSIVE {_numbered("user_id % 40 AS key", "CASE event_type WHEN 'error' THEN 2 WHEN 'view' THEN 1 WHEN 'click' THEN 0 END AS r")},
+ f AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS since, CAST(-1 AS BIGINT) AS gone, CAST(-1 AS BIGINT) AS sent, -1 AS rank, CAST(0 AS BIGINT) AS tm, CAST(NULL AS VARCHAR) AS event, CAST(NULL AS INTEGER) AS r FROM e
+ UNION ALL SELECT key, n, CASE WHEN r IS NOT NULL AND sent < 0 AND event IS NULL THEN s ELSE -1 END, CASE WHEN r IS NULL AND sent >= 0 AND event IS NULL THEN g ELSE -1 END,
+  CASE WHEN event = 'resolved' THEN -1 WHEN event IS NOT NULL THEN tm ELSE sent END, CASE WHEN event = 'resolved' THEN -1 WHEN event IS NOT NULL THEN r WHEN sent < 0 THEN coalesce(r, -1) ELSE rank END, tm, event, r FROM (
+  SELECT *, CASE WHEN r IS NOT NULL AND sent < 0 AND (r = 2 OR tm - s >= 120000000) THEN 'opened' WHEN r IS NOT NULL AND sent >= 0 AND r > rank THEN 'worse' WHEN r IS NOT NULL AND sent >= 0 AND tm - sent >= 86400000000 THEN 'reminder'
+   WHEN r IS NULL AND sent >= 0 AND tm - g >= 300000000 THEN 'resolved' END AS event FROM (
+   SELECT e.key, e.n, e.tm, e.r, f.sent, f.rank, CASE WHEN f.since < 0 THEN e.tm ELSE f.since END AS s, CASE WHEN f.gone < 0 THEN e.tm ELSE f.gone END AS g FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1)))
+ SELECT key, tm AS at_time, event, CASE WHEN event <> 'resolved' THEN ['info', 'warning', 'critical'][r + 1] END AS severity FROM f WHERE event IS NOT NULL""",
+    "st10_reports": f"""WITH RECURSIVE {_numbered("event_id % 700 AS op", "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' WHEN 'view' THEN 'running' WHEN 'signup' THEN 'expired' ELSE 'leased' END AS said")},
+ f AS (SELECT DISTINCT op, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS tm, CAST(NULL AS VARCHAR) AS report, CAST(NULL AS VARCHAR) AS verdict, 'queued' AS status, 0 AS attempts FROM e
+ UNION ALL SELECT op, n, tm, said, CASE WHEN said = 'leased' THEN 'accepted' WHEN final THEN CASE WHEN status = said OR (status = 'cancelled' AND said = 'failed') THEN 'accepted' ELSE 'refused' END WHEN early THEN 'refused' ELSE 'accepted' END,
+  CASE WHEN said = 'leased' THEN CASE WHEN status = 'queued' THEN 'leased' ELSE status END WHEN final OR early THEN status ELSE said END, attempts + CASE WHEN said = 'leased' AND status = 'queued' THEN 1 ELSE 0 END FROM (
+  SELECT e.op, e.n, e.tm, e.said, f.status, f.attempts, f.status IN ('succeeded', 'failed', 'expired', 'cancelled') AND NOT (f.status = 'expired' AND f.attempts > 0) AS final, e.said = 'running' AND f.status = 'queued' AND f.attempts = 0 AS early FROM f JOIN e ON e.op = f.op AND e.n = f.n + 1))
+ SELECT op, tm AS at_time, report, verdict, status FROM f WHERE n > 0""",
     "st2_outages": f"WITH s AS (SELECT user_id AS node_id, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS from_time, epoch_us(ts) AS to_time FROM events) SELECT * FROM s WHERE to_time - from_time > {12 * T.HOUR}",
     "st3_rates": """WITH s AS (SELECT user_id AS node_id, epoch_us(ts) AS at_time, CASE WHEN event_id % 20 = 0 THEN 0 ELSE event_id * 100 END AS total FROM events), l AS (SELECT *, (at_time - lag(at_time) OVER w) / 1000000 AS s, total - lag(total) OVER w AS m FROM s WINDOW w AS (PARTITION BY node_id ORDER BY at_time))
  SELECT node_id, at_time, CASE WHEN m >= 0 AND s > 0 THEN floor(m / s * 10 + 0.5) / 10 END AS rate FROM l""",
@@ -57,4 +96,4 @@ SQL = {
     "st11_sustained": f"""WITH e AS (SELECT user_id % 30 AS pair, epoch_us(ts) AS t, event_id, coalesce(event_type <> 'view' AND event_id % 6 <> 0, FALSE) AS l FROM events), g AS (SELECT *, sum(CASE WHEN l THEN 0 ELSE 1 END) OVER (PARTITION BY pair ORDER BY t) AS run FROM e),
  s AS (SELECT *, min(t) FILTER (l) OVER (PARTITION BY pair, run) AS since FROM g) SELECT pair, min(t) AS at_time FROM s WHERE l AND t - since >= {4 * T.HOUR} GROUP BY pair, run""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "st4_restarts", "st8_notifications", "st10_reports"]}
+QUERIES = {name: globals()[name] for name in SQL}

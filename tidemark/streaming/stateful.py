@@ -7,20 +7,23 @@ so that a replay gives the same rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.steps import shared_dir
+
 #: Microseconds of silence before a node is offline, and that a finding must last, or be gone, to be told.
 OFFLINE, OPEN_AFTER, RESOLVE_AFTER, REMIND_AFTER = 45_000_000, 120_000_000, 300_000_000, 24 * 3_600_000_000
 RANKS = {"info": 0, "warning": 1, "critical": 2}
 TERMINAL = {"succeeded", "failed", "expired", "cancelled"}
 Step = Callable[[tuple, Any], tuple[tuple, list[tuple]]]
+Ring = Callable[[tuple, int], tuple[tuple, list[tuple]]]
 
 
 def keyed(stream: DataFrame, key: str, order: list[str], start: tuple, state: str, output: str, step: Step) -> DataFrame:
@@ -41,6 +44,42 @@ def keyed(stream: DataFrame, key: str, order: list[str], start: tuple, state: st
     return stream.groupBy(key).applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
+def timed(stream: DataFrame, key: str, order: list[str], start: tuple, state: str, output: str, step: Step, due: Callable[[tuple], int | None], ring: Ring, delay: str) -> DataFrame:
+    """Like ``keyed``, with a timer: at the time that ``due`` gives for a state (None: never), ``ring`` is called with it.
+
+    The clock is that of the events: a row of its key or, for keys that are silent, the watermark,
+    which follows the newest ``at_time`` by ``delay``. Cuts into micro-batches change no row that is told.
+    """
+
+    def fold(name: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.get if held.exists else start
+        columns = [c.strip().split(" ")[0] for c in output.split(",")]
+        out: list[tuple] = []
+
+        def ringing(before: int) -> None:
+            nonlocal now
+            while (at := due(now)) is not None and at < before:
+                now, told = ring(now, at)
+                out.extend((name[0], *x) for x in told)
+
+        if not held.hasTimedOut:
+            for row in pd.concat(list(frames)).sort_values(order, kind="stable").itertuples(index=False):
+                ringing(int(row.at_time))
+                now, told = step(now, row)
+                out.extend((name[0], *x) for x in told)
+        clock = held.getCurrentWatermarkMs()
+        ringing(clock * 1000)
+        held.update(now)
+        at = due(now)
+        if at is not None:
+            held.setTimeoutTimestamp(max(at // 1000, clock) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
+
+    clocked = stream.withColumn("clock", F.timestamp_micros("at_time")).withWatermark("clock", delay)
+    return clocked.groupBy(key).applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def rates(stream: DataFrame) -> DataFrame:
     """Rate of each sample of a counter (ST3): null for the first one, after a reset or without time between."""
 
@@ -64,6 +103,25 @@ def outages(stream: DataFrame, silence: int = OFFLINE) -> DataFrame:
     return keyed(stream, "node_id", ["at_time"], (-1,), "last long", "node_id long, from_time long, to_time long", step)
 
 
+def presence(stream: DataFrame, silence: int = OFFLINE, delay: str = "10 seconds") -> DataFrame:
+    """Nodes that fall silent and are heard again (ST2), told when it happens: ``node_id``, ``at_time``, ``event``.
+
+    A node is ``offline`` once it has been silent for ``silence``, whether or not it is ever heard again.
+    """
+
+    def step(state: tuple, row: Any) -> tuple[tuple, list[tuple]]:
+        at = int(row.at_time)
+        return (max(at, state[0]), False), [(at, "online")] if state[1] else []
+
+    def due(state: tuple) -> int | None:
+        return None if state[0] < 0 or state[1] else state[0] + silence
+
+    def ring(state: tuple, at: int) -> tuple[tuple, list[tuple]]:
+        return (state[0], True), [(at, "offline")]
+
+    return timed(stream, "node_id", ["at_time"], (-1, False), "last long, told boolean", "node_id long, at_time long, event string", step, due, ring, delay)
+
+
 def restarts(stream: DataFrame) -> DataFrame:
     """Restarts and duplicates of a node's agent (ST4): a later start is a restart, an earlier one a second agent.
 
@@ -158,11 +216,27 @@ def sustained(stream: DataFrame, confirm: int = 30_000_000) -> DataFrame:
     return keyed(stream, "pair", ["at_time"], (-1, False), "since long, told boolean", "pair long, at_time long", step)
 
 
+def confirmed(stream: DataFrame, confirm: int = 30_000_000, delay: str = "10 seconds") -> DataFrame:
+    """``sustained``, told at the very time the confirmation falls due, not with the next row (ST11)."""
+
+    def step(state: tuple, row: Any) -> tuple[tuple, list[tuple]]:
+        if row.lost is None or pd.isna(row.lost) or not row.lost:
+            return (-1, False), []
+        return (int(row.at_time) if state[0] < 0 else state[0], state[1]), []
+
+    def due(state: tuple) -> int | None:
+        return None if state[0] < 0 or state[1] else state[0] + confirm
+
+    def ring(state: tuple, at: int) -> tuple[tuple, list[tuple]]:
+        return (state[0], True), [(at,)]
+
+    return timed(stream, "pair", ["at_time"], (-1, False), "since long, told boolean", "pair long, at_time long", step, due, ring, delay)
+
+
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """All that a stream over files gives now, written to the shared folder and read back."""
     spark: SparkSession = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    path = f"{base.rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
