@@ -247,3 +247,46 @@ def test_paths_and_times(spark):
     times = {"2026-07-26T16:34:11Z": ("2026-07-26 16:34:11+00", 1785083651000000), "2026-07-26 18:34:11+02": ("2026-07-26 18:34:11+02", 1785083651000000), "2026-07-26 16:34:11": (None, None), "2026-13-01 00:00:00 utc": (None, None), "2026-13-01 00:00:00 UTC": ("2026-13-01 00:00:00+00", None)}
     df = spark.createDataFrame([(t,) for t in times], "t string")
     assert {r.t: (r.a, r.b) for r in df.select("t", text.target_time(F.col("t")).alias("a"), text.target_micros(F.col("t")).alias("b")).collect()} == times
+
+
+def test_runs_over_the_edges_of_stretches(spark):
+    e = wal.STRETCH
+    numbers = [0, 1, 5, *range(e - 3, e), e, e + 1, *range(2 * e - 2, 3 * e + 2), 4 * e - 1, 4 * e + 1]
+    df = spark.createDataFrame([(k, n) for k in (1, 2) for n in numbers], "tli int, segno long")
+    got = rows(wal.islands(df, ["tli"], "segno").filter("tli = 2"), "first", "last", "n")
+    assert got == [(0, 1, 2), (5, 5, 1), (e - 3, e + 1, 5), (2 * e - 2, 3 * e + 1, e + 4), (4 * e - 1, 4 * e - 1, 1), (4 * e + 1, 4 * e + 1, 1)]
+    cut = rows(wal.windows(df, 4).filter(f"tli = 1 AND first < {e + 2}"), "first", "last", "n")
+    assert cut == [(0, 1, 2), (5, 5, 1), (e - 3, e, 4), (e + 1, e + 1, 1)]
+    assert wal.windows(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("ends", [[10], [10, 25], [16, 25], [20, 9], [0]])
+def test_holes_of_a_path_over_timelines(spark, ends):
+    """Against a plain loop over numbers; segments of 4 bytes, so that forks fall inside segments and at their starts."""
+    size, held = 4, {(t, n) for t in range(1, 5) for n in range(12) if (t * 7 + n * n) % 3}
+    history = [(len(ends) + 1, t + 1, e) for t, e in enumerate(ends)]
+    for floor in (0, 3):
+        got = wal.cross_timeline_gaps(spark.createDataFrame(sorted(held), "tli int, segno long"), spark.createDataFrame(history, "tli int, ancestor int, end_lsn long"), floor, size)
+        first, spans = 0, []
+        for t, e in enumerate(ends):
+            spans.append((t + 1, first, e // size - (e % size == 0)))
+            first = e // size
+        latest = len(ends) + 1
+        lo = max(floor, min(n for t, n in held if t <= latest))
+        hi = max(n for t, n in held if t == latest)
+        spans.append((latest, first, hi))
+        missing = {}
+        for n in range(lo, hi + 1):
+            on = [t for t, a, b in spans if a <= n <= b]
+            if on and not any((t, n) in held for t in on):
+                missing[n] = min(on)
+        found = {n: r.tli for r in got.collect() for n in range(r.missing_from, r.missing_to + 1)}
+        assert found == missing
+
+
+def test_first_holes_of_a_chain(spark):
+    s = spark.createDataFrame([(1, n) for n in (3, 4, 7)] + [(2, 5)], "tli int, segno long")
+    chain = spark.createDataFrame([(1,)], "tli int")
+    assert rows(wal.chain_holes(chain, s, 2, 9)) == [(1, n) for n in (2, 5, 6, 8, 9)]
+    assert rows(wal.chain_holes(chain, s, 2, 9, most=3)) == [(1, 2), (1, 5), (1, 6)]
+    assert rows(wal.chain_holes(chain, s.limit(0), 2, 9)) == []

@@ -76,16 +76,29 @@ def cross_timeline_gaps(segments: DataFrame, history: DataFrame, floor: int = 0,
     latest = span.agg(F.max("tli").alias("latest"))
     bounds = on_way.join(latest).agg(F.greatest(F.min("segno"), F.lit(floor)).alias("lo"), F.max(F.when(F.col("tli") == F.col("latest"), F.col("segno"))).alias("hi"))
     wanted = span.join(bounds).select("tli", F.greatest("first", "lo").alias("a"), F.least(F.coalesce("last", "hi"), "hi").alias("b")).filter("a <= b")
-    each = wanted.select("tli", F.explode(F.sequence("a", "b")).alias("segno"))
-    seen = each.join(have.withColumn("there", F.lit(True)), ["tli", "segno"], "left")
-    missing = seen.groupBy("segno").agg(F.min("tli").alias("tli"), F.max(F.coalesce("there", F.lit(False))).alias("there")).filter("NOT there")
-    return islands(missing, ["tli"], "segno").select("tli", F.col("first").alias("missing_from"), F.col("last").alias("missing_to"), F.col("n").alias("missing"))
+    # Where spans overlap, at a fork inside a segment, the hole is the older timeline's.
+    before = F.max("b").over(Window.partitionBy(F.lit(0)).orderBy("tli").rowsBetween(Window.unboundedPreceding, -1))
+    owned = wanted.withColumn("from", F.greatest("a", before + 1))
+    ends = owned.filter("from <= b").select("tli", F.explode(F.array(F.col("from") - 1, F.col("b") + 1)).alias("segno"))
+    owners = owned.filter("from <= b").agg(F.array_sort(F.collect_list(F.struct("tli", "from", "b"))).alias("owners"))
+    inside = have.join(wanted, "tli").filter("segno BETWEEN a AND b").join(owners)
+    held = inside.select(F.filter("owners", lambda o: F.col("segno").between(o["from"], o["b"]))[0]["tli"].alias("tli"), "segno")
+    return gaps(held.unionByName(ends), -1)
 
 
 def islands(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
-    """Runs of consecutive distinct numbers within ``keys``: ``first``, ``last``, ``n``."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(number))
-    return rows.select(*keys, number, (F.col(number) - place).alias("__run")).groupBy(*keys, "__run").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n")).drop("__run")
+    """Runs of consecutive distinct numbers within ``keys``: ``first``, ``last``, ``n``.
+
+    As in ``gaps`` stretches are looked through apart; only runs at their edges meet again.
+    """
+    within, along = Window.partitionBy(*keys, "__stretch").orderBy(number), Window.partitionBy(*keys).orderBy("first")
+    placed = rows.select(*keys, F.col(number).cast("long").alias(number)).withColumn("__stretch", F.floor(F.col(number) / STRETCH))
+    run = placed.withColumn("__run", F.col(number) - F.row_number().over(within)).groupBy(*keys, "__stretch", "__run").agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    at_edge = (F.pmod("first", F.lit(STRETCH)) == 0) | (F.pmod("last", F.lit(STRETCH)) == STRETCH - 1)
+    new = F.coalesce(F.col("first") != F.lag("last").over(along) + 1, F.lit(True))
+    joined = run.filter(at_edge).withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(along)).groupBy(*keys, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    whole = run.filter(~at_edge).select(*keys, "first", "last").unionByName(joined.select(*keys, "first", "last"))
+    return whole.withColumn("n", F.col("last") - F.col("first") + 1)
 
 
 def branch_tails(segments: DataFrame, history: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -109,10 +122,10 @@ def covers(intervals: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def windows(segments: DataFrame, most: int = 8) -> DataFrame:
     """Runs of consecutive segments cut at ``most``: ``tli``, ``first``, ``last``, ``n`` (SC3, W5)."""
-    place = F.row_number().over(Window.partitionBy("tli").orderBy("segno"))
-    run = segments.select("tli", "segno").distinct().select("tli", "segno", (F.col("segno") - place).alias("run"))
-    piece = F.floor((F.row_number().over(Window.partitionBy("tli", "run").orderBy("segno")) - 1) / most)
-    return run.withColumn("piece", piece).groupBy("tli", "run", "piece").agg(F.min("segno").alias("first"), F.max("segno").alias("last"), F.count("*").alias("n")).drop("run", "piece")
+    run = islands(segments.select("tli", "segno").distinct(), ["tli"], "segno").drop("n")
+    cut = run.select("tli", "last", F.explode(F.sequence("first", "last", F.lit(most).cast("long"))).alias("first"))
+    each = cut.select("tli", "first", F.least(F.col("first") + (most - 1), "last").alias("last"))
+    return each.withColumn("n", F.col("last") - F.col("first") + 1)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -244,11 +257,13 @@ def first_hole(segments: DataFrame, after: int, upto: int) -> DataFrame:
 def chain_holes(chain: DataFrame, segments: DataFrame, lo: int, upto: int, most: int = 1000) -> DataFrame:
     """Numbers of ``lo`` to ``upto`` that exist under no timeline of ``chain``, the first ``most`` (X10); none if the archive is empty."""
     spark = chain.sparkSession
-    have = segments.join(chain.select("tli").distinct(), "tli", "left_semi").select("segno").distinct()
-    tli = chain.agg(F.min("tli").alias("tli"))
-    wanted = spark.range(lo, upto + 1).select(F.col("id").alias("segno"))
-    missing = wanted.join(have, "segno", "left_anti").join(F.broadcast(tli))
-    return missing.join(F.broadcast(segments.select(F.lit(True).alias("any")).limit(1))).select("tli", "segno").orderBy("segno").limit(most)
+    have = segments.join(chain.select("tli").distinct(), "tli", "left_semi").filter(F.col("segno").between(lo, upto)).select(F.lit(0).alias("tli"), "segno")
+    ends = spark.createDataFrame([(0, lo - 1), (0, upto + 1)], "tli int, segno long")
+    # Every hole has a number, so the first ones suffice.
+    hole = gaps(have.unionByName(ends), lo - 1).orderBy("missing_from").limit(most)
+    each = hole.select(F.explode(F.sequence("missing_from", F.least("missing_to", F.col("missing_from") + (most - 1)))).alias("segno"))
+    missing = each.join(chain.agg(F.min("tli").alias("tli")))
+    return missing.join(segments.select(F.lit(True).alias("any")).limit(1)).select("tli", "segno").orderBy("segno").limit(most)
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
