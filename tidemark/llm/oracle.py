@@ -18,3 +18,11 @@ HOST_RULES = rf"""WITH {_WORDS}, l AS (SELECT doc_id, list_filter(string_split(t
  p AS (SELECT rate, CASE WHEN between_ > 0 THEN least(1e6, greatest(1, rate * (1 - rate) / between_ - 1)) ELSE 1e6 END AS weight FROM v), r AS (SELECT source, n, weight, (bad + rate * weight) / (n + weight) AS host_rate FROM h, p),
  x AS (SELECT source, host_rate - 2 * sqrt(host_rate * (1 - host_rate) / (n + weight + 1)) > 0.5 AS rejected FROM r)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(rejected, FALSE) AS host_rejected, NOT base_failed AND NOT coalesce(rejected, FALSE) AS kept FROM b LEFT JOIN x USING (source)"""
+
+FILL_IN_MIDDLE = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ x AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM x),
+ p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""

@@ -81,9 +81,35 @@ def op2_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_event_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(_table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_automaton_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digests, transform
+
+    return digests(transform(_table(spark, sf_dir, "documents")))
+
+
+def op13_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import records
+    from .common import new_path, shuffles_dropped
+
+    vocabulary_file, path = public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "records")
+    with shuffles_dropped(spark):
+        records.write(records.encode(_table(spark, sf_dir, "documents"), vocabulary_file), path, records.width_of(vocabulary_file))
+    return records.read(spark, path, ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_index": oracle.SUBSTRINGS, "op5_host_rules": oracle.HOST_RULES}
+    return {"op1_substring_index": oracle.SUBSTRINGS, "op5_host_rules": oracle.HOST_RULES, "op12_automaton_scan": oracle.FILL_IN_MIDDLE}
