@@ -393,6 +393,30 @@ def test_leaks_of_all_lengths(length):
         assert sorted({x[4] for x in hits})[:1] == ([least] if fits else [])
 
 
+def test_many_rows_items_and_bands_at_once():
+    """Rows, items, bands and places whose product is beyond 64 bits: planted copies are found as they are alone."""
+    rng = np.random.default_rng(4)
+    words = ["".join(x) for x in rng.choice(list("abcdefghijklmnop"), (4000, 5))]
+    some = lambda n: " ".join(words[k] for k in rng.integers(0, len(words), n))
+    items = [some(10) for _ in range(60_000)] + [some(8000)]
+    planted = {12_000: 59_998, 30_000: 7}
+    texts = [some(6) for _ in range(30_001)] + [some(300_000)]
+    for row, item in planted.items():
+        texts[row] = f"{some(3)} {items[item]} {some(3)}"
+    raw = [t.encode() for t in texts]
+    offsets = np.append(0, np.cumsum([len(x) for x in raw]))
+    known = decontaminate.Items(list(range(len(items))), [x.encode() for x in items])
+    assert len(texts) * len(items) * (2 * len(raw[-1]) // 2 + 50_000) * 48_000 > 1 << 63
+    hits = known.hits(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    assert {r: i for r, i, *_, e in hits if e == 0} == planted
+
+
+def test_repeated_items_count_once(spark):
+    table = spark.createDataFrame([(1, "some item of a benchmark")] * 3 + [(2, "some item of a benchmark")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "here is some item of a benchmark")], "doc_id long, text string")
+    assert sorted(r.item_id for r in decontaminate.matches(docs, table).collect()) == [1, 2]
+
+
 def test_rows_are_judged_alone(spark, docs, rows):
     """Null, repeated and shared ids, a long text, columns whose names clash: each row goes by its own text."""
     item = "the quick brown fox jumps over the lazy dog again and again"

@@ -130,18 +130,22 @@ class Items:
         item, local = of_item[pick], at - offsets[row]
         diagonal = local - of_place[pick]
         width = 2 * self.edits[item] + 2
-        items, places = len(self.ids), int(self.length.max())
-        bands = int((diagonal.max() + 2 * places) // 2) + places + 2
+        items = len(self.ids)
+        pair = row * items + item  # rows and items are far below 2^31 each; bands and places are sorted beside them, so that no product overflows
         for half in (0, 1):  # each band has the one that starts at its middle beside it
-            band = (diagonal + half * (width // 2)) // width + places
-            keys = np.sort(((row * items + item) * bands + band) * places + of_place[pick])
-            keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] // places  # a q-gram of the item counts once in a band
-            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-            keys, many = keys[edges[:-1]], np.diff(edges)
-            for key in keys[many >= self.least[keys // bands % items]].tolist():
-                i = key // bands % items
+            band = (diagonal + half * (width // 2)) // width
+            order = np.lexsort((of_place[pick], band, pair))
+            p, b, at_place = pair[order], band[order], of_place[pick][order]
+            new_band = np.concatenate([[True], (p[1:] != p[:-1]) | (b[1:] != b[:-1])])
+            once = new_band | np.concatenate([[True], at_place[1:] != at_place[:-1]])  # a q-gram of the item counts once in a band
+            begins = np.flatnonzero(new_band)
+            shared = np.add.reduceat(once.astype(np.int64), begins)
+            p, b = p[begins], b[begins]
+            enough = shared >= self.least[p % items]
+            for key, k in zip(p[enough].tolist(), b[enough].tolist(), strict=True):
+                r, i = divmod(key, items)
                 w = 2 * int(self.edits[i]) + 2
-                found.add((key // bands // items, i, (key % bands - places) * w - half * (w // 2), w))
+                found.add((r, i, k * w - half * (w // 2), w))
         return found
 
     def _words(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -256,8 +260,8 @@ def align(item: np.ndarray, text: np.ndarray, first: int, width: int) -> tuple[i
 
 
 def _passes(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Ids and texts of the items, at most about ``PASS_BYTES`` at a time."""
-    items = benchmark.select(benchmark[item_id].cast("long").alias("item_id"), benchmark[item_text].cast("binary").alias("item")).filter(F.col("item").isNotNull())
+    """Ids and texts of the items, each once, at most about ``PASS_BYTES`` at a time."""
+    items = benchmark.select(benchmark[item_id].cast("long").alias("item_id"), benchmark[item_text].cast("binary").alias("item")).filter(F.col("item").isNotNull()).distinct()
     passes = 1 + int((items.agg(F.sum(F.octet_length("item")).alias("n")).first().n or 0) // PASS_BYTES)
     for k in range(passes):
         chosen = items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(passes)) == k).toArrow()
