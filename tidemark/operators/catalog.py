@@ -46,15 +46,17 @@ def page_digest(pages: DataFrame) -> DataFrame:
     return pages.groupBy("object").agg(F.sort_array(F.collect_list(F.struct("page_no", F.md5("data").alias("m")))).alias("p")).select("object", F.md5(F.array_join(F.transform("p", lambda x: x["m"]), "")).alias("digest"))
 
 
-def table_fingerprint(rows: DataFrame, buckets: int = 4096) -> DataFrame:
-    """One row: md5 over all rows whatever their order, and their count.
+def table_fingerprint(rows: DataFrame) -> DataFrame:
+    """One row: a digest of all rows whatever their order, and their count.
 
-    Rows (``body``) are dealt out by the first hex digits of their md5; each bucket's sorted md5s are
-    digested apart, then the buckets' digests. The number of buckets is part of the definition.
+    Each row (``body``) counts by its md5 as four numbers of 32 bits, which are added up apart: sums that
+    tasks and executors can make in any order and any parts. The digest is that of the four sums, exact
+    below 2^63 rows; equal rows count as often as they are there.
     """
-    digits = len(f"{buckets - 1:x}")
-    each = rows.select(F.md5(F.coalesce("body", F.lit(""))).alias("m")).groupBy(F.substring("m", 1, digits).alias("b")).agg(F.md5(F.array_join(F.sort_array(F.collect_list("m")), "")).alias("m"), F.count("*").alias("n"))
-    return each.agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat("b", "m"))), "")).alias("fingerprint"), F.sum("n").alias("n"))
+    m = F.md5(F.coalesce("body", F.lit("")))
+    lane = lambda k: F.sum(F.conv(F.substring("m", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{k}")
+    sums = rows.select(m.alias("m")).agg(*[lane(k) for k in range(4)], F.count("*").alias("n"))
+    return sums.select(F.md5(F.concat_ws(",", *[F.coalesce(f"s{k}", F.lit(0)).cast("string") for k in range(4)])).alias("fingerprint"), "n")
 
 
 def roles(owners: DataFrame, grants: DataFrame) -> DataFrame:

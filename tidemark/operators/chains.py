@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import as_of, difference
 from .steps import cut
+from .wal import islands
 
 #: Dead share of a pack's bytes that makes it worth rewriting, and hours that a new pack is left alone.
 REPACK_SHARE, YOUNG_HOURS = 0.25, 48
 #: Seconds between a target and the end of a set that is not full; days that a set may wait for its log.
 MARGIN, GRACE_DAYS = 2, 7
+#: Bytes of log that one bucket of an as-of choice spans.
+WIDTH = 1 << 36
 JUNK = ["FAILED", "UNRECOVERABLE", "RUNNING", "PENDING_WAL", "EXPIRING"]
 #: Pages of a relation segment and of a chunk.
 SEGMENT_PAGES, CHUNK_PAGES = 131_072, 128
@@ -79,29 +83,55 @@ def overlay(chunks: DataFrame, members: DataFrame) -> DataFrame:
     return usable.groupBy("stanza", "rel", "offset").agg(F.max_by(F.struct("set_id", "hash", "len"), "chain_pos").alias("from"), F.count("*").alias("versions")).select("stanza", "rel", "offset", "from.*", "versions")
 
 
-def choose_sets(targets: DataFrame, sets: DataFrame, margin: int = MARGIN) -> DataFrame:
+def choose_sets(targets: DataFrame, sets: DataFrame, margin: int = MARGIN, width: int = WIDTH) -> DataFrame:
     """For each target (``stanza``, ``target``) the newest good set that had ended by then.
 
     A set that is not full must have ended ``margin`` before, since its end is only known to the
-    second. Sets and targets are sorted together once; they are never paired.
+    second. Sets and targets are never paired, and one stanza's are spread over buckets of ``width``.
     """
-    ready = sets.filter("status = 'COMPLETE'").select("stanza", (F.col("stop_pos") + F.when(F.col("type") == "full", 0).otherwise(margin)).alias("when"), F.struct("stop_pos", "id").alias("set"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("target"))
-    asked = targets.select("stanza", F.col("target").alias("when"), F.lit(None).cast("struct<stop_pos:bigint,id:bigint>").alias("set"), F.lit(1).alias("side"), "target")
-    along = Window.partitionBy("stanza").orderBy("when", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return ready.unionByName(asked).withColumn("set", F.max("set").over(along)).filter("side = 1").select("stanza", "target", F.col("set.id").alias("set_id"))
+    ready = sets.filter("status = 'COMPLETE'").select("stanza", (F.col("stop_pos") + F.when(F.col("type") == "full", 0).otherwise(margin)).alias("when"), F.struct("stop_pos", "id").alias("value"))
+    return as_of(targets.select("stanza", F.col("target").alias("when")), ready, ["stanza"], width).select("stanza", F.col("when").alias("target"), F.col("value.id").alias("set_id"))
+
+
+def choose_by_target(targets: DataFrame, sets: DataFrame, margin: int = MARGIN, day: int = 86_400, width: int = WIDTH) -> DataFrame:
+    """The set that a recovery starts from, for targets of every kind (J3): ``target``, ``stanza``, ``set_id``, ``problem``.
+
+    ``targets(target, stanza, kind, value)``: ``time`` (seconds), ``lsn`` (a position), ``xid`` (``value``: a
+    position that its commit is known not to lie before, or null), ``name`` (a named restore point) or
+    ``latest``. The newest good set that had ended by then is taken; by time one that is not full needs
+    ``margin`` seconds more. A transaction without a position and a named point cannot be placed among
+    sets, so only the newest full one is safe. A transaction before every set falls back to that too.
+    """
+    good = sets.filter("status = 'COMPLETE'")
+    key = F.struct("stop_pos", "id")
+    ends = lambda when: good.select("stanza", when.alias("when"), key.alias("value"))
+    asked = targets.select("stanza", F.col("value").alias("when"), "target", "kind")
+    timed = as_of(asked.filter("kind = 'time' AND when IS NOT NULL"), ends(F.col("ended") + F.when(F.col("type") == "full", 0).otherwise(margin)), ["stanza"], day)
+    placed = as_of(asked.filter("kind IN ('lsn', 'xid') AND when IS NOT NULL"), ends(F.col("stop_pos")), ["stanza"], width)
+    others = asked.filter("kind IN ('name', 'latest') OR when IS NULL").withColumn("value", F.lit(None).cast("struct<stop_pos:bigint,id:bigint>"))
+    newest = good.groupBy("stanza").agg(F.max(key).alias("any"), F.max(F.when(F.col("type") == "full", key)).alias("full"))
+    found = timed.unionByName(placed).unionByName(others).join(newest, "stanza", "left")
+    unplaced = F.col("kind").isin("xid", "name")
+    chosen = F.when(F.col("value").isNotNull(), F.col("value")).when(unplaced, F.col("full")).when((F.col("kind") == "latest") | F.col("when").isNull(), F.col("any"))
+    problem = F.when(F.col("any").isNull(), "no backup").when(chosen.isNotNull(), None).when(unplaced, "no full backup").otherwise("earlier than every backup")
+    return found.select("target", "stanza", chosen["id"].alias("set_id"), problem.alias("problem"))
 
 
 def missing_segments(sets: DataFrame, segments: DataFrame) -> DataFrame:
     """Segments from ``first`` to ``last`` of each set that are not there under its timeline."""
-    need = sets.select("id", "tli", F.explode(F.sequence("first", "last")).alias("segno"))
-    return need.join(segments.select("tli", "segno").distinct(), ["tli", "segno"], "left_anti")
+    holes = difference(sets.select("id", "tli", F.col("first").alias("lo"), F.col("last").alias("hi")), islands(segments.select("tli", "segno").distinct(), ["tli"], "segno"), ["id", "tli"], ["tli"])
+    return holes.select("tli", F.explode(F.sequence("first", "last")).alias("segno"), "id")
+
+
+def uncovered_runs(stanza: DataFrame, segments: DataFrame) -> DataFrame:
+    """``stanza``, ``first``, ``last``: the runs from a chain's ``lo`` to ``hi`` that exist under none of its timelines (``tlis``)."""
+    wanted = stanza.select("stanza", F.explode("tlis").alias("tli"), "lo", "hi")
+    return difference(wanted, islands(segments.select("tli", "segno").distinct(), ["tli"], "segno"), ["stanza"], ["tli"])
 
 
 def uncovered(stanza: DataFrame, segments: DataFrame) -> DataFrame:
-    """Numbers from a chain's ``lo`` to ``hi`` that exist under none of its timelines (``tlis``)."""
-    need = stanza.select("stanza", "tlis", F.explode(F.sequence("lo", "hi")).alias("segno"))
-    there = need.select("stanza", "segno", F.explode("tlis").alias("tli")).join(segments.select("tli", "segno").distinct(), ["tli", "segno"], "left_semi")
-    return need.select("stanza", "segno").join(there.select("stanza", "segno"), ["stanza", "segno"], "left_anti")
+    """The numbers of ``uncovered_runs``; rows are made for what is missing alone."""
+    return uncovered_runs(stanza, segments).select("stanza", F.explode(F.sequence("first", "last")).alias("segno"))
 
 
 def retention(sets: DataFrame, now: int, keep_full: int, days: int, pinned: DataFrame) -> DataFrame:

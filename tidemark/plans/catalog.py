@@ -44,7 +44,7 @@ def g19_page_digest(spark: SparkSession, d: str) -> DataFrame:
 
 def g20_table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     o = T.table(spark, d, "orders")
-    return catalog.table_fingerprint(o.select(F.concat_ws("|", F.col("o_orderkey").cast("string"), T.cents("o_totalprice").cast("string"), "o_orderstatus").alias("body")), 256)
+    return catalog.table_fingerprint(o.select(F.concat_ws("|", F.col("o_orderkey").cast("string"), T.cents("o_totalprice").cast("string"), "o_orderstatus").alias("body")))
 
 
 def r12_roles(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +110,8 @@ SQL = {
     "f10_search": f"WITH {_RELATIONS}, h AS (SELECT *, lower(name) LIKE '%red%' OR lower(schema) LIKE '%red%' AS hit FROM rel) SELECT oid, schema, name, EXISTS (SELECT 1 FROM h p WHERE p.parent = h.oid AND p.hit) AS by_partition FROM h WHERE parent IS NULL AND (hit OR EXISTS (SELECT 1 FROM h p WHERE p.parent = h.oid AND p.hit))",
     "l2_largest": f"WITH {_RELATIONS} SELECT oid, size, (SELECT count(*) FROM rel) > 30 AS truncated FROM rel ORDER BY size DESC, oid LIMIT 30",
     "g19_page_digest": "WITH p AS (SELECT l_suppkey AS object, l_orderkey AS n, md5(CAST(sum(l_linenumber) AS VARCHAR)) AS m FROM lineitem GROUP BY 1, 2) SELECT object, md5(string_agg(m, '' ORDER BY n)) AS digest FROM p GROUP BY 1",
-    "g20_table_fingerprint": """WITH r AS (SELECT md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), o_orderstatus)) AS m FROM orders), b AS (SELECT left(m, 2) AS b, md5(string_agg(m, '' ORDER BY m)) AS m, count(*) AS n FROM r GROUP BY 1)
- SELECT md5(string_agg(b || m, '' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b""",
+    "g20_table_fingerprint": """WITH r AS (SELECT md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR), o_orderstatus)) AS m FROM orders)
+ SELECT md5(concat_ws(',', sum(CAST('0x' || m[1:8] AS BIGINT)), sum(CAST('0x' || m[9:16] AS BIGINT)), sum(CAST('0x' || m[17:24] AS BIGINT)), sum(CAST('0x' || m[25:32] AS BIGINT)))) AS fingerprint, count(*) AS n FROM r""",
     "r12_roles": "SELECT c_mktsegment AS role FROM customer WHERE c_custkey % 3 = 0 UNION SELECT 'role_' || CAST(c_custkey % 40 AS VARCHAR) FROM customer",
     "r5_view_closure": f"""WITH RECURSIVE {_VIEWS}, w AS (SELECT p_partkey AS root, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey % 40 = 11 UNION SELECT root, dst, depth + 1 FROM w JOIN e ON e.src = w.node WHERE depth < 25) SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2""",
     "r6_levels": "WITH RECURSIVE e AS (SELECT p_partkey AS src, unnest([p_partkey // 2, p_partkey // 3]) AS dst FROM part WHERE p_partkey > 0), w AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey = 0 UNION SELECT src, level + 1 FROM w JOIN e ON e.dst = w.node) SELECT node, max(level) AS level FROM w GROUP BY 1",

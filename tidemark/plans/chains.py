@@ -11,6 +11,7 @@ from . import testbed as T
 #: Day 11323 is 2001-01-01.
 NOW = 11_323 * 86400
 KEEP, DAYS = 2, 700
+KINDS = ["time", "lsn", "xid", "xid", "name", "latest"]
 
 
 def _parents(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +46,16 @@ def r2_chain_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 def j3_choose_set(spark: SparkSession, d: str) -> DataFrame:
     targets = T.table(spark, d, "customer").select(F.col("c_custkey").alias("stanza"), ((10_000 + F.col("c_custkey") % 1000) * 1000 + 7).alias("target"))
-    return chains.choose_sets(targets, T.backup_sets(spark, d))
+    return chains.choose_sets(targets, T.backup_sets(spark, d), width=100_000)
+
+
+def j3_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Targets of every kind: instants, positions, transactions with and without a position, named points, the latest."""
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*[F.lit(x) for x in KINDS]), (k % 6 + 1).cast("int"))
+    value = F.when(k % 6 == 0, (10_000 + k % 1000) * 86400 + 7).when(k % 6 < 3, (10_000 + k % 1000) * 1000 + 7)
+    targets = T.table(spark, d, "customer").select(k.alias("target"), k.alias("stanza"), kind.alias("kind"), value.alias("value"))
+    return chains.choose_by_target(targets, T.backup_sets(spark, d), day=100 * 86400, width=100_000)
 
 
 def _needs(spark: SparkSession, d: str) -> DataFrame:
@@ -57,15 +67,21 @@ def j4_missing_segments(spark: SparkSession, d: str) -> DataFrame:
     return chains.missing_segments(_needs(spark, d), T.segments(spark, d))
 
 
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    return _needs(spark, d).filter("tli < 2").groupBy("stanza").agg(F.collect_set("tli").alias("tlis"), F.min("first").alias("lo"), F.max("last").alias("hi"))
+
+
 def j4_uncovered(spark: SparkSession, d: str) -> DataFrame:
-    chain = _needs(spark, d).filter("tli < 2").groupBy("stanza").agg(F.collect_set("tli").alias("tlis"), F.min("first").alias("lo"), F.least(F.max("last"), F.min("first") + 50).alias("hi"))
-    return chains.uncovered(chain, T.segments(spark, d))
+    return chains.uncovered(_ranges(spark, d), T.segments(spark, d))
 
 
 def j4_uncovered_all(spark: SparkSession, d: str) -> DataFrame:
-    """J4 over all of each chain's range; ``j4_uncovered`` and its SQL stop 50 segments after the first."""
-    chain = _needs(spark, d).filter("tli < 2").groupBy("stanza").agg(F.collect_set("tli").alias("tlis"), F.min("first").alias("lo"), F.max("last").alias("hi"))
-    return chains.uncovered(chain, T.segments(spark, d))
+    """The name under which J4 over the whole range was kept apart while ``j4_uncovered`` stopped early."""
+    return j4_uncovered(spark, d)
+
+
+def j4_uncovered_runs(spark: SparkSession, d: str) -> DataFrame:
+    return chains.uncovered_runs(_ranges(spark, d), T.segments(spark, d)).select("stanza", F.col("first").alias("from_seg"), F.col("last").alias("to_seg"))
 
 
 def _based(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +190,8 @@ def g13_database_sets(spark: SparkSession, d: str) -> DataFrame:
     return chains.database_sets(T.backup_sets(spark, d).select((F.col("id") % 300).alias("db"), F.col("stanza").alias("set_no"), "bytes").groupBy("db", "set_no").agg(F.max("bytes").alias("size")))
 
 
+_UNCOVERED = f"""{T.SETS}, {T.SEGMENTS}, n AS (SELECT stanza, CAST(id % 3 AS INTEGER) AS tli, id % 700 + {T.FIRST} AS a, id % 700 + {T.FIRST} + id % 4 AS b FROM sets WHERE id % 3 < 2), c AS (SELECT stanza, list(DISTINCT tli) AS tlis, min(a) AS lo, max(b) AS hi FROM n GROUP BY 1),
+ e AS (SELECT stanza, tlis, unnest(range(lo, hi + 1)) AS segno FROM c), u AS (SELECT stanza, segno FROM e WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.segno = e.segno AND list_contains(e.tlis, s.tli)))"""
 SQL = {
     "r1_parent_chains": f"""WITH RECURSIVE {_PARENTS}, c AS (SELECT id, id AS at_id, parent, type, 1 AS length, CAST(NULL AS VARCHAR) AS problem FROM p UNION ALL
  SELECT c.id, q.id, q.parent, q.type, c.length + 1, CASE WHEN q.status <> 'COMPLETE' THEN 'incomplete' END FROM c JOIN p q ON q.id = c.parent WHERE c.problem IS NULL),
@@ -183,11 +201,15 @@ SQL = {
  SELECT stanza, rel, "offset" AS at_offset, arg_max(set_id, chain_pos) AS set_id, arg_max(hash, chain_pos) AS hash, arg_max(len, chain_pos) AS len, count(*) AS versions FROM pl SEMI JOIN fl USING (stanza, rel) WHERE NOT whole OR chain_pos = chain_size GROUP BY ALL""",
     "j3_choose_set": f"""WITH {T.SETS}, t AS (SELECT c_custkey AS stanza, (10000 + c_custkey % 1000) * 1000 + 7 AS target FROM customer)
  SELECT t.stanza, target, arg_max(id, (stop_pos, id)) AS set_id FROM t LEFT JOIN sets s ON s.stanza = t.stanza AND status = 'COMPLETE' AND stop_pos + CASE WHEN type = 'full' THEN 0 ELSE 2 END <= target GROUP BY ALL""",
+    "j3_targets": f"""WITH {T.SETS}, t AS (SELECT c_custkey AS k, {KINDS}[CAST(c_custkey % 6 + 1 AS INTEGER)] AS kind, CASE WHEN c_custkey % 6 = 0 THEN (10000 + c_custkey % 1000) * 86400 + 7 WHEN c_custkey % 6 < 3 THEN (10000 + c_custkey % 1000) * 1000 + 7 END AS value FROM customer),
+ g AS (SELECT * FROM sets WHERE status = 'COMPLETE'), n AS (SELECT stanza, arg_max(id, (stop_pos, id)) AS newest, arg_max(id, (stop_pos, id)) FILTER (type = 'full') AS newest_full FROM g GROUP BY 1),
+ f AS (SELECT k, arg_max(g.id, (g.stop_pos, g.id)) AS id FROM t JOIN g ON g.stanza = k AND value IS NOT NULL AND CASE WHEN kind = 'time' THEN ended + CASE WHEN type = 'full' THEN 0 ELSE 2 END ELSE stop_pos END <= value GROUP BY 1),
+ c AS (SELECT k, kind, newest, CASE WHEN f.id IS NOT NULL THEN f.id WHEN kind IN ('xid', 'name') THEN newest_full WHEN kind = 'latest' THEN newest END AS set_id FROM t LEFT JOIN n ON n.stanza = k LEFT JOIN f USING (k))
+ SELECT k AS target, k AS stanza, set_id, CASE WHEN newest IS NULL THEN 'no backup' WHEN set_id IS NOT NULL THEN NULL WHEN kind IN ('xid', 'name') THEN 'no full backup' ELSE 'earlier than every backup' END AS problem FROM c""",
     "j4_missing_segments": f"WITH {T.SETS}, {T.SEGMENTS}, n AS (SELECT id, CAST(id % 3 AS INTEGER) AS tli, unnest(range(id % 700 + {T.FIRST}, id % 700 + {T.FIRST} + id % 4 + 1)) AS segno FROM sets) SELECT * FROM n ANTI JOIN segments USING (tli, segno)",
-    "j4_uncovered": f"""WITH {T.SETS}, {T.SEGMENTS}, n AS (SELECT stanza, CAST(id % 3 AS INTEGER) AS tli, id % 700 + {T.FIRST} AS a, id % 700 + {T.FIRST} + id % 4 AS b FROM sets WHERE id % 3 < 2), c AS (SELECT stanza, list(DISTINCT tli) AS tlis, min(a) AS lo, least(max(b), min(a) + 50) AS hi FROM n GROUP BY 1),
- e AS (SELECT stanza, tlis, unnest(range(lo, hi + 1)) AS segno FROM c) SELECT stanza, segno FROM e WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.segno = e.segno AND list_contains(e.tlis, s.tli))""",
-    "j4_uncovered_all": f"""WITH {T.SETS}, {T.SEGMENTS}, n AS (SELECT stanza, CAST(id % 3 AS INTEGER) AS tli, id % 700 + {T.FIRST} AS a, id % 700 + {T.FIRST} + id % 4 AS b FROM sets WHERE id % 3 < 2), c AS (SELECT stanza, list(DISTINCT tli) AS tlis, min(a) AS lo, max(b) AS hi FROM n GROUP BY 1),
- e AS (SELECT stanza, tlis, unnest(range(lo, hi + 1)) AS segno FROM c) SELECT stanza, segno FROM e WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.segno = e.segno AND list_contains(e.tlis, s.tli))""",
+    "j4_uncovered": f"WITH {_UNCOVERED} SELECT * FROM u",
+    "j4_uncovered_all": f"WITH {_UNCOVERED} SELECT * FROM u",
+    "j4_uncovered_runs": f"WITH {_UNCOVERED} SELECT stanza, min(segno) AS from_seg, max(segno) AS to_seg FROM (SELECT *, segno - row_number() OVER (PARTITION BY stanza ORDER BY segno) AS run FROM u) GROUP BY stanza, run",
     "w11_retention": f"WITH {_RETENTION} SELECT stanza, id, verdict FROM verdicts",
     "w11_log_floor": f"WITH {_RETENTION} SELECT stanza, min(started) AS floor FROM verdicts WHERE verdict IN ('keep', 'pinned') AND status = 'COMPLETE' GROUP BY 1",
     "j13_sibling_floors": f"WITH {T.SETS}, f AS (SELECT stanza, min(started) AS floor, stanza % 40 AS system FROM sets GROUP BY 1) SELECT system, stanza, (SELECT min(floor) FROM f g WHERE g.system = f.system AND g.stanza <> f.stanza) AS sibling_floor FROM f",
