@@ -48,3 +48,16 @@ def test_fingerprint_of_any_parts(spark):
     assert one == catalog.table_fingerprint(rows.orderBy(F.desc("body")).repartition(7)).collect()
     assert one != catalog.table_fingerprint(rows.union(rows.limit(1))).collect() != catalog.table_fingerprint(rows.union(rows.limit(2))).collect()
     assert catalog.table_fingerprint(rows.limit(0)).collect()[0].n == 0
+
+
+def test_trees_with_keys_of_two_columns(spark):
+    """A table that refers to itself by two columns: what goes anyway is no victim, a null part refers to nothing."""
+    from tidemark.operators import diff
+
+    people = [(1, 1, None), (1, 2, 1), (1, 3, 2), (1, 4, 2), (2, 1, None), (2, 2, 1), (1, 5, None), (1, 6, 7), (1, 7, 6)]
+    tables = {"person": spark.createDataFrame(people, "org long, id long, boss long"), "desk": spark.createDataFrame([(1, 3), (2, 2), (1, None), (None, 4), (1, 7)], "of_org long, of_id long")}
+    keys = [("person", ["org", "boss"], "person", ["org", "id"], "cascade"), ("desk", ["of_org", "of_id"], "person", ["org", "id"], "set_default")]
+    effects = lambda gone: sorted(map(tuple, diff.delete_effects(tables, keys, "person", tables["person"].filter(gone)).collect()))
+    assert effects("org = 1 AND id = 1") == [(1, "person", "cascade", 1), (2, "person", "cascade", 2), (3, "desk", "set_default", 1)]
+    assert effects("org = 1 AND id <= 2") == [(1, "person", "cascade", 2), (2, "desk", "set_default", 1)]
+    assert effects("id = 7") == [(1, "desk", "set_default", 1), (1, "person", "cascade", 1)]

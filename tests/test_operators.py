@@ -290,3 +290,59 @@ def test_first_holes_of_a_chain(spark):
     assert rows(wal.chain_holes(chain, s, 2, 9)) == [(1, n) for n in (2, 5, 6, 8, 9)]
     assert rows(wal.chain_holes(chain, s, 2, 9, most=3)) == [(1, 2), (1, 5), (1, 6)]
     assert rows(wal.chain_holes(chain, s.limit(0), 2, 9)) == []
+
+
+def test_a_faulty_pattern_makes_only_its_own_rule_unknown(spark):
+    schema = "server int, rule_no int, type string, database string, user string, address string, method string"
+    rules = spark.createDataFrame([(1, 1, "host", "/[a", "all", "all", "trust"), (1, 2, "host", "/^app[0-9]$", "all", "all", "scram"), (2, 1, "host", "all", "/web(", "all", "md5"), (3, 1, "host", "app1", "web,/(", "all", "cert")], schema)
+    probes = spark.createDataFrame([(1, 1, "app1", "web", "10.0.0.1", False), (1, 2, "other", "web", "10.0.0.1", False), (2, 3, "x", "web", "10.0.0.1", False), (3, 4, "app1", "web", "10.0.0.1", False), (3, 5, "no", "web", "10.0.0.1", False)], "server int, probe int, database string, user string, ip string, ssl boolean")
+    got = rows(access.decisions(probes, rules, spark.createDataFrame([], "role string, user string")), "probe", "method", "uncertain")
+    assert got == [(1, "scram", True), (2, "refused", True), (3, "refused", True), (4, "cert", False), (5, "refused", False)]
+
+
+def test_refusals_by_text_and_code(spark):
+    cases = [("Refused: wrong target", True), ("refusedly", False), ("the connection was refused by the host", False), ("table is locked", False), ("this would lock out the console", True), ("Lock-Out of all", True), ("PGA-SEC-030 no", True), ("PGA-GEN-034 x", True), ("PGA-GEN-035 x", False), ("PGA-GEN-0341", False), ("x PGA-SEC-030", False), (None, False)]
+    frame = spark.createDataFrame([(k, e) for k, (e, _) in enumerate(cases)], "id long, error string")
+    got = rows(frame.select("id", operations.is_refusal(F.lit("backup_run"), F.col("error")).alias("r")))
+    assert got == [(k, want) for k, (_, want) in enumerate(cases)]
+    assert rows(frame.select(operations.is_refusal(F.lit("restore_plan"), F.col("error")).alias("r")).distinct()) == [(True,)]
+
+
+def test_planner_in_its_order(spark):
+    """One cluster a rule, from the first to the last, and what passes it over."""
+    hour, now = 3_600_000_000, 1_000_000 * 3_600_000_000 // 1
+    policy = lambda c, **more: {"cluster_id": c, "enabled": True, "full_hours": 168, "incr_hours": 6, "verify_hours": 24, "drill_days": 7, "retry_minutes": 30, "window_from": 0, "window_to": 0} | more
+    state = lambda c, **more: {"cluster_id": c, "reachable": True, "sets": 3, "set_at": now - hour, "full_at": now - 5 * hour, "new_tablespaces": "", "standby_away": False} | more
+    op = lambda c, i, kind, status, age=hour, **more: {"id": i, "type": kind, "cluster_id": c, "status": status, "run_type": "incr", "created_at": now - age, "updated_at": now - age, "key": f"sched:{c}:x:{i}"} | more
+    policies, states, ops, want = [], [], [], {}
+
+    def case(c, work, key=None, p=(), s=(), work_done=()):
+        policies.append(policy(c, **dict(p)))
+        states.append(state(c, **dict(s)))
+        ops.extend(work_done)
+        want[c] = (work, key)
+
+    bucket = lambda hours: now // (hours * hour)
+    case(1, "busy", work_done=[op(1, 1, "restore_drill", "running")])
+    case(2, "busy", s={"reachable": False})
+    case(3, "wait", work_done=[op(3, 3, "backup_run", "failed", hour // 3)])
+    case(4, "wait", work_done=[op(4, 40 + k, "backup_run", "failed", hour + k) for k in range(3)])  # 30 minutes, doubled twice
+    case(5, "full", "sched:5:tsfull:16400:0", s={"new_tablespaces": "16400"})
+    case(6, "verify", f"sched:6:verify:{bucket(24)}", s={"new_tablespaces": "16400"}, work_done=[op(6, 60 + k, "backup_run", "failed", 99 * hour, key=f"sched:6:tsfull:16400:{k}") for k in range(3)])  # three tries, long ago
+    case(7, "full", f"sched:7:full:{bucket(168)}:0", s={"full_at": now - 200 * hour})
+    case(8, "incr", f"sched:8:incr:{bucket(6)}:0", p={"window_from": 9, "window_to": 10}, s={"full_at": now - 200 * hour, "set_at": now - 7 * hour})  # the full waits for its hours, the increment does not
+    case(9, "full", f"sched:9:full:{bucket(168)}:0", p={"window_from": 9, "window_to": 10}, s={"full_at": None, "set_at": None, "sets": 0})  # no full at all: at once
+    case(10, "verify", f"sched:10:verify:{bucket(24)}", s={"set_at": now - 7 * hour, "standby_away": True})
+    case(11, "incr", f"sched:11:incr:{bucket(6)}:0", s={"set_at": now - 19 * hour, "standby_away": True})
+    case(12, "expire", "sched:12:expire:120", work_done=[op(12, 120, "backup_run", "succeeded")])
+    case(13, "drill", f"sched:13:drill:{bucket(168)}", work_done=[op(13, 130, "backup_run", "succeeded"), op(13, 131, "backup_expire", "succeeded", key="sched:13:expire:130"), op(13, 132, "backup_verify", "failed", key=f"sched:13:verify:{bucket(24)}")])
+    case(14, "none", p={"verify_hours": 0, "drill_days": 7}, work_done=[op(14, 140, "restore_drill", "succeeded", 100 * hour)])
+    case(15, "verify", f"sched:15:verify:{bucket(24)}", s={"full_at": now - 200 * hour}, work_done=[op(15, 150, "pg_restart", "running")])  # a restart forbids the full, not the check
+    case(16, "incr", f"sched:16:incr:{bucket(6)}:0", s={"set_at": now + 48 * hour, "full_at": now - 5 * hour})  # a clock that is ahead holds nothing back
+    frame = lambda data, schema: spark.createDataFrame([tuple(r[c.split(" ")[0]] for c in schema.split(", ")) for r in data], schema)
+    plan = operations.plan_work(
+        frame(policies, "cluster_id long, enabled boolean, full_hours long, incr_hours long, verify_hours long, drill_days long, retry_minutes long, window_from int, window_to int"),
+        frame(states, "cluster_id long, reachable boolean, sets long, set_at long, full_at long, new_tablespaces string, standby_away boolean"),
+        frame(ops, "id long, type string, cluster_id long, status string, run_type string, created_at long, updated_at long, key string"), now, 3,
+    )
+    assert {r.cluster_id: (r.work, r.key) for r in plan.collect()} == want

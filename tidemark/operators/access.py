@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Addresses of the machine itself, from which trust is no fault.
+LOOPBACK = ["127.0.0.1/32", "::1/128"]
 V4 = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?:/(\d{1,2}))?$"
 
 
@@ -115,26 +117,32 @@ def ordered(rules: DataFrame, wide: bool = False) -> DataFrame:
     return p.withColumn("place", F.row_number().over(Window.partitionBy("server").orderBy(*order))).select("server", "rule_no", "place")
 
 
+def is_pattern(token: Column) -> Column:
+    """Whether a ``/pattern`` is a regular expression: the engine's own compiler says so, and its error is a no."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.substring(token, F.lit(2), F.length(token))).isNotNull()
+
+
 def decisions(probes: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
     """What happens to each probe (``server``, ``probe``, ``database``, ``user``, ``ip``, ``ssl``): the first certain match decides.
 
     An earlier rule that cannot be judged is passed over and makes the answer ``uncertain``. No match
     is a refusal. ``members(role, user)`` resolves ``+role``; names that begin with ``/`` are
-    patterns, and one that is no regular expression fails the query.
+    patterns, and a rule with one that is no regular expression is one that cannot be judged.
     Probes may tell ``gss`` (encrypted by GSSAPI), else they are not.
     """
-    p = prepared(rules).withColumnRenamed("server", "r_server")
+    p = prepared(rules).withColumnRenamed("server", "r_server").withColumn("faulty", F.filter(F.concat("dbs", "users"), lambda t: t.startswith("/") & ~is_pattern(t)))
     known = members.groupBy("user").agg(F.collect_set(F.concat(F.lit("+"), F.col("role"))).alias("roles"))
     asked = probes.join(known, "user", "left").withColumns({"at": network(F.col("ip"))["lo"], "roles": F.coalesce("roles", F.array().cast("array<string>"))})
     db, user = F.col("p.database"), F.col("p.user")
     gss = F.coalesce(F.col("p.gss"), F.lit(False)) if "gss" in probes.columns else F.lit(False)
     kind = F.when(F.col("r.type") == "hostssl", F.col("p.ssl")).when(F.col("r.type") == "hostnossl", ~F.col("p.ssl")).when(F.col("r.type") == "hostgssenc", gss).when(F.col("r.type") == "hostnogssenc", ~gss).otherwise(F.col("r.type") == "host")
-    like = lambda names, value: F.exists(names, lambda t: F.when(t.startswith("/"), F.regexp_like(value, F.substring(t, F.lit(2), F.length(t)))).otherwise(False))
+    # A pattern is looked at only where it has been seen to be one; a faulty one makes the match unknown.
+    like = lambda names, value: F.exists(names, lambda t: F.when(~t.startswith("/"), False).when(~F.array_contains("r.faulty", t), F.regexp_like(value, F.substring(t, F.lit(2), F.length(t)))))
     on_db = F.when(db == "replication", F.array_contains("r.dbs", "replication")).otherwise(F.array_contains("r.dbs", "all") | F.array_contains("r.dbs", db) | like(F.col("r.dbs"), db) | (F.array_contains("r.dbs", "sameuser") & (db == user)))
     on_user = F.array_contains("r.users", "all") | F.array_contains("r.users", user) | like(F.col("r.users"), user) | F.arrays_overlap("r.users", "p.roles")
     on_net = F.when(F.col("r.net").isNull(), None).otherwise((F.col("p.at") >= F.col("r.net.lo")) & (F.col("p.at") <= F.col("r.net.hi")))
     match = kind & on_db & on_user & on_net
-    met = asked.alias("p").join(p.alias("r"), (F.col("p.server") == F.col("r.r_server")) & F.coalesce(kind & on_db & on_user, F.lit(False)))
+    met = asked.alias("p").join(p.alias("r"), (F.col("p.server") == F.col("r.r_server")) & F.coalesce(kind & on_db & on_user, F.lit(True)))
     hits = met.select("p.server", "p.probe", "r.rule_no", "r.method", match.alias("hit")).filter("hit IS NULL OR hit")
     best = hits.groupBy("server", "probe").agg(F.min(F.when(F.col("hit"), F.struct("rule_no", "method"))).alias("x"), F.min(F.when(F.col("hit").isNull(), F.col("rule_no"))).alias("unknown"))
     out = probes.select("server", "probe").join(best, ["server", "probe"], "left")
@@ -145,7 +153,7 @@ def problems(rules: DataFrame) -> DataFrame:
     """Errors of single rules and duplicates with the first of their kind (X2); rules may have ``options``."""
     same = ["server", "type", "database", "user", "address", "method", *[c for c in ["options"] if c in rules.columns]]
     first = F.min("rule_no").over(Window.partitionBy(*same))
-    wrong = F.when(~F.col("type").isin("local", "host", "hostssl", "hostnossl", "hostgssenc", "hostnogssenc"), "type").when((F.col("type") != "local") & (F.coalesce("address", F.lit("")) == ""), "address").when(F.col("address").rlike(r"^[\d.]+/\d+$|^[0-9a-fA-F:]*:[0-9a-fA-F:]*(/\d+)?$") & network(F.col("address")).isNull(), "network").when(F.col("method") == "trust", "trust")
+    wrong = F.when(~F.col("type").isin("local", "host", "hostssl", "hostnossl", "hostgssenc", "hostnogssenc"), "type").when((F.col("type") != "local") & (F.coalesce("address", F.lit("")) == ""), "address").when(F.col("address").rlike(r"^[\d.]+/\d+$|^[0-9a-fA-F:]*:[0-9a-fA-F:]*(/\d+)?$") & network(F.col("address")).isNull(), "network").when((F.col("method") == "trust") & (F.col("type") != "local") & ~F.coalesce("address", F.lit("")).isin(LOOPBACK), "trust")
     return rules.withColumns({"problem": wrong, "first": first}).select("server", "rule_no", "problem", F.when(F.col("first") < F.col("rule_no"), F.col("first")).alias("duplicate_of")).filter("problem IS NOT NULL OR duplicate_of IS NOT NULL")
 
 

@@ -79,15 +79,29 @@ def merged(live: DataFrame, restored: DataFrame, plan: DataFrame, keys: list[str
     return rest.unionByName(incoming.select(*live.columns))
 
 
-def delete_effects(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str, str]], table: str, gone: DataFrame, depth: int = 30) -> DataFrame:
+Columns = str | list[str] | tuple[str, ...]
+
+
+def _listed(columns: Columns) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
+def _pointing(child: DataFrame, columns: list[str], parents: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``child`` whose key is that of one of ``parents``; a key with a null part points at nothing."""
+    return child.join(parents.select(*[F.col(k).alias(c) for c, k in zip(columns, key, strict=True)]).distinct(), columns, "left_semi")
+
+
+def delete_effects(tables: dict[str, DataFrame], keys: list[tuple[str, Columns, str, Columns, str]], table: str, gone: DataFrame, depth: int = 30) -> DataFrame:
     """Rows that deleting ``gone`` rows of ``table`` reaches over foreign keys.
 
-    ``keys``: child table, child column, parent table, parent column, action (cascade, set_null or
-    block). Cascades go on from the child's rows that were not reached before, so that a table that
-    refers to itself ends; rows over more than one key are followed once. ``level``, ``child``, ``action``,
-    ``n``. More than ``depth`` levels are refused, never cut short.
+    ``keys``: child table, its columns, parent table, the columns that they refer to (one or several, in
+    the same order), and what deleting does: cascade, set_null, set_default or block. Cascades go on from
+    the child's rows that were not reached before, so that a table that refers to itself ends and the rows
+    that go anyway are no victims of their own cascade; rows over more than one key are followed once.
+    ``level``, ``child``, ``action``, ``n``. More than ``depth`` levels are refused, never cut short.
     """
-    led = {parent: sorted({k for _, _, p, k, _ in keys if p == parent}) for _, _, parent, _, _ in keys}
+    keys = [(child, _listed(columns), of, _listed(key), action) for child, columns, of, key, action in keys]
+    led = {parent: sorted({c for _, _, p, key, _ in keys if p == parent for c in key}) for _, _, parent, _, _ in keys}
     known = {table: cut(gone.select(*led[table]).distinct())} if table in led else {}
     out, front, level = [], {table: gone}, 0
     while front:
@@ -95,11 +109,13 @@ def delete_effects(tables: dict[str, DataFrame], keys: list[tuple[str, str, str,
         if level > depth:
             raise ValueError(f"deleting from {table} reaches over {depth} levels of keys")
         reached: dict[str, list[DataFrame]] = {}
-        for child, column, of, key, action in keys:
+        for child, columns, of, key, action in keys:
             if of in front:
-                hit = tables[child].join(front[of].select(F.col(key).alias(column)).distinct(), column, "left_semi")
+                hit = _pointing(tables[child], columns, front[of], key)
+                if child == of and child in known:
+                    hit = hit.join(known[child], led[child], "left_anti")
                 if action == "cascade" and child in led:
-                    hit = cut(hit.join(known[child], led[child], "left_anti") if child in known else hit)
+                    hit = cut(hit.join(known[child], led[child], "left_anti") if child in known and child != of else hit)
                     reached.setdefault(child, []).append(hit)
                 out.append(hit.agg(F.count("*").alias("n")).select(F.lit(level).alias("level"), F.lit(child).alias("child"), F.lit(action).alias("action"), "n"))
         front = {}
@@ -112,6 +128,24 @@ def delete_effects(tables: dict[str, DataFrame], keys: list[tuple[str, str, str,
     return reduce(DataFrame.unionByName, out).filter("n > 0")
 
 
+def update_effects(tables: dict[str, DataFrame], keys: list[tuple[str, Columns, str, Columns, str]], table: str, before: DataFrame, after: DataFrame, identity: Columns) -> DataFrame:
+    """Rows that refer to rows of ``table`` whose referenced columns change (J6): ``child``, ``action``, ``n``.
+
+    ``before`` and ``after`` are versions of the same rows by ``identity``. A key matters only if one of
+    its own columns differs, null counting as a value; what an update does is the key's action here.
+    """
+    ids = _listed(identity)
+    out = []
+    for child, columns, of, key, action in keys:
+        if of == table:
+            columns, key = _listed(columns), _listed(key)
+            new = after.select(*ids, *[F.col(c).alias(f"__{c}") for c in key])
+            differs = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key])
+            hit = _pointing(tables[child], columns, before.join(new, ids).filter(differs), key)
+            out.append(hit.agg(F.count("*").alias("n")).select(F.lit(child).alias("child"), F.lit(action).alias("action"), "n"))
+    return reduce(DataFrame.unionByName, out).filter("n > 0")
+
+
 def orphans(child: DataFrame, parent: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """Child rows whose key, no part of it null, has no parent."""
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c, _ in columns])

@@ -327,11 +327,20 @@ def worst_status(clusters: DataFrame, findings: DataFrame) -> DataFrame:
     return clusters.join(worst, "cluster_id", "left").select("cluster_id", F.when(F.col("up") == 0, 3).otherwise(F.greatest(F.lit(0), F.coalesce("rank", F.lit(1)) - 1)).alias("status"))
 
 
-def protection(clusters: DataFrame, findings: DataFrame) -> DataFrame:
-    """ok, warn, bad or none for each cluster, from its findings about backups and archive."""
-    about = findings.filter(F.col("code").rlike("^(no_backup|backup_|verify_|drill_|wal_|archive|no_schedule)"))
-    worst = about.groupBy("cluster_id").agg(F.max(severity_rank(F.col("severity"))).alias("rank"))
-    return clusters.join(worst, "cluster_id", "left").select("cluster_id", F.when((F.col("sets") == 0) & ~F.col("scheduled"), "none").when(F.col("rank") == 3, "bad").when(F.col("rank") == 2, "warn").otherwise("ok").alias("protection"))
+#: Findings that bear on whether a cluster is protected.
+PROTECTION = ["no_primary", "clock_ahead", "gc_postponed", "no_backup", "no_schedule", "verify_failed", "backup_stale", "backup_failed", "archiver_failing", "archive_both_set", "archive_off", "rpo_target", "wal_gap", "wal_branch_tail", "backup_server_mismatch", "wal_spool_failing", "offsite_behind", "archiver_lag", "tablespace_after_full", "restore_incomplete"]
+
+
+def protection(clusters: DataFrame, findings: DataFrame, points: DataFrame) -> DataFrame:
+    """ok, warn, bad or none for each cluster: its sets, the findings that bear on them, and its recovery point (``recovery_points``).
+
+    A standby site without sets of its own is protected on its primary: none.
+    """
+    worst = findings.filter(F.col("code").isin(PROTECTION)).groupBy("cluster_id").agg(F.max(severity_rank(F.col("severity"))).alias("rank"))
+    point = points.select("cluster_id", F.col("state").alias("point"))
+    rank, none = F.coalesce("rank", F.lit(0)), F.col("sets") == 0
+    state = F.when(none & F.col("standby_site"), "none").when(none | (rank == 3) | (F.col("point") == "bad"), "bad").when((rank == 2) | F.coalesce("point", F.lit("unknown")).isin("warn", "unknown"), "warn").otherwise("ok")
+    return clusters.join(worst, "cluster_id", "left").join(point, "cluster_id", "left").select("cluster_id", state.alias("protection"))
 
 
 def recovery_points(clusters: DataFrame, now: int) -> DataFrame:

@@ -17,6 +17,12 @@ EVIDENCE, HARD_CAP = ["restore_drill", "backup_verify"], 5000
 #: Silence after which a node is offline, ring lengths, attempts, page size, severity order.
 ONLINE_MICROS, RING, MAX_ATTEMPTS, PAGE = 45_000_000, 400, 5, 500
 SEVERITIES = ["debug", "info", "warning", "error", "critical"]
+#: Texts and codes of errors that are refusals.
+REFUSAL_TEXT = r"(?i)^refused\b|would lock out|refused before touching|lock.?out"
+REFUSAL_CODES = r"^PGA-(SEC-030|GEN-03[0-4]|GEN-065|GEN-08[0-8]|GEN-09[34]|PITR-00[12]|PITR-016|RST-03[1-3]|RST-04[01]|WAL-022|INS-002)\b"
+#: Fixed values of the planner: work that a cluster has one at a time, how far ahead a clock may be, how long a full for new tablespaces holds, tries for it.
+PLANNED_ALONE = ["backup_run", "backup_verify", "backup_expire", "restore_instance", "restore_database", "restore_object", "restore_promote", "restore_drill"]
+AHEAD, FULL_HOLDS, TABLESPACE_TRIES, LONGEST_WAIT = 300_000_000, 1_800_000_000, 3, 21_600_000_000
 #: Fixed values of the conflict rules: work that reads backup sets, work on data, work that interrupts it, work of which a cluster has one at a time, work on one and the same thing.
 READERS = ["restore_instance", "restore_database", "restore_object", "restore_drill", "backup_verify"]
 DATA_WORK = ["backup_run", "backup_expire", "destination_migrate", "destination_drop_old", "restore_instance", "restore_database", "restore_object", "restore_promote", "restore_drill", "restore_apply_rows", "archive_enable", "restore_db_swap", "restore_kept_drop"]
@@ -89,8 +95,8 @@ def masked(text: Column) -> Column:
 
 
 def is_refusal(kind: Column, error: Column) -> Column:
-    """Failures that are refusals (F9): by text or of a plan."""
-    return (kind == "restore_plan") | F.coalesce(error.rlike(r"\b(refused|locked|not allowed)\b"), F.lit(False))
+    """Failures that are refusals (F9): a check said no before anything was changed, or a plan's answer is no."""
+    return (kind == "restore_plan") | F.coalesce(error.rlike(REFUSAL_TEXT) | error.rlike(REFUSAL_CODES), F.lit(False))
 
 
 def counts_24h(operations: DataFrame, now: int) -> DataFrame:
@@ -116,6 +122,20 @@ def failure_groups(operations: DataFrame, most: int = 8) -> DataFrame:
     return marked.orderBy("resolved", F.desc("last"), *work, "pattern").limit(most)
 
 
+def last_day(operations: DataFrame, now: int) -> DataFrame:
+    """One row of the briefing: operations of the last 24 hours, failures that are none of refusals, how many of them nothing has made good since, refusals, backups."""
+    recent = operations.filter(F.col("updated_at") >= now - DAY).withColumn("place", _same_place())
+    work = ["type", "cluster_id", "place", "work"]
+    ok = recent.filter("status = 'succeeded'").groupBy(*work).agg(F.max("updated_at").alias("ok_at"))
+    failed = F.col("status") == "failed"
+    refused = failed & is_refusal(F.col("type"), F.col("error"))
+    real = failed & ~refused
+    return recent.join(ok, work, "left").agg(
+        F.count("*").alias("operations"), F.count_if(real).alias("failed"), F.count_if(real & (F.col("ok_at").isNull() | (F.col("ok_at") <= F.col("updated_at")))).alias("unresolved"), F.count_if(refused).alias("refused"),
+        F.count_if((F.col("type") == "backup_run") & (F.col("status") == "succeeded")).alias("backups"),
+    )
+
+
 def unresolved(operations: DataFrame) -> DataFrame:
     """Failures after which the same work has not succeeded."""
     work = ["type", "cluster_id", "place", "work"]
@@ -181,6 +201,67 @@ def due(policies: DataFrame, operations: DataFrame, now: int) -> DataFrame:
     return out.select("cluster_id", work.alias("due"))
 
 
+def plan_work(policies: DataFrame, clusters: DataFrame, operations: DataFrame, now: int, hour: int) -> DataFrame:
+    """The work that a planner submits next for each cluster, whole (W13): ``cluster_id``, ``work``, ``key``.
+
+    ``policies(cluster_id, enabled, full_hours, incr_hours, verify_hours, drill_days, retry_minutes,
+    window_from, window_to)``; nulls and zeros switch a period off. ``clusters(cluster_id, reachable, sets,
+    set_at, full_at, new_tablespaces, standby_away)``: what its agent says, ``new_tablespaces`` being those
+    that the last full set does not know. ``operations(id, type, cluster_id, status, run_type, created_at,
+    updated_at, key)``; ``hour``: the hour of ``now`` in the policies' zone.
+
+    In order, the first that applies: nothing while the cluster is out of reach or has such work open
+    (``busy``), nor while failures of planned runs hold it back (``wait``, doubling up to six hours since the
+    last success); ``full`` for new tablespaces, three times at most and not within half an hour of a full;
+    ``full`` when due, in the hours for heavy work or at once where there is none; else ``incr`` when due,
+    unless the standby that takes them is away for a moment; ``expire`` once after each success; ``verify``
+    and ``drill`` once in their period, in those hours. Times ahead of ``now`` do not count. A key that was
+    submitted before, and work that a switchover or the like forbids, are passed over.
+    """
+    at_most = lambda c: F.when(c <= now + AHEAD, c)
+    kind = lambda name, *status: (F.col("type") == name) & F.col("status").isin(*status)
+    ok = kind("backup_run", "succeeded")
+    active = ~F.col("status").isin(TERMINAL)
+    seen = operations.groupBy("cluster_id").agg(
+        F.max(active & F.col("type").isin(PLANNED_ALONE)).alias("open"), F.max(active & F.col("type").isin(DISRUPTIVE)).alias("disrupted"), F.max(F.when(ok, at_most(F.col("created_at")))).alias("run_at"), F.max(F.when(ok & (F.col("run_type") == "full"), at_most(F.col("created_at")))).alias("run_full_at"),
+        F.max(F.when(ok, F.col("updated_at"))).alias("ok_at"), F.max(F.when(ok, F.struct("updated_at", "id"))).alias("last_ok"), F.max(ok & (F.col("run_type") == "full") & (F.lit(now) - F.col("created_at") < FULL_HOLDS)).alias("recent_full"), F.max(F.when(kind("restore_drill", "succeeded"), at_most(F.col("updated_at")))).alias("drill_at"),
+    )
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    bucket = lambda period: F.floor(F.lit(now) / F.when(period > 0, period)).cast("string")
+    name = F.concat(F.lit("sched:"), F.col("cluster_id").cast("string"), F.lit(":"))
+    keyed = policies.join(clusters, "cluster_id").join(seen, "cluster_id", "left").select(
+        "*", *[F.concat(name, F.lit(f"{work}:"), bucket(F.col(period) * unit)).alias(f"{work}_key") for work, period, unit in (("full", "full_hours", HOUR), ("incr", "incr_hours", HOUR), ("verify", "verify_hours", HOUR), ("drill", "drill_days", DAY))],
+        F.concat(name, F.lit("tsfull:"), "new_tablespaces").alias("tsfull_key"), F.concat(name, F.lit("expire:"), F.col("last_ok.id").cast("string")).alias("expire_key"),
+    )
+    begins = lambda c: F.count_if(F.col("key").startswith(F.col(c)))
+    failed = F.col("type").isin("backup_run") & F.col("status").isin("failed", "cancelled") & F.col("key").startswith("sched:") & (F.col("updated_at") > F.coalesce("ok_at", F.lit(0)))
+    told = operations.select("cluster_id", "type", "status", "updated_at", "key").join(keyed.select("cluster_id", "ok_at", *[f"{w}_key" for w in ("full", "incr", "tsfull", "expire", "verify", "drill")]), "cluster_id").groupBy("cluster_id").agg(
+        F.count_if(failed).alias("streak"), F.max(F.when(failed, F.col("updated_at"))).alias("last_fail"), *[begins(f"{w}_key").alias(f"{w}_tries") for w in ("full", "incr", "tsfull")], *[F.max(F.col("key") == F.col(f"{w}_key")).alias(f"{w}_done") for w in ("expire", "verify", "drill")],
+    )
+    all_ = keyed.join(told, "cluster_id", "left")
+    streak = F.coalesce("streak", F.lit(0))
+    wait = F.least(F.col("retry_minutes") * 60_000_000 * F.pow(F.lit(2.0), F.greatest(streak - 1, F.lit(0))), F.lit(float(LONGEST_WAIT)))
+    any_at, full_at = F.greatest(at_most(F.col("set_at")), F.col("run_at")), F.greatest(at_most(F.col("full_at")), F.col("run_full_at"))
+    inside = heavy_hours(F.lit(hour), F.col("window_from"), F.col("window_to"))
+    free = ~yes("disrupted")
+    on = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    old = lambda at, period: at.isNull() | (F.lit(now) - at >= period)
+    need_full = old(full_at, F.col("full_hours") * HOUR) & (inside | full_at.isNull())
+    away = yes("standby_away") & any_at.isNotNull() & (F.lit(now) - any_at < 3 * F.col("incr_hours") * HOUR)
+    sets = F.coalesce(F.col("sets") > 0, F.lit(False))
+    tries = lambda w: F.concat(F.col(f"{w}_key"), F.lit(":"), F.coalesce(f"{w}_tries", F.lit(0)).cast("string"))
+    steps = [
+        ("busy", ~yes("reachable") | yes("open"), None), ("wait", (streak > 0) & (F.lit(now) - F.col("last_fail") < wait), None),
+        ("full", (F.coalesce("new_tablespaces", F.lit("")) != "") & ~yes("recent_full") & (F.coalesce("tsfull_tries", F.lit(0)) < TABLESPACE_TRIES) & free, tries("tsfull")), ("full", need_full & free, tries("full")),
+        ("incr", ~need_full & on("incr_hours") & old(any_at, F.col("incr_hours") * HOUR) & ~away & free, tries("incr")), ("expire", F.col("last_ok").isNotNull() & ~yes("expire_done") & free, F.col("expire_key")),
+        ("verify", on("verify_hours") & inside & sets & ~yes("verify_done"), F.col("verify_key")), ("drill", on("drill_days") & inside & sets & old(F.col("drill_at"), F.col("drill_days") * DAY) & ~yes("drill_done") & free, F.col("drill_key")),
+    ]
+    work, key = F.lit("none"), F.lit(None).cast("string")
+    for step, applies, named in reversed(steps):
+        work, key = F.when(applies, step).otherwise(work), F.when(applies, F.lit(None) if named is None else named).otherwise(key)
+    return all_.filter("enabled").select("cluster_id", work.alias("work"), key.alias("key"))
+
+
 def ring(entries: DataFrame, n: int = RING) -> DataFrame:
     """The newest ``n`` entries of each cluster."""
     return entries.withColumn("place", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("updated_at"), F.desc("id")))).filter(F.col("place") <= n).drop("place")

@@ -69,6 +69,26 @@ def d5_delete_effects(spark: SparkSession, d: str) -> DataFrame:
     return diff.delete_effects(tables, keys, "nation", tables["nation"].filter("n_nationkey IN (3, 7)"))
 
 
+def _offers(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], list]:
+    """Offers of a part by a supplier, lines that order one, and notes on returned lines: keys of two columns."""
+    li = T.table(spark, d, "lineitem")
+    tables = {"part": T.table(spark, d, "part"), "line": li, "offer": li.select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).distinct(), "note": li.filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"))}
+    return tables, [("offer", "part", "part", "p_partkey", "cascade"), ("line", ["l_suppkey", "l_partkey"], "offer", ["supplier", "part"], "cascade"), ("note", ["order", "line"], "line", ["l_orderkey", "l_linenumber"], "set_default")]
+
+
+def d5_composite_keys(spark: SparkSession, d: str) -> DataFrame:
+    tables, keys = _offers(spark, d)
+    return diff.delete_effects(tables, keys, "part", tables["part"].filter("p_size < 5"))
+
+
+def j6_update_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of some offers are exchanged; lines by both columns refer to them, parts do not change."""
+    tables, keys = _offers(spark, d)
+    before = tables["offer"].withColumn("id", F.concat_ws("/", "part", "supplier"))
+    after = before.withColumn("supplier", F.when(F.col("part") % 5 == 0, F.col("supplier") + 1).otherwise(F.col("supplier")))
+    return diff.update_effects(tables, [*keys, ("note", "line", "offer", "part", "block")], "offer", before, after, "id")
+
+
 def j5_orphans(spark: SparkSession, d: str) -> DataFrame:
     return diff.orphans(T.table(spark, d, "orders"), T.table(spark, d, "customer").filter("c_custkey % 7 <> 0"), [("o_custkey", "c_custkey")]).select("o_orderkey", "o_custkey")
 
@@ -127,6 +147,9 @@ SQL = {
     "d5_delete_effects": """WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (3, 7)), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM c)),
  x AS (SELECT 1 AS level, 'customer' AS child, 'cascade' AS action, (SELECT count(*) FROM c) AS n UNION ALL SELECT 1, 'supplier', 'block', (SELECT count(*) FROM supplier WHERE s_nationkey IN (3, 7)) UNION ALL SELECT 2, 'orders', 'cascade', (SELECT count(*) FROM o)
  UNION ALL SELECT 3, 'lineitem', 'set_null', (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT * FROM o))) SELECT * FROM x WHERE n > 0""",
+    "d5_composite_keys": """WITH p AS (SELECT p_partkey FROM part WHERE p_size < 5), o AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT * FROM p)), l AS (SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem SEMI JOIN o USING (l_partkey, l_suppkey)),
+ x AS (SELECT 1 AS level, 'offer' AS child, 'cascade' AS action, (SELECT count(*) FROM o) AS n UNION ALL SELECT 2, 'line', 'cascade', (SELECT count(*) FROM l) UNION ALL SELECT 3, 'note', 'set_default', (SELECT count(*) FROM lineitem r SEMI JOIN l USING (l_orderkey, l_linenumber) WHERE r.l_returnflag = 'R')) SELECT * FROM x WHERE n > 0""",
+    "j6_update_effects": "SELECT 'line' AS child, 'cascade' AS action, count(*) AS n FROM lineitem WHERE l_partkey % 5 = 0",
     "j5_orphans": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)",
     "d7_mirror_plan": f"""WITH x AS (SELECT {_KEY} AS key, p_partkey AS k, CASE WHEN p_partkey % 11 = 0 THEN 'delete' WHEN p_partkey % 6 = 0 THEN 'upload' WHEN p_partkey % 9 <> 0 THEN 'same' WHEN p_partkey % 4 < 2 THEN 'conflict' ELSE 'upload' END AS plan FROM part WHERE p_partkey % 11 <> 0 OR p_partkey % 6 <> 0)
  SELECT key, plan, CASE plan WHEN 'upload' THEN CAST(k % 4 AS INTEGER) WHEN 'delete' THEN CAST(3 - k % 4 AS INTEGER) END AS turn FROM x""",

@@ -106,8 +106,8 @@ def g17_volume_needs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def version_tiers(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.range(8, 20).select(F.col("id").cast("int").alias("major"))
-    return v.select("major", fleet.classify_version(F.col("major"), F.lit("2025-11-14").cast("date")).alias("c")).select("major", "c.tier", F.col("c.last_day").cast("string").alias("last_day"), "c.eol")
+    v = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("node_id"), (F.col("s_suppkey") % 12 + 8).cast("int").alias("major"))
+    return v.select("node_id", "major", fleet.classify_version(F.col("major"), F.lit("2025-11-14").cast("date")).alias("c")).select("node_id", "major", "c.tier", F.col("c.last_day").cast("string").alias("last_day"), "c.eol")
 
 
 def node_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -147,15 +147,15 @@ _CLUSTER = {
     "last_archived": f"CASE WHEN k % 15 <> 1 THEN {NOW} - k % 4000 * 1000000 END", "spool_error": "k % 40 = 9", "spool_pending": "k % 300", "spool_age": "CASE WHEN k % 3 = 0 THEN k * 7 % 4000 END", "current_lsn": "CASE WHEN k % 9 = 0 THEN k * 16777216 ELSE k * 16777216 + 12345 END", "archived_segno": "CASE WHEN k % 2 = 0 THEN k - 1 ELSE k - k % 200 END", "archive_mode": "CASE WHEN k % 21 = 0 THEN 'off' ELSE 'on' END",
     "wal_stores": "k % 3", "paused": "k % 18 = 11", "archive_timeout": "CASE WHEN k % 2 = 0 THEN 300 END", "rpo_minutes": "k % 4 * 10", "rto_minutes": "k % 5 * 15", "size_bytes": "k * 1000000007 % 90000000000",
 }
-_CLUSTERS = "clusters AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _CLUSTER.items()) + " FROM (SELECT CAST(range AS BIGINT) AS k FROM range(3000)))"
+_CLUSTERS = "clusters AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _CLUSTER.items()) + " FROM (SELECT c_custkey AS k FROM customer))"
 
 
-def _clusters(spark: SparkSession) -> DataFrame:
-    return spark.range(3000).withColumnRenamed("id", "k").selectExpr(*[f"{v} AS {k}" for k, v in _CLUSTER.items()])
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return T.table(spark, d, "customer").select(F.col("c_custkey").alias("k")).selectExpr(*[f"{v} AS {k}" for k, v in _CLUSTER.items()])
 
 
 def cluster_findings(spark: SparkSession, d: str) -> DataFrame:
-    return fleet.cluster_findings(_clusters(spark), NOW)
+    return fleet.cluster_findings(_clusters(spark, d), NOW)
 
 
 def g6_severity_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -163,11 +163,12 @@ def g6_severity_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g9_worst_status(spark: SparkSession, d: str) -> DataFrame:
-    return fleet.worst_status(_clusters(spark), fleet.slot_findings(_slots(spark, d)))
+    return fleet.worst_status(_clusters(spark, d), fleet.slot_findings(_slots(spark, d)))
 
 
 def protection(spark: SparkSession, d: str) -> DataFrame:
-    return fleet.protection(_clusters(spark), fleet.cluster_findings(_clusters(spark), NOW))
+    clusters = _clusters(spark, d)
+    return fleet.protection(clusters, fleet.cluster_findings(clusters, NOW), fleet.recovery_points(clusters, NOW))
 
 
 def st5_clock_skews(spark: SparkSession, d: str) -> DataFrame:
@@ -185,18 +186,18 @@ def x19_host_digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w16_recovery_points(spark: SparkSession, d: str) -> DataFrame:
-    return fleet.recovery_points(_clusters(spark), NOW)
+    return fleet.recovery_points(_clusters(spark, d), NOW)
 
 
 def w17_recovery_times(spark: SparkSession, d: str) -> DataFrame:
     o = T.table(spark, d, "orders")
     drills = o.select(F.col("o_custkey").alias("cluster_id"), (F.lit(NOW) - F.col("o_orderkey") % 150 * T.DAY).alias("at_time"), (F.col("o_orderkey") % 3000 - 5).alias("seconds"), (T.cents("o_totalprice") * 900).alias("bytes"))
-    return fleet.recovery_times(_clusters(spark), drills, NOW)
+    return fleet.recovery_times(_clusters(spark, d), drills, NOW)
 
 
 def m_metrics(spark: SparkSession, d: str) -> DataFrame:
     found = fleet.slot_findings(_slots(spark, d))
-    gauges = fleet.metrics(_clusters(spark), fleet.worst_status(_clusters(spark), found), fleet.severity_counts(found))
+    gauges = fleet.metrics(_clusters(spark, d), fleet.worst_status(_clusters(spark, d), found), fleet.severity_counts(found))
     return gauges.select("metric", F.col("labels")["cluster"].alias("cluster"), F.col("labels")["severity"].alias("severity"), "value")
 
 
@@ -229,6 +230,10 @@ _RULES = [
 ]
 _EFF = f"eff AS (SELECT *, CASE WHEN abs(coalesce(clock_skew, 0)) > 600000000 THEN last_backup - clock_skew WHEN coalesce(last_backup > {_N} + 600000000, FALSE) THEN last_run_ok ELSE last_backup END AS eff FROM clusters)"
 _CF = "cf AS (" + " UNION ALL ".join(f"SELECT cluster_id, {sev} AS severity, '{code}' AS code, {detail} AS detail FROM eff WHERE {when}" for code, sev, when, detail in _RULES) + ")"
+_POINTS = f"""b AS (SELECT *, coalesce(archive_timeout, 0) AS t, greatest(0, ({_N} - last_archived) / 1000000) AS since, last_failed IS NOT NULL AND (last_archived IS NULL OR last_failed > last_archived) AS failing, CASE WHEN last_news IS NULL THEN 0 ELSE greatest(0, ({_N} - last_news) / 1000000) END AS age FROM clusters),
+ x AS (SELECT *, CASE WHEN current_lsn // 16777216 - archived_segno - 1 = 0 THEN CASE WHEN current_lsn % 16777216 = 0 THEN floor(age + 0.5) WHEN t > 0 THEN least(t, since) ELSE since END ELSE greatest(since, t) END + coalesce(spool_age, 0) AS bound FROM b),
+ y AS (SELECT *, CASE WHEN bound <= greatest(t, 60) * 2 THEN 'ok' WHEN bound <= 3600 THEN 'warn' ELSE 'bad' END AS s0 FROM x), points AS (SELECT cluster_id, CASE WHEN has_primary AND archive_mode <> 'off' AND NOT failing AND last_archived IS NOT NULL THEN CAST(floor(bound + 0.5) AS BIGINT) END AS seconds,
+ CASE WHEN NOT has_primary THEN 'unknown' WHEN archive_mode = 'off' OR failing THEN 'bad' WHEN last_archived IS NULL THEN 'warn' WHEN rpo_minutes > 0 THEN CASE WHEN bound > rpo_minutes * 60 THEN 'bad' WHEN t = 0 THEN 'warn' ELSE s0 END ELSE s0 END AS state FROM y)"""
 _RANK = "CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END"
 def _setups(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -273,7 +278,7 @@ SQL = {
     "g22_worker_stores": "SELECT o_custkey AS cluster_id, count(DISTINCT o_orderkey % 6) AS workers, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS kinds FROM orders GROUP BY 1",
     "g17_volume_needs": "WITH n AS (SELECT o_custkey % 120 AS device, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT) * 50) AS BIGINT) AS need, count(*) AS parts FROM orders GROUP BY 1) SELECT device, need, parts, s_suppkey * 4000000000 AS free, need <= s_suppkey * 4000000000 - greatest(1073741824, CAST(trunc(s_suppkey * 8000000000 * 0.05) AS BIGINT)) AS fits FROM n LEFT JOIN supplier ON s_suppkey = device",
     "version_tiers": """WITH v AS (SELECT CAST(range AS INTEGER) AS major, CASE WHEN range < 10 THEN DATE '2021-11-11' ELSE CAST(make_date(2012 + range, 11, 1) + CAST((4 - isodow(make_date(2012 + range, 11, 1)) + 7) % 7 + 7 AS INTEGER) AS DATE) END AS d FROM range(8, 20))
- SELECT major, CASE WHEN major < 10 THEN 'unsupported' WHEN major < 12 THEN 'legacy' WHEN major <= 18 THEN 'supported' ELSE 'newer' END AS tier, CAST(d AS VARCHAR) AS last_day, DATE '2025-11-14' > d AS eol FROM v""",
+ SELECT s_suppkey AS node_id, major, CASE WHEN major < 10 THEN 'unsupported' WHEN major < 12 THEN 'legacy' WHEN major <= 18 THEN 'supported' ELSE 'newer' END AS tier, CAST(d AS VARCHAR) AS last_day, DATE '2025-11-14' > d AS eol FROM supplier JOIN v ON major = s_suppkey % 12 + 8""",
     "node_findings": f"""WITH {_NODES}, n AS (SELECT *, bool_or(up) OVER (PARTITION BY cluster_id) AS some_up, CAST(node_id AS VARCHAR) AS detail, conn_used / conn_max AS u, ({_N} - offsite_ok) / {_H} AS b FROM nodes) SELECT cluster_id, 'warning' AS severity, 'node_offline' AS code, detail FROM n WHERE NOT up AND some_up
  UNION ALL SELECT cluster_id, 'critical', 'agent_duplicate', detail FROM n WHERE {_N} - duplicate_at < 900000000 UNION ALL SELECT cluster_id, CASE WHEN u > 0.95 THEN 'critical' ELSE 'warning' END, 'connections', detail FROM n WHERE up AND u > 0.85 UNION ALL SELECT cluster_id, 'info', 'pending_restart', detail FROM n WHERE up AND pending_restart > 0
  UNION ALL SELECT cluster_id, CASE WHEN offsite_ok IS NULL OR b > 48 THEN 'critical' ELSE 'warning' END, 'offsite_behind', detail FROM n WHERE up AND offsite_on AND (offsite_ok IS NULL OR b > 6) UNION ALL SELECT cluster_id, CASE WHEN scheduled THEN 'warning' ELSE 'info' END, 'no_zstd_python', detail FROM n WHERE up AND NOT zstd""",
@@ -289,12 +294,10 @@ SQL = {
  UNION ALL SELECT k, CASE WHEN bad > 0 THEN 'critical' ELSE 'warning' END, 'geo_dr_readiness', CAST(bad + warn AS VARCHAR) FROM s WHERE bad > 0 OR warn > 0 UNION ALL SELECT k, CASE WHEN lag IS NULL OR lag > 1073741824 THEN 'critical' ELSE 'warning' END, 'geo_replication', '' FROM s WHERE NOT fo AND NOT lost AND (lag IS NULL OR lag > 67108864)""",
     "g6_severity_counts": f"WITH {_SLOTS}, {_SLOT_FINDINGS} SELECT cluster_id, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'critical') AS critical FROM sf GROUP BY 1",
     "g9_worst_status": f"WITH {_CLUSTERS}, {_SLOTS}, {_SLOT_FINDINGS}, w AS (SELECT cluster_id, max({_RANK}) AS r FROM sf GROUP BY 1) SELECT c.cluster_id, CASE WHEN up = 0 THEN 3 ELSE coalesce(r, 1) - 1 END AS status FROM clusters c LEFT JOIN w ON w.cluster_id = c.cluster_id",
-    "protection": f"""WITH {_CLUSTERS}, {_EFF}, {_CF}, w AS (SELECT cluster_id, max({_RANK}) AS r FROM cf WHERE regexp_matches(code, '^(no_backup|backup_|verify_|drill_|wal_|archive|no_schedule)') GROUP BY 1)
- SELECT c.cluster_id, CASE WHEN sets = 0 AND NOT scheduled THEN 'none' WHEN r = 3 THEN 'bad' WHEN r = 2 THEN 'warn' ELSE 'ok' END AS protection FROM clusters c LEFT JOIN w ON w.cluster_id = c.cluster_id""",
-    "w16_recovery_points": f"""WITH {_CLUSTERS}, b AS (SELECT *, coalesce(archive_timeout, 0) AS t, greatest(0, ({_N} - last_archived) / 1000000) AS since, last_failed IS NOT NULL AND (last_archived IS NULL OR last_failed > last_archived) AS failing, CASE WHEN last_news IS NULL THEN 0 ELSE greatest(0, ({_N} - last_news) / 1000000) END AS age FROM clusters),
- x AS (SELECT *, CASE WHEN current_lsn // 16777216 - archived_segno - 1 = 0 THEN CASE WHEN current_lsn % 16777216 = 0 THEN floor(age + 0.5) WHEN t > 0 THEN least(t, since) ELSE since END ELSE greatest(since, t) END + coalesce(spool_age, 0) AS bound FROM b),
- y AS (SELECT *, CASE WHEN bound <= greatest(t, 60) * 2 THEN 'ok' WHEN bound <= 3600 THEN 'warn' ELSE 'bad' END AS s0 FROM x) SELECT cluster_id, CASE WHEN has_primary AND archive_mode <> 'off' AND NOT failing AND last_archived IS NOT NULL THEN CAST(floor(bound + 0.5) AS BIGINT) END AS seconds,
- CASE WHEN NOT has_primary THEN 'unknown' WHEN archive_mode = 'off' OR failing THEN 'bad' WHEN last_archived IS NULL THEN 'warn' WHEN rpo_minutes > 0 THEN CASE WHEN bound > rpo_minutes * 60 THEN 'bad' WHEN t = 0 THEN 'warn' ELSE s0 END ELSE s0 END AS state FROM y""",
+    "protection": f"""WITH {_CLUSTERS}, {_EFF}, {_CF}, {_POINTS}, w AS (SELECT cluster_id, max({_RANK}) AS r FROM cf WHERE code IN ('no_primary', 'clock_ahead', 'gc_postponed', 'no_backup', 'no_schedule', 'verify_failed', 'backup_stale', 'backup_failed', 'archiver_failing', 'archive_both_set', 'archive_off', 'rpo_target', 'wal_gap', 'wal_branch_tail',
+  'backup_server_mismatch', 'wal_spool_failing', 'offsite_behind', 'archiver_lag', 'tablespace_after_full', 'restore_incomplete') GROUP BY 1)
+ SELECT c.cluster_id, CASE WHEN sets = 0 AND standby_site THEN 'none' WHEN sets = 0 OR r = 3 OR p.state = 'bad' THEN 'bad' WHEN r = 2 OR p.state IN ('warn', 'unknown') THEN 'warn' ELSE 'ok' END AS protection FROM clusters c LEFT JOIN w ON w.cluster_id = c.cluster_id LEFT JOIN points p ON p.cluster_id = c.cluster_id""",
+    "w16_recovery_points": f"WITH {_CLUSTERS}, {_POINTS} SELECT * FROM points",
     "w17_recovery_times": f"""WITH {_CLUSTERS}, d AS (SELECT o_custkey AS cluster_id, {_N} - o_orderkey % 150 * {_D} AS a, o_orderkey % 3000 - 5 AS s, CAST(round(o_totalprice * 100) AS BIGINT) * 900 AS b FROM orders), l AS (SELECT cluster_id, max({{'a': a, 's': s, 'b': b}}) AS d FROM d WHERE s > 0 GROUP BY 1),
  e AS (SELECT c.cluster_id, rto_minutes * 60 AS target, d, CAST(floor(d.s * CASE WHEN d.b > 0 AND size_bytes > 0 THEN greatest(1.0, size_bytes / d.b) ELSE 1.0 END + 0.5) AS BIGINT) AS est FROM clusters c LEFT JOIN l ON l.cluster_id = c.cluster_id)
  SELECT cluster_id, est AS seconds, CASE WHEN d IS NULL THEN 'unknown' WHEN target > 0 AND est > target THEN 'bad' WHEN {_N} - d.a > {90 * _D} THEN 'stale' ELSE 'ok' END AS state FROM e""",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import operations
-from ..streaming import stateful
+from ..streaming import machines, stateful
 from . import testbed as T
 
 
@@ -58,6 +59,33 @@ def st11_confirmed(spark: SparkSession, d: str) -> DataFrame:
     return stateful.drained(stateful.confirmed(_events(spark, d).select((F.col("user_id") % 30).alias("pair"), T.micros("ts").alias("at_time"), lost.alias("lost")), 4 * T.HOUR), "confirmed")
 
 
+def st8_delivered(spark: SparkSession, d: str) -> DataFrame:
+    """Two channels with thresholds; deliveries that fail are repeated. Held against a plain fold in the tests."""
+    severity = F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "view", "warning").when(F.col("event_type") == "click", "info")
+    looks = _events(spark, d).select(F.floor(F.col("event_id") / 6).alias("key"), T.micros("ts").alias("at_time"), severity.alias("severity"))
+    channels = spark.createDataFrame([("ops", "info"), ("phone", "critical")], "channel string, least string")
+    return machines.delivered(looks, channels, _sends, remind=40 * 24 * T.HOUR)
+
+
+def _sends(channel: str, lines: pd.DataFrame) -> list[bool]:
+    """Stands for a channel that now and then cannot be reached."""
+    return [(k + t // 1_000_000) % 7 > 0 for k, t in zip(lines["key"], lines["at_time"], strict=True)]
+
+
+def st9_leases(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    said = F.when(n < 700, "submit").when((F.col("event_type") == "error") & (n % 3 == 0), "failed").when((F.col("event_type") == "purchase") & (n % 3 == 0), "succeeded").when(F.col("event_type") == "signup", "running").otherwise("poll")
+    return stateful.drained(machines.leases(_events(spark, d).select((n % 700).alias("op"), T.micros("ts").alias("at_time"), said.alias("kind"), ((n % 5 + 1) * 24 * T.HOUR).alias("ttl"))), "leases")
+
+
+def st6_frames(spark: SparkSession, d: str) -> DataFrame:
+    entries = _events(spark, d).select(F.col("event_id").alias("entry"), T.micros("ts").alias("at_time"), (F.col("user_id") % 20).alias("cluster_id"), (F.col("event_id") % 5).cast("int").alias("rank"))
+    k = F.col("n_nationkey").cast("long")
+    subscriptions = T.table(spark, d, "nation").select(k.alias("subscriber"), F.when(k % 4 > 0, k % 20).alias("cluster_id"), (k % 4).cast("int").alias("least"))
+    found = stateful.drained(machines.frames(entries, subscriptions, 20, 6 * T.HOUR), "frames")
+    return found.select("subscriber", "at_time", F.size("entries").cast("long").alias("n"), "dropped", F.element_at("entries", 1).alias("first_entry"), F.element_at("entries", -1).alias("last_entry"))
+
+
 def _numbered(key: str, more: str) -> str:
     """Rows of the events table by key, numbered in the order of their times."""
     return f"e AS (SELECT {key}, epoch_us(ts) AS tm, {more}, row_number() OVER (PARTITION BY {key.split(' AS ')[0]} ORDER BY ts) AS n FROM events)"
@@ -65,7 +93,26 @@ def _numbered(key: str, more: str) -> str:
 
 #: A timer rings if it falls due before the watermark, ten seconds behind the newest event, in whole milliseconds.
 CLOCK = "(SELECT max(epoch_us(ts)) // 1000 - 10000 FROM events)"
+_ENDED = "('succeeded', 'failed', 'expired', 'cancelled')"
 SQL = {
+    "st6_frames": f"""WITH s AS (SELECT n_nationkey AS subscriber, CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey % 20 END AS cluster, n_nationkey % 4 AS least FROM nation),
+ m AS (SELECT subscriber, event_id, (epoch_us(ts) // {6 * T.HOUR} + 1) * {6 * T.HOUR} AS at_time, row_number() OVER (PARTITION BY subscriber, epoch_us(ts) // {6 * T.HOUR} ORDER BY ts DESC, event_id DESC) AS back FROM events JOIN s ON event_id % 5 >= least AND (cluster IS NULL OR cluster = user_id % 20))
+ SELECT subscriber, at_time, least(count(*), 20) AS n, greatest(count(*) - 20, 0) AS dropped, arg_max(event_id, back) FILTER (back <= 20) AS first_entry, arg_min(event_id, back) AS last_entry FROM m WHERE at_time - 1 < {CLOCK} * 1000 GROUP BY 1, 2""",
+    "st9_leases": f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY op ORDER BY tm, rnk) AS n FROM (SELECT event_id % 700 AS op, epoch_us(ts) AS tm, 0 AS rnk, (event_id % 5 + 1) * {24 * T.HOUR} AS life,
+   CASE WHEN event_id < 700 THEN 'submit' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'failed' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'succeeded' WHEN event_type = 'signup' THEN 'running' ELSE 'poll' END AS kind FROM events
+  UNION ALL SELECT DISTINCT event_id % 700, {CLOCK} * 1000, 1, 0, 'end' FROM events)),
+ f AS (SELECT DISTINCT op, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS tm, '' AS status, 0 AS attempts, CAST(-1 AS BIGINT) AS since, CAST(-1 AS BIGINT) AS until, CAST(0 AS BIGINT) AS ttl, FALSE AS gave_up, CAST(NULL AS VARCHAR) AS event, CAST(NULL AS BIGINT) AS lapse_at, '' AS lapsed_to, CAST(NULL AS BIGINT) AS expire_at, 0 AS had FROM e
+ UNION ALL SELECT op, n, tm, CASE WHEN event IN ('adopted', 'alive') THEN 'running' WHEN event IN ('refused', 'repeated') OR event IS NULL THEN s2 ELSE event END, CASE event WHEN 'leased' THEN attempts + 1 WHEN 'queued' THEN 0 ELSE attempts END,
+  CASE WHEN event IS NULL OR event IN ('alive', 'refused', 'repeated') THEN since2 ELSE tm END, CASE WHEN event IN ('leased', 'running', 'adopted', 'alive') THEN tm + 120000000 WHEN s2 IN ('leased', 'running') AND event IS NULL THEN until ELSE -1 END,
+  CASE WHEN event = 'queued' THEN life ELSE ttl END, CASE WHEN event IS NULL OR event IN ('refused', 'repeated') THEN g2 ELSE FALSE END, event, lapse_at, s1, expire_at, attempts FROM (
+  SELECT *, CASE WHEN kind = 'end' THEN NULL WHEN kind = 'submit' THEN CASE WHEN s2 = '' THEN 'queued' END WHEN s2 = '' THEN NULL WHEN kind = 'poll' THEN CASE WHEN s2 = 'queued' THEN 'leased' END
+    WHEN s2 IN {_ENDED} AND NOT g2 THEN CASE WHEN s2 = kind THEN 'repeated' ELSE 'refused' END
+    WHEN kind = 'running' THEN CASE WHEN s2 = 'queued' AND attempts = 0 THEN 'refused' WHEN s2 = 'running' THEN 'alive' WHEN g2 OR s2 = 'queued' THEN 'adopted' ELSE 'running' END ELSE kind END AS event FROM (
+   SELECT *, CASE WHEN s1 = 'queued' AND since1 + ttl < tm THEN since1 + ttl END AS expire_at, CASE WHEN s1 = 'queued' AND since1 + ttl < tm THEN 'expired' ELSE s1 END AS s2,
+     CASE WHEN s1 = 'queued' AND since1 + ttl < tm THEN since1 + ttl ELSE since1 END AS since2, CASE WHEN s1 = 'queued' AND since1 + ttl < tm THEN attempts > 0 ELSE g1 END AS g2 FROM (
+    SELECT op, n, tm, kind, life, attempts, ttl, until, CASE WHEN lapsed THEN until END AS lapse_at, CASE WHEN lapsed THEN CASE WHEN attempts >= 5 THEN 'failed' ELSE 'queued' END ELSE status END AS s1, CASE WHEN lapsed THEN until ELSE since END AS since1, CASE WHEN lapsed THEN attempts >= 5 ELSE gave_up END AS g1 FROM (
+     SELECT e.op, e.n, e.tm, e.kind, e.life, f.status, f.attempts, f.since, f.until, f.ttl, f.gave_up, f.status IN ('leased', 'running') AND f.until < e.tm AS lapsed FROM f JOIN e ON e.op = f.op AND e.n = f.n + 1)))))
+ SELECT op, tm AS at_time, event, status, attempts FROM f WHERE event <> 'alive' UNION ALL SELECT op, lapse_at, CASE lapsed_to WHEN 'failed' THEN 'given up' ELSE 'redelivered' END, lapsed_to, had FROM f WHERE lapse_at IS NOT NULL UNION ALL SELECT op, expire_at, 'expired', 'expired', had FROM f WHERE expire_at IS NOT NULL""",
     "st2_presence": f"""WITH s AS (SELECT user_id AS node_id, epoch_us(ts) AS tm, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS after FROM events), g AS (SELECT *, tm + {12 * T.HOUR} AS due FROM s)
  SELECT node_id, due AS at_time, 'offline' AS event FROM g WHERE due < after OR (after IS NULL AND due // 1000 + 1 <= {CLOCK}) UNION ALL SELECT node_id, after, 'online' FROM g WHERE due < after""",
     "st11_confirmed": f"""WITH e AS (SELECT user_id % 30 AS pair, epoch_us(ts) AS t, coalesce(event_type <> 'view' AND event_id % 6 <> 0, FALSE) AS l FROM events), g AS (SELECT *, sum(CASE WHEN l THEN 0 ELSE 1 END) OVER (PARTITION BY pair ORDER BY t) AS run FROM e),
@@ -96,4 +143,4 @@ SQL = {
     "st11_sustained": f"""WITH e AS (SELECT user_id % 30 AS pair, epoch_us(ts) AS t, event_id, coalesce(event_type <> 'view' AND event_id % 6 <> 0, FALSE) AS l FROM events), g AS (SELECT *, sum(CASE WHEN l THEN 0 ELSE 1 END) OVER (PARTITION BY pair ORDER BY t) AS run FROM e),
  s AS (SELECT *, min(t) FILTER (l) OVER (PARTITION BY pair, run) AS since FROM g) SELECT pair, min(t) AS at_time FROM s WHERE l AND t - since >= {4 * T.HOUR} GROUP BY pair, run""",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in [*SQL, "st8_delivered"]}

@@ -61,6 +61,10 @@ CHANGES = """changes AS (SELECT 1 AS tli, l_orderkey // 500 AS seg, l_suppkey AS
  counts AS (SELECT tli, xid, db, rel, min(lsn) AS lsn, CAST(sum(del) AS BIGINT) AS del, CAST(sum(upd) AS BIGINT) AS upd, min(seg) AS first_seg, max(seg) AS last_seg FROM enough GROUP BY ALL)"""
 
 
+#: Errors of failed work: some are refusals by their text, some by their code, and some only look like it.
+ERROR = "CASE WHEN {id} % 8 = 0 THEN concat('refused: step ', {id}, ' locked') WHEN {id} % 8 = 4 THEN concat('PGA-GEN-0', 30 + {id} % 9, ' step ', {id}, ' locked') WHEN {id} % 8 = 1 THEN concat('step ', {id}, ' would Lock-Out the console') WHEN {id} % 8 = 5 THEN concat('the connection was refused in step ', {id}) ELSE concat('step ', {id}, ' not mounted') END"
+
+
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as finished work of clusters (user) and nodes."""
     ev = table(spark, sf_dir, "events")
@@ -68,12 +72,12 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "queued").when(F.col("event_type") == "click", "running").otherwise("succeeded")
     return ev.select(
         F.col("event_id").alias("id"), kind.alias("type"), (F.col("user_id") % 20).alias("cluster_id"), F.col("user_id").alias("node_id"), status.alias("status"), micros("ts").alias("updated_at"),
-        F.when(status == "failed", F.concat(F.lit("step "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 4 == 0, " locked").otherwise(" not mounted"))).alias("error"), (F.col("event_id") % 3).alias("work"), F.col("props"),
+        F.when(status == "failed", F.expr(ERROR.format(id="event_id"))).alias("error"), (F.col("event_id") % 3).alias("work"), F.col("props"),
     )
 
 
 KINDS = ["backup_run", "backup_verify", "restore_drill", "backup_expire", "pg_restart", "restore_plan"]
-OPERATIONS = f"""operations AS (SELECT *, CASE WHEN status = 'failed' THEN 'step ' || CAST(id AS VARCHAR) || CASE WHEN id % 4 = 0 THEN ' locked' ELSE ' not mounted' END END AS error FROM (
+OPERATIONS = f"""operations AS (SELECT *, CASE WHEN status = 'failed' THEN {ERROR.format(id="id")} END AS error FROM (
  SELECT event_id AS id, [{", ".join(f"'{k}'" for k in KINDS)}][CAST(event_id % {len(KINDS)} + 1 AS INTEGER)] AS type, user_id % 20 AS cluster_id, user_id AS node_id,
  CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' ELSE 'succeeded' END AS status, epoch_us(ts) AS updated_at, event_id % 3 AS work, props FROM events))"""
 

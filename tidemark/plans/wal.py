@@ -35,7 +35,11 @@ def w5_segment_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w18_recovery_path(spark: SparkSession, d: str) -> DataFrame:
-    return wal.recovery_path(T.history(spark), 0)
+    """Every supplier's number is a timeline that forked off half of it; its history names all it came from."""
+    k, i = F.col("s_suppkey"), F.col("i")
+    rows = T.table(spark, d, "supplier").filter("s_suppkey > 0").select(k, F.explode(F.sequence(F.lit(1), F.floor(F.log2(k)).cast("int") + 1)).alias("i"))
+    at = lambda n: F.floor(k / F.pow(F.lit(2.0), n)).cast("long")
+    return wal.recovery_path(rows.select(k.cast("int").alias("tli"), at(i).cast("int").alias("ancestor"), (at(i - 1) * T.SEGMENT + 5).alias("end_lsn")), 0)
 
 
 def w19_first_hole(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +67,11 @@ def sc1_archive_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sc5_history_lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("00000002.history", "1\t0/3000100\tno recovery target specified"), ("00000002.history", "# comment"), ("00000003.history", "1 0/3000100 before"), ("00000003.history", "2  A/50000000 x"), ("3.history", "1 0/1"), ("00000003.history", "junk")]
-    found = wal.history_of_lines(T.inline(spark, rows, "name string, line string"))
+    k = F.col("o_orderkey")
+    name = F.when(k % 7 == 0, F.concat(k.cast("string"), F.lit(".history"))).otherwise(F.concat(F.lpad(F.hex(k), 8, "0"), F.lit(".history")))
+    line = F.when(k % 5 == 0, "# comment").when(k % 5 == 1, F.concat(k.cast("string"), F.lit("\t0/"), F.hex(k + 4096), F.lit("\tno recovery target specified"))).when(k % 5 == 2, F.concat(F.lit("  "), (k % 90).cast("string"), F.lit(" "), F.hex(k % 300), F.lit("/5000 before"))).when(k % 5 == 3, "junk").otherwise(F.concat((k % 9).cast("string"), F.lit(" A/"), F.lower(F.hex(k))))
+    rows = T.table(spark, d, "orders").select(name.alias("name"), line.alias("line"))
+    found = wal.history_of_lines(rows)
     return found.select("tli", "ancestor", lsn.lsn_number(F.col("end_lsn")).cast("long").alias("end_lsn"))
 
 
@@ -138,13 +145,14 @@ SQL = {
  a AS (SELECT k, min(reach) FILTER (start > reach) AS hole, max(stop) AS far, any_value(hi) AS hi FROM n GROUP BY 1), r AS (SELECT k, coalesce(hole, CASE WHEN far < hi THEN far END) AS first_hole FROM a) SELECT k, first_hole IS NULL AS covered, first_hole FROM r""",
     "w5_segment_windows": f"""WITH {T.SEGMENTS}, r AS (SELECT tli, segno, segno - row_number() OVER (PARTITION BY tli ORDER BY segno) AS run FROM segments), p AS (SELECT *, (row_number() OVER (PARTITION BY tli, run ORDER BY segno) - 1) // 4 AS piece FROM r)
  SELECT tli, min(segno) AS first, max(segno) AS last, count(*) AS n FROM p GROUP BY tli, run, piece""",
-    "w18_recovery_path": f"WITH {T.HISTORY} SELECT tli AS top, ancestor, end_lsn FROM history WHERE tli = (SELECT max(tli) FROM history WHERE ancestor = 0)",
+    "w18_recovery_path": f"WITH RECURSIVE p AS (SELECT max(s_suppkey) AS top, max(s_suppkey) AS k FROM supplier WHERE s_suppkey > 0 UNION ALL SELECT top, k // 2 FROM p WHERE k > 1) SELECT CAST(top AS INTEGER) AS top, CAST(k // 2 AS INTEGER) AS ancestor, k * {T.SEGMENT} + 5 AS end_lsn FROM p",
     "w19_first_hole": f"WITH {T.SEGMENTS}, n AS (SELECT unnest(range({T.FIRST + 50}, (SELECT max(segno) + 1 FROM segments WHERE tli = 1 AND segno <= {T.FIRST + 600}))) AS s) SELECT min(s) AS first_hole FROM n WHERE s > {T.FIRST + 50} AND s NOT IN (SELECT segno FROM segments WHERE tli = 1)",
     "x10_chain_holes": f"WITH {T.SEGMENTS}, n AS (SELECT unnest(range({T.FIRST}, {T.FIRST + 701})) AS segno) SELECT 2 AS tli, segno FROM n WHERE segno NOT IN (SELECT segno FROM segments WHERE tli = 2) ORDER BY segno LIMIT 1000",
     "x5_rescue": f"WITH {T.SEGMENTS} SELECT tli, segno FROM segments WHERE (tli < 1 OR tli = 1 AND segno < {T.FIRST + 300}) AND segno >= {FLOOR} AND segno % 7 = 0",
     "x6_ready_prefix": f"WITH {T.SEGMENTS}, q AS (SELECT *, segno % 97 = 3 AND tli < 2 AS waiting FROM segments) SELECT tli, segno, waiting FROM q WHERE segno < coalesce((SELECT min(segno) FROM q p WHERE p.tli = q.tli AND p.waiting), 9223372036854775807)",
     "sc1_archive_listing": f"WITH {T.SEGMENTS} SELECT tli, segno FROM segments WHERE segno % 5 IN (0, 1, 3)",
-    "sc5_history_lines": "SELECT * FROM (VALUES (2, 1, CAST(50331904 AS BIGINT)), (3, 1, CAST(50331904 AS BIGINT)), (3, 2, CAST(44291850240 AS BIGINT))) AS t(tli, ancestor, end_lsn)",
+    "sc5_history_lines": """SELECT CAST(o_orderkey AS INTEGER) AS tli, CAST(CASE o_orderkey % 5 WHEN 1 THEN o_orderkey WHEN 2 THEN o_orderkey % 90 ELSE o_orderkey % 9 END AS INTEGER) AS ancestor,
+ CASE o_orderkey % 5 WHEN 1 THEN o_orderkey + 4096 WHEN 2 THEN o_orderkey % 300 * 4294967296 + 20480 ELSE 42949672960 + o_orderkey END AS end_lsn FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 IN (1, 2, 4)""",
     "sc4_parse_lines": """WITH p AS (SELECT CASE WHEN l_partkey % 3 = 0 THEN 'DROP' ELSE 'CREATE' END AS kind, CAST(l_suppkey AS VARCHAR) AS xid, CASE WHEN l_partkey % 3 = 0 AND l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS nrels, '0/' || upper(to_hex(l_orderkey)) AS lsn, CAST(l_partkey AS VARCHAR) AS rel,
  CASE WHEN l_partkey % 3 = 0 THEN '2024-01-02 03:04:05.678 UTC' END AS t FROM lineitem WHERE l_partkey % 3 < 2) SELECT kind, xid, count(*) AS n, CAST(sum(nrels) AS BIGINT) AS files, min(lsn) AS first_lsn, max(rel) AS last_rel, max(t) AS commit_time FROM p GROUP BY kind, xid""",
     "w6_fold_truncates": """WITH e AS (SELECT CAST(l_orderkey AS VARCHAR) AS xid, count(*) FILTER (l_returnflag = 'N' AND l_orderkey <> 0) AS made, count(*) FILTER (l_returnflag <> 'N') AS gone FROM lineitem GROUP BY 1)
