@@ -258,6 +258,19 @@ def repository_stats(sets: DataFrame, now: int) -> DataFrame:
     )
 
 
+def dedup_ratios(sets: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Per stanza: logical bytes of its good sets, bytes stored (each chunk once), chunks, and their ratio to two places.
+
+    ``chunks(set_id, hash, len)`` are what the sets refer to; a ratio without stored bytes is null.
+    """
+    good = sets.filter("status = 'COMPLETE'")
+    logical = good.groupBy("stanza").agg(F.sum("bytes").alias("logical"))
+    held = chunks.join(good.select(F.col("id").alias("set_id"), "stanza"), "set_id").groupBy("stanza", "hash").agg(F.max("len").alias("len"))
+    stored = held.groupBy("stanza").agg(F.sum("len").alias("stored"), F.count("*").alias("chunks"))
+    out = logical.join(stored, "stanza", "left").select("stanza", "logical", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    return out.withColumn("ratio", F.when(F.col("stored") > 0, F.floor(F.col("logical") * 100 / F.col("stored") + 0.5) / 100))
+
+
 def live_pins(pins: DataFrame, now: int) -> DataFrame:
     return pins.filter(F.col("until") > now)
 

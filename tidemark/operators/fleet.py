@@ -379,10 +379,61 @@ def metrics(clusters: DataFrame, status: DataFrame, counts: DataFrame) -> DataFr
     return rows.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("m")).select("m.*")
 
 
+#: Name and meaning of each gauge of ``all_metrics``.
+GAUGES = {
+    "cluster_status": "0 healthy, 1 degraded, 2 critical, 3 down or unknown.", "cluster_findings": "Open findings of a cluster by severity.", "cluster_last_backup_timestamp_seconds": "When the newest good set began.", "cluster_last_full_backup_timestamp_seconds": "When the newest good full set began.",
+    "cluster_backup_sets": "Good sets of a cluster.", "cluster_archiver_failed_total": "Failures of the primary's archiver.", "cluster_archiver_last_failed_timestamp_seconds": "The archiver's last failure, 0 for never.", "cluster_wal_gaps": "Holes in the archived log.", "cluster_wal_conflicts": "Divergent copies in quarantine.",
+    "cluster_nodes": "Nodes with an agent by state.", "cluster_replication_lag_bytes": "How far each replica is behind.", "cluster_size_bytes": "Bytes of all databases.", "cluster_rpo_seconds": "Bound of what is not archived yet, -1 for none.", "cluster_rto_estimate_seconds": "Recovery time scaled from the last drill.",
+    "cluster_rpo_target_seconds": "Objective for lost changes.", "cluster_rto_target_seconds": "Objective for recovery time.", "workers": "Worker hosts by state.", "operations_24h": "Operations of the last day by type and status.", "operations_running": "Operations that are open now.", "findings": "Open findings of all clusters by severity.",
+}
+
+
+def all_metrics(clusters: DataFrame, status: DataFrame, counts: DataFrame, points: DataFrame, times: DataFrame, replicas: DataFrame, workers: DataFrame, operations: DataFrame, now: int) -> DataFrame:
+    """All gauges in long form: ``metric``, ``labels``, ``value`` (2.9.2); what is unknown has no row, so that no alert fires on a made-up zero.
+
+    ``clusters`` as for the findings, with ``last_full``, ``archiver_failed`` and ``has_archiver``; ``status``
+    (``worst_status``), ``counts`` (``severity_counts``), ``points`` and ``times`` (recovery points and times),
+    ``replicas(cluster_id, name, lag_bytes)``, ``workers(last_seen)``, ``operations(type, status, updated_at)``.
+    """
+    seconds = lambda c: F.floor(F.col(c) / 1_000_000)
+    rows = clusters.join(status, "cluster_id").join(counts, "cluster_id", "left").join(points.select("cluster_id", F.col("seconds").alias("rpo"), F.col("state").alias("rpo_state")), "cluster_id", "left").join(times.select("cluster_id", F.col("seconds").alias("rto")), "cluster_id", "left")
+    own = [F.lit("cluster"), F.col("name"), F.lit("environment"), F.col("environment"), F.lit("cluster_id"), F.col("cluster_id").cast("string")]
+    told, archiver = F.col("sets") > 0, F.col("has_archiver")
+    pairs = [
+        ("cluster_status", F.col("status"), []), *[("cluster_findings", F.coalesce(F.col(s), F.lit(0)), ["severity", s]) for s in RANKS], ("cluster_last_backup_timestamp_seconds", F.when(told, seconds("last_backup")), []), ("cluster_last_full_backup_timestamp_seconds", F.when(told, seconds("last_full")), []),
+        ("cluster_backup_sets", F.col("sets"), []), ("cluster_archiver_failed_total", F.when(archiver, F.col("archiver_failed")), []), ("cluster_archiver_last_failed_timestamp_seconds", F.when(archiver, F.coalesce(seconds("last_failed"), F.lit(0))), []), ("cluster_wal_gaps", F.col("gap_count"), []), ("cluster_wal_conflicts", F.col("conflicts"), []),
+        ("cluster_nodes", F.col("up"), ["state", "online"]), ("cluster_nodes", F.col("nodes") - F.col("up"), ["state", "offline"]), ("cluster_size_bytes", F.when(F.col("size_bytes") > 0, F.col("size_bytes")), []), ("cluster_rpo_seconds", F.coalesce("rpo", F.when(F.col("rpo_state") == "bad", -1)), []), ("cluster_rto_estimate_seconds", F.col("rto"), []),
+        ("cluster_rpo_target_seconds", F.when(F.col("rpo_minutes") > 0, F.col("rpo_minutes") * 60), []), ("cluster_rto_target_seconds", F.when(F.col("rto_minutes") > 0, F.col("rto_minutes") * 60), []),
+    ]
+    gauge = lambda name, value, labels: F.struct(F.lit(f"fleet_{name}").alias("metric"), (F.create_map(*labels) if labels else F.create_map().cast("map<string,string>")).alias("labels"), value.cast("double").alias("value"))
+    each = [F.when(v.isNotNull(), gauge(k, v, [*own, *map(F.lit, more)])) for k, v, more in pairs]
+    of_clusters = rows.select(F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("m")).select("m.*")
+    lags = replicas.filter("name IS NOT NULL").join(clusters.select("cluster_id", F.col("name").alias("cluster_name"), "environment"), "cluster_id")
+    of_replicas = lags.select(gauge("cluster_replication_lag_bytes", F.coalesce("lag_bytes", F.lit(0)), [F.lit("cluster"), F.col("cluster_name"), *own[2:], F.lit("replica"), F.col("name")]).alias("m")).select("m.*")
+    up = F.coalesce(F.lit(now) - F.col("last_seen") < 45_000_000, F.lit(False))
+    states = workers.agg(F.count_if(up).alias("on"), F.count_if(~up).alias("off"))
+    of_workers = states.select(F.explode(F.array(gauge("workers", F.col("on"), [F.lit("state"), F.lit("online")]), gauge("workers", F.col("off"), [F.lit("state"), F.lit("offline")]))).alias("m")).select("m.*")
+    recent = operations.filter(F.col("updated_at") >= now - DAY).groupBy("type", "status").agg(F.count("*").alias("n"))
+    of_work = recent.select(gauge("operations_24h", F.col("n"), [F.lit("type"), F.col("type"), F.lit("status"), F.col("status")]).alias("m")).select("m.*")
+    running = operations.agg(F.count_if(F.col("status").isin("queued", "leased", "running")).alias("n")).select(gauge("operations_running", F.col("n"), []).alias("m")).select("m.*")
+    all_counts = counts.agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in RANKS])
+    of_all = all_counts.select(F.explode(F.array(*[gauge("findings", F.col(s), [F.lit("severity"), F.lit(s)]) for s in RANKS])).alias("m")).select("m.*")
+    return of_clusters.unionByName(of_replicas).unionByName(of_workers).unionByName(of_work).unionByName(running).unionByName(of_all)
+
+
+def exposition_text(gauges: DataFrame, about: dict[str, str], prefix: str = "fleet_") -> DataFrame:
+    """The whole text of an exposition (SK1): ``metric``, ``place``, ``line``; by these two in order, HELP and TYPE come before a metric's samples."""
+    names = F.array(*[F.struct(F.lit(prefix + k).alias("metric"), F.lit(v).alias("help")) for k, v in about.items()])
+    there = gauges.select("metric").distinct().join(F.broadcast(gauges.sparkSession.range(1).select(F.explode(names).alias("x")).select("x.*")), "metric")
+    heads = there.select("metric", F.explode(F.array(F.struct(F.lit(0).alias("place"), F.concat_ws(" ", F.lit("# HELP"), "metric", "help").alias("line")), F.struct(F.lit(1).alias("place"), F.concat(F.lit("# TYPE "), F.col("metric"), F.lit(" gauge")).alias("line")))).alias("x")).select("metric", "x.*")
+    return heads.unionByName(exposition(gauges).select(F.regexp_extract("line", "^[a-z0-9_]+", 0).alias("metric"), F.lit(2).alias("place"), "line"))
+
+
 def exposition(gauges: DataFrame) -> DataFrame:
     """Gauges as lines of text with escaped labels (SK1); values that are not finite are left out."""
     escaped = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), escaped(e["value"]), F.lit('"')))
     value = F.when(F.col("value") == F.floor("value"), F.floor("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
     finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
-    return gauges.filter(finite).select(F.concat(F.col("metric"), F.lit("{"), F.array_join(pairs, ","), F.lit("} "), value).alias("line"))
+    labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
+    return gauges.filter(finite).select(F.concat(F.col("metric"), labels, F.lit(" "), value).alias("line"))

@@ -44,6 +44,33 @@ def history(operations: DataFrame, names: DataFrame, now: int, hours: int, statu
     return rows.orderBy(F.desc("updated_at"), F.desc("id")).offset(max(0, offset)).limit(min(max(limit, 1), PAGE))
 
 
+def with_total(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """One page of ``rows``, each with the ``total`` of all pages."""
+    page = rows.orderBy(*order).offset(max(0, offset)).limit(limit)
+    return page.join(F.broadcast(rows.agg(F.count("*").alias("total"))))
+
+
+def search_history(operations: DataFrame, names: DataFrame, now: int, hours: float = 0, cluster: int | None = None, status: str = "all", text: str = "", offset: int = 0, limit: int = 100, days: int = 7) -> DataFrame:
+    """``history`` with all its filters and the total before paging (F1).
+
+    ``hours`` lies between one and the retention (0: all of it); ``status`` is all, failed (expired ones
+    too) or succeeded; ``text`` is looked for in type, name, error and who asked (``created_by``).
+    """
+    hours = min(max(hours or days * 24, 1), days * 24)
+    rows = operations.filter(F.col("status").isin(TERMINAL) & (F.col("updated_at") >= now - int(hours * HOUR)))
+    if cluster is not None:
+        rows = rows.filter(F.col("cluster_id") == cluster)
+    if status in ("failed", "succeeded"):
+        rows = rows.filter(F.col("status").isin(["failed", "expired"] if status == "failed" else [status]))
+    rows = rows.join(names, "cluster_id", "left")
+    if text:
+        found = F.lit(False)
+        for c in ("type", "cluster_name", "error", "created_by"):
+            found = found | F.lower(F.coalesce(c, F.lit(""))).contains(text.lower())
+        rows = rows.filter(found)
+    return with_total(rows, [F.desc("updated_at"), F.desc("id")], offset, min(max(limit, 1), PAGE))
+
+
 def slim(operations: DataFrame, now: int, recent: int = HOUR, most: int = 200) -> DataFrame:
     """Open work and what ended recently, the last ``most`` (F2)."""
     return operations.filter(~F.col("status").isin(TERMINAL) | (F.col("updated_at") >= now - recent)).orderBy(F.desc("updated_at"), F.desc("id")).limit(most)
@@ -58,19 +85,42 @@ def audit_category(action: Column) -> Column:
     )
 
 
+def audit_rows(entries: DataFrame) -> DataFrame:
+    outcome = F.when(F.upper("status").isin("OK", "SUCCEEDED", "SUCCESS"), "SUCCESS").when(F.upper("status").rlike("FAIL|ERROR"), "FAILED").otherwise("WARNING")
+    return entries.withColumn("category", audit_category(F.col("action"))).withColumn("outcome", outcome)
+
+
 def audit(entries: DataFrame, category: str = "", limit: int = 100) -> DataFrame:
     """Audit entries with category and outcome, newest first."""
-    outcome = F.when(F.upper("status").isin("OK", "SUCCEEDED", "SUCCESS"), "SUCCESS").when(F.upper("status").rlike("FAIL|ERROR"), "FAILED").otherwise("WARNING")
-    rows = entries.withColumn("category", audit_category(F.col("action"))).withColumn("outcome", outcome)
+    rows = audit_rows(entries)
     return (rows.filter(F.col("category") == category) if category else rows).orderBy(F.desc("at_time"), F.desc("id")).limit(min(limit, 1000))
 
 
-def logs(entries: DataFrame, least: str = "info", service: str = "all", text: str = "") -> DataFrame:
-    """Log lines of at least a severity, of a service, with a text in them (F4, ST6); works on streams too."""
+def search_audit(entries: DataFrame, names: DataFrame, cluster: int | None = None, category: str = "all", status: str = "all", text: str = "", limit: int = 100) -> DataFrame:
+    """``audit`` with all its filters and the total before the limit (F3): by cluster, category, outcome, and text in action, details or cluster name."""
+    rows = audit_rows(entries)
+    for column, wanted in (("cluster_id", cluster), ("category", None if category == "all" else category), ("outcome", None if status == "all" else status)):
+        if wanted is not None:
+            rows = rows.filter(F.col(column) == wanted)
+    rows = rows.join(names, "cluster_id", "left")
+    if text:
+        found = F.lit(False)
+        for c in ("action", "details", "cluster_name"):
+            found = found | F.lower(F.coalesce(c, F.lit(""))).contains(text.lower())
+        rows = rows.filter(found)
+    return with_total(rows, [F.desc("at_time"), F.desc("id")], 0, min(limit, 1000))
+
+
+def logs(entries: DataFrame, least: str = "info", service: str = "all", text: str = "", cluster: int | None = None, node: str = "all") -> DataFrame:
+    """Log lines of at least a severity, of a service, cluster and node, with a text in them (F4, ST6); works on streams too."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("level"))
     rows = entries.filter(rank >= SEVERITIES.index(least) + 1)
     if service != "all":
         rows = rows.filter(F.col("service") == service)
+    if cluster is not None:
+        rows = rows.filter(F.col("cluster_id") == cluster)
+    if node != "all":
+        rows = rows.filter(F.col("node_name") == node)
     return rows.filter(F.lower(F.concat_ws(" ", "message", "node_name", "raw")).contains(text.lower())) if text else rows
 
 

@@ -19,6 +19,8 @@ STRETCH = 1 << 16
 LEAST_IN_SEGMENT, LEAST_IN_ALL = 20, 1000
 #: Relations that a report lists.
 LISTED = 12
+#: Seconds that a segment may be missing from the archive before a standby keeps a copy, and copies that it keeps.
+STAGE_AFTER, MOST_STAGED = 90, 48
 PATH = r"(?:base|pg_tblspc/\d+/[^/ ]+)/(\d+)/(\d+)"
 _EDGE = r"(?=[\s;,]|$)"
 
@@ -242,6 +244,30 @@ def rescue(local: DataFrame, archive: DataFrame, current_tli: int, current_segno
     return local.filter(whole & (F.col("segno") >= floor)).join(archive.select("tli", "segno"), ["tli", "segno"], "left_anti")
 
 
+def rescue_plan(servers: DataFrame, local: DataFrame, staged: DataFrame, archive: DataFrame, now: int) -> DataFrame:
+    """What each server does about segments that a failed primary never archived (X5): ``server``, ``tli``, ``segno``, ``action``.
+
+    ``servers(server, in_recovery, tli, segno, floor)``; ``local(server, tli, segno, whole, since)`` are the
+    segments in its log folder, ``staged(server, tli, segno, whole)`` the copies it keeps; ``archive(tli,
+    segno)``; times in seconds. ``forget``: staged copies that the archive has or that lie below the floor, and
+    on a standby the oldest beyond ``MOST_STAGED``. A standby stages (``stage``) whole segments that are complete
+    and that the archive has lacked for ``STAGE_AFTER`` seconds; a primary publishes (``publish``), from either
+    place, whole segments of older timelines, as its own timeline is the archiver's.
+    """
+    own = servers.select("server", "in_recovery", F.col("tli").alias("now_tli"), F.col("segno").alias("now_segno"), "floor")
+    there = archive.select("tli", "segno", F.lit(True).alias("archived")).distinct()
+    kept = F.lit(True).alias("kept")
+    copies = staged.join(own, "server").join(there, ["tli", "segno"], "left").withColumn("gone", F.coalesce("archived", F.lit(False)) | (F.col("segno") < F.col("floor")))
+    complete = (F.col("tli") < F.col("now_tli")) | ((F.col("tli") == F.col("now_tli")) & (F.col("segno") < F.col("now_segno")))
+    wanted = local.join(own, "server").filter(complete & (F.col("segno") >= F.col("floor")) & F.col("whole")).join(there, ["tli", "segno"], "left_anti").join(staged.select("server", "tli", "segno", kept), ["server", "tli", "segno"], "left")
+    stage = wanted.filter(F.col("in_recovery") & F.col("kept").isNull() & (F.lit(now) - F.col("since") >= STAGE_AFTER)).select("server", "tli", "segno", F.lit("stage").alias("action"))
+    held = copies.filter("NOT gone AND in_recovery").select("server", "tli", "segno").unionByName(stage.select("server", "tli", "segno"))
+    old = held.withColumn("back", F.row_number().over(Window.partitionBy("server").orderBy(F.desc("tli"), F.desc("segno")))).filter(F.col("back") > MOST_STAGED)
+    forget = copies.filter("gone").select("server", "tli", "segno").unionByName(old.select("server", "tli", "segno")).withColumn("action", F.lit("forget"))
+    older = wanted.filter("NOT in_recovery AND tli < now_tli AND kept IS NULL").select("server", "tli", "segno").unionByName(copies.filter("NOT gone AND NOT in_recovery AND tli < now_tli AND whole").select("server", "tli", "segno"))
+    return stage.unionByName(forget).unionByName(older.withColumn("action", F.lit("publish")))
+
+
 def recovery_path(history: DataFrame, start_tli: int) -> DataFrame:
     """Timelines that recovery from ``start_tli`` passes, newest first (W18): from the highest one whose history names the start."""
     on = history.filter(F.col("ancestor") == start_tli).agg(F.max("tli").alias("top"))

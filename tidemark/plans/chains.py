@@ -182,6 +182,10 @@ def x16_repository_stats(spark: SparkSession, d: str) -> DataFrame:
     return chains.repository_stats(T.backup_sets(spark, d), NOW)
 
 
+def x16_dedup_ratios(spark: SparkSession, d: str) -> DataFrame:
+    return chains.dedup_ratios(T.backup_sets(spark, d), _chunks(spark, d))
+
+
 def x13_live_pins(spark: SparkSession, d: str) -> DataFrame:
     return chains.live_pins(T.backup_sets(spark, d).select("id", F.col("ended").alias("until")), 10_500 * 86400)
 
@@ -229,6 +233,8 @@ SQL = {
  WHEN k % 6 < k % 5 THEN 'timeline' WHEN k % 8 = 3 THEN 'log missing' WHEN k % 12 = 7 THEN 'tablespace' END AS reason FROM orders) SELECT k AS id, CASE WHEN reason IS NULL THEN requested ELSE 'full' END AS type, CASE WHEN reason IS NOT NULL THEN requested END AS promoted_from, reason FROM x""",
     "x16_repository_stats": f"""WITH {T.SETS} SELECT stanza, count(*) AS sets, count(*) FILTER (status = 'COMPLETE') AS complete, count(*) FILTER (status = 'COMPLETE' AND type = 'full') AS fulls, count(*) FILTER (status = 'FAILED') AS failed, CAST(sum(bytes) FILTER (status = 'COMPLETE') AS BIGINT) AS bytes,
  arg_max(id, (started, id)) FILTER (status = 'COMPLETE' AND type = 'full') AS last_full, min(started) FILTER (status = 'COMPLETE') AS oldest, max(started) FILTER (status = 'FAILED') AS last_failure, ({NOW} - max(started) FILTER (status = 'COMPLETE')) // 3600 AS age_hours FROM sets GROUP BY 1""",
+    "x16_dedup_ratios": f"""WITH {T.SETS}, {_CHUNKS}, g AS (SELECT * FROM sets WHERE status = 'COMPLETE'), l AS (SELECT stanza, CAST(sum(bytes) AS BIGINT) AS logical FROM g GROUP BY 1), h AS (SELECT stanza, hash, max(len) AS len FROM chunks JOIN g ON g.id = set_id GROUP BY 1, 2), s AS (SELECT stanza, CAST(sum(len) AS BIGINT) AS stored, count(*) AS chunks FROM h GROUP BY 1)
+ SELECT stanza, logical, coalesce(stored, 0) AS stored, coalesce(chunks, 0) AS chunks, CASE WHEN stored > 0 THEN floor(logical * 100 / stored + 0.5) / 100 END AS ratio FROM l LEFT JOIN s USING (stanza)""",
     "x13_live_pins": f"WITH {T.SETS} SELECT id, ended AS until FROM sets WHERE ended > {10_500 * 86400}",
     "g13_database_sets": f"WITH {T.SETS}, c AS (SELECT id % 300 AS db, stanza AS set_no, max(bytes) AS size FROM sets GROUP BY 1, 2) SELECT db, arg_max(size, set_no) AS size, count(*) AS sets, min(set_no) AS first, max(set_no) AS last, max(set_no) = (SELECT max(set_no) FROM c) AS in_latest FROM c GROUP BY db",
 }

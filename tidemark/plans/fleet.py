@@ -145,7 +145,7 @@ _CLUSTER = {
     "scheduled": "k % 4 <> 1", "full_hours": "k % 50 + 1", "incr_hours": "k % 12 + 1", "failed_runs": "k % 7 - 3", "gc_postponed": "k % 9", "verify_failed": "k % 11 - 9", "last_verify": f"CASE WHEN k % 3 <> 1 THEN {NOW} - k % 300 * {T.HOUR} END", "verify_hours": "k % 100", "drill_failed": "CASE WHEN k % 16 = 3 THEN 1 ELSE 0 END", "drill_days": "k % 30",
     "last_drill": f"CASE WHEN k % 5 <> 2 THEN {NOW} - k % 120 * {T.DAY} END", "gap_count": "CASE WHEN k % 25 = 4 THEN 2 ELSE 0 END", "tails": "CASE WHEN k % 26 = 5 THEN 1 ELSE 0 END", "conflicts": "k % 27 - 24", "conflicts_newest": f"{NOW} - k % 20 * {T.DAY}", "off_history": "k % 5 - 2", "last_failed": f"CASE WHEN k % 12 = 5 THEN {NOW} - k % 9 * {T.HOUR} END",
     "last_archived": f"CASE WHEN k % 15 <> 1 THEN {NOW} - k % 4000 * 1000000 END", "spool_error": "k % 40 = 9", "spool_pending": "k % 300", "spool_age": "CASE WHEN k % 3 = 0 THEN k * 7 % 4000 END", "current_lsn": "CASE WHEN k % 9 = 0 THEN k * 16777216 ELSE k * 16777216 + 12345 END", "archived_segno": "CASE WHEN k % 2 = 0 THEN k - 1 ELSE k - k % 200 END", "archive_mode": "CASE WHEN k % 21 = 0 THEN 'off' ELSE 'on' END",
-    "wal_stores": "k % 3", "paused": "k % 18 = 11", "archive_timeout": "CASE WHEN k % 2 = 0 THEN 300 END", "rpo_minutes": "k % 4 * 10", "rto_minutes": "k % 5 * 15", "size_bytes": "k * 1000000007 % 90000000000",
+    "last_full": f"CASE WHEN k % 8 <> 0 AND k % 9 > 0 THEN {NOW} - (k % 700 + 1) * {T.HOUR} END", "archiver_failed": "k % 17", "has_archiver": "k % 6 <> 0", "wal_stores": "k % 3", "paused": "k % 18 = 11", "archive_timeout": "CASE WHEN k % 2 = 0 THEN 300 END", "rpo_minutes": "k % 4 * 10", "rto_minutes": "k % 5 * 15", "size_bytes": "k * 1000000007 % 90000000000",
 }
 _CLUSTERS = "clusters AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in _CLUSTER.items()) + " FROM (SELECT c_custkey AS k FROM customer))"
 
@@ -201,6 +201,26 @@ def m_metrics(spark: SparkSession, d: str) -> DataFrame:
     return gauges.select("metric", F.col("labels")["cluster"].alias("cluster"), F.col("labels")["severity"].alias("severity"), "value")
 
 
+def _gauges(spark: SparkSession, d: str) -> DataFrame:
+    clusters = _clusters(spark, d)
+    found = fleet.cluster_findings(clusters, NOW)
+    counts = fleet.severity_counts(found)
+    k = F.col("s_suppkey")
+    drills = T.table(spark, d, "orders").select(F.col("o_custkey").alias("cluster_id"), (F.lit(NOW) - F.col("o_orderkey") % 150 * T.DAY).alias("at_time"), (F.col("o_orderkey") % 3000 - 5).alias("seconds"), (T.cents("o_totalprice") * 900).alias("bytes"))
+    replicas = T.table(spark, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_custkey").alias("cluster_id"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("name"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") * 100).alias("lag_bytes"))
+    workers = T.table(spark, d, "supplier").select(F.when(k % 9 != 0, F.lit(NOW) - k % 60 * 1_000_000).alias("last_seen"))
+    return fleet.all_metrics(clusters, fleet.worst_status(clusters, found), counts, fleet.recovery_points(clusters, NOW), fleet.recovery_times(clusters, drills, NOW), replicas, workers, T.operations(spark, d), NOW)
+
+
+def m_all_metrics(spark: SparkSession, d: str) -> DataFrame:
+    entries = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return _gauges(spark, d).select("metric", F.array_join(entries, ",").alias("labels"), "value")
+
+
+def sk1_text(spark: SparkSession, d: str) -> DataFrame:
+    return fleet.exposition_text(_gauges(spark, d), fleet.GAUGES)
+
+
 def sk1_exposition(spark: SparkSession, d: str) -> DataFrame:
     p = T.table(spark, d, "part")
     value = F.when(F.col("p_partkey") % 10 == 0, F.lit(None)).when(F.col("p_partkey") % 10 == 1, F.lit(float("nan"))).when(F.col("p_partkey") % 2 == 0, F.col("p_size") + 0.5).otherwise(F.col("p_size").cast("double"))
@@ -234,6 +254,20 @@ _POINTS = f"""b AS (SELECT *, coalesce(archive_timeout, 0) AS t, greatest(0, ({_
  x AS (SELECT *, CASE WHEN current_lsn // 16777216 - archived_segno - 1 = 0 THEN CASE WHEN current_lsn % 16777216 = 0 THEN floor(age + 0.5) WHEN t > 0 THEN least(t, since) ELSE since END ELSE greatest(since, t) END + coalesce(spool_age, 0) AS bound FROM b),
  y AS (SELECT *, CASE WHEN bound <= greatest(t, 60) * 2 THEN 'ok' WHEN bound <= 3600 THEN 'warn' ELSE 'bad' END AS s0 FROM x), points AS (SELECT cluster_id, CASE WHEN has_primary AND archive_mode <> 'off' AND NOT failing AND last_archived IS NOT NULL THEN CAST(floor(bound + 0.5) AS BIGINT) END AS seconds,
  CASE WHEN NOT has_primary THEN 'unknown' WHEN archive_mode = 'off' OR failing THEN 'bad' WHEN last_archived IS NULL THEN 'warn' WHEN rpo_minutes > 0 THEN CASE WHEN bound > rpo_minutes * 60 THEN 'bad' WHEN t = 0 THEN 'warn' ELSE s0 END ELSE s0 END AS state FROM y)"""
+_OWN = "'cluster=' || name || ',cluster_id=' || c.cluster_id || ',environment=' || environment"
+_METRICS = f"""{T.OPERATIONS}, {_CLUSTERS}, {_EFF}, {_CF}, {_POINTS}, times AS (WITH d AS (SELECT o_custkey AS cluster_id, {_N} - o_orderkey % 150 * {_D} AS a, o_orderkey % 3000 - 5 AS s, CAST(round(o_totalprice * 100) AS BIGINT) * 900 AS b FROM orders), l AS (SELECT cluster_id, max({{'a': a, 's': s, 'b': b}}) AS d FROM d WHERE s > 0 GROUP BY 1),
+ e AS (SELECT c.cluster_id, rto_minutes * 60 AS target, d, CAST(floor(d.s * CASE WHEN d.b > 0 AND size_bytes > 0 THEN greatest(1.0, size_bytes / d.b) ELSE 1.0 END + 0.5) AS BIGINT) AS est FROM clusters c LEFT JOIN l ON l.cluster_id = c.cluster_id)
+ SELECT cluster_id, est AS seconds, CASE WHEN d IS NULL THEN 'unknown' WHEN target > 0 AND est > target THEN 'bad' WHEN {_N} - d.a > {90 * _D} THEN 'stale' ELSE 'ok' END AS state FROM e), n AS (SELECT cluster_id, max(CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END) AS r, count(*) FILTER (severity = 'info') AS i, count(*) FILTER (severity = 'warning') AS w, count(*) FILTER (severity = 'critical') AS cr FROM cf GROUP BY 1),
+ c AS (SELECT c.*, CASE WHEN up = 0 THEN 3 ELSE coalesce(n.r, 1) - 1 END AS status, coalesce(n.i, 0) AS n_info, coalesce(n.w, 0) AS n_warning, coalesce(n.cr, 0) AS n_critical, p.seconds AS rpo, p.state AS rpo_state, t.seconds AS rto FROM clusters c LEFT JOIN n ON n.cluster_id = c.cluster_id LEFT JOIN points p ON p.cluster_id = c.cluster_id LEFT JOIN times t ON t.cluster_id = c.cluster_id),
+ m AS (""" + " UNION ALL ".join(f"SELECT 'fleet_{k}' AS metric, {_OWN} || '{more}' AS labels, CAST({v} AS DOUBLE) AS value FROM c" for k, v, more in [
+    ("cluster_status", "status", ""), ("cluster_findings", "n_info", ",severity=info"), ("cluster_findings", "n_warning", ",severity=warning"), ("cluster_findings", "n_critical", ",severity=critical"), ("cluster_last_backup_timestamp_seconds", "CASE WHEN sets > 0 THEN last_backup // 1000000 END", ""),
+    ("cluster_last_full_backup_timestamp_seconds", "CASE WHEN sets > 0 THEN last_full // 1000000 END", ""), ("cluster_backup_sets", "sets", ""), ("cluster_archiver_failed_total", "CASE WHEN has_archiver THEN archiver_failed END", ""), ("cluster_archiver_last_failed_timestamp_seconds", "CASE WHEN has_archiver THEN coalesce(last_failed // 1000000, 0) END", ""),
+    ("cluster_wal_gaps", "gap_count", ""), ("cluster_wal_conflicts", "conflicts", ""), ("cluster_nodes", "up", ",state=online"), ("cluster_nodes", "nodes - up", ",state=offline"), ("cluster_size_bytes", "CASE WHEN size_bytes > 0 THEN size_bytes END", ""), ("cluster_rpo_seconds", "coalesce(rpo, CASE WHEN rpo_state = 'bad' THEN -1 END)", ""),
+    ("cluster_rto_estimate_seconds", "rto", ""), ("cluster_rpo_target_seconds", "CASE WHEN rpo_minutes > 0 THEN rpo_minutes * 60 END", ""), ("cluster_rto_target_seconds", "CASE WHEN rto_minutes > 0 THEN rto_minutes * 60 END", ""),
+]) + f""" UNION ALL SELECT 'fleet_cluster_replication_lag_bytes', {_OWN} || ',replica=r' || o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey * 100.0 ELSE 0 END FROM orders JOIN clusters c ON c.cluster_id = o_custkey WHERE o_orderkey % 20 = 0
+ UNION ALL SELECT 'fleet_workers', 'state=' || s, count(*) FILTER ((s = 'online') = (s_suppkey % 9 <> 0 AND s_suppkey % 60 < 45)) FROM supplier, (VALUES ('online'), ('offline')) t(s) GROUP BY s
+ UNION ALL SELECT 'fleet_operations_24h', 'status=' || status || ',type=' || type, count(*) FROM operations WHERE updated_at >= {_N} - {_D} GROUP BY status, type UNION ALL SELECT 'fleet_operations_running', '', count(*) FILTER (status IN ('queued', 'running')) FROM operations
+ UNION ALL SELECT 'fleet_findings', 'severity=' || s, count(*) FILTER (severity = s) FROM cf, (VALUES ('info'), ('warning'), ('critical')) t(s) GROUP BY s), metrics AS (SELECT * FROM m WHERE value IS NOT NULL)"""
 _RANK = "CASE severity WHEN 'critical' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END"
 def _setups(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -301,6 +335,10 @@ SQL = {
     "w17_recovery_times": f"""WITH {_CLUSTERS}, d AS (SELECT o_custkey AS cluster_id, {_N} - o_orderkey % 150 * {_D} AS a, o_orderkey % 3000 - 5 AS s, CAST(round(o_totalprice * 100) AS BIGINT) * 900 AS b FROM orders), l AS (SELECT cluster_id, max({{'a': a, 's': s, 'b': b}}) AS d FROM d WHERE s > 0 GROUP BY 1),
  e AS (SELECT c.cluster_id, rto_minutes * 60 AS target, d, CAST(floor(d.s * CASE WHEN d.b > 0 AND size_bytes > 0 THEN greatest(1.0, size_bytes / d.b) ELSE 1.0 END + 0.5) AS BIGINT) AS est FROM clusters c LEFT JOIN l ON l.cluster_id = c.cluster_id)
  SELECT cluster_id, est AS seconds, CASE WHEN d IS NULL THEN 'unknown' WHEN target > 0 AND est > target THEN 'bad' WHEN {_N} - d.a > {90 * _D} THEN 'stale' ELSE 'ok' END AS state FROM e""",
+    "m_all_metrics": f"WITH {_METRICS} SELECT * FROM metrics",
+    "sk1_text": f"""WITH {_METRICS}, h(metric, help) AS (VALUES {", ".join(f"('fleet_{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in fleet.GAUGES.items())}),
+ t AS (SELECT metric, 0 AS place, '# HELP ' || metric || ' ' || help AS line FROM h UNION ALL SELECT metric, 1, '# TYPE ' || metric || ' gauge' FROM h) SELECT * FROM t SEMI JOIN metrics USING (metric)
+ UNION ALL SELECT metric, 2, metric || CASE WHEN labels = '' THEN '' ELSE '{{' || regexp_replace(labels, '=([^,]*)', '="\\1"', 'g') || '}}' END || ' ' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END FROM metrics""",
     "m_metrics": f"""WITH {_CLUSTERS}, {_SLOTS}, {_SLOT_FINDINGS}, w AS (SELECT cluster_id, max({_RANK}) AS r, count(*) FILTER (severity = 'info') AS info, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'critical') AS critical FROM sf GROUP BY 1),
  a AS (SELECT c.*, CASE WHEN up = 0 THEN 3 ELSE coalesce(r, 1) - 1 END AS status, coalesce(info, 0) AS i, coalesce(warning, 0) AS w, coalesce(critical, 0) AS cr FROM clusters c LEFT JOIN w ON w.cluster_id = c.cluster_id),
  g AS (SELECT name AS cluster, unnest([{{'m': 'cluster_status', 's': NULL, 'v': status::DOUBLE}}, {{'m': 'cluster_nodes', 's': NULL, 'v': nodes::DOUBLE}}, {{'m': 'cluster_nodes_online', 's': NULL, 'v': up::DOUBLE}}, {{'m': 'database_bytes', 's': NULL, 'v': CASE WHEN size_bytes > 0 THEN size_bytes::DOUBLE END}}, {{'m': 'last_backup_timestamp', 's': NULL, 'v': last_backup / 1000000}}, {{'m': 'wal_gaps', 's': NULL, 'v': gap_count::DOUBLE}},

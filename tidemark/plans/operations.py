@@ -19,6 +19,24 @@ def f1_history(spark: SparkSession, d: str) -> DataFrame:
     return operations.history(T.operations(spark, d), _names(spark), NOW, 24 * 10, "failed", "LOCKED", 5, 40).select("id", "type", "cluster_name", "status", "updated_at", "error")
 
 
+def f1_search(spark: SparkSession, d: str) -> DataFrame:
+    told = T.operations(spark, d).withColumn("created_by", F.concat(F.lit("Person"), (F.col("id") % 7).cast("string")))
+    found = operations.search_history(told, _names(spark), NOW - 5 * T.DAY, 90, 3, "all", "PERSON5", 1, 25)
+    return found.select("id", "type", "cluster_name", "status", "created_by", "total")
+
+
+def f3_search(spark: SparkSession, d: str) -> DataFrame:
+    entries = _audit(spark, d).withColumns({"cluster_id": F.col("id") % 20, "details": F.concat(F.lit("set "), F.col("id").cast("string"))})
+    return operations.search_audit(entries, _names(spark), 4, "all", "SUCCESS", "Set 1", 50).select("id", "category", "outcome", "cluster_name", "total")
+
+
+def f4_search(spark: SparkSession, d: str) -> DataFrame:
+    ev = T.table(spark, d, "events")
+    level = F.element_at(F.array(*[F.lit(x) for x in operations.SEVERITIES]), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = ev.select("event_id", level.alias("level"), F.col("event_type").alias("service"), F.col("props").alias("message"), F.concat(F.lit("node"), (F.col("user_id") % 3).cast("string")).alias("node_name"), F.lit(None).cast("string").alias("raw"), (F.col("user_id") % 4).alias("cluster_id"))
+    return operations.logs(rows, "debug", cluster=2, node="node1").select("event_id", "level")
+
+
 def f2_slim(spark: SparkSession, d: str) -> DataFrame:
     return operations.slim(T.operations(spark, d), NOW).select("id", "status", "updated_at")
 
@@ -302,6 +320,11 @@ _COVERS = """(a.type = b.type OR a.type = 'host' AND b.type IN ('hostssl', 'host
 _LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
 SQL = {
     "f1_history": f"WITH {T.OPERATIONS} SELECT id, type, 'cluster-' || CAST(cluster_id AS VARCHAR) AS cluster_name, status, updated_at, error FROM operations WHERE status = 'failed' AND updated_at >= {NOW} - 240 * {T.HOUR} AND error LIKE '%locked%' ORDER BY updated_at DESC, id DESC LIMIT 40 OFFSET 5",
+    "f1_search": f"""WITH {T.OPERATIONS}, r AS (SELECT id, type, 'cluster-' || CAST(cluster_id AS VARCHAR) AS cluster_name, status, 'Person' || CAST(id % 7 AS VARCHAR) AS created_by, updated_at FROM operations WHERE status IN ('succeeded', 'failed') AND updated_at >= {NOW} - 5 * {T.DAY} - 90 * {T.HOUR} AND cluster_id = 3 AND id % 7 = 5)
+ SELECT id, type, cluster_name, status, created_by, (SELECT count(*) FROM r) AS total FROM r ORDER BY updated_at DESC, id DESC LIMIT 25 OFFSET 1""",
+    "f3_search": """WITH a AS (SELECT event_id AS id, ts, ['ha_patroni', 'parameters', 'security', 'backup', 'pitr', 'discovery', 'agent'][CAST(event_id % 7 + 1 AS INTEGER)] AS category, 'SUCCESS' AS outcome, 'cluster-4' AS cluster_name FROM events WHERE event_id % 20 = 4 AND event_id % 4 IN (0, 3) AND starts_with(CAST(event_id AS VARCHAR), '1'))
+ SELECT id, category, outcome, cluster_name, (SELECT count(*) FROM a) AS total FROM a ORDER BY ts DESC, id DESC LIMIT 50""",
+    "f4_search": "SELECT event_id, ['debug', 'info', 'warning', 'error', 'critical'][CAST(event_id % 5 + 1 AS INTEGER)] AS level FROM events WHERE user_id % 4 = 2 AND user_id % 3 = 1",
     "f2_slim": f"WITH {T.OPERATIONS} SELECT id, status, updated_at FROM operations WHERE status IN ('queued', 'running') OR updated_at >= {NOW} - {T.HOUR} ORDER BY updated_at DESC, id DESC LIMIT 200",
     "f3_audit": """WITH a AS (SELECT event_id AS id, epoch_us(ts) AS at_time, ['op.patroni_switchover', 'op.pg_set_param', 'token.create', 'op.backup_run', 'op.restore_drill', 'discovery.scan', 'op.checkpoint'][CAST(event_id % 7 + 1 AS INTEGER)] AS action, ['ha_patroni', 'parameters', 'security', 'backup', 'pitr', 'discovery', 'agent'][CAST(event_id % 7 + 1 AS INTEGER)] AS category,
  ['ok', 'FAILED', 'partial', 'SUCCEEDED'][CAST(event_id % 4 + 1 AS INTEGER)] AS status, ['SUCCESS', 'FAILED', 'WARNING', 'SUCCESS'][CAST(event_id % 4 + 1 AS INTEGER)] AS outcome FROM events) SELECT * FROM a ORDER BY at_time DESC, id DESC LIMIT 700""",

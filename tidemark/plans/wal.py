@@ -10,6 +10,7 @@ from ..operators import wal
 from . import testbed as T
 
 FLOOR = T.FIRST + 20
+NOW_S = 1_706_659_200
 
 
 def w1_wal_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -56,6 +57,20 @@ def x5_rescue(spark: SparkSession, d: str) -> DataFrame:
     return wal.rescue(s, s.filter("segno % 7 <> 0"), 1, T.FIRST + 300, FLOOR)
 
 
+#: Columns of the rescue fixture, as expressions that both engines read; k is a supplier, who stands for a server, r a segment near its own.
+_SERVER = {"server": "k", "in_recovery": "k % 3 > 0", "tli": "CAST(k % 4 + 1 AS INTEGER)", "segno": "k * 10 + 80", "floor": "k * 10 + k % 30"}
+_LOCAL = {"server": "k", "tli": "CAST(r % 5 AS INTEGER)", "segno": "k * 10 + r", "whole": "r % 11 <> 0", "since": f"{NOW_S} - r * 7 % 200"}
+_STAGED = {"server": "k", "tli": "CAST(r % 4 AS INTEGER)", "segno": "k * 10 + r * 2", "whole": "r % 9 <> 0"}
+
+
+def x5_rescue_plan(spark: SparkSession, d: str) -> DataFrame:
+    s = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    near = lambda n: s.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    made = lambda rows, columns: rows.selectExpr(*[f"{v} AS {c}" for c, v in columns.items()])
+    archive = T.table(spark, d, "orders").select((F.col("o_orderkey") % 5).cast("int").alias("tli"), F.col("o_custkey").alias("segno"))
+    return wal.rescue_plan(made(s, _SERVER), made(near(100), _LOCAL), made(near(70).filter("k % 2 = 0"), _STAGED), archive, NOW_S)
+
+
 def x6_ready_prefix(spark: SparkSession, d: str) -> DataFrame:
     return wal.ready_prefix(T.segments(spark, d).distinct().withColumn("waiting", (F.col("segno") % 97 == 3) & (F.col("tli") < 2)))
 
@@ -133,6 +148,7 @@ def g18_conflict_counts(spark: SparkSession, d: str) -> DataFrame:
 _SPANS = f"""spans AS (SELECT * FROM (VALUES (0, 0, {T.FIRST + 200}), (1, {T.FIRST + 200}, {T.FIRST + 449}), (2, {T.FIRST + 450}, NULL)) AS t(tli, a, b))"""
 _KINDS = f"""c AS (SELECT CAST(user_id % 3 AS INTEGER) AS tli, epoch_us(ts) // {T.HOUR} AS segno, 's' || CAST(event_id % 50 AS VARCHAR) AS name, event_id % 4 AS sha, epoch_us(ts) // 1000000 AS c_at FROM events),
  k AS (SELECT c.*, CASE WHEN segno < {FLOOR} THEN 'expired' WHEN NOT (segno >= a AND (b IS NULL OR segno <= b)) THEN 'off_history' ELSE 'divergent' END AS kind FROM c JOIN spans USING (tli))"""
+_sql = lambda columns: ", ".join(f"{v} AS {c}" for c, v in columns.items())
 SQL = {
     "w1_wal_gaps": f"WITH {T.SEGMENTS}, n AS (SELECT tli, segno, lead(segno) OVER (PARTITION BY tli ORDER BY segno) AS f FROM segments WHERE segno >= {FLOOR}) SELECT tli, segno + 1 AS missing_from, f - 1 AS missing_to, f - segno - 1 AS missing FROM n WHERE f > segno + 1",
     "w2_cross_timeline_gaps": f"""WITH {T.SEGMENTS}, {_SPANS}, h AS (SELECT * FROM segments WHERE segno % 5 <> 0), lim AS (SELECT greatest(min(segno), {FLOOR}) AS lo, max(segno) FILTER (tli = 2) AS hi FROM h),
@@ -149,6 +165,12 @@ SQL = {
     "w19_first_hole": f"WITH {T.SEGMENTS}, n AS (SELECT unnest(range({T.FIRST + 50}, (SELECT max(segno) + 1 FROM segments WHERE tli = 1 AND segno <= {T.FIRST + 600}))) AS s) SELECT min(s) AS first_hole FROM n WHERE s > {T.FIRST + 50} AND s NOT IN (SELECT segno FROM segments WHERE tli = 1)",
     "x10_chain_holes": f"WITH {T.SEGMENTS}, n AS (SELECT unnest(range({T.FIRST}, {T.FIRST + 701})) AS segno) SELECT 2 AS tli, segno FROM n WHERE segno NOT IN (SELECT segno FROM segments WHERE tli = 2) ORDER BY segno LIMIT 1000",
     "x5_rescue": f"WITH {T.SEGMENTS} SELECT tli, segno FROM segments WHERE (tli < 1 OR tli = 1 AND segno < {T.FIRST + 300}) AND segno >= {FLOOR} AND segno % 7 = 0",
+    "x5_rescue_plan": f"""WITH s AS (SELECT s_suppkey AS k FROM supplier), sv AS (SELECT {_sql(_SERVER)} FROM s), l AS (SELECT {_sql(_LOCAL)} FROM s, range(100) t(r)), st AS (SELECT {_sql(_STAGED)} FROM s, range(70) t(r) WHERE k % 2 = 0), ar AS (SELECT DISTINCT CAST(o_orderkey % 5 AS INTEGER) AS tli, o_custkey AS segno FROM orders),
+ c AS (SELECT st.*, in_recovery, sv.tli AS now_tli, segno_ IS NOT NULL OR st.segno < floor AS gone FROM st JOIN sv ON sv.server = st.server LEFT JOIN (SELECT tli, segno, segno AS segno_ FROM ar) a ON a.tli = st.tli AND a.segno = st.segno),
+ w AS (SELECT l.*, in_recovery, sv.tli AS now_tli, EXISTS (SELECT 1 FROM st WHERE st.server = l.server AND st.tli = l.tli AND st.segno = l.segno) AS kept FROM l JOIN sv ON sv.server = l.server WHERE (l.tli < sv.tli OR l.tli = sv.tli AND l.segno < sv.segno) AND l.segno >= floor AND whole AND NOT EXISTS (SELECT 1 FROM ar WHERE ar.tli = l.tli AND ar.segno = l.segno)),
+ stage AS (SELECT server, tli, segno FROM w WHERE in_recovery AND NOT kept AND {NOW_S} - since >= 90), held AS (SELECT server, tli, segno FROM c WHERE NOT gone AND in_recovery UNION ALL SELECT * FROM stage)
+ SELECT *, 'stage' AS action FROM stage UNION ALL SELECT server, tli, segno, 'forget' FROM c WHERE gone UNION ALL SELECT server, tli, segno, 'forget' FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY tli DESC, segno DESC) AS back FROM held) WHERE back > 48
+ UNION ALL SELECT server, tli, segno, 'publish' FROM w WHERE NOT in_recovery AND tli < now_tli AND NOT kept UNION ALL SELECT server, tli, segno, 'publish' FROM c WHERE NOT gone AND NOT in_recovery AND tli < now_tli AND whole""",
     "x6_ready_prefix": f"WITH {T.SEGMENTS}, q AS (SELECT *, segno % 97 = 3 AND tli < 2 AS waiting FROM segments) SELECT tli, segno, waiting FROM q WHERE segno < coalesce((SELECT min(segno) FROM q p WHERE p.tli = q.tli AND p.waiting), 9223372036854775807)",
     "sc1_archive_listing": f"WITH {T.SEGMENTS} SELECT tli, segno FROM segments WHERE segno % 5 IN (0, 1, 3)",
     "sc5_history_lines": """SELECT CAST(o_orderkey AS INTEGER) AS tli, CAST(CASE o_orderkey % 5 WHEN 1 THEN o_orderkey WHEN 2 THEN o_orderkey % 90 ELSE o_orderkey % 9 END AS INTEGER) AS ancestor,
