@@ -232,7 +232,8 @@ def contradictions(pages: DataFrame, summarised: DataFrame, previous: Column, st
 def budgeted_sample(files: DataFrame, seed: int = 1, least_budget: int = 256 << 20, share: float = 0.01) -> DataFrame:
     """A seeded sample to check (X9): a hundredth of the files, 3 to 50 of them, the smallest first within the budget."""
     totals = files.agg(F.greatest(F.lit(3), F.least(F.lit(50), F.floor(F.count("*") / 100))).alias("k"), F.greatest(F.lit(least_budget), (F.sum("size") * share).cast("long")).alias("budget"))
-    drawn = files.orderBy(F.xxhash64("rel", F.lit(seed)), "rel").limit(50).withColumn("no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("rel", F.lit(seed)), "rel")))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("rel").cast("string")))
+    drawn = files.withColumn("draw", draw).orderBy("draw", "rel").limit(50).withColumn("no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("draw", "rel")))
     chosen = drawn.join(F.broadcast(totals)).filter("no <= k")
     before = F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("size", "rel").rowsBetween(Window.unboundedPreceding, 0))
     first = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("size", "rel"))

@@ -238,4 +238,9 @@ SQL = {
     "x13_live_pins": f"WITH {T.SETS} SELECT id, ended AS until FROM sets WHERE ended > {10_500 * 86400}",
     "g13_database_sets": f"WITH {T.SETS}, c AS (SELECT id % 300 AS db, stanza AS set_no, max(bytes) AS size FROM sets GROUP BY 1, 2) SELECT db, arg_max(size, set_no) AS size, count(*) AS sets, min(set_no) AS first, max(set_no) AS last, max(set_no) = (SELECT max(set_no) FROM c) AS in_latest FROM c GROUP BY db",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "x9_budgeted_sample"]}
+SQL["x9_budgeted_sample"] = """WITH f AS (SELECT o_orderkey AS rel, CAST(round(o_totalprice * 100) AS BIGINT) AS size FROM orders),
+ t AS (SELECT greatest(3, least(50, count(*) // 100)) AS k, greatest(1048576, CAST(floor(CAST(sum(size) AS DOUBLE) * CAST(0.01 AS DOUBLE)) AS BIGINT)) AS budget FROM f),
+ d AS (SELECT *, row_number() OVER (ORDER BY md5('1:' || CAST(rel AS VARCHAR)), rel) AS no FROM f),
+ c AS (SELECT rel, size, budget, row_number() OVER (ORDER BY size, rel) AS place, sum(size) OVER (ORDER BY size, rel ROWS UNBOUNDED PRECEDING) AS upto FROM d, t WHERE no <= k)
+ SELECT rel, size FROM c WHERE place = 1 OR upto <= budget"""
+QUERIES = {name: globals()[name] for name in SQL}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import wal
-from ..sources import readers
+from ..operators import steps, wal
+from ..sources import packs, readers
 from . import testbed as T
 
 
@@ -20,6 +22,34 @@ def sc7_chunk_index(spark: SparkSession, d: str) -> DataFrame:
     return readers.chunk_index(li.select((F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("hash"), (F.col("l_orderkey") % 3).alias("location"), F.col("l_suppkey").alias("pack"), F.col("l_orderkey").alias("offset"), F.col("l_quantity").cast("long").alias("len"))).withColumnRenamed("offset", "at_offset")
 
 
+#: The magic of the indexes that the query writes.
+INDEX_MAGIC = b"TIDEINDX"
+
+
+def sc7_pack_records(spark: SparkSession, d: str) -> DataFrame:
+    """Index files of fixed-width records, one for each pack, written and read again; of a hash stored twice the first pack's place counts."""
+    li = T.table(spark, d, "lineitem")
+    records = li.select(
+        F.lpad(F.col("l_suppkey").cast("string"), 8, "0").alias("pack"), F.unhex(F.sha2((F.col("l_partkey") * 10 + F.col("l_linenumber")).cast("string"), 256)).alias("hash"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("offset"), F.col("l_quantity").cast("long").alias("len"),
+    )
+    path = f"{steps.shared_dir(spark)}/packs-{uuid.uuid4().hex}"
+    packs.write_indexes(records, path, INDEX_MAGIC)
+    found = readers.chunk_index(packs.index_records(spark, path, INDEX_MAGIC).withColumn("location", F.lit(0)))
+    return found.select(F.lower(F.hex("hash")).alias("hash"), "pack", F.col("offset").alias("at_offset"), "len")
+
+
+def sc6_manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as the files of 50 sets: a document for each set, written as text and read as manifests."""
+    k = F.col("p_partkey")
+    file = F.struct(T.cents("p_retailprice").alias("size"), F.when(k % 4 > 0, F.lit(384) + k % 2).alias("mode"), (k * 0.5).alias("mtime"), F.when(k % 3 == 0, "whole").otherwise("pages").alias("kind"), F.transform(F.sequence(F.lit(0), k % 3), lambda i: F.struct((i * 65536).alias("offset"), (k % 100 + i).alias("len"), F.md5(k.cast("string")).alias("hash"))).alias("chunks"))
+    docs = T.table(spark, d, "part").groupBy((k % 50).alias("set_id")).agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("base/5/"), k.cast("string")), file))).alias("files"))).alias("value"))
+    path = f"{steps.shared_dir(spark)}/manifests-{uuid.uuid4().hex}"
+    docs.repartition("set_id").write.partitionBy("set_id").text(path)
+    files, chunks = readers.manifests(spark, path)
+    return files.join(chunks.groupBy("set_id", "rel").agg(F.count("*").alias("chunks"), F.sum("len").alias("bytes"), F.max("offset").alias("last_offset"), F.min("hash").alias("hash")), ["set_id", "rel"])
+
+
 def sc8_catalog_snapshot(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     p = T.table(spark, d, "part")
@@ -76,6 +106,8 @@ def g10_size_sums(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "sc2_distinct_events": "SELECT DISTINCT user_id % 3 AS tli, event_id % 4000 AS lsn, CASE WHEN event_id % 4000 % 2 = 0 THEN 'DROP' ELSE 'CREATE' END AS kind FROM events",
     "sc7_chunk_index": "SELECT hash, x.location, x.pack, x.at_offset, x.len FROM (SELECT l_partkey * 10 + l_linenumber AS hash, min({'location': l_orderkey % 3, 'pack': l_suppkey, 'at_offset': l_orderkey, 'len': CAST(l_quantity AS BIGINT)}) AS x FROM lineitem GROUP BY 1)",
+    "sc7_pack_records": "SELECT hash, x.pack, x.at_offset, x.len FROM (SELECT sha256(CAST(l_partkey * 10 + l_linenumber AS VARCHAR)) AS hash, min({'pack': lpad(CAST(l_suppkey AS VARCHAR), 8, '0'), 'at_offset': l_orderkey * 10 + l_linenumber, 'len': CAST(l_quantity AS BIGINT)}) AS x FROM lineitem GROUP BY 1)",
+    "sc6_manifest_files": "SELECT CAST(p_partkey % 50 AS VARCHAR) AS set_id, 'base/5/' || CAST(p_partkey AS VARCHAR) AS rel, CAST(round(p_retailprice * 100) AS BIGINT) AS size, CASE WHEN p_partkey % 4 > 0 THEN 384 + p_partkey % 2 END AS mode, CAST(p_partkey AS DOUBLE) / 2 AS mtime, CASE WHEN p_partkey % 3 = 0 THEN 'whole' ELSE 'pages' END AS kind, p_partkey % 3 + 1 AS chunks, (p_partkey % 3 + 1) * (p_partkey % 100) + (p_partkey % 3) * (p_partkey % 3 + 1) // 2 AS bytes, 65536 * (p_partkey % 3) AS last_offset, md5(CAST(p_partkey AS VARCHAR)) AS hash FROM part",
     "sc8_catalog_snapshot": "SELECT p_partkey AS oid, 's' || CAST(p_partkey % 7 AS VARCHAR) AS schema, p_name AS name, CASE WHEN p_partkey % 5 = 1 THEN 'i' ELSE 'r' END AS kind, CAST(round(p_retailprice * 100) AS BIGINT) AS size, CASE WHEN p_partkey % 5 = 1 THEN p_partkey - 1 END AS index_of, CASE WHEN p_partkey % 10 = 7 THEN p_partkey - 7 END AS parent FROM part WHERE p_partkey % 7 < 6",
     "f11_sparse_files": """WITH f AS (SELECT p_partkey % 8 AS db, p_partkey % 3 AS t, CASE WHEN p_partkey % 6 = 0 THEN 'PG_VERSION' ELSE CAST(p_partkey AS VARCHAR) END AS n FROM part)
  SELECT CASE t WHEN 0 THEN 'base/' || CAST(db AS VARCHAR) || '/' WHEN 1 THEN 'pg_tblspc/16/PG_16/' || CAST(db AS VARCHAR) || '/' ELSE 'global/' END || n AS rel FROM f WHERE t = 2 OR db IN (1, 3, 5) OR t = 0 AND n = 'PG_VERSION'""",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +37,17 @@ def distinct_events(events: DataFrame) -> DataFrame:
     return events.dropDuplicates([c for c in ("tli", "lsn", "kind") if c in events.columns])
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [zlib.decompress(x) if x[:1] == b"\x78" else x for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["path", "content"])
+
+
 def manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Files and chunks of manifests, one JSON document in each file (SC6)."""
-    docs = spark.read.schema(MANIFEST).option("multiLine", "true").json(path).select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("set_id"), F.explode("files").alias("rel", "f"))
-    return docs.select("set_id", "rel", "f.size", "f.mtime", "f.kind"), docs.select("set_id", "rel", F.explode("f.chunks").alias("c")).select("set_id", "rel", "c.*")
+    """Files and chunks of manifests (SC6), one JSON document in each file, plain or as a zlib stream; its folder (``<id>`` or ``set_id=<id>``) names the set."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(_unpacked, "path string, content binary")
+    docs = found.select(F.regexp_extract("path", r"([^/=]+)/[^/]+$", 1).alias("set_id"), F.explode(F.from_json(F.decode("content", "UTF-8"), MANIFEST)["files"]).alias("rel", "f"))
+    return docs.select("set_id", "rel", "f.size", "f.mode", "f.mtime", "f.kind"), docs.select("set_id", "rel", F.explode("f.chunks").alias("c")).select("set_id", "rel", "c.*")
 
 
 def chunk_index(records: DataFrame) -> DataFrame:
