@@ -51,6 +51,29 @@ def target_micros(text: Column) -> Column:
     return F.unix_micros(F.concat(part(1), F.lit(" "), part(2), part(3), part(4), F.lit(":"), minutes).try_cast("timestamp"))
 
 
+#: How a log dump writes times, and what a name is made of.
+EVENT_TIME = r"^\s*(\d{4}-\d\d-\d\d)(?:[T ](\d\d:\d\d)(:\d\d(?:\.\d{1,6})?)?)?\s*(Z|UTC|[+-]\d\d(?::?\d\d)?)?\s*$"
+SLUG_CHARACTERS, SLUG_LENGTH, SLUG_DEFAULT = "a-z0-9_-", 60, "cluster"
+
+
+def event_micros(text: Column) -> Column:
+    """Microseconds since 1970 of the time of a logged event: a date, with or without a time of day; without an offset it is UTC. Null if it is no time."""
+    part = lambda k: F.regexp_extract(text, EVENT_TIME, k)
+    or_else = lambda x, y: F.when(x == "", y).otherwise(x)
+    base = F.unix_micros(F.concat(part(1), F.lit(" "), or_else(part(2), "00:00"), or_else(part(3), ":00"), F.lit("+00:00")).try_cast("timestamp"))
+    offset = F.regexp_replace(part(4), "Z|UTC|:", "")
+    number = lambda at: F.coalesce(F.substring(offset, at, 2).try_cast("long"), F.lit(0))
+    away = (number(2) * 60 + number(4)) * 60_000_000
+    return F.when(text.rlike(EVENT_TIME) & ~F.trim(text).startswith("0000"), base - F.when(offset.startswith("-"), -away).otherwise(away))
+
+
+def slug(text: Column) -> Column:
+    """A name for paths and keys: lower case, other characters than letters, digits, ``_`` and ``-`` as one ``-``, none at either end."""
+    dashed = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{SLUG_CHARACTERS}]+", "-")
+    name = F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, SLUG_LENGTH)
+    return F.when(name == "", SLUG_DEFAULT).otherwise(name)
+
+
 def json_value(value: Column) -> Column:
     """JSON text of one value, ``null`` of null."""
     whole = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
