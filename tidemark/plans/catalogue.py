@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ["wal", "chains", "diff", "catalog", "operations", "fleet", "streams", "sources", "texts"]
+FAMILIES = ["wal", "chains", "diff", "catalog", "operations", "fleet", "sites", "streams", "sources", "texts"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
