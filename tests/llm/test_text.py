@@ -326,6 +326,21 @@ def test_fits_are_least():
     assert np.allclose(model.probabilities(hashed, bounds, before), 1 / (1 + np.exp(-x @ w)), atol=2e-2)
 
 
+def test_a_fit_is_the_same_in_blocks_of_any_size(monkeypatch):
+    rng = np.random.default_rng(4)
+    size = rng.integers(0, 30, 80)
+    size[[0, 40, 79]] = 0
+    hashed, bounds = rng.integers(0, 50, size.sum()).astype(np.uint64), np.concatenate([[0], np.cumsum(size)])
+    before, label = rng.random((80, 1)), (rng.random(80) < 0.4).astype(float)
+    whole = toxicity.fit_model(hashed, bounds, before, label)
+    for most in (1, 7, 100):
+        monkeypatch.setattr(toxicity, "BLOCK", most)
+        blocks = toxicity._row_blocks(bounds)
+        assert [k for a, b in blocks for k in range(a, b)] == list(range(80)) and all(bounds[b] - bounds[a] <= most or b == a + 1 for a, b in blocks)
+        part = toxicity.fit_model(hashed, bounds, before, label)
+        assert (part.hashes == whole.hashes).all() and np.allclose(part.weights, whole.weights, atol=1e-6) and part.bias == pytest.approx(whole.bias, abs=1e-6)
+
+
 def test_where_a_category_begins():
     p, y = np.array([0.9, 0.4, 0.3, 0.3, 0.1]), np.array([1, 1, 0, 1, 0], bool)
     assert toxicity.begins(p, y) == pytest.approx(0.2) and toxicity.begins(p, y & False) == 0.5 and toxicity.begins(p, y | True) == 0.5

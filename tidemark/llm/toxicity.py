@@ -27,6 +27,8 @@ FOLDS, PENALTY = 5, 1.0
 STEPS, CONVERGED = 200, 1e-6
 #: Pairs that the quasi-Newton steps remember.
 MEMORY = 8
+#: Words that a fit looks at together.
+BLOCK = 1 << 19
 #: Categories in the chain's order, and how each follows from ``labels``.
 CATEGORIES = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
 
@@ -71,23 +73,43 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
+def _row_blocks(bounds: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows with about ``BLOCK`` words each, or one row; the fit's temporary arrays are of this size."""
+    cuts = [0]
+    while cuts[-1] < len(bounds) - 1:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(bounds, bounds[cuts[-1]] + BLOCK, side="right")) - 1))
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def fit_model(hashed: np.ndarray, bounds: np.ndarray, before: np.ndarray, label: np.ndarray) -> Model:
     """The logistic model with the least penalised loss; without rows all weights are 0."""
     n, extra = len(label), before.shape[1]
     if not n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(extra), 0.0)
-    hashes, word = np.unique(hashed, return_inverse=True)
-    del hashed
-    row = np.repeat(np.arange(n), np.diff(bounds))
+    hashes, lengths, blocks = np.unique(hashed), np.diff(bounds), _row_blocks(bounds)
     size = len(hashes)
-    many, yes = np.bincount(word, minlength=size), np.bincount(word, label[row], size)
+    word = np.empty(len(hashed), np.int32)
+    for a, b in blocks:
+        word[bounds[a] : bounds[b]] = np.searchsorted(hashes, hashed[bounds[a] : bounds[b]])
+
+    def by_row(weight: np.ndarray) -> np.ndarray:
+        parts = [np.bincount(np.repeat(np.arange(b - a), lengths[a:b]), weight[word[bounds[a] : bounds[b]]], b - a) for a, b in blocks]
+        return np.concatenate(parts)
+
+    def by_word(value: np.ndarray) -> np.ndarray:
+        total = np.zeros(size)
+        for a, b in blocks:
+            total += np.bincount(word[bounds[a] : bounds[b]], np.repeat(value[a:b], lengths[a:b]), size)
+        return total
+
+    many, yes = by_word(np.ones(n)), by_word(label)
     ratio = np.log((yes + 0.5) / (label.sum() + 1)) - np.log((many - yes + 0.5) / (n - label.sum() + 1))
     penalty = np.concatenate([np.full(size, PENALTY), np.full(extra + 1, 1e-3)])
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, (ratio * w[:size])[word], n) + before @ w[size:-1] + w[-1]
+        z = by_row(ratio * w[:size]) + before @ w[size:-1] + w[-1]
         away = _sigmoid(z) - label
-        gradient = np.concatenate([ratio * np.bincount(word, away[row], size), before.T @ away, [away.sum()]]) + penalty * w
+        gradient = np.concatenate([ratio * by_word(away), before.T @ away, [away.sum()]]) + penalty * w
         return float((np.logaddexp(0, z) - label * z).sum() + 0.5 * (penalty * w * w).sum()), gradient
 
     w = _least(loss, np.zeros(size + extra + 1))
