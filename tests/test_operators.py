@@ -346,3 +346,12 @@ def test_planner_in_its_order(spark):
         frame(ops, "id long, type string, cluster_id long, status string, run_type string, created_at long, updated_at long, key string"), now, 3,
     )
     assert {r.cluster_id: (r.work, r.key) for r in plan.collect()} == want
+
+
+def test_findings_of_versions_come_once_for_a_cluster_and_label(spark):
+    now = 1_000_000_000_000
+    texts = [(1, 1, "16.15 (built here)"), (1, 2, "17beta1"), (1, 3, "v9.6.24"), (1, 4, "9"), (1, 5, "11.2"), (1, 6, "11.9"), (1, 7, "19devel"), (1, 8, "unknown 16"), (1, 9, None), (1, 10, ""), (2, 11, " 12")]
+    nodes = spark.createDataFrame([(c, n, now, v) for c, n, v in texts] + [(1, 12, now - 60_000_000, "10"), (1, 13, None, "10")], "cluster_id long, node_id long, last_seen long, version string")
+    got = fleet.version_findings(nodes, now, F.lit("2024-11-15").cast("date"))
+    assert rows(got) == sorted([(1, "critical", "pg_unsupported", "9.0"), (1, "critical", "pg_unsupported", "9.6"), (1, "info", "pg_newer", "19"), (1, "warning", "pg_eol", "11"), (1, "warning", "pg_legacy", "11"), (2, "warning", "pg_eol", "12")])
+    assert rows(fleet.version_findings(nodes, now, F.lit("2024-11-14").cast("date")).filter("cluster_id = 2")) == []

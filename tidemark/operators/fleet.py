@@ -316,6 +316,26 @@ def site_findings(sites: DataFrame, now: int, confirm_seconds: int = 120) -> Dat
     ])
 
 
+def version_findings(nodes: DataFrame, now: int, day: Column) -> DataFrame:
+    """Findings of the servers' versions, each once for a cluster, code and label; ``day`` is the date of ``now``.
+
+    ``nodes(cluster_id, node_id, last_seen, version)``: texts such as ``16.15 (Ubuntu)``, ``9.6.24`` or
+    ``17beta1``; a text that does not begin with a number says nothing, nor does a silent node. Below 10 the
+    label has two numbers. Unsupported servers get no further finding on their last day.
+    """
+    number = lambda k: F.regexp_extract("version", r"^\s*v?(\d+)(?:\.(\d+))?", k)
+    on = nodes.filter(online(F.col("last_seen"), now) & (number(1) != "")).withColumn("a", number(1).cast("int"))
+    label = F.when(F.col("a") >= 10, F.col("a").cast("string")).otherwise(F.concat_ws(".", F.col("a").cast("string"), F.when(number(2) == "", "0").otherwise(number(2).cast("int").cast("string"))))
+    seen = on.select("cluster_id", "a", label.alias("label")).distinct().withColumn("c", classify_version(F.col("a"), day))
+    tier = F.col("c.tier")
+    return _explode(seen, [
+        _finding("critical", "pg_unsupported", tier == "unsupported", F.col("label")),
+        _finding("warning", "pg_legacy", tier == "legacy", F.col("label")),
+        _finding("info", "pg_newer", tier == "newer", F.col("label")),
+        _finding("warning", "pg_eol", (tier != "unsupported") & F.col("c.eol"), F.col("label")),
+    ])
+
+
 def severity_counts(findings: DataFrame) -> DataFrame:
     """Findings per cluster and severity, 0 where there are none."""
     return findings.groupBy("cluster_id").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in RANKS])

@@ -110,6 +110,15 @@ def version_tiers(spark: SparkSession, d: str) -> DataFrame:
     return v.select("node_id", "major", fleet.classify_version(F.col("major"), F.lit("2025-11-14").cast("date")).alias("c")).select("node_id", "major", "c.tier", F.col("c.last_day").cast("string").alias("last_day"), "c.eol")
 
 
+#: Version texts of customers' servers, in both engines.
+_VERSION = "CASE k % 7 WHEN 0 THEN concat(8 + k % 12, '.', k % 5) WHEN 1 THEN concat('v', 9 + k % 3, '.6.', k % 4) WHEN 2 THEN concat(17 + k % 3, 'beta1') WHEN 3 THEN concat(' ', 10 + k % 9, '.1 (built here)') WHEN 4 THEN '9' WHEN 5 THEN 'devel 16' END"
+
+
+def version_findings(spark: SparkSession, d: str) -> DataFrame:
+    n = T.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return fleet.version_findings(n.selectExpr("k % 400 AS cluster_id", "k AS node_id", f"CASE WHEN k % 17 <> 0 THEN {NOW} - k % 60 * 1000000 END AS last_seen", f"{_VERSION} AS version"), NOW, F.lit("2024-01-31").cast("date"))
+
+
 def node_findings(spark: SparkSession, d: str) -> DataFrame:
     return fleet.node_findings(_nodes(spark, d), NOW)
 
@@ -313,6 +322,10 @@ SQL = {
     "g17_volume_needs": "WITH n AS (SELECT o_custkey % 120 AS device, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT) * 50) AS BIGINT) AS need, count(*) AS parts FROM orders GROUP BY 1) SELECT device, need, parts, s_suppkey * 4000000000 AS free, need <= s_suppkey * 4000000000 - greatest(1073741824, CAST(trunc(s_suppkey * 8000000000 * 0.05) AS BIGINT)) AS fits FROM n LEFT JOIN supplier ON s_suppkey = device",
     "version_tiers": """WITH v AS (SELECT CAST(range AS INTEGER) AS major, CASE WHEN range < 10 THEN DATE '2021-11-11' ELSE CAST(make_date(2012 + range, 11, 1) + CAST((4 - isodow(make_date(2012 + range, 11, 1)) + 7) % 7 + 7 AS INTEGER) AS DATE) END AS d FROM range(8, 20))
  SELECT s_suppkey AS node_id, major, CASE WHEN major < 10 THEN 'unsupported' WHEN major < 12 THEN 'legacy' WHEN major <= 18 THEN 'supported' ELSE 'newer' END AS tier, CAST(d AS VARCHAR) AS last_day, DATE '2025-11-14' > d AS eol FROM supplier JOIN v ON major = s_suppkey % 12 + 8""",
+    "version_findings": f"""WITH s AS (SELECT k % 400 AS cluster_id, {_VERSION} AS v FROM (SELECT c_custkey AS k FROM customer) WHERE k % 17 <> 0 AND k % 60 < 45), t AS (SELECT *, TRY_CAST(regexp_extract(v, '^ *v?([0-9]+)', 1) AS INTEGER) AS a, TRY_CAST(regexp_extract(v, '^ *v?[0-9]+[.]([0-9]+)', 1) AS INTEGER) AS b FROM s),
+ u AS (SELECT DISTINCT cluster_id, a, CASE WHEN a >= 10 THEN CAST(a AS VARCHAR) ELSE CAST(a AS VARCHAR) || '.' || CAST(coalesce(b, 0) AS VARCHAR) END AS detail FROM t WHERE a IS NOT NULL), e AS (SELECT CAST(2012 + a AS INTEGER) AS y, * FROM u),
+ f AS (SELECT *, a < 10 OR DATE '2024-01-31' > make_date(y, 11, 1) + CAST((4 - isodow(make_date(y, 11, 1)) + 7) % 7 + 7 AS INTEGER) AS ended FROM e)
+ SELECT cluster_id, CASE WHEN a < 10 THEN 'critical' WHEN a < 12 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN a < 10 THEN 'pg_unsupported' WHEN a < 12 THEN 'pg_legacy' ELSE 'pg_newer' END AS code, detail FROM f WHERE a < 12 OR a > 18 UNION ALL SELECT cluster_id, 'warning', 'pg_eol', detail FROM f WHERE a >= 10 AND ended""",
     "node_findings": f"""WITH {_NODES}, n AS (SELECT *, bool_or(up) OVER (PARTITION BY cluster_id) AS some_up, CAST(node_id AS VARCHAR) AS detail, conn_used / conn_max AS u, ({_N} - offsite_ok) / {_H} AS b FROM nodes) SELECT cluster_id, 'warning' AS severity, 'node_offline' AS code, detail FROM n WHERE NOT up AND some_up
  UNION ALL SELECT cluster_id, 'critical', 'agent_duplicate', detail FROM n WHERE {_N} - duplicate_at < 900000000 UNION ALL SELECT cluster_id, CASE WHEN u > 0.95 THEN 'critical' ELSE 'warning' END, 'connections', detail FROM n WHERE up AND u > 0.85 UNION ALL SELECT cluster_id, 'info', 'pending_restart', detail FROM n WHERE up AND pending_restart > 0
  UNION ALL SELECT cluster_id, CASE WHEN offsite_ok IS NULL OR b > 48 THEN 'critical' ELSE 'warning' END, 'offsite_behind', detail FROM n WHERE up AND offsite_on AND (offsite_ok IS NULL OR b > 6) UNION ALL SELECT cluster_id, CASE WHEN scheduled THEN 'warning' ELSE 'info' END, 'no_zstd_python', detail FROM n WHERE up AND NOT zstd""",

@@ -50,6 +50,14 @@ def sc6_manifest_files(spark: SparkSession, d: str) -> DataFrame:
     return files.join(chunks.groupBy("set_id", "rel").agg(F.count("*").alias("chunks"), F.sum("len").alias("bytes"), F.max("offset").alias("last_offset"), F.min("hash").alias("hash")), ["set_id", "rel"])
 
 
+def sc12_folder_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Parts written as text files of 40 folders, and the folders' bytes from their listing alone (SC12, SC14)."""
+    path = f"{steps.shared_dir(spark)}/walk-{uuid.uuid4().hex}"
+    T.table(spark, d, "part").select((F.col("p_partkey") % 40).alias("folder"), "p_name").repartition("folder").write.partitionBy("folder").text(path)
+    files = readers.listing(spark, path)
+    return files.groupBy(F.regexp_extract("key", r"^folder=(\d+)/[^/]+$", 1).cast("long").alias("folder")).agg(F.sum("size").alias("bytes"), F.count_if(F.col("mtime").isNull()).alias("undated"))
+
+
 def sc8_catalog_snapshot(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     p = T.table(spark, d, "part")
@@ -104,6 +112,7 @@ def g10_size_sums(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL = {
+    "sc12_folder_sizes": "SELECT p_partkey % 40 AS folder, CAST(sum(strlen(p_name) + 1) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS undated FROM part GROUP BY 1",
     "sc2_distinct_events": "SELECT DISTINCT user_id % 3 AS tli, event_id % 4000 AS lsn, CASE WHEN event_id % 4000 % 2 = 0 THEN 'DROP' ELSE 'CREATE' END AS kind FROM events",
     "sc7_chunk_index": "SELECT hash, x.location, x.pack, x.at_offset, x.len FROM (SELECT l_partkey * 10 + l_linenumber AS hash, min({'location': l_orderkey % 3, 'pack': l_suppkey, 'at_offset': l_orderkey, 'len': CAST(l_quantity AS BIGINT)}) AS x FROM lineitem GROUP BY 1)",
     "sc7_pack_records": "SELECT hash, x.pack, x.at_offset, x.len FROM (SELECT sha256(CAST(l_partkey * 10 + l_linenumber AS VARCHAR)) AS hash, min({'pack': lpad(CAST(l_suppkey AS VARCHAR), 8, '0'), 'at_offset': l_orderkey * 10 + l_linenumber, 'len': CAST(l_quantity AS BIGINT)}) AS x FROM lineitem GROUP BY 1)",
