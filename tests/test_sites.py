@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import sites
+from tidemark.operators import advice, sites
 
 SECOND, NOW = 1_000_000, 1_000_000_000_000
 NODES = "cluster_id long, node_id long, name string, last_seen long, in_recovery boolean, manager_role string, system string, lsn long, timeline int, replay_at long, receiver_status string, receiver_host string, receiver_port int, receiver_slot string, receiver_silent double, upstream_host string, upstream_port int, upstream_slot string, upstream_restore boolean, accessible boolean, major int, archive_mode string, archive_command string, max_connections int, max_prepared_transactions int, max_locks_per_transaction int, max_wal_senders int, max_worker_processes int, use_rewind boolean, hba_ok boolean, recovery_restore boolean, last_failed long, last_archived long, last_backup long"
@@ -178,3 +178,19 @@ def test_later_views_and_other_witnesses_do_not_count(spark):
     seen = spark.createDataFrame([(1, "console", NOW, True), (1, "standby", NOW, True), (1, "standby", NOW + 1, False), (1, "rumour", NOW, False), (1, None, NOW, False)], "group_id long, witness string, at_time long, blind boolean")
     got = sites.lost_primaries(seen.withColumn("extra", F.lit(1)), spark.createDataFrame([(1, True, True, 0, None, None)], POLICY), NOW).collect()
     assert [(r.state, r.act_in) for r in got] == [("take_over", 0)]
+
+
+def test_advice_on_hosts(spark):
+    hosts = spark.createDataFrame([("a", True, True, True), ("b", None, False, True)], "host string, psql boolean, waldump boolean, zstd boolean")
+    fields = "host string, target string, running boolean, owned boolean, readable boolean, archive_mode string, foreign_tool string, wal_level string, control boolean, checksums boolean, hints string, ssl string, fsync string, full_page_writes string"
+    well = ("a", "/1", True, False, True, "on", None, "replica", True, True, None, "on", None, None)
+    ill = ("b", "/2", True, None, False, None, "x", "minimal", True, None, "off", "off", "off", None)
+    silent = ("b", "/3", True, True, None, "always", "x", None, None, None, None, None, None, None)
+    instances = spark.createDataFrame([well, ill, silent, ("a", "/4", True, False, True, "on", "", "replica", False, None, None, "", "on", "on")], fields)
+    managers = spark.createDataFrame([("a", "s", "http", False), ("a", "t", None, False), ("b", "u", "http", None)], "host string, scope string, url string, reachable boolean")
+    stores = spark.createDataFrame([("a", "e", 1), ("a", "f", 2), ("a", "g", 3), ("b", "h", 0), ("b", "i", None)], "host string, name string, members int")
+    got = {(r.host, r.code, r.detail) for r in advice.host_advice(hosts, instances, managers, stores).collect()}
+    assert got == {
+        ("b", "NO_PSQL", "host"), ("b", "NO_WALDUMP", "host"), ("a", "MULTI_INSTANCE", "host"), ("b", "UNREADABLE", "/2"), ("b", "ARCHIVE_OFF", "/2"), ("b", "WAL_MINIMAL", "/2"), ("b", "NO_CHECKSUMS", "/2"), ("b", "SSL_OFF", "/2"),
+        ("b", "UNSAFE_DURABILITY", "/2"), ("b", "ARCHIVE_FOREIGN", "/3"), ("a", "PATRONI_REST", "s"), ("a", "ETCD_SINGLE", "e"), ("a", "ETCD_EVEN", "f"),
+    }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sites
+from ..operators import advice, sites
 from . import testbed as T
 
 NOW = T.NOW
@@ -84,6 +84,29 @@ def ge_lost_primaries(spark: SparkSession, d: str) -> DataFrame:
     return sites.lost_primaries(seen, T.table(spark, d, "customer").select(F.col("c_custkey").alias("k")).selectExpr(*_columns(_POLICY)), NOW)
 
 
+#: What discovery saw on suppliers' hosts, as expressions that both engines read.
+_HOST = {"host": "k", "psql": "CASE WHEN k % 5 <> 0 THEN k % 4 <> 0 END", "waldump": "k % 3 <> 0", "zstd": "k % 7 <> 2"}
+_INSTANCE = {
+    "host": "k % 700", "target": "concat('/d', k)", "running": "CASE WHEN k % 19 <> 0 THEN k % 6 <> 0 END", "owned": "k % 8 = 1", "readable": "CASE WHEN k % 13 <> 0 THEN k % 17 <> 0 END", "archive_mode": "CASE WHEN k % 9 = 0 THEN 'OFF' WHEN k % 9 = 1 THEN '' WHEN k % 9 > 2 THEN 'on' END", "foreign_tool": "CASE WHEN k % 4 = 0 THEN 'other' WHEN k % 4 = 1 THEN '' END",
+    "wal_level": "CASE WHEN k % 23 = 0 THEN 'minimal' WHEN k % 23 > 1 THEN 'replica' END", "control": "k % 5 <> 0", "checksums": "CASE WHEN k % 3 <> 0 THEN k % 2 = 0 END", "hints": "CASE WHEN k % 7 > 2 THEN 'on' WHEN k % 7 = 0 THEN 'off' END", "ssl": "CASE WHEN k % 11 < 3 THEN 'off' WHEN k % 11 < 8 THEN 'on' WHEN k % 11 = 8 THEN '' END",
+    "fsync": "CASE WHEN k % 29 = 0 THEN 'off' WHEN k % 29 < 20 THEN 'on' END", "full_page_writes": "CASE WHEN k % 31 = 0 THEN 'off' END",
+}
+_MANAGER = {"host": "k", "scope": "concat('s', k)", "url": "CASE WHEN k % 3 = 0 THEN 'http' WHEN k % 3 = 1 THEN '' END", "reachable": "CASE WHEN k % 4 <> 0 THEN k % 2 = 0 END"}
+_STORE = {"host": "k", "name": "concat('e', k)", "members": "CASE WHEN k % 6 <> 5 THEN k % 6 END"}
+
+
+def host_advice(spark: SparkSession, d: str) -> DataFrame:
+    s, c = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), T.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return advice.host_advice(s.selectExpr(*_columns(_HOST)), c.selectExpr(*_columns(_INSTANCE)), s.selectExpr(*_columns(_MANAGER)), s.selectExpr(*_columns(_STORE)))
+
+
+_ADVICE = [
+    ("h", "critical", "NO_PSQL", "'host'", "psql IS NOT TRUE"), ("h", "info", "NO_WALDUMP", "'host'", "waldump IS NOT TRUE"), ("h", "warning", "NO_ZSTD", "'host'", "zstd IS NOT TRUE"),
+    ("i", "critical", "UNREADABLE", "target", "readable IS FALSE"), ("i", "warning", "NOT_RUNNING", "target", "running IS NOT TRUE"), ("i", "warning", "ARCHIVE_OFF", "target", "coalesce(archive_mode, '') IN ('', 'OFF')"), ("i", "warning", "ARCHIVE_FOREIGN", "target", "archive_mode = 'on' AND foreign_tool <> ''"),
+    ("i", "critical", "WAL_MINIMAL", "target", "wal_level = 'minimal'"), ("i", "info", "NO_CHECKSUMS", "target", "control AND checksums IS NOT TRUE AND hints IS DISTINCT FROM 'on'"), ("i", "warning", "SSL_OFF", "target", "ssl = 'off'"), ("i", "critical", "UNSAFE_DURABILITY", "target", "fsync = 'off' OR full_page_writes = 'off'"),
+    ("m", "warning", "PATRONI_REST", "scope", "reachable IS FALSE AND url <> ''"), ("e", "warning", "ETCD_EVEN", "name", "members IN (2, 4)"), ("e", "warning", "ETCD_SINGLE", "name", "members = 1"),
+]
+_SEEN = ", ".join(f"{x} AS (SELECT {', '.join(_columns(f))} FROM (SELECT {k} AS k FROM {t}))" for x, f, k, t in (("h", _HOST, "s_suppkey", "supplier"), ("i", _INSTANCE, "c_custkey", "customer"), ("m", _MANAGER, "s_suppkey", "supplier"), ("e", _STORE, "s_suppkey", "supplier")))
 _TOLD = "{'node_id': node_id, 'lsn': lsn, 'timeline': timeline, 'replay_at': replay_at, 'status': receiver_status, 'host': receiver_host, 'slot': receiver_slot, 'silent': receiver_silent, " + ", ".join(f"'{x}': {x}" for x in sites.LEAD) + "}"
 _FIRST = lambda value, when, name: f"arg_min({value}, node_id) FILTER (WHERE {when}) AS {name}"
 _SITES = f"""base AS ({_BASE}), {_cte("nodes", _NODE)}, n AS (SELECT *, coalesce({NOW} - last_seen < 45000000, FALSE) AS up FROM nodes),
@@ -126,6 +149,7 @@ _READY = f"""{_HEALTH}, {_cte("groups", _GROUP)}, q AS (SELECT h.*, auto, rpo_ta
  checks AS ({" UNION ALL ".join([f"SELECT group_id, cluster_id, '{i}' AS id, {x} AS level, {'loss' if i == 'rpo' else 'NULL'} AS seconds FROM q WHERE role = 'standby' AND \"primary\" IS NOT NULL" for i, x in _STANDBY_CHECKS.items()] + [f"SELECT group_id, cluster_id, '{i}', {x}, NULL FROM q WHERE cluster_id = \"primary\"" for i, x in _PRIMARY_CHECKS.items()] + ["SELECT DISTINCT group_id, NULL, 'primary', 'bad', NULL FROM q WHERE \"primary\" IS NULL"])})"""
 
 SQL = {
+    "host_advice": f"WITH {_SEEN} " + " UNION ALL ".join(f"SELECT host, '{level}' AS severity, '{code}' AS code, {detail} AS detail FROM {x} WHERE {when}" for x, level, code, detail, when in _ADVICE) + " UNION ALL SELECT host, 'warning', 'MULTI_INSTANCE', 'host' FROM i WHERE running AND NOT owned GROUP BY host HAVING count(*) > 1",
     "ge_site_view": f"WITH {_SITES} SELECT * EXCLUDE (told) FROM view",
     "ge_site_health": f"""WITH {_HEALTH}, x AS (SELECT *, {_PROBLEMS} AS found FROM h) SELECT group_id, cluster_id, role, "primary", lag, receiver, replay_delay, array_to_string(found, ',') AS problems, CASE WHEN len(list_filter(found, lambda y: y[1:3] = 'bad')) > 0 THEN 'bad' WHEN len(found) > 0 THEN 'warn' ELSE 'ok' END AS health FROM x""",
     "ge_readiness": f"WITH {_READY} SELECT group_id, cluster_id, id, level, CAST(seconds AS BIGINT) AS seconds FROM checks WHERE level IS NOT NULL",
