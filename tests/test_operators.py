@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import lsn
 from tidemark.operators import access, chains, diff, fleet, graphs, operations, scopes, wal
+from tidemark.plans import operations as plans
 from tidemark.plans import catalog as plans_catalog
 from tidemark.plans import chains as plans_chains
 from tidemark.plans import testbed as T
@@ -292,6 +293,22 @@ def test_first_holes_of_a_chain(spark):
     assert rows(wal.chain_holes(chain, s.limit(0), 2, 9)) == []
 
 
+def test_rows_made_of_a_small_table_are_dealt_out(spark):
+    sf, parts = "/root/testdata/sf0.001", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for made in (plans._rules(spark, sf), plans._per_customer(spark, sf, plans.HELD[:1], "id long, cluster_id long, type string, status string, attempts int, dry_run boolean, stage_db string, new_name string")):
+        assert made.rdd.getNumPartitions() == parts
+    for query in (plans.o4_all_rules, plans.x1_decisions, plans.j11_first_match, plans.j12_shadowing):
+        text = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        # Only the roles of x1, a fixed table, may be broadcast.
+        assert "SortMergeJoin" in text and text.count("BroadcastHashJoin") <= (query is plans.x1_decisions), query.__name__
+
+
+def test_networks_of_every_form(spark):
+    told = {"10.1.2.3/8": ("40a000000", "40affffff", 8), "1.2.3.4": ("401020304", "401020304", 32), "300.1.1.1": None, "1.2.3.4/33": None, "0.0.0.0/0": ("400000000", "4ffffffff", 0), "db.example": None, "": ("4", "7", 0)}
+    got = spark.createDataFrame([(x,) for x in told], "a string").select("a", access.network(F.col("a")).alias("n")).collect()
+    assert {r.a: r.n and tuple(r.n) for r in got} == told
+
+
 def test_a_range_without_a_hole_has_a_row(spark):
     whole = spark.createDataFrame([(1, n) for n in range(5, 10)], "tli int, segno long")
     assert rows(wal.first_hole(whole, 5, 9)) == [(None,)]

@@ -7,6 +7,8 @@ and those of two never meet. What an address covers may be unknown (host names),
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +41,28 @@ def _six(address: Column) -> Column:
     return F.when(valid, F.struct(end(low, "0").alias("lo"), end(low + span - 1, "f").alias("hi"), prefix.alias("prefix")))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over ``value``, which is computed once and not in each use."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _four(address: Column) -> Column:
+    """Struct of ``lo``, ``hi`` and ``prefix`` of an address that looks like ``V4``; null if a number is too large."""
+    digits = lambda n: F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0"))
+
+    def bounds(n: Column) -> Column:
+        prefix = F.coalesce(F.get(n, F.lit(4)), F.lit(32)).cast("int")
+        size = F.pow(F.lit(2.0), 32 - prefix).cast("long")
+        found = _once(F.struct((n[0] * 16777216 + n[1] * 65536 + n[2] * 256 + n[3]).alias("number"), size.alias("size")), lambda x: F.struct(digits(x["number"] - x["number"] % x["size"]).alias("lo"), digits(x["number"] - x["number"] % x["size"] + x["size"] - 1).alias("hi"), prefix.alias("prefix")))
+        return F.when((F.greatest(n[0], n[1], n[2], n[3]) <= 255) & (prefix <= 32), found)
+
+    return _once(F.transform(F.split(address, "[./]"), lambda x: x.cast("long")), bounds)
+
+
 def network(address: Column) -> Column:
     """Struct of ``lo``, ``hi`` and ``prefix`` of an IPv4 or IPv6 network, of ``all`` as a whole; null for host names."""
-    part = lambda i: F.regexp_extract(address, V4, i)
-    octets = [F.nullif(part(i), F.lit("")).cast("long") for i in range(1, 5)]
-    number = octets[0] * 16777216 + octets[1] * 65536 + octets[2] * 256 + octets[3]
-    prefix = F.when(part(5) == "", 32).otherwise(F.nullif(part(5), F.lit("")).cast("int"))
-    size = F.pow(F.lit(2.0), 32 - prefix).cast("long")
-    low = number - F.pmod(number, size)
-    valid = address.rlike(V4) & (F.greatest(*octets) <= 255) & (prefix <= 32)
-    digits = lambda n: F.concat(F.lit("4"), F.lpad(F.lower(F.hex(n)), 8, "0"))
     whole = F.struct(F.lit("4").alias("lo"), F.lit("7").alias("hi"), F.lit(0).alias("prefix"))  # of both families
-    return F.when(F.coalesce(address, F.lit("")).isin("", "all"), whole).when(valid, F.struct(digits(low).alias("lo"), digits(low + size - 1).alias("hi"), prefix.alias("prefix"))).otherwise(_six(address))
+    return F.when(F.coalesce(address, F.lit("")).isin("", "all"), whole).when(address.rlike(V4), _four(address)).when(address.contains(":"), _six(address))
 
 
 def tokens(text: Column) -> Column:
@@ -93,7 +105,7 @@ def shadowing(rules: DataFrame) -> DataFrame:
     same = F.lit(True)
     for name in ("type", "database", "user", "address", "method"):
         same = same & F.col(f"a.{name}").eqNullSafe(F.col(f"b.{name}"))
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.server") == F.col("b.server")) & (F.col("a.rule_no") < F.col("b.rule_no")) & (same | covers("a", "b")))
+    pairs = p.alias("a").hint("merge").join(p.alias("b"), (F.col("a.server") == F.col("b.server")) & (F.col("a.rule_no") < F.col("b.rule_no")) & (same | covers("a", "b")))
     code = F.when(same, "duplicate").when((F.col("a.method") == "reject") == (F.col("b.method") == "reject"), "redundant").otherwise("shadowed")
     found = pairs.groupBy(F.col("b.server").alias("server"), F.col("b.rule_no").alias("rule_no")).agg(F.min(F.struct(F.col("a.rule_no").alias("with_rule"), code.alias("code"))).alias("x"))
     return found.select("server", "rule_no", "x.*")
@@ -102,7 +114,7 @@ def shadowing(rules: DataFrame) -> DataFrame:
 def first_match(needs: DataFrame, rules: DataFrame) -> DataFrame:
     """For each need (shaped as a rule) the first rule of its server that covers it, and its method."""
     n, p = prepared(needs.withColumnRenamed("rule_no", "need_no")), prepared(rules)
-    met = p.alias("a").join(n.alias("b"), (F.col("a.server") == F.col("b.server")) & covers("a", "b"))
+    met = p.alias("a").hint("merge").join(n.alias("b"), (F.col("a.server") == F.col("b.server")) & covers("a", "b"))
     hit = met.groupBy(F.col("b.server").alias("server"), F.col("b.need_no").alias("need_no")).agg(F.min(F.struct(F.col("a.rule_no").alias("rule_no"), F.col("a.method").alias("method"))).alias("x"))
     return needs.select("server", F.col("rule_no").alias("need_no")).join(hit, ["server", "need_no"], "left").select("server", "need_no", F.col("x.rule_no").alias("rule_no"), F.coalesce("x.method", F.lit("none")).alias("method"))
 
@@ -142,7 +154,7 @@ def decisions(probes: DataFrame, rules: DataFrame, members: DataFrame) -> DataFr
     on_user = F.array_contains("r.users", "all") | F.array_contains("r.users", user) | like(F.col("r.users"), user) | F.arrays_overlap("r.users", "p.roles")
     on_net = F.when(F.col("r.net").isNull(), None).otherwise((F.col("p.at") >= F.col("r.net.lo")) & (F.col("p.at") <= F.col("r.net.hi")))
     match = kind & on_db & on_user & on_net
-    met = asked.alias("p").join(p.alias("r"), (F.col("p.server") == F.col("r.r_server")) & F.coalesce(kind & on_db & on_user, F.lit(True)))
+    met = asked.alias("p").join(p.alias("r").hint("merge"), (F.col("p.server") == F.col("r.r_server")) & F.coalesce(kind & on_db & on_user, F.lit(True)))
     hits = met.select("p.server", "p.probe", "r.rule_no", "r.method", match.alias("hit")).filter("hit IS NULL OR hit")
     best = hits.groupBy("server", "probe").agg(F.min(F.when(F.col("hit"), F.struct("rule_no", "method"))).alias("x"), F.min(F.when(F.col("hit").isNull(), F.col("rule_no"))).alias("unknown"))
     out = probes.select("server", "probe").join(best, ["server", "probe"], "left")

@@ -356,7 +356,7 @@ def conflicts(requests: DataFrame, operations: DataFrame) -> DataFrame:
         .when(new.isin(DISRUPTIVE) & old.isin(DATA_WORK) & ~F.col("waits") & ~F.col("forced"), "interrupts").when(new.isin(DATA_WORK) & old.isin(DISRUPTIVE), "disrupted")
     )
     asked = _with(requests, none).filter("NOT (type = 'pg_restart' AND dry_run)")
-    met = asked.join(active, "cluster_id").withColumn("rule", rule).filter("rule IS NOT NULL")
+    met = asked.join(active.hint("merge"), "cluster_id").withColumn("rule", rule).filter("rule IS NOT NULL")
     return met.groupBy("request", "cluster_id").agg(F.min(F.struct("updated_at", "with_id", "rule")).alias("x")).select("request", "cluster_id", "x.with_id", "x.rule", (F.col("x.rule") == "interrupts").alias("overridable"))
 
 

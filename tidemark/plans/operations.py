@@ -172,7 +172,7 @@ def _per_customer(spark: SparkSession, d: str, rows: list[tuple], names: str) ->
     """The small table ``rows`` once for each customer, whose clusters and numbers are its own."""
     kinds = dict(x.split(" ") for x in names.split(", "))
     each = F.explode(F.array(*[F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(r, kinds.items(), strict=True)]) for r in rows])).alias("r")
-    made = T.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), each).select("k", "r.*")
+    made = T.dealt(spark, d, "customer", "c_custkey").select("k", each).select("k", "r.*")
     return made.withColumns({c: F.col("k") * by + F.col(c) for c, by in (("cluster_id", 10), ("request", 1000), ("id", 1000)) if c in kinds}).drop("k")
 
 
@@ -249,7 +249,7 @@ _PROBE = {"server": "k", "probe": "k * 4 + r", "database": "CASE WHEN r < 3 THEN
 
 
 def _made(spark: SparkSession, d: str, columns: dict[str, str], n: int) -> DataFrame:
-    customers = T.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(n))).alias("r"))
+    customers = T.dealt(spark, d, "customer", "c_custkey").select("k", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("r"))
     return customers.selectExpr(*[f"{v} AS `{c}`" for c, v in columns.items()])
 
 

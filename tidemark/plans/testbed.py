@@ -14,6 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The key of a table as ``k``, dealt out by it before rows are made of it: a few bytes on disk may be many rows."""
+    return table(spark, sf_dir, name).select(F.col(key).alias("k")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+
+
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a time without zone, whatever the session's zone."""
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ))")
