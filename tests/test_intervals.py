@@ -50,6 +50,18 @@ def test_fingerprint_of_any_parts(spark):
     assert catalog.table_fingerprint(rows.limit(0)).collect()[0].n == 0
 
 
+def test_fingerprint_is_that_of_the_sorted_rows(spark):
+    from hashlib import md5
+
+    bodies = [f"row {k % 450}" for k in range(500)]
+    buckets = {}
+    for m in sorted(md5(b.encode()).hexdigest() for b in bodies):
+        buckets.setdefault(m[:2], []).append(m)
+    want = md5("".join(b + md5("".join(ms).encode()).hexdigest() for b, ms in sorted(buckets.items())).encode()).hexdigest()
+    got = catalog.table_fingerprint(spark.createDataFrame([(b,) for b in bodies], "body string"), 256).collect()
+    assert [tuple(r) for r in got] == [(want, 500)]
+
+
 def test_trees_with_keys_of_two_columns(spark):
     """A table that refers to itself by two columns: what goes anyway is no victim, a null part refers to nothing."""
     from tidemark.operators import diff

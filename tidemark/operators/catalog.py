@@ -5,6 +5,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +51,32 @@ def page_digest(pages: DataFrame) -> DataFrame:
     return pages.groupBy("object").agg(F.sort_array(F.collect_list(F.struct("page_no", F.md5("data").alias("m")))).alias("p")).select("object", F.md5(F.array_join(F.transform("p", lambda x: x["m"]), "")).alias("digest"))
 
 
-def table_fingerprint(rows: DataFrame) -> DataFrame:
-    """One row: a digest of all rows whatever their order, and their count.
+def table_fingerprint(rows: DataFrame, buckets: int = 4096) -> DataFrame:
+    """One row: md5 over all rows whatever their order, and their count.
 
-    Each row (``body``) counts by its md5 as four numbers of 32 bits, which are added up apart: sums that
-    tasks and executors can make in any order and any parts. The digest is that of the four sums, exact
-    below 2^63 rows; equal rows count as often as they are there.
+    Rows (``body``) are dealt out by the first hex digits of their md5; each bucket's sorted md5s are
+    digested apart, then the buckets' digests. The number of buckets is part of the definition. A bucket
+    is sorted by Spark and streamed through its digest, so that none is ever held whole.
     """
-    m = F.md5(F.coalesce("body", F.lit("")))
-    lane = lambda k: F.sum(F.conv(F.substring("m", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"s{k}")
-    sums = rows.select(m.alias("m")).agg(*[lane(k) for k in range(4)], F.count("*").alias("n"))
-    return sums.select(F.md5(F.concat_ws(",", *[F.coalesce(f"s{k}", F.lit(0)).cast("string") for k in range(4)])).alias("fingerprint"), "n")
+    digits = len(f"{buckets - 1:x}")
+    each = rows.select(F.md5(F.coalesce("body", F.lit(""))).alias("m")).select(F.substring("m", 1, digits).alias("b"), "m")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, n, out = None, None, 0, []
+        for batch in batches:
+            for name, part in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), key=lambda x: x[0]):
+                if name != now:
+                    out += [(now, state.hexdigest(), n)] if n else []
+                    now, state, n = name, hashlib.md5(), 0
+                hashes = [x[1] for x in part]
+                state.update("".join(hashes).encode())
+                n += len(hashes)
+        out += [(now, state.hexdigest(), n)] if n else []
+        yield pa.RecordBatch.from_pylist([dict(zip("bmn", x, strict=True)) for x in out], schema=pa.schema([("b", pa.string()), ("m", pa.string()), ("n", pa.int64())]))
+
+    told = each.repartition("b").sortWithinPartitions("b", "m").mapInArrow(run, "b string, m string, n long")
+    # One row for each bucket: their number is fixed.
+    return told.agg(F.md5(F.array_join(F.sort_array(F.collect_list(F.concat("b", "m"))), "")).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
 
 def roles(owners: DataFrame, grants: DataFrame) -> DataFrame:
