@@ -140,6 +140,16 @@ def test_frames_drop_the_oldest(spark, cuts):
     assert [r.dropped for r in sorted(got, key=lambda r: r.at_time) if r.subscriber == 1] == [600, 100]
 
 
+def test_entries_of_a_tick_come_together(spark):
+    rows = [(s, T0 + k * 1000, k) for s in (1, 2) for k in range(3000)]
+    parts = machines.ticked(spark.createDataFrame(rows, "subscriber long, at_time long, entry long").repartition(3), 10, SECOND).collect()
+    assert len(parts) <= 2 * 3 * 3 and all(len(p.entries) <= 10 for p in parts)
+    assert sum(len(p.entries) + p.dropped for p in parts) == len(rows)
+    for s in (1, 2):
+        own = [SimpleNamespace(**p.asDict(), entry=None) for p in parts if p.subscriber == s]
+        assert machines.folded(machines.Frames(10, SECOND), own, T0 + 9 * SECOND) == [(T0 + (k + 1) * SECOND, list(range(1000 * k + 990, 1000 * k + 1000)), 990) for k in range(3)]
+
+
 def test_a_subscriber_that_is_backed_up():
     rows = [SimpleNamespace(at_time=T0 + k * 100_000, entry=k, busy_until=None) for k in range(40)] + [SimpleNamespace(at_time=T0 + 150_000, entry=None, busy_until=T0 + 2 * SECOND + 1)]
     told = machines.folded(machines.Frames(12, SECOND), rows, T0 + 100 * SECOND)

@@ -104,8 +104,10 @@ class Keyed(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.row)
 
     def _go(self, key: tuple, rows: list, answers: list, clock: int) -> Iterator[Row]:
-        now = tuple(self.now.get()) if self.now.exists() else self.machine.start
-        held = [Row(**dict(zip(self.fields, x, strict=True))) for x in self.waiting.get()] if self.waiting.exists() else []
+        # A key without a state has neither rows that wait nor timers, so the store is not asked for them.
+        known = self.now.get()
+        now = self.machine.start if known is None else tuple(known)
+        held = [Row(**dict(zip(self.fields, x, strict=True))) for x in self.waiting.get()] if known is not None and self.waiting.exists() else []
         rest, told = sorted([*held, *rows], key=self.machine.order), []
         for a in answers:
             now = self.machine.answer(now, a)
@@ -116,14 +118,16 @@ class Keyed(StatefulProcessor):
         elif held:
             self.waiting.clear()
         timers = set() if self.machine.waits(now) else {max(at // 1000, clock) + 1 for at, _ in self.machine.due(now)}
-        for old in set(self.handle.listTimers()) - timers:
+        there = set() if known is None else set(self.handle.listTimers())
+        for old in there - timers:
             self.handle.deleteTimer(old)
-        for new in timers:
+        for new in timers - there:
             self.handle.registerTimer(new)
-        if now == self.machine.start and not rest:
+        if now != self.machine.start or rest:
+            if known is None or now != tuple(known):
+                self.now.update(now)
+        elif known is not None:
             self.now.clear()
-        else:
-            self.now.update(now)
         for x in told:
             yield Row(**dict(zip(self.columns, (*key, *x), strict=True)))
 
@@ -329,49 +333,99 @@ def leases(stream: DataFrame, delay: str = "10 seconds") -> DataFrame:
 class Frames(Machine):
     """A subscriber's queue: at each tick a frame with the newest ``most`` entries since the last one, and how many older ones were dropped.
 
-    A row with an ``entry`` joins the queue; one with ``busy_until`` (a subscriber that is backed up) makes
-    all ticks before that time pass without a frame. The queue never holds more than ``most`` entries.
+    A row with an ``entry`` joins the queue, and so do the ``entries`` of one tick with their ``times`` of a row
+    that has several, with how many older ones were ``dropped`` beside them; one with ``busy_until`` (a subscriber
+    that is backed up) makes all ticks before that time pass without a frame. The queue never holds more than
+    ``most`` entries.
     """
 
-    state = "queue array<long>, dropped long, first long, busy long"
+    state = "queue array<long>, times array<long>, dropped long, first long, busy long"
     output = "at_time long, entries array<long>, dropped long"
-    start = ([], 0, -1, -1)
-    ROW = "at_time long, entry long, busy_until long"
+    start = ([], [], 0, -1, -1)
+    ROW = "at_time long, entry long, busy_until long, entries array<long>, times array<long>, dropped long"
 
     def __init__(self, most: int = QUEUE, period: int = FRAME):
         self.most, self.period = most, period
 
     def order(self, row: Any) -> tuple:
-        return row.at_time, row.entry is not None, row.entry or 0
+        return row.at_time, row.busy_until is None, row.entry or 0
 
     def row(self, now: State, row: Any) -> tuple[State, Told]:
-        queue, dropped, first, busy = now
+        queue, times, dropped, first, busy = now
         if row.busy_until is not None:
-            return (queue, dropped, first, max(busy, int(row.busy_until))), []
-        queue = [*queue, row.entry]
-        cut = max(0, len(queue) - self.most)
-        return (queue[cut:], dropped + cut, int(row.at_time) if first < 0 else first, busy), []
+            return (queue, times, dropped, first, max(busy, int(row.busy_until))), []
+        several = getattr(row, "entries", None)
+        more = [(int(row.at_time), row.entry)] if several is None else list(zip(row.times, several, strict=True))
+        both = sorted([*zip(times, queue, strict=True), *more])
+        cut = max(0, len(both) - self.most)
+        dropped += cut + (0 if several is None else int(row.dropped))
+        return ([e for _, e in both[cut:]], [t for t, _ in both[cut:]], dropped, int(row.at_time) if first < 0 else first, busy), []
 
     def due(self, now: State) -> list[tuple[int, str]]:
-        _, _, first, busy = now
+        _, _, _, first, busy = now
         ready = [(max(-(-busy // self.period), first // self.period + 1) * self.period - 1, "frame")] if first >= 0 else []
         return ready or ([(busy - 1, "free")] if busy >= 0 else [])
 
     def ring(self, now: State, name: str, at: int) -> tuple[State, Told]:
-        queue, dropped, _, _ = now
+        queue, _, dropped, _, _ = now
         return self.start, [(at + 1, list(queue), dropped)] if name == "frame" else []
 
 
+#: Rows that a task holds while it brings those of one tick together.
+HELD = 200_000
+PARTS = "subscriber {kind}, at_time long, clock timestamp, busy_until long, entries array<long>, times array<long>, dropped long"
+
+
+def ticked(rows: DataFrame, most: int, period: int) -> DataFrame:
+    """``rows(subscriber, at_time, entry)`` brought together by subscriber and tick within each task: ``PARTS``.
+
+    Only the newest ``most`` entries of a tick can be in its frame, the others count. ``at_time`` is the first
+    entry's and ``clock`` the last one's, so that the watermark is that of the entries.
+    """
+
+    def folded_(held: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values(["subscriber", "tick", "at_time", "entry"], kind="stable")
+        by = held.groupby(["subscriber", "tick"], sort=False)
+        first, back = by["first"].transform("min"), by.cumcount(ascending=False)
+        sums = by["dropped"].transform("sum") + (by["entry"].transform("size") - most).clip(lower=0)
+        last = back == 0
+        held = held.assign(first=first, dropped=sums.where(last, 0))
+        return held[back < most]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(held: pd.DataFrame) -> pd.DataFrame:
+            by = held.groupby(["subscriber", "tick"], sort=False)
+            out = by.agg(at_time=("first", "min"), clock=("at_time", "max"), entries=("entry", list), times=("at_time", list), dropped=("dropped", "sum")).reset_index()
+            return out.assign(clock=pd.to_datetime(out["clock"], unit="us", utc=True), busy_until=pd.array([None] * len(out), dtype="Int64"))[["subscriber", "at_time", "clock", "busy_until", "entries", "times", "dropped"]]
+
+        parts, n = [], 0
+        for frame in frames:
+            parts.append(frame.assign(tick=frame["at_time"] // period, first=frame["at_time"], dropped=0))
+            n += len(frame)
+            if n >= HELD:
+                held = folded_(pd.concat(parts, ignore_index=True))
+                if len(held) > HELD // 2:  # ticks with few entries each: nothing is gained by holding them longer
+                    yield told(held)
+                    held = held[:0]
+                parts, n = [held], len(held)
+        if n:
+            yield told(folded_(pd.concat(parts, ignore_index=True)))
+
+    return rows.select("subscriber", "at_time", "entry").mapInPandas(run, PARTS.format(kind=dict(rows.dtypes)["subscriber"]))
+
+
 def frames(entries: DataFrame, subscriptions: DataFrame, most: int = QUEUE, period: int = FRAME, busy: DataFrame | None = None, delay: str = "10 seconds") -> DataFrame:
     """``subscriber``, ``at_time``, ``entries``, ``dropped`` of each frame (ST6).
 
     ``entries(entry, at_time, cluster_id, rank)`` is a stream; ``subscriptions(subscriber, cluster_id, least)``
-    a table, whose null cluster stands for all; ``busy(subscriber, at_time, busy_until)`` a stream.
+    a table, whose null cluster stands for all; ``busy(subscriber, at_time, busy_until)`` a stream. Tasks bring
+    the entries of a tick together before a subscriber gets them; such a part is late if its newest entry is.
     """
     scopes = entries.withColumn("scope", F.explode(F.array(F.col("cluster_id").cast("string"), F.lit("all"))))
     wanted = subscriptions.select("subscriber", F.coalesce(F.col("cluster_id").cast("string"), F.lit("all")).alias("scope"), "least")
-    rows = scopes.join(wanted, "scope").filter("rank >= least").select("subscriber", "at_time", "entry", F.lit(None).cast("long").alias("busy_until"))
+    rows = scopes.join(wanted, "scope").filter("rank >= least")
+    rows = ticked(rows, most, period).withColumn("entry", F.lit(None).cast("long"))
     if busy is not None:
-        rows = rows.unionByName(busy.select("subscriber", "at_time", F.lit(None).cast("long").alias("entry"), "busy_until"))
+        rows = rows.unionByName(busy.select("subscriber", "at_time", F.timestamp_micros("at_time").alias("clock"), "busy_until"), allowMissingColumns=True)
     return on(rows, Frames(most, period), ["subscriber"], Frames.ROW, delay)
 
