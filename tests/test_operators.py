@@ -309,6 +309,31 @@ def test_networks_of_every_form(spark):
     assert {r.a: r.n and tuple(r.n) for r in got} == told
 
 
+def test_levels_and_closures_collect_nothing(spark):
+    edges = spark.createDataFrame([(3, 2), (2, 1), (3, 1), (5, 6), (6, 5), (7, 9)], "src long, dst long")
+    nodes = spark.createDataFrame([(n,) for n in (1, 2, 3, 5, 6, 7)], "node long")
+    found = graphs.levels(edges, nodes)
+    assert rows(found) == [(1, 0), (2, 1), (3, 2), (5, 0), (6, 0), (7, 0)]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    roots = spark.createDataFrame([(3,), (5,)], "root long")
+    assert rows(graphs.closure(edges, roots)) == [(3, 1, 1), (3, 2, 1), (3, 3, 0), (5, 5, 0), (5, 6, 1)]
+    assert rows(graphs.closure(edges, roots, 0)) == [(3, 3, 0), (5, 5, 0)]
+
+
+def test_storages_with_the_same_remote_share_their_list(spark):
+    hosts = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"])], "host_id long, aliases array<string>")
+    storages = spark.createDataFrame([(1, "b"), (2, "b"), (3, "x"), (4, "a"), (4, "b"), (5, None)], "storage_id long, remote_host string")
+    found = fleet.storage_hosts(storages, hosts)
+    assert rows(found) == [(1, "1,2"), (2, "1,2"), (3, ""), (4, "1,2"), (5, "")]
+
+
+def test_many_sets_that_want_the_same_share_their_holes(spark):
+    sets = spark.range(5000).selectExpr("id", "1 AS tli", "10L AS first", "14L AS last")
+    held = spark.createDataFrame([(1, n) for n in (10, 11, 13)], "tli int, segno long")
+    found = chains.missing_segments(sets, held)
+    assert found.groupBy("segno").count().orderBy("segno").collect() == [(12, 5000), (14, 5000)]
+
+
 def test_a_range_without_a_hole_has_a_row(spark):
     whole = spark.createDataFrame([(1, n) for n in range(5, 10)], "tli int, segno long")
     assert rows(wal.first_hole(whole, 5, 9)) == [(None,)]

@@ -99,8 +99,15 @@ def standby_slots(standbys: DataFrame, slots: DataFrame) -> DataFrame:
 
 
 def storage_hosts(storages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Hosts behind each storage by any of their aliases (J14): ``aliases`` is an array."""
-    return storages.join(hosts.select("host_id", F.explode("aliases").alias("remote_host")).distinct(), "remote_host", "left").groupBy("storage_id").agg(F.array_join(F.sort_array(F.collect_set(F.col("host_id").cast("string"))), ",").alias("hosts"))
+    """Hosts behind each storage by any of their aliases (J14): ``aliases`` is an array.
+
+    Storages with the same remote hosts have the same list, which is made once and joined to each of them.
+    """
+    asked = storages.groupBy("storage_id").agg(F.sort_array(F.collect_set("remote_host")).alias("remote"))
+    known = hosts.select("host_id", F.explode("aliases").alias("remote_host")).distinct()
+    lists = asked.select("remote").distinct().withColumn("remote_host", F.explode("remote")).join(known, "remote_host")
+    lists = lists.groupBy("remote").agg(F.array_join(F.sort_array(F.collect_set(F.col("host_id").cast("string"))), ",").alias("hosts"))
+    return asked.join(lists, "remote", "left").select("storage_id", F.coalesce("hosts", F.lit("")).alias("hosts"))
 
 
 def site_groups(clusters: DataFrame, links: DataFrame, least: int = 2) -> DataFrame:
