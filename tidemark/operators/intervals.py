@@ -33,26 +33,34 @@ def difference(wanted: DataFrame, held: DataFrame, ids: list[str], match: list[s
     """``ids``, ``first``, ``last``: the runs of numbers from ``lo`` to ``hi`` that no run of ``held`` has.
 
     ``wanted(ids, match, lo, hi)`` may have several rows of one id, which then want the same numbers under
-    any of their ``match``; ``held(match, first, last)``. Both are cut at bucket edges and joined on bucket
-    and match; holes are told by the ends of what is held, so there is never a row for each number. Only
-    holes at bucket edges meet again.
+    any of their ``match``; ``held(match, first, last)``. Both are cut at bucket edges. Ids that want the same
+    numbers of a bucket under the same matches share their holes, which are looked for once: a bucket has no
+    more stretches than pairs of its numbers, however many ids want them. Holes are told by the ends of what is
+    held, so there is never a row for each number. Only holes at bucket edges meet again.
     """
     edges = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / bucket), F.floor(F.col(b) / bucket)))
     cut = lambda a, b: (F.greatest(F.col(a), F.col("__bucket") * bucket), F.least(F.col(b), F.col("__bucket") * bucket + (bucket - 1)))
     w = wanted.filter("lo <= hi").withColumn("__bucket", edges("lo", "hi"))
     a, b = cut("lo", "hi")
-    w = w.select(*ids, *match, "__bucket", a.alias("__a"), b.alias("__b"))
+    w = w.select(*ids, F.struct(*match).alias("__match"), "__bucket", a.alias("__a"), b.alias("__b"))
+    own = [*ids, "__bucket", "__a", "__b"]
+    if set(match) <= set(ids):  # one match for each id
+        w = w.select(*own, F.array("__match").alias("__any")).distinct()
+    else:
+        w = w.groupBy(*own).agg(F.sort_array(F.collect_set("__match")).alias("__any"))
     h = held.withColumn("__bucket", edges("first", "last"))
     a, b = cut("first", "last")
-    h = h.select(*match, "__bucket", a.alias("__from"), b.alias("__to"))
-    met = w.join(h, [*match, "__bucket"], "left")
+    h = h.select(F.struct(*match).alias("__match"), "__bucket", a.alias("__from"), b.alias("__to"))
+    same = ["__any", "__bucket", "__a", "__b"]
+    stretches = w.select(*same).distinct()
+    met = stretches.withColumn("__match", F.explode("__any")).join(h, ["__match", "__bucket"], "left")
     # What does not meet the wanted stretch says nothing, but keeps the stretch itself.
     apart = (F.col("__to") < F.col("__a")) | (F.col("__from") > F.col("__b"))
-    met = met.select(*ids, "__bucket", "__a", "__b", F.when(~apart, F.col("__from")).alias("__from"), F.when(~apart, F.col("__to")).alias("__to")).distinct()
-    along = Window.partitionBy(*ids, "__bucket").orderBy(F.col("__from").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    inner = met.select(*ids, F.coalesce(F.max("__to").over(along) + 1, F.col("__a")).alias("first"), (F.col("__from") - 1).alias("last"))
-    tail = met.groupBy(*ids, "__bucket", "__a", "__b").agg(F.max("__to").alias("__to")).select(*ids, F.coalesce(F.col("__to") + 1, F.col("__a")).alias("first"), F.col("__b").alias("last"))
-    holes = inner.unionByName(tail).filter("first <= last")
+    met = met.select(*same, F.when(~apart, F.col("__from")).alias("__from"), F.when(~apart, F.col("__to")).alias("__to")).distinct()
+    along = Window.partitionBy(*same).orderBy(F.col("__from").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    inner = met.select(*same, F.coalesce(F.max("__to").over(along) + 1, F.col("__a")).alias("first"), (F.col("__from") - 1).alias("last"))
+    tail = met.groupBy(*same).agg(F.max("__to").alias("__to")).select(*same, F.coalesce(F.col("__to") + 1, F.col("__a")).alias("first"), F.col("__b").alias("last"))
+    holes = w.join(inner.unionByName(tail).filter("first <= last"), same).select(*ids, "first", "last")
     at_edge = (F.pmod("first", F.lit(bucket)) == 0) | (F.pmod("last", F.lit(bucket)) == bucket - 1)
     order = Window.partitionBy(*ids).orderBy("first")
     new = F.coalesce(F.col("first") != F.lag("last").over(order) + 1, F.lit(True)).cast("int")
