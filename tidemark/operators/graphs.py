@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,17 +12,16 @@ from .steps import cut
 
 def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """``root``, ``node``, ``depth`` of all nodes below each root (R3, R4, R5), or of those within ``depth``: a node counts once, at its least depth; cycles end."""
-    front = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    seen = cut(front)
-    level = 0
-    while depth is None or level < depth:
-        level += 1
-        following = seen.filter(F.col("depth") == level - 1).join(edges.withColumnsRenamed({"src": "node", "dst": "next"}), "node").select("root", F.col("next").alias("node")).distinct()
-        fresh = cut(following.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
+    steps = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
+    # Each level is written once; all joins are merge joins, so that nothing is collected for a broadcast.
+    levels_ = [cut(roots.select("root", F.col("root").alias("node")))]
+    while depth is None or len(levels_) <= depth:
+        following = levels_[-1].hint("merge").join(steps, "node").select("root", F.col("next").alias("node")).distinct()
+        fresh = cut(following.hint("merge").join(reduce(DataFrame.unionByName, levels_), ["root", "node"], "left_anti"))
         if fresh.isEmpty():
             break
-        seen = cut(seen.unionByName(fresh))
-    return seen
+        levels_.append(fresh)
+    return reduce(DataFrame.unionByName, [x.withColumn("depth", F.lit(n)) for n, x in enumerate(levels_)])
 
 
 def tops(pointers: DataFrame) -> DataFrame:
@@ -42,19 +43,21 @@ def tops(pointers: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node``, ``level``: one more than the highest level it depends on, 0 without dependencies or on a cycle.
 
-    Nodes whose dependencies are all placed get their level, round after round; what is never placed
-    hangs on a cycle.
+    What a round has placed is counted off the nodes that wait for it; those that wait for nothing more
+    are next, and what is never placed hangs on a cycle.
     """
-    placed = cut(nodes.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
-    open_edges = edges
-    while True:
-        waiting = open_edges.join(placed.select(F.col("node").alias("dst"), "level"), "dst", "left")
-        ready = waiting.groupBy(F.col("src").alias("node")).agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0")
-        fresh = cut(ready.select("node", (F.col("level") + 1).alias("level")).join(placed.select("node"), "node", "left_anti"))
-        if fresh.isEmpty():
-            break
-        placed = cut(placed.unionByName(fresh))
-    return nodes.join(placed, "node", "left").fillna(0, ["level"])
+    steps = cut(edges.select("src", "dst"))
+    waiting = cut(steps.filter("src IS NOT NULL").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"), F.lit(-1).alias("highest")))
+    fresh = cut(nodes.select("node").distinct().join(waiting, "node", "left_anti").withColumn("level", F.lit(0)))
+    placed = []
+    while not fresh.isEmpty():
+        placed.append(fresh)
+        said = steps.join(fresh.select(F.col("node").alias("dst"), "level").hint("merge"), "dst").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("done"), F.max("level").alias("top"))
+        told = cut(waiting.hint("merge").join(said, "node", "left").select("node", (F.col("open") - F.coalesce("done", F.lit(0))).alias("open"), F.greatest("highest", "top").alias("highest")))
+        fresh, waiting = told.filter("open = 0").select("node", (F.col("highest") + 1).alias("level")), told.filter("open > 0")
+    if not placed:
+        return nodes.withColumn("level", F.lit(0))
+    return nodes.hint("merge").join(reduce(DataFrame.unionByName, placed), "node", "left").fillna(0, ["level"])
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
