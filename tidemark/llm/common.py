@@ -76,6 +76,9 @@ class Scratch:
         return self
 
     def __exit__(self, *_: object) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         for path in self.paths:
             place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -90,12 +90,15 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", keep_column
 
     With ``keep_columns`` the input is in the struct ``__row`` and the rest in ``__q``; without, the
     columns are ``doc_id`` and the figures. Repeated rows count each; a null host is never rejected;
-    an empty table gives no rows. Only rejected hosts are joined back, broadcast while few.
+    an empty table gives no rows. Only rejected hosts are joined back, broadcast while few. Figures are
+    written once, but never beside whole rows: with ``keep_columns`` they are computed again from the text.
     """
     figures = rule_figures(docs, text)
     row = F.col("__row") if keep_columns else F.struct(F.col("__row")["doc_id"].cast("long").alias("doc_id"))
-    held = materialise(figures.select(row.alias("__row"), F.col("__row")[host].cast("string").alias("host"), "__q"), "figures")
-    hosts = materialise(host_verdicts(held.select("host", "__q.*")), "hosts")
+    held = figures.select(row.alias("__row"), F.col("__row")[host].cast("string").alias("host"), "__q")
+    told = materialise(held.select("host", "__q") if keep_columns else held, "figures")
+    held = held if keep_columns else told
+    hosts = materialise(host_verdicts(told.select("host", "__q.*")), "hosts")
     rejected = hosts.filter(~F.col("host_ok")).select("host", "host_rate")
     if rejected.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         rejected = F.broadcast(rejected)

@@ -22,8 +22,8 @@ from .common import Scratch, flat, materialise, shuffles_dropped, slices, text_o
 
 #: Words of a window, and words of the strings that anchors are chosen from.
 WIDTH, GRAM = 20, 8
-#: Batches that a whole table is taken in, and runs that are kept before they are compacted.
-BATCHES, MOST_RUNS = 3, 2
+#: Batches that a whole table is taken in, and runs that are kept before they are compacted: the second run is.
+BATCHES, MOST_RUNS = 3, 1
 
 
 
@@ -83,7 +83,7 @@ def repeated(seen: DataFrame, batch: DataFrame, index: Index, grow: bool = True)
     ``batch`` and ``seen`` (it and all that the index has) are ``identified`` rows; with ``grow`` the
     batch's fingerprints become a run of the index.
     """
-    with Scratch(batch.sparkSession) as scratch:
+    with Scratch(batch.sparkSession) as news, Scratch(batch.sparkSession) as scratch:
         own = materialise(anchors(batch, WIDTH, GRAM, _units), "anchors", scratch=scratch)
         place = ["doc", "th", "lo", "hi"]
         mine = own.filter("NOT again").groupBy("key", "ctx").agg(*_earliest(), F.count("*").alias("n"))
@@ -94,7 +94,7 @@ def repeated(seen: DataFrame, batch: DataFrame, index: Index, grow: bool = True)
             both = both.groupBy("key", "ctx").agg(*_earliest(), F.sum("n").alias("n"), F.max("old").alias("old"))
         else:
             both = mine.withColumn("old", F.lit(False))
-        both = materialise(both, "merged", scratch=scratch)
+        both = materialise(both, "merged", scratch=news)
         # The same run with the same surroundings: all but the first go.
         often = both.filter("n > 1").select("key", "ctx", F.col("doc").alias("first"), F.col("th").alias("first_th"))
         met = own.join(often, ["key", "ctx"]).filter("doc > first OR doc = first AND th <> first_th")
@@ -110,6 +110,7 @@ def repeated(seen: DataFrame, batch: DataFrame, index: Index, grow: bool = True)
         later = held.join(twice, ["w1", "w2"]).filter("doc > first").select("doc", "th", *span)
         found = gone.unionByName(own.filter("again").select(*place)).unionByName(later).unionByName(held.filter("again").select("doc", "th", *span))
         found = materialise(found, "repeated")
+        scratch.clear()  # before runs are merged, which takes disk of its own
         if grow:  # what the index has already would only be news in an earlier document
             index.add(both.filter("NOT old"))
         return found
