@@ -73,6 +73,26 @@ def test_notices_are_delivered(spark, cuts):
     assert {r[3] for r in got} == {"opened", "worse", "reminder", "resolved"} and any(not r[5] for r in got)
 
 
+def test_deliveries_take_no_micro_batches_of_their_own(spark, tmp_path, monkeypatch):
+    for module in (machines, stateful):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"file://{tmp_path}", raising=False)
+    rows = [(key, T0 + k * 86_400 * SECOND + key, "critical") for key in range(50) for k in range(9)] + [(None, T0, "critical")]
+    stream = cut_stream(spark, rows, "key long, at_time long, severity string", 1)
+    got = machines.delivered(stream, spark.createDataFrame([("ops", "info")], "channel string, least string"), lambda channel, lines: [True] * len(lines)).collect()
+    assert Counter(r.event for r in got if r.key is not None) == {"opened": 50, "reminder": 50 * 7}
+    assert sorted((r.at_time, r.event) for r in got if r.key is None)[:2] == [(T0, "opened"), (T0 + 86_400 * SECOND, "reminder")]
+    batches = [x for x in next(tmp_path.glob("streams/notices-*/state/commits")).iterdir() if x.name.isdigit()]
+    assert len(batches) <= 2  # the looks, and what falls due before the last watermark; an answer is none
+
+
+@pytest.mark.parametrize("later", [0, 1])
+def test_timers_of_the_last_millisecond(spark, later):
+    rows = [(1, T0, "warning"), (2, T0 + 130 * SECOND + later * 1000, None)]
+    stream = cut_stream(spark, rows, "key long, at_time long, severity string", 1)
+    got = machines.delivered(stream, spark.createDataFrame([("ops", "info")], "channel string, least string"), lambda channel, lines: [True] * len(lines)).collect()
+    assert [(r.at_time, r.event) for r in got] == [(T0 + 120 * SECOND, "opened")] * later
+
+
 def notices(rows, least="info", ok=lambda told: True):
     own = [SimpleNamespace(at_time=T0 + t * SECOND, severity=s, least=stateful.RANKS[least]) for t, s in rows]
     told = machines.folded(machines.Notices(), own, T0 + 10**6 * SECOND, lambda x: SimpleNamespace(at_time=x[0], ok=ok(((x[0] - T0) // SECOND, x[1]))))
