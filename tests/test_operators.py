@@ -155,6 +155,31 @@ def test_closures_of_all_views(spark, tmp_path):
     assert rows(plans_catalog.r5_view_closure_all(spark, str(tmp_path)), "root", "node", "depth") == sorted(want)
 
 
+def test_levels_of_a_closure_are_written_in_blocks(spark, monkeypatch):
+    written = []
+    keep = graphs.cut
+
+    def cut(df):
+        done = keep(df)
+        written.append(done.count())
+        return done
+
+    monkeypatch.setattr(graphs, "cut", cut)
+    edges = spark.range(1, 641).selectExpr("id AS src", "id DIV 2 AS dst")
+    got = graphs.closure(edges, spark.range(1, 641).selectExpr("id AS root"))
+    want = sorted((k, k >> n, n) for k in range(1, 641) for n in range(k.bit_length() + 1))
+    assert rows(got, "root", "node", "depth") == want
+    assert sum(written) < len(want) / 2  # edges, names of roots and first level are 1,920 of it
+
+
+def test_roots_of_a_closure_may_be_names_or_unknown(spark):
+    names = [f"v{k:03}" for k in range(130)]
+    edges = spark.createDataFrame([(n, "hub") for n in names[:129]] + [("hub", "v005"), ("hub", None)], "src string, dst string")
+    got = graphs.closure(edges, spark.createDataFrame([(n,) for n in [*names, "v000", None]], "root string"), 2).collect()
+    want = {(n, n, 0) for n in [*names, None]} | {(n, "hub", 1) for n in names[:129]} | {(n, x, 2) for n in names[:129] for x in ("v005", None) if n != x}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_unknown_address_is_not_covered(spark):
     rules = spark.createDataFrame([(1, 1, "host", "all", "all", "db.example", "md5"), (1, 2, "host", "all", "all", "10.0.0.1/32", "md5")], "server int, rule_no int, type string, database string, user string, address string, method string")
     assert rows(access.shadowing(rules)) == []
