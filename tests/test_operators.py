@@ -1,5 +1,7 @@
 """Small cases by hand, each a rule that is easy to get wrong."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +174,20 @@ def test_levels_of_a_closure_are_written_in_blocks(spark, monkeypatch):
     assert sum(written) < len(want) / 2  # edges, names of roots and first level are 1,920 of it
 
 
+def test_rounds_of_a_closure_leave_no_shuffle_files(spark):
+    def there():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_")}
+
+    before = there()
+    got = graphs.closure(spark.range(1, 200).selectExpr("id AS src", "id DIV 2 AS dst"), spark.range(1, 200).selectExpr("id AS root"))
+    until = time.time() + 20
+    while there() - before and time.time() < until:  # files go a moment after their query
+        time.sleep(0.2)
+    assert not there() - before
+    assert got.count() == sum(k.bit_length() + 1 for k in range(1, 200))
+
+
 def test_roots_of_a_closure_may_be_names_or_unknown(spark):
     names = [f"v{k:03}" for k in range(130)]
     edges = spark.createDataFrame([(n, "hub") for n in names[:129]] + [("hub", "v005"), ("hub", None)], "src string, dst string")

@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .steps import cut
-
+from .steps import cut, shuffles_dropped
 
 #: Roots that one row of a closure's level stands for: the bits of a long.
 BLOCK = 64
@@ -20,21 +19,24 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> Dat
     Roots are numbered in their order and walk in blocks: a row of a level is a node and the bits of those
     roots of a block that come to it there. Only the result has a row for each root, made where it is read.
     """
-    steps = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
-    number = F.monotonically_increasing_id()
-    named = cut(roots.select("root").distinct().orderBy("root").select("root", F.floor(number / BLOCK).alias("block"), (number % BLOCK).cast("int").alias("bit")))
-    # Each level is written once; all joins are merge joins, so that nothing is collected for a broadcast.
-    levels_ = [cut(named.select("block", F.col("root").alias("node"), F.expr("shiftleft(1L, bit)").alias("bits")))]
-    while depth is None or len(levels_) <= depth:
-        following = levels_[-1].hint("merge").join(steps, "node").select("block", F.col("next").alias("node"), "bits", F.lit(0).cast("long").alias("seen"))
-        earlier = reduce(DataFrame.unionByName, levels_).select("block", "node", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("seen"))
-        met = following.unionByName(earlier).groupBy("block", "node").agg(F.bit_or("bits").alias("bits"), F.bit_or("seen").alias("seen"))
-        fresh = cut(met.select("block", "node", F.expr("bits & ~seen").alias("bits")).filter("bits <> 0"))
-        if fresh.isEmpty():
-            break
-        levels_.append(fresh)
-    names = named.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bit", "root"))).alias("own"))
-    found = reduce(DataFrame.unionByName, [x.withColumn("depth", F.lit(n)) for n, x in enumerate(levels_)])
+    with shuffles_dropped(edges.sparkSession):
+        steps = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
+        number = F.monotonically_increasing_id()
+        named = cut(roots.select("root").distinct().orderBy("root").select("root", F.floor(number / BLOCK).alias("block"), (number % BLOCK).cast("int").alias("bit")))
+        # Each level is written once, and its shuffle files go then; all joins are merge joins, so that nothing is collected for a broadcast.
+        levels_ = [cut(named.select("block", F.col("root").alias("node"), F.expr("shiftleft(1L, bit)").alias("bits")))]
+        while depth is None or len(levels_) <= depth:
+            following = levels_[-1].hint("merge").join(steps, "node").select("block", F.col("next").alias("node"), "bits", F.lit(0).cast("long").alias("seen"))
+            earlier = reduce(DataFrame.unionByName, levels_).select("block", "node", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("seen"))
+            met = following.unionByName(earlier).groupBy("block", "node").agg(F.bit_or("bits").alias("bits"), F.bit_or("seen").alias("seen"))
+            fresh = cut(met.select("block", "node", F.expr("bits & ~seen").alias("bits")).filter("bits <> 0"))
+            if fresh.isEmpty():
+                break
+            levels_.append(fresh)
+    # Few bytes here are many rows of the result: blocks are dealt out by number, which adaptive execution leaves alone.
+    share = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = named.repartition(share, "block").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bit", "root"))).alias("own"))
+    found = reduce(DataFrame.unionByName, [x.withColumn("depth", F.lit(n)) for n, x in enumerate(levels_)]).repartition(share, "block")
     return found.hint("merge").join(names, "block").select(F.explode(F.expr("filter(own, x -> (shiftright(bits, x.bit) & 1) = 1)")).alias("x"), "node", "depth").select("x.root", "node", "depth")
 
 
